@@ -13,13 +13,12 @@ skew handling can split.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import join_dimension
-from ..functions.numeric import not_integral, parse_number, raw_present, trim_ws, na_to_null
+from ..functions.numeric import lit_str, q, sql_na, sql_not_integral, sql_parse_number, sql_present, sql_trim
 from ..schema import ALTERNATE_SIGNATURE, CANONICAL, CANONICAL_COUNTS, ContestSchema, Settings, alternate_schema, default_schema
 
 ISSUE_TYPE = "struct<code:string,severity:string,column:string,message:string>"
@@ -134,14 +133,13 @@ def _file_issue(code: str, severity: str, column: str | None, message: str) -> d
     return {"code": code, "severity": severity, "column": column, "message": message}
 
 
-def _issue(cond: Column, code: str, severity: str, column: str | None, message: str) -> Column:
-    value = F.struct(
-        F.lit(code).alias("code"),
-        F.lit(severity).alias("severity"),
-        F.lit(column).cast("string").alias("column"),
-        F.lit(message).alias("message"),
+def _issue(cond: str, code: str, severity: str, column: str | None, message: str) -> str:
+    """SQL text: an issue struct when ``cond`` holds, else NULL."""
+    col = "CAST(NULL AS STRING)" if column is None else lit_str(column)
+    return (
+        f"CASE WHEN coalesce({cond}, false) THEN named_struct('code', {lit_str(code)}, "
+        f"'severity', {lit_str(severity)}, 'column', {col}, 'message', {lit_str(message)}) END"
     )
-    return F.when(F.coalesce(cond, F.lit(False)), value)
 
 
 class _Frame:
@@ -152,11 +150,11 @@ class _Frame:
         self.file_issues: list[dict] = []
         self.stages: list[str] = []
 
-    def flush(self, issues: list[Column]) -> None:
+    def flush(self, issues: list[str]) -> None:
         """Evaluate pending issue expressions against the current column values."""
         if issues:
             name = f"_iss{len(self.stages)}"
-            self.df = self.df.withColumn(name, F.array(*issues))
+            self.df = self.df.withColumn(name, F.expr("array(" + ", ".join(issues) + ")"))
             self.stages.append(name)
             issues.clear()
 
@@ -180,7 +178,7 @@ class _Frame:
         while self.has(kept):
             kept = f"Source_Original__{name}__{n}"
             n += 1
-        self.df = self.df.withColumn(kept, F.col(f"`{name}`"))
+        self.df = self.df.withColumn(kept, F.col(q(name)))
         self.file_issues.append(
             _file_issue(
                 "reserved_column_collision",
@@ -226,10 +224,10 @@ def ingest(
 
     # P5 derived registration for the alternate layout.
     if schema.source_schema == "legacy_harris_trump":
-        dem = parse_number(F.col("Registered_Dem"), fr.dtype("Registered_Dem"))
-        rep = parse_number(F.col("Registered_Rep"), fr.dtype("Registered_Rep"))
+        dem = sql_parse_number(q("Registered_Dem"), fr.dtype("Registered_Dem"))
+        rep = sql_parse_number(q("Registered_Rep"), fr.dtype("Registered_Rep"))
         fr.preserve("Registered_Voters")
-        fr.df = fr.df.withColumn("Registered_Voters", dem + rep)
+        fr.df = fr.df.withColumn("Registered_Voters", F.expr(f"{dem} + {rep}"))
         fr.file_issues.append(
             _file_issue(
                 "legacy_registration_derived",
@@ -239,23 +237,22 @@ def ingest(
             )
         )
 
-    issues: list[Column] = []
+    issues: list[str] = []
 
     # P6 / V6 identifiers.
     ident = ["Jurisdiction", "Precinct"] + (["Vote_Type"] if fr.has("Vote_Type") else [])
     trimmed = {}
     for c in ident:
-        t = fr.dtype(c)
-        value = F.col(c).cast("string")
-        if t == "string":
-            value = na_to_null(value)
-        trimmed[c] = trim_ws(value)
-        issues.append(_issue(trimmed[c].isNull() | (trimmed[c] == ""), "missing_identifier", "error", c, f"Missing required {c} identifier"))
+        value = f"CAST({q(c)} AS STRING)"
+        if fr.dtype(c) == "string":
+            value = sql_na(value)
+        trimmed[c] = sql_trim(value)
+        issues.append(_issue(f"({trimmed[c]} IS NULL OR {trimmed[c]} = '')", "missing_identifier", "error", c, f"Missing required {c} identifier"))
     fr.flush(issues)
-    fr.df = fr.df.withColumns(trimmed)
+    fr.df = fr.df.withColumns({c: F.expr(e) for c, e in trimmed.items()})
     fr.preserve("Precinct_ID")
-    pid = F.concat_ws("::", *[F.coalesce(F.col(c), F.lit("")) for c in ident])
-    fr.df = fr.df.withColumn("Precinct_ID", pid)
+    pid = "concat_ws('::', " + ", ".join(f"coalesce({q(c)}, '')" for c in ident) + ")"
+    fr.df = fr.df.withColumn("Precinct_ID", F.expr(pid))
 
     # P8 / V8-V10 counts.
     count_cols = [*schema.candidate_columns, *schema.party_registration, *(p.down_ballot_column for p in schema.down_ballot_pairs)]
@@ -265,77 +262,73 @@ def ingest(
         if not fr.has(c):
             continue
         t = fr.dtype(c)
-        raw, num = F.col(f"`{c}`"), parse_number(F.col(f"`{c}`"), t)
-        issues.append(_issue(raw_present(raw, t) & num.isNull(), "nonnumeric_count", "error", c, f"Count is not numeric: {c}"))
-        issues.append(_issue(num.isNotNull() & not_integral(num), "nonintegral_count", "error", c, f"Count is not an integer: {c}"))
-        issues.append(_issue(num < 0, "negative_count", "error", c, f"Count is negative: {c}"))
+        num = sql_parse_number(q(c), t)
+        issues.append(_issue(f"({sql_present(q(c), t)} AND {num} IS NULL)", "nonnumeric_count", "error", c, f"Count is not numeric: {c}"))
+        issues.append(_issue(f"({num} IS NOT NULL AND {sql_not_integral(num)})", "nonintegral_count", "error", c, f"Count is not an integer: {c}"))
+        issues.append(_issue(f"({num} < 0)", "negative_count", "error", c, f"Count is negative: {c}"))
         parsed[c] = num
     fr.flush(issues)
-    fr.df = fr.df.withColumns(parsed)
+    fr.df = fr.df.withColumns({c: F.expr(e) for c, e in parsed.items()})
 
     # P9 / V15 coordinates; P10 / V16-V17 reported turnout.
     coords = {}
     for c, lo, hi in (("Latitude", -90, 90), ("Longitude", -180, 180)):
         if not fr.has(c):
             continue
-        num = parse_number(F.col(c), fr.dtype(c))
-        bad = num.isNull() | ~num.between(lo, hi)
+        num = sql_parse_number(q(c), fr.dtype(c))
+        bad = f"({num} IS NULL OR NOT ({num} BETWEEN {lo} AND {hi}))"
         issues.append(_issue(bad, "invalid_or_missing_coordinate", "warning", c, f"{c} is missing or outside [{lo}, {hi}]"))
-        coords[c] = F.when(~bad, num)
+        coords[c] = f"CASE WHEN NOT {bad} THEN {num} END"
     if fr.has("Reported_Turnout_Percent"):
-        t = fr.dtype("Reported_Turnout_Percent")
-        raw = F.col("Reported_Turnout_Percent")
-        num = parse_number(raw, t)
-        issues.append(_issue(raw_present(raw, t) & num.isNull(), "nonnumeric_reported_turnout", "error", "Reported_Turnout_Percent", "Reported turnout is not numeric"))
-        issues.append(_issue(num.isNotNull() & ~num.between(0, 100), "impossible_reported_turnout", "error", "Reported_Turnout_Percent", "Reported turnout is outside 0-100 percent"))
-        coords["Reported_Turnout_Percent"] = num
+        c = "Reported_Turnout_Percent"
+        t = fr.dtype(c)
+        num = sql_parse_number(q(c), t)
+        issues.append(_issue(f"({sql_present(q(c), t)} AND {num} IS NULL)", "nonnumeric_reported_turnout", "error", c, "Reported turnout is not numeric"))
+        issues.append(_issue(f"({num} IS NOT NULL AND NOT ({num} BETWEEN 0 AND 100))", "impossible_reported_turnout", "error", c, "Reported turnout is outside 0-100 percent"))
+        coords[c] = num
     fr.flush(issues)
-    fr.df = fr.df.withColumns(coords)
+    fr.df = fr.df.withColumns({c: F.expr(e) for c, e in coords.items()})
 
     # V11-V14 row rules.
-    valid = F.col("Valid_Contest_Votes")
+    valid = q("Valid_Contest_Votes")
     critical = ["Valid_Contest_Votes", *schema.candidate_columns] + (["Ballots_Cast"] if fr.has("Ballots_Cast") else [])
     for c in critical:
-        issues.append(_issue(F.col(f"`{c}`").isNull(), "missing_critical_count", "error", c, f"Missing critical election count: {c}"))
-    cand = [F.col(f"`{c}`") for c in schema.candidate_columns]
-    any_cand = reduce(lambda a, b: a | b, [c.isNotNull() for c in cand])
-    cand_sum = F.when(any_cand, reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in cand]))
+        issues.append(_issue(f"({q(c)} IS NULL)", "missing_critical_count", "error", c, f"Missing critical election count: {c}"))
+    any_cand = " OR ".join(f"{q(c)} IS NOT NULL" for c in schema.candidate_columns)
+    cand_sum = "(" + " + ".join(f"coalesce({q(c)}, 0D)" for c in schema.candidate_columns) + ")"
+    total = f"CASE WHEN {any_cand} THEN {cand_sum} END"
     if schema.write_in_votes and fr.has("Write_In_Votes"):
-        cand_sum = cand_sum + F.coalesce(F.col("Write_In_Votes"), F.lit(0.0))
-    issues.append(_issue(cand_sum > valid, "candidate_votes_exceed_contest", "error", None, "Candidate and write-in votes exceed valid contest votes"))
+        total = f"({total} + coalesce(`Write_In_Votes`, 0D))"
+    issues.append(_issue(f"({total} > {valid})", "candidate_votes_exceed_contest", "error", None, "Candidate and write-in votes exceed valid contest votes"))
     if fr.has("Ballots_Cast") and not schema.contest_votes_may_exceed_ballots:
-        issues.append(_issue(valid > F.col("Ballots_Cast"), "contest_votes_exceed_ballots", "error", None, "Valid contest votes exceed ballots cast"))
+        issues.append(_issue(f"({valid} > `Ballots_Cast`)", "contest_votes_exceed_ballots", "error", None, "Valid contest votes exceed ballots cast"))
     if fr.has("Ballots_Cast") and fr.has("Registered_Voters") and not schema.ballots_may_exceed_registration:
-        issues.append(_issue(F.col("Ballots_Cast") > F.col("Registered_Voters"), "ballots_exceed_registration", "error", None, "Ballots cast exceed registered voters"))
-
+        issues.append(_issue("(`Ballots_Cast` > `Registered_Voters`)", "ballots_exceed_registration", "error", None, "Ballots cast exceed registered voters"))
     fr.flush(issues)
 
     # P11-P13 derived columns and V18.
     derived = {}
     for cd in schema.candidates:
         fr.preserve(cd.share_column)
-        derived[cd.share_column] = F.when(valid > 0, F.col(f"`{cd.column}`") / valid)
+        derived[cd.share_column] = f"CASE WHEN {valid} > 0 THEN {q(cd.column)} / {valid} END"
     if fr.has("Ballots_Cast") and fr.has("Registered_Voters"):
-        reg = F.col("Registered_Voters")
-        calc = F.when(reg > 0, F.col("Ballots_Cast") / reg * 100)
+        calc = "CASE WHEN `Registered_Voters` > 0 THEN `Ballots_Cast` / `Registered_Voters` * 100 END"
         fr.preserve("Calculated_Turnout_Percent")
         derived["Calculated_Turnout_Percent"] = calc
         if fr.has("Reported_Turnout_Percent"):
             fr.preserve("Turnout_Discrepancy_Percentage_Points")
-            diff = F.abs(F.col("Reported_Turnout_Percent") - calc)
+            diff = f"abs(`Reported_Turnout_Percent` - ({calc}))"
             derived["Turnout_Discrepancy_Percentage_Points"] = diff
             tol = settings.turnout_tolerance
-            issues.append(_issue(diff > tol, "turnout_mismatch", "warning", None, f"Reported and calculated turnout differ by more than {tol:g} points"))
+            issues.append(_issue(f"({diff} > {float(tol)!r})", "turnout_mismatch", "warning", None, f"Reported and calculated turnout differ by more than {tol:g} points"))
     fr.flush(issues)
-    fr.df = fr.df.withColumns(derived)
+    fr.df = fr.df.withColumns({c: F.expr(e) for c, e in derived.items()})
 
     # V7 duplicates over every row, including otherwise invalid ones.
     dup_keys = fr.df.groupBy("Precinct_ID").count().filter(F.col("count") > 1).select("Precinct_ID", F.lit(True).alias("_dup"))
     with_dup = join_dimension(fr.df, dup_keys, "Precinct_ID", "left")
-    issues.append(_issue(F.col("_dup"), "duplicate_precinct_id", "error", None, "Duplicate precinct identifier"))
-
-    stage_arrays = [F.col(c) for c in fr.stages] + [F.array(*issues)]
-    all_issues = F.filter(F.concat(*stage_arrays), lambda x: x.isNotNull())
+    dup = _issue("`_dup`", "duplicate_precinct_id", "error", None, "Duplicate precinct identifier")
+    all_issues = F.expr("filter(concat(" + ", ".join(q(c) for c in fr.stages) + f", array({dup})), x -> x IS NOT NULL)")
     validated = with_dup.withColumn("_issues", all_issues).drop("_dup", *fr.stages)
     return Ingestion(validated=validated, schema=schema, file_issues=fr.file_issues, source_columns=source_columns)
 
