@@ -201,3 +201,231 @@ SELECT round(max(lim), 6) AS baseline_turnout_upper_limit, CAST(count(*) FILTER
        round(sum(loo * loo), 6) AS sum_loo_squared, round(max(abs(loo / se)), 6) AS max_abs_studentized
 FROM f"""
     return with_views(body)
+
+
+# ------------------------------------------------------------------ M3 / M5 / M4
+
+PID = "Jurisdiction || '::' || Precinct"
+SHARE_A_SQL = "CASE WHEN Valid_Contest_Votes > 0 THEN Votes_Candidate_A / Valid_Contest_Votes END"
+TURNOUT_SQL = "CASE WHEN Registered_Voters > 0 THEN Ballots_Cast / Registered_Voters * 100 END"
+
+TREND_CORE = f"""tw AS (SELECT {PID} AS Precinct_ID, CAST(Votes_Candidate_A AS DOUBLE) AS x, {SHARE_A_SQL} AS y FROM returns),
+tv AS (SELECT * FROM tw WHERE x IS NOT NULL AND y IS NOT NULL),
+ts AS (SELECT count(*) n, regr_slope(y, x) b1, regr_intercept(y, x) b0, regr_r2(y, x) r2 FROM tv)"""
+
+
+def vote_share_trend() -> str:
+    return with_views(f"""WITH {TREND_CORE}
+SELECT tw.Precinct_ID,
+       round(CASE WHEN tw.y IS NOT NULL AND tw.x IS NOT NULL THEN b0 + b1 * x END, 6) AS Vote_Count_Trend_Expected_Share__candidate_a,
+       round(CASE WHEN tw.y IS NOT NULL AND tw.x IS NOT NULL THEN y - (b0 + b1 * x) END, 6) AS Vote_Count_Trend_Residual__candidate_a
+FROM tw, ts""")
+
+
+def vote_share_trend_fit() -> str:
+    return with_views(f"""WITH {TREND_CORE}
+SELECT CAST(n AS BIGINT) AS valid_observations, round(b1 * 100, 6) AS slope_share_per_100_votes,
+       round(b0, 6) AS intercept, round(r2, 6) AS r_squared FROM ts""")
+
+
+def down_ballot_rows() -> str:
+    cols = []
+    for cand, down, key in (("Votes_Candidate_A", "Votes_Down_Ballot_A", "candidate_a_down_ballot"),
+                            ("Votes_Candidate_B", "Votes_Down_Ballot_B", "candidate_b_down_ballot")):
+        ok = f"({cand} > 0 AND {down} IS NOT NULL AND {down} >= 0)"
+        cols.append(f"round(CASE WHEN {ok} THEN CAST({cand} - {down} AS DOUBLE) END, 6) AS Down_Ballot_Difference_Votes__{key}")
+        cols.append(f"round(CASE WHEN {ok} THEN 100.0 * ({cand} - {down}) / {cand} END, 6) AS Down_Ballot_Difference_Percent__{key}")
+    return with_views(f"SELECT {PID} AS Precinct_ID, {', '.join(cols)} FROM returns")
+
+
+def down_ballot_summary() -> str:
+    parts = []
+    for cand, down, key in (("Votes_Candidate_A", "Votes_Down_Ballot_A", "candidate_a_down_ballot"),
+                            ("Votes_Candidate_B", "Votes_Down_Ballot_B", "candidate_b_down_ballot")):
+        parts.append(f"""SELECT '{key}' AS key, count(*) AS valid_observations,
+       round(CAST(sum({cand}) - sum({down}) AS DOUBLE), 6) AS aggregate_difference_votes,
+       round(100.0 * (sum({cand}) - sum({down})) / sum({cand}), 6) AS aggregate_difference_percent_of_presidential,
+       round(quantile_cont(100.0 * ({cand} - {down}) / {cand}, 0.5), 6) AS median_precinct_difference_percent,
+       count(*) FILTER (WHERE 100.0 * ({cand} - {down}) / {cand} < 0) AS negative_difference_precincts
+FROM returns WHERE {cand} > 0 AND {down} IS NOT NULL AND {down} >= 0""")
+    return with_views("\nUNION ALL\n".join(parts))
+
+
+DIGIT_COLS = ["Votes_Candidate_A", "Votes_Candidate_B", "Votes_Candidate_C"]
+BENFORD_COLS = ["Registered_Voters", "Ballots_Cast", "Votes_Candidate_A"]
+
+
+def _digits_long(cols: list[str]) -> str:
+    return "\nUNION ALL\n".join(f"SELECT '{c}' AS col, CAST({c} AS BIGINT) AS v FROM returns WHERE {c} IS NOT NULL" for c in cols)
+
+
+def last_digit_counts() -> str:
+    return with_views(f"""WITH d AS ({_digits_long(DIGIT_COLS)}),
+cols AS (SELECT DISTINCT col FROM d), digits AS (SELECT CAST(range AS INTEGER) AS digit FROM range(10)),
+c AS (SELECT col, CAST(abs(v) % 10 AS INTEGER) AS digit, count(*) AS n FROM d GROUP BY ALL)
+SELECT cols.col AS "column", digits.digit, coalesce(c.n, 0) AS n
+FROM cols CROSS JOIN digits LEFT JOIN c ON c.col = cols.col AND c.digit = digits.digit""")
+
+
+def last_digit_chi2() -> str:
+    return with_views(f"""WITH d AS ({_digits_long(DIGIT_COLS)}),
+c AS (SELECT col, abs(v) % 10 AS digit, count(*) AS n FROM d GROUP BY ALL),
+t AS (SELECT col, sum(n) AS total FROM c GROUP BY col)
+SELECT c.col AS "column", CAST(max(t.total) AS BIGINT) AS n,
+       round(sum((n - t.total / 10.0) * (n - t.total / 10.0) / (t.total / 10.0)) + (10 - count(*)) * max(t.total) / 10.0, 6) AS statistic
+FROM c JOIN t USING (col) GROUP BY c.col""")
+
+
+def benford_counts() -> str:
+    return with_views(f"""WITH d AS ({_digits_long(BENFORD_COLS)}),
+cols AS (SELECT DISTINCT col FROM d), digits AS (SELECT CAST(range AS INTEGER) AS digit FROM range(1, 10)),
+c AS (SELECT col, CAST(substr(CAST(v AS VARCHAR), 1, 1) AS INTEGER) AS digit, count(*) AS n FROM d WHERE v > 0 GROUP BY ALL)
+SELECT cols.col AS "column", digits.digit, coalesce(c.n, 0) AS n
+FROM cols CROSS JOIN digits LEFT JOIN c ON c.col = cols.col AND c.digit = digits.digit""")
+
+
+def benford_chi2() -> str:
+    return with_views(f"""WITH d AS ({_digits_long(BENFORD_COLS)}),
+p AS (SELECT col, v FROM d WHERE v > 0),
+s AS (SELECT col, count(*) AS n, log10(max(v)) - log10(min(v)) AS orders FROM p GROUP BY col),
+digits AS (SELECT CAST(range AS INTEGER) AS digit FROM range(1, 10)),
+c AS (SELECT col, CAST(substr(CAST(v AS VARCHAR), 1, 1) AS INTEGER) AS digit, count(*) AS n FROM p GROUP BY ALL),
+g AS (SELECT s.col, digits.digit, coalesce(c.n, 0) AS o, s.n * log10(1 + 1.0 / digits.digit) AS e
+      FROM s CROSS JOIN digits LEFT JOIN c ON c.col = s.col AND c.digit = digits.digit)
+SELECT s.col AS "column", s.n AS n_positive, round(s.orders, 6) AS orders_of_magnitude,
+       round(sum((o - e) * (o - e) / e), 6) AS statistic, s.n >= 100 AND s.orders >= 2 AS meets_preconditions
+FROM g JOIN s USING (col) GROUP BY s.col, s.n, s.orders""")
+
+
+def round_number() -> str:
+    cols = ", ".join(f"CAST({c} AS DOUBLE) % 10 = 0 AS Round_Number_Multiple_10__{c}" for c in DIGIT_COLS)
+    return with_views(f"SELECT {PID} AS Precinct_ID, {cols} FROM returns")
+
+
+def holm_adjusted() -> str:
+    return with_views(f"""WITH t AS (SELECT {PID} AS Precinct_ID, Jurisdiction, {SHARE_A_SQL} AS p FROM returns),
+r AS (SELECT *, row_number() OVER (PARTITION BY Jurisdiction ORDER BY p, Precinct_ID) AS j,
+             count(*) OVER (PARTITION BY Jurisdiction) AS m FROM t WHERE p IS NOT NULL)
+SELECT Precinct_ID, Jurisdiction, round(p, 6) AS p,
+       round(max(least(1.0, p * (m - j + 1))) OVER (PARTITION BY Jurisdiction ORDER BY j ROWS UNBOUNDED PRECEDING), 6) AS holm
+FROM r""")
+
+
+def bh_adjusted() -> str:
+    return with_views(f"""WITH t AS (SELECT {PID} AS Precinct_ID, {SHARE_A_SQL} AS p FROM returns),
+r AS (SELECT *, row_number() OVER (ORDER BY p, Precinct_ID) AS j, count(*) OVER () AS m FROM t WHERE p IS NOT NULL)
+SELECT Precinct_ID, round(p, 6) AS p,
+       round(least(1.0, min(p * m / j) OVER (ORDER BY j DESC ROWS UNBOUNDED PRECEDING)), 6) AS bh
+FROM r""")
+
+
+# ------------------------------------------------------------------ A3, A6-A8, F, G
+
+def turnout_histogram() -> str:
+    return with_views(f"""WITH t AS (SELECT {TURNOUT_SQL} AS t, CAST(Votes_Candidate_A AS DOUBLE) a,
+                  CAST(Votes_Candidate_B AS DOUBLE) b, CAST(Votes_Candidate_C AS DOUBLE) c FROM returns),
+v AS (SELECT * FROM t WHERE t IS NOT NULL),
+s AS (SELECT min(t) lo, max(t) hi, (max(t) - min(t)) / 25 w FROM v),
+b AS (SELECT CAST(least(greatest(ceil((t - lo) / w) - 1, 0), 24) AS INTEGER) AS bin, a, b, c FROM v, s),
+g AS (SELECT bin, sum(a) a, sum(b) b, sum(c) c FROM b GROUP BY bin),
+axis AS (SELECT CAST(range AS INTEGER) AS bin FROM range(25)),
+e AS (SELECT axis.bin, lo + axis.bin * w AS lower, CASE WHEN axis.bin = 24 THEN hi ELSE lo + (axis.bin + 1) * w END AS upper,
+             coalesce(g.a, 0) a, coalesce(g.b, 0) b, coalesce(g.c, 0) c FROM axis CROSS JOIN s LEFT JOIN g ON g.bin = axis.bin)
+SELECT bin, round(lower, 6) AS bin_lower, round(upper, 6) AS bin_upper, round((lower + upper) / 2, 6) AS bin_center,
+       round(a, 6) AS Votes_Candidate_A, round(b, 6) AS Votes_Candidate_B, round(c, 6) AS Votes_Candidate_C FROM e""")
+
+
+DIST_COLS = {"Registered_Voters": "CAST(Registered_Voters AS DOUBLE)", "Ballots_Cast": "CAST(Ballots_Cast AS DOUBLE)",
+             "Valid_Contest_Votes": "CAST(Valid_Contest_Votes AS DOUBLE)", "Calculated_Turnout_Percent": TURNOUT_SQL}
+
+
+def distribution_bins() -> str:
+    longs = "\nUNION ALL\n".join(f"SELECT '{c}' AS col, {e} AS x FROM returns" for c, e in DIST_COLS.items())
+    return with_views(f"""WITH l AS ({longs}), v AS (SELECT * FROM l WHERE x IS NOT NULL),
+s AS (SELECT col, min(x) lo, CASE WHEN max(x) > min(x) THEN (max(x) - min(x)) / 20 ELSE 1.0 END w FROM v GROUP BY col),
+b AS (SELECT v.col, CAST(least(greatest(ceil((x - lo) / w) - 1, 0), 19) AS INTEGER) AS bin, lo, w FROM v JOIN s USING (col))
+SELECT col AS "column", bin, round(lo + bin * w, 6) AS bin_lower, round(lo + (bin + 1) * w, 6) AS bin_upper, count(*) AS n
+FROM b GROUP BY col, bin, lo, w""")
+
+
+CORR_COLS = {"Calculated_Turnout_Percent": TURNOUT_SQL, "Candidate_Share__candidate_a": SHARE_A_SQL,
+             "Candidate_Share__candidate_b": "CASE WHEN Valid_Contest_Votes > 0 THEN Votes_Candidate_B / Valid_Contest_Votes END",
+             "Ballots_Cast": "CAST(Ballots_Cast AS DOUBLE)", "Registered_Voters": "CAST(Registered_Voters AS DOUBLE)"}
+
+
+def correlation_matrix() -> str:
+    sel = ", ".join(f"{e} AS {c}" for c, e in CORR_COLS.items())
+    parts = [f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS correlation FROM t"
+             for a in CORR_COLS for b in CORR_COLS]
+    return with_views(f"WITH t AS (SELECT {sel} FROM returns)\n" + "\nUNION ALL\n".join(parts))
+
+
+def flag_counts() -> str:
+    return with_views(f"""WITH {m1_core()}
+SELECT 'Turnout_Share_Flag' AS flag_column, count(*) FILTER (WHERE abs(loo / se) > 3.0) AS flagged FROM f
+UNION ALL
+SELECT 'Turnout_Share_High_Leverage', count(*) FILTER (WHERE h > 2.0 * 2 / n) FROM f""")
+
+
+SCOPE_J = ("NATION_1", "NATION_2", "NATION_3", "NATION_5", "NATION_8", "NATION_13")
+
+
+def scope_filter() -> str:
+    js = ", ".join(f"'{j}'" for j in SCOPE_J)
+    return with_views(f"""SELECT {PID} AS Precinct_ID, Jurisdiction, round({TURNOUT_SQL}, 6) AS Calculated_Turnout_Percent,
+       CAST(Ballots_Cast AS DOUBLE) AS Ballots_Cast FROM returns
+WHERE Jurisdiction IN ({js}) AND {TURNOUT_SQL} BETWEEN 40 AND 80 AND Ballots_Cast >= 100""")
+
+
+def scope_vote_type() -> str:
+    return with_views(f"""SELECT {PID} || '::' || Vote_Type AS Precinct_ID, Vote_Type, CAST(Ballots_Cast AS DOUBLE) AS Ballots_Cast
+FROM returns WHERE Vote_Type IN ('1-URGENT', '2-HIGH')""", by_type=True)
+
+
+def turnout_bounds() -> str:
+    return with_views(f"SELECT round(min({TURNOUT_SQL}), 6) AS turnout_min, round(max({TURNOUT_SQL}), 6) AS turnout_max FROM returns")
+
+
+def jurisdiction_list() -> str:
+    return with_views("SELECT DISTINCT Jurisdiction FROM returns")
+
+
+def flagged_records() -> str:
+    return with_views(f"""WITH {m1_core()}
+SELECT Precinct_ID, round(loo / se, 6) AS Turnout_Share_Studentized_Residual FROM f WHERE abs(loo / se) > 3.0""")
+
+
+def chart_scatter() -> str:
+    return with_views(f"""WITH {m1_core()}
+SELECT round({TURNOUT_SQL}, 6) AS turnout, round({SHARE_A_SQL}, 6) AS share, rt.Jurisdiction, rt.Precinct,
+       coalesce(abs(f.loo / f.se) > 3.0, false) AS flagged, round(f.s - f.loo, 6) AS expected_share
+FROM returns rt LEFT JOIN f ON rt.Jurisdiction || '::' || rt.Precinct = f.Precinct_ID
+WHERE {TURNOUT_SQL} IS NOT NULL AND {SHARE_A_SQL} IS NOT NULL""")
+
+
+def chart_residual() -> str:
+    return with_views(f"""WITH {m1_core()}
+SELECT round(t, 6) AS turnout, round(loo, 6) AS residual, round(crit * se, 6) AS upper_band, round(-crit * se, 6) AS lower_band FROM f""")
+
+
+def chart_trend() -> str:
+    return with_views(f"""WITH {TREND_CORE}
+SELECT round(x, 6) AS votes, round(y, 6) AS share, round(b0 + b1 * x, 6) AS trend_share FROM tv, ts""")
+
+
+def chart_down_ballot() -> str:
+    ok = "(Votes_Candidate_A > 0 AND Votes_Down_Ballot_A IS NOT NULL AND Votes_Down_Ballot_A >= 0)"
+    return with_views(f"""SELECT CAST(Votes_Candidate_A AS DOUBLE) AS presidential_votes,
+       round(100.0 * (Votes_Candidate_A - Votes_Down_Ballot_A) / Votes_Candidate_A, 6) AS difference_percent
+FROM returns WHERE {ok}""")
+
+
+def chart_map() -> str:
+    return with_views(f"""SELECT round(Latitude, 6) AS Latitude, round(Longitude, 6) AS Longitude, round({SHARE_A_SQL}, 6) AS value,
+       Jurisdiction || ' - ' || Precinct AS label, CASE WHEN {SHARE_A_SQL} >= 0.8 THEN 'highlighted' ELSE 'normal' END AS marker_class
+FROM returns WHERE Latitude IS NOT NULL AND Longitude IS NOT NULL AND {SHARE_A_SQL} IS NOT NULL""")
+
+
+def map_center() -> str:
+    return with_views(f"""SELECT round(avg(Latitude), 6) AS center_latitude, round(avg(Longitude), 6) AS center_longitude, count(*) AS points
+FROM returns WHERE Latitude IS NOT NULL AND Longitude IS NOT NULL AND {SHARE_A_SQL} IS NOT NULL""")

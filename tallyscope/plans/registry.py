@@ -11,7 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.adjust import benjamini_hochberg, holm
+from ..operators import charts
+from ..operators import digits as m4
+from ..operators import downballot as m5
+from ..operators import scope
+from ..operators import trend as m3
 from ..operators import turnout as m1
+from ..schema import fixture_schema
 from ..operators.ingest import canonical_columns
 from ..operators.summary import data_summary
 from . import oracle_sql as osql
@@ -77,6 +84,173 @@ def q_turnout_share_model(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+VOTES_A = "Votes_Candidate_A"
+DIGIT_COLS = ["Votes_Candidate_A", "Votes_Candidate_B", "Votes_Candidate_C"]
+BENFORD_COLS = ["Registered_Voters", "Ballots_Cast", "Votes_Candidate_A"]
+
+
+def _m3(spark: SparkSession, d: str):
+    return m3.vote_share_trend(analysis_frame(spark, d), SHARE_A, VOTES_A)
+
+
+def q_vote_share_trend(spark: SparkSession, d: str) -> DataFrame:
+    res = _m3(spark, d)
+    return rounded(res.data.select("Precinct_ID", res.diagnostics["expected_share_column"], res.diagnostics["residual_column"]))
+
+
+def q_vote_share_trend_fit(spark: SparkSession, d: str) -> DataFrame:
+    res = _m3(spark, d)
+    meta = res.diagnostics
+    exp = F.col(meta["expected_share_column"])
+    return rounded(res.data.agg(
+        F.count(exp).alias("valid_observations"),
+        F.lit(meta["slope_share_per_100_votes"]).alias("slope_share_per_100_votes"),
+        F.lit(meta["intercept"]).alias("intercept"),
+        F.lit(meta["r_squared"]).alias("r_squared"),
+    ))
+
+
+def _m5(spark: SparkSession, d: str):
+    """Down-ballot comparison for candidate A's pair, then candidate B's pair on its output."""
+    schema = fixture_schema()
+    data, out = analysis_frame(spark, d), []
+    for cand in ("candidate_a", "candidate_b"):
+        pairs = [p for p in schema.down_ballot_pairs if p.presidential_candidate_key == cand]
+        res = m5.down_ballot_difference(data, schema.candidate(cand).column, pairs)
+        data = res.data
+        out.append(res)
+    return out
+
+
+def q_down_ballot_rows(spark: SparkSession, d: str) -> DataFrame:
+    _ra, rb = _m5(spark, d)
+    return rounded(rb.data.select("Precinct_ID", *[c for c in rb.data.columns if c.startswith("Down_Ballot_Difference_")]))
+
+
+def q_down_ballot_summary(spark: SparkSession, d: str) -> DataFrame:
+    ra, rb = _m5(spark, d)
+    return rounded(m5.summary_frame(ra).unionByName(m5.summary_frame(rb)))
+
+
+def q_last_digit_counts(spark: SparkSession, d: str) -> DataFrame:
+    return m4.last_digit_table(analysis_frame(spark, d), DIGIT_COLS)
+
+
+def q_last_digit_chi2(spark: SparkSession, d: str) -> DataFrame:
+    t = m4.last_digit_table(analysis_frame(spark, d), DIGIT_COLS)
+    g = t.groupBy("column").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s2"))
+    return rounded(g.select("column", "n", (10.0 * F.col("s2") / F.col("n") - F.col("n")).alias("statistic")))
+
+
+def q_benford_counts(spark: SparkSession, d: str) -> DataFrame:
+    return m4.first_digit_table(analysis_frame(spark, d), BENFORD_COLS)
+
+
+def q_benford_chi2(spark: SparkSession, d: str) -> DataFrame:
+    df = analysis_frame(spark, d)
+    counts = m4.first_digit_table(df, BENFORD_COLS)
+    parts = []
+    for c in BENFORD_COLS:
+        v = m4.integer_value(c)
+        pos = F.when(v > 0, v)
+        parts.append(df.agg(F.lit(c).alias("column"), F.count(pos).alias("n_positive"),
+                            (F.log10(F.max(pos)) - F.log10(F.min(pos))).alias("orders_of_magnitude")))
+    stats = parts[0]
+    for p in parts[1:]:
+        stats = stats.unionByName(p)
+    e = F.col("n_positive") * F.log10(1 + 1.0 / F.col("digit"))
+    chi = counts.join(stats, "column").groupBy("column", "n_positive", "orders_of_magnitude").agg(
+        F.sum((F.col("n") - e) * (F.col("n") - e) / e).alias("statistic"))
+    return rounded(chi.select("column", "n_positive", "orders_of_magnitude", "statistic",
+                              ((F.col("n_positive") >= 100) & (F.col("orders_of_magnitude") >= 2)).alias("meets_preconditions")))
+
+
+def q_round_number(spark: SparkSession, d: str) -> DataFrame:
+    res = m4.digit_diagnostics(analysis_frame(spark, d), DIGIT_COLS)
+    return res.data.select("Precinct_ID", *[f"Round_Number_Multiple_10__{c}" for c in DIGIT_COLS])
+
+
+def _p_table(spark: SparkSession, d: str) -> DataFrame:
+    df = analysis_frame(spark, d)
+    return df.select("Precinct_ID", "Jurisdiction", F.col(SHARE_A).alias("p")).filter(F.col("p").isNotNull())
+
+
+def q_holm_adjusted(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(holm(_p_table(spark, d), "p", "holm", family=["Jurisdiction"]).select("Precinct_ID", "Jurisdiction", "p", "holm"))
+
+
+def q_bh_adjusted(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(benjamini_hochberg(_p_table(spark, d), "p", "bh").select("Precinct_ID", "p", "bh"))
+
+
+def q_turnout_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(charts.turnout_histogram(analysis_frame(spark, d), DIGIT_COLS, bins=25))
+
+
+def q_distribution_bins(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["Registered_Voters", "Ballots_Cast", "Valid_Contest_Votes", "Calculated_Turnout_Percent"]
+    return rounded(charts.distribution_bins(analysis_frame(spark, d), cols, bins=20))
+
+
+def q_correlation_matrix(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["Calculated_Turnout_Percent", "Candidate_Share__candidate_a", "Candidate_Share__candidate_b", "Ballots_Cast", "Registered_Voters"]
+    return rounded(charts.correlation_matrix(analysis_frame(spark, d), cols))
+
+
+def q_flag_counts(spark: SparkSession, d: str) -> DataFrame:
+    return charts.flag_counts(_m1(spark, d).data, ["Turnout_Share_Flag", "Turnout_Share_High_Leverage"])
+
+
+SCOPE_J = ["NATION_1", "NATION_2", "NATION_3", "NATION_5", "NATION_8", "NATION_13"]
+
+
+def q_scope_filter(spark: SparkSession, d: str) -> DataFrame:
+    df = scope.filter_records(analysis_frame(spark, d), jurisdictions=SCOPE_J, turnout_range=(40, 80), minimum_ballots=100)
+    return rounded(df.select("Precinct_ID", "Jurisdiction", "Calculated_Turnout_Percent", "Ballots_Cast"))
+
+
+def q_scope_vote_type(spark: SparkSession, d: str) -> DataFrame:
+    df = scope.filter_records(analysis_frame(spark, d, by_type=True), vote_types=["1-URGENT", "2-HIGH"])
+    return rounded(df.select("Precinct_ID", "Vote_Type", "Ballots_Cast"))
+
+
+def q_turnout_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(scope.turnout_bounds(analysis_frame(spark, d)))
+
+
+def q_jurisdiction_list(spark: SparkSession, d: str) -> DataFrame:
+    return scope.distinct_values(analysis_frame(spark, d), "Jurisdiction")
+
+
+def q_flagged_records(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(scope.flagged_records(_m1(spark, d).data).select("Precinct_ID", "Turnout_Share_Studentized_Residual"))
+
+
+def q_chart_scatter(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(charts.turnout_scatter(_m1(spark, d).data, SHARE_A, "Turnout_Share_Flag"))
+
+
+def q_chart_residual(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(charts.residual_series(_m1(spark, d).data))
+
+
+def q_chart_trend(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(charts.trend_series(_m3(spark, d).data, SHARE_A, VOTES_A))
+
+
+def q_chart_down_ballot(spark: SparkSession, d: str) -> DataFrame:
+    ra, _rb = _m5(spark, d)
+    return rounded(charts.down_ballot_series(ra.data, VOTES_A, "Down_Ballot_Difference_Percent__candidate_a_down_ballot"))
+
+
+def q_chart_map(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(charts.map_points(analysis_frame(spark, d), share=SHARE_A))
+
+
+def q_map_center(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(charts.map_center(charts.map_points(analysis_frame(spark, d), share=SHARE_A)))
+
+
 QUERIES: dict[str, Query] = {
     "returns_canonical": q_returns_canonical,
     "returns_issues": q_returns_issues,
@@ -86,6 +260,32 @@ QUERIES: dict[str, Query] = {
     "returns_summary": q_returns_summary,
     "turnout_share": q_turnout_share,
     "turnout_share_model": q_turnout_share_model,
+    "vote_share_trend": q_vote_share_trend,
+    "vote_share_trend_fit": q_vote_share_trend_fit,
+    "down_ballot_rows": q_down_ballot_rows,
+    "down_ballot_summary": q_down_ballot_summary,
+    "last_digit_counts": q_last_digit_counts,
+    "last_digit_chi2": q_last_digit_chi2,
+    "benford_counts": q_benford_counts,
+    "benford_chi2": q_benford_chi2,
+    "round_number": q_round_number,
+    "holm_adjusted": q_holm_adjusted,
+    "bh_adjusted": q_bh_adjusted,
+    "turnout_histogram": q_turnout_histogram,
+    "distribution_bins": q_distribution_bins,
+    "correlation_matrix": q_correlation_matrix,
+    "flag_counts": q_flag_counts,
+    "scope_filter": q_scope_filter,
+    "scope_vote_type": q_scope_vote_type,
+    "turnout_bounds": q_turnout_bounds,
+    "jurisdiction_list": q_jurisdiction_list,
+    "flagged_records": q_flagged_records,
+    "chart_scatter": q_chart_scatter,
+    "chart_residual": q_chart_residual,
+    "chart_trend": q_chart_trend,
+    "chart_down_ballot": q_chart_down_ballot,
+    "chart_map": q_chart_map,
+    "map_center": q_map_center,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -97,4 +297,12 @@ ORACLES: dict[str, Callable[[], str]] = {
     "returns_summary": osql.returns_summary,
     "turnout_share": osql.turnout_share,
     "turnout_share_model": osql.turnout_share_model,
+    **{name: getattr(osql, name) for name in (
+        "vote_share_trend", "vote_share_trend_fit", "down_ballot_rows", "down_ballot_summary",
+        "last_digit_counts", "last_digit_chi2", "benford_counts", "benford_chi2", "round_number",
+        "holm_adjusted", "bh_adjusted", "turnout_histogram", "distribution_bins", "correlation_matrix",
+        "flag_counts", "scope_filter", "scope_vote_type", "turnout_bounds", "jurisdiction_list",
+        "flagged_records", "chart_scatter", "chart_residual", "chart_trend", "chart_down_ballot",
+        "chart_map", "map_center",
+    )},
 }
