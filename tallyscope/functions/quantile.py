@@ -17,6 +17,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Up to this many non-NULL values per column, Spark's exact ``percentile`` (whose
+# merge buffer holds at most that many values) answers in one aggregation.
+SMALL_COLUMN = 2_000_000
 # Largest bracket we are willing to collect per requested quantile.
 TARGET_WINDOW = 20_000
 MIN_ACCURACY = 10_000
@@ -28,14 +31,26 @@ def _accuracy(n: int) -> int:
 
 
 def exact_quantiles(
-    df: DataFrame, requests: dict[str, list[float]], counts: dict[str, int] | None = None
+    df: DataFrame, requests: dict[str, list[float]], counts: dict[str, int] | None = None,
+    small_column: int | None = None,
 ) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolation quantiles of non-NULL values for each (column, q)."""
     cols = list(requests)
+    for c in cols:
+        if any(not 0.0 <= q <= 1.0 for q in requests[c]):
+            raise ValueError("quantile must be in [0, 1]")
     if counts is None:
         row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
         counts = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
     out: dict[tuple[str, float], float | None] = {}
+    limit = SMALL_COLUMN if small_column is None else small_column
+    small = [c for c in cols if 0 < counts[c] <= limit]
+    if small:
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), [float(x) for x in requests[c]]).alias(f"s{i}") for i, c in enumerate(small)]).first()
+        for i, c in enumerate(small):
+            for q, v in zip(requests[c], row[f"s{i}"], strict=True):
+                out[(c, q)] = float(v)
+        cols = [c for c in cols if c not in small]
     # (column, q, lower rank r, fraction)
     todo: list[tuple[str, float, int, float]] = []
     for c in cols:

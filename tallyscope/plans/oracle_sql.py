@@ -429,3 +429,45 @@ FROM returns WHERE Latitude IS NOT NULL AND Longitude IS NOT NULL AND {SHARE_A_S
 def map_center() -> str:
     return with_views(f"""SELECT round(avg(Latitude), 6) AS center_latitude, round(avg(Longitude), 6) AS center_longitude, count(*) AS points
 FROM returns WHERE Latitude IS NOT NULL AND Longitude IS NOT NULL AND {SHARE_A_SQL} IS NOT NULL""")
+
+
+# ------------------------------------------------------------------ M9 / M10
+
+def _feature_base() -> tuple[str, list[str]]:
+    shares = {k: f"CASE WHEN Valid_Contest_Votes > 0 THEN {c} / Valid_Contest_Votes END" for c, k in SHARES.items()}
+    items = [("turnout_fraction", f"({TURNOUT_SQL}) / 100")]
+    items += [(f"Candidate_Share__{k}", e) for k, e in shares.items()]
+    items += [(f"log1p__{c}", f"ln(1 + CAST({c} AS DOUBLE))") for c in ("Registered_Voters", "Ballots_Cast", "Valid_Contest_Votes")]
+    items += [("contest_vote_rate", "CASE WHEN Ballots_Cast > 0 THEN Valid_Contest_Votes / Ballots_Cast END")]
+    items += [(f"rate__{c}", f"CASE WHEN Ballots_Cast > 0 THEN {c} / Ballots_Cast END") for c in ("Undervotes", "Overvotes", "Write_In_Votes")]
+    sel = ", ".join(f"{e} AS {n}" for n, e in items)
+    return f"SELECT {PID} AS Precinct_ID, Jurisdiction AS j, Latitude AS lat, Longitude AS lon, {sel} FROM returns", [n for n, _ in items]
+
+
+def _feature_sql() -> tuple[str, list[str]]:
+    base, names = _feature_base()
+    z = ", ".join(
+        f"(b.{n} - avg(b.{n}) OVER w) / CASE WHEN stddev_samp(b.{n}) OVER w > 0 THEN stddev_samp(b.{n}) OVER w END AS jurisdiction_z__{n}"
+        for n in names
+    )
+    dist = "sqrt(pow(lat - avg(lat) OVER w, 2) + pow(lon - avg(lon) OVER w, 2)) AS distance_from_jurisdiction_centroid"
+    allnames = names + ["distance_from_jurisdiction_centroid"] + [f"jurisdiction_z__{n}" for n in names]
+    return f"fb AS ({base}),\nft AS (SELECT b.*, {dist}, {z} FROM fb b WINDOW w AS (PARTITION BY j))", allnames
+
+
+def features() -> str:
+    cte, names = _feature_sql()
+    return with_views(f"WITH {cte}\nSELECT Precinct_ID, " + ", ".join(f"round({n}, 6) AS {n}" for n in names) + " FROM ft")
+
+
+def features_scaled() -> str:
+    cte, names = _feature_sql()
+    med = ", ".join(f"quantile_cont({n}, 0.5) AS m_{n}" for n in names)
+    fill = ", ".join(f"coalesce({n}, m_{n}) AS {n}" for n in names)
+    qs = ", ".join(f"quantile_cont({n}, 0.25) AS a_{n}, quantile_cont({n}, 0.5) AS c_{n}, quantile_cont({n}, 0.75) AS b_{n}" for n in names)
+    out = ", ".join(f"round(({n} - c_{n}) / CASE WHEN b_{n} - a_{n} = 0 THEN 1.0 ELSE b_{n} - a_{n} END, 6) AS {n}" for n in names)
+    return with_views(f"""WITH {cte},
+med AS (SELECT {med} FROM ft),
+fl AS (SELECT Precinct_ID, {fill} FROM ft, med),
+q AS (SELECT {qs} FROM fl)
+SELECT Precinct_ID, {out} FROM fl, q""")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.adjust import benjamini_hochberg, holm
 from ..operators import charts
 from ..operators import digits as m4
+from ..operators import features as m9
 from ..operators import downballot as m5
 from ..operators import scope
 from ..operators import trend as m3
@@ -251,6 +252,22 @@ def q_map_center(spark: SparkSession, d: str) -> DataFrame:
     return rounded(charts.map_center(charts.map_points(analysis_frame(spark, d), share=SHARE_A)))
 
 
+def _features(spark: SparkSession, d: str):
+    frame, names = m9.create_features(analysis_frame(spark, d))
+    return frame.persist(), names
+
+
+def q_features(spark: SparkSession, d: str) -> DataFrame:
+    frame, _names = _features(spark, d)
+    return rounded(frame)
+
+
+def q_features_scaled(spark: SparkSession, d: str) -> DataFrame:
+    frame, names = _features(spark, d)
+    model = m9.fit(frame, names)
+    return rounded(m9.transform(frame, model, keep=["Precinct_ID"]).drop("features"))
+
+
 QUERIES: dict[str, Query] = {
     "returns_canonical": q_returns_canonical,
     "returns_issues": q_returns_issues,
@@ -286,6 +303,8 @@ QUERIES: dict[str, Query] = {
     "chart_down_ballot": q_chart_down_ballot,
     "chart_map": q_chart_map,
     "map_center": q_map_center,
+    "features": q_features,
+    "features_scaled": q_features_scaled,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -303,6 +322,6 @@ ORACLES: dict[str, Callable[[], str]] = {
         "holm_adjusted", "bh_adjusted", "turnout_histogram", "distribution_bins", "correlation_matrix",
         "flag_counts", "scope_filter", "scope_vote_type", "turnout_bounds", "jurisdiction_list",
         "flagged_records", "chart_scatter", "chart_residual", "chart_trend", "chart_down_ballot",
-        "chart_map", "map_center",
+        "chart_map", "map_center", "features", "features_scaled",
     )},
 }
