@@ -471,3 +471,50 @@ med AS (SELECT {med} FROM ft),
 fl AS (SELECT Precinct_ID, {fill} FROM ft, med),
 q AS (SELECT {qs} FROM fl)
 SELECT Precinct_ID, {out} FROM fl, q""")
+
+
+# ------------------------------------------------------------------ M6-M8
+
+KNN_CORE = f"""nd AS (SELECT {PID} AS id, Longitude AS x, Latitude AS y, {SHARE_A_SQL} AS v FROM returns
+          WHERE Latitude IS NOT NULL AND Longitude IS NOT NULL AND {SHARE_A_SQL} IS NOT NULL),
+kk AS (SELECT least(8, count(*) - 1) AS k FROM nd),
+pr AS (SELECT a.id AS src, b.id AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist,
+              row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS r
+       FROM nd a JOIN nd b ON a.id <> b.id),
+ed AS (SELECT src, dst, dist FROM pr, kk WHERE r <= k),
+zz AS (SELECT id, v - avg(v) OVER () AS z FROM nd),
+lg AS (SELECT ed.src, avg(zz.z) AS lag FROM ed JOIN zz ON zz.id = ed.dst GROUP BY ed.src),
+mo AS (SELECT zz.id, zz.z, coalesce(lg.lag, 0) AS lag, sum(zz.z * zz.z) OVER () AS s2, count(*) OVER () AS n
+       FROM zz LEFT JOIN lg ON lg.src = zz.id)"""
+
+
+def knn_edges() -> str:
+    return with_views(f"WITH {KNN_CORE}\nSELECT src, dst, round(dist, 6) AS dist FROM ed")
+
+
+def moran_global() -> str:
+    return with_views(f"""WITH {KNN_CORE}
+SELECT CAST(max(n) AS BIGINT) AS valid_observations, round(sum(z * lag) / max(s2), 6) AS global_moran_i,
+       round(-1.0 / (max(n) - 1), 6) AS global_expected_i FROM mo""")
+
+
+def moran_local() -> str:
+    return with_views(f"""WITH {KNN_CORE}
+SELECT id AS Precinct_ID, round(z * lag / (s2 / n), 6) AS Local_Moran_I,
+       CASE WHEN z >= 0 AND lag >= 0 THEN 'high-high cluster' WHEN z < 0 AND lag < 0 THEN 'low-low cluster'
+            WHEN z >= 0 AND lag < 0 THEN 'high-low spatial outlier' ELSE 'low-high spatial outlier' END AS Spatial_Pattern
+FROM mo""")
+
+
+def _polygon_sql(cond: str) -> str:
+    return with_views(f"""WITH g AS (SELECT {PID} AS id, k % 40 AS gx, k // 40 AS gy FROM returns),
+e AS (SELECT a.id AS src, b.id AS dst FROM g a JOIN g b ON a.id <> b.id AND {cond})
+SELECT src, dst, round(1.0 / count(*) OVER (PARTITION BY src), 6) AS w FROM e""")
+
+
+def polygon_queen() -> str:
+    return _polygon_sql("abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1")
+
+
+def polygon_rook() -> str:
+    return _polygon_sql("abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1")

@@ -17,6 +17,10 @@ from ..operators import digits as m4
 from ..operators import features as m9
 from ..operators import downballot as m5
 from ..operators import scope
+from ..operators import spatial as m6
+from ..schema import SpatialParams
+from ..session import ensure_checkpoint_dir
+from ..sources import fixtures
 from ..operators import trend as m3
 from ..operators import turnout as m1
 from ..schema import fixture_schema
@@ -268,6 +272,57 @@ def q_features_scaled(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m9.transform(frame, model, keep=["Precinct_ID"]).drop("features"))
 
 
+def _knn_nodes(spark: SparkSession, d: str) -> DataFrame:
+    df = analysis_frame(spark, d)
+    ok = F.col("Latitude").isNotNull() & F.col("Longitude").isNotNull() & F.col(SHARE_A).isNotNull()
+    return df.filter(ok).select(F.col("Precinct_ID").alias("id"), F.col("Longitude").alias("x"), F.col("Latitude").alias("y"))
+
+
+def _knn(spark: SparkSession, d: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    nodes = _knn_nodes(spark, d).persist()
+    n = nodes.count()
+    return m6.knn_edges(nodes, min(SpatialParams().knn_neighbors, n - 1))
+
+
+def q_knn_edges(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_knn(spark, d))
+
+
+def q_moran_global(spark: SparkSession, d: str) -> DataFrame:
+    nodes, gi = m6.moran_statistics(analysis_frame(spark, d), SHARE_A, _knn(spark, d).select("src", "dst"))
+    n = nodes.count()
+    return rounded(nodes.agg(F.count(F.lit(1)).alias("valid_observations"), F.lit(gi).alias("global_moran_i"),
+                             F.lit(-1.0 / (n - 1)).alias("global_expected_i")))
+
+
+def q_moran_local(spark: SparkSession, d: str) -> DataFrame:
+    nodes, _gi = m6.moran_statistics(analysis_frame(spark, d), SHARE_A, _knn(spark, d).select("src", "dst"))
+    return rounded(nodes.select("Precinct_ID", "Local_Moran_I", "Spatial_Pattern"))
+
+
+def _polygon(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    edges = m6.polygon_edges(fixtures.polygons(spark, d), kind)
+    return rounded(m6.row_standardise(edges))
+
+
+def q_polygon_queen(spark: SparkSession, d: str) -> DataFrame:
+    return _polygon(spark, d, "queen")
+
+
+def q_polygon_rook(spark: SparkSession, d: str) -> DataFrame:
+    return _polygon(spark, d, "rook")
+
+
+def q_moran_permutation(spark: SparkSession, d: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    res = m6.moran(analysis_frame(spark, d), SHARE_A)
+    meta = res.diagnostics
+    return rounded(res.tables["local"].select(
+        "Precinct_ID", "Local_Moran_I", "Local_Moran_Raw_P", "Local_Moran_Adjusted_P", "Spatial_Significant",
+        F.lit(meta["global_moran_i"]).alias("global_moran_i"), F.lit(meta["global_permutation_p"]).alias("global_permutation_p")))
+
+
 QUERIES: dict[str, Query] = {
     "returns_canonical": q_returns_canonical,
     "returns_issues": q_returns_issues,
@@ -305,6 +360,12 @@ QUERIES: dict[str, Query] = {
     "map_center": q_map_center,
     "features": q_features,
     "features_scaled": q_features_scaled,
+    "knn_edges": q_knn_edges,
+    "moran_global": q_moran_global,
+    "moran_local": q_moran_local,
+    "polygon_queen": q_polygon_queen,
+    "polygon_rook": q_polygon_rook,
+    "moran_permutation": q_moran_permutation,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -323,5 +384,6 @@ ORACLES: dict[str, Callable[[], str]] = {
         "flag_counts", "scope_filter", "scope_vote_type", "turnout_bounds", "jurisdiction_list",
         "flagged_records", "chart_scatter", "chart_residual", "chart_trend", "chart_down_ballot",
         "chart_map", "map_center", "features", "features_scaled",
+        "knn_edges", "moran_global", "moran_local", "polygon_queen", "polygon_rook",
     )},
 }
