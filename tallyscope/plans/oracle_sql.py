@@ -518,3 +518,34 @@ def polygon_queen() -> str:
 
 def polygon_rook() -> str:
     return _polygon_sql("abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1")
+
+
+# ------------------------------------------------------------------ M12 / A9
+
+DBSCAN_EPS, DBSCAN_MIN = 0.1, 5
+
+DBSCAN_CORE = f"""pts AS (SELECT {PID} AS id, Latitude AS a, Longitude AS b FROM returns WHERE Latitude IS NOT NULL AND Longitude IS NOT NULL),
+nb AS (SELECT p.id AS src, q.id AS dst FROM pts p JOIN pts q
+       ON abs(p.a - q.a) <= {DBSCAN_EPS} AND abs(p.b - q.b) <= {DBSCAN_EPS}
+       AND sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) <= {DBSCAN_EPS}),
+core AS (SELECT src AS id FROM nb GROUP BY src HAVING count(*) >= {DBSCAN_MIN}),
+ce AS (SELECT nb.src, nb.dst FROM nb JOIN core c1 ON c1.id = nb.src JOIN core c2 ON c2.id = nb.dst),
+reach(id, lab) AS (SELECT id, id FROM core UNION SELECT ce.dst, reach.lab FROM reach JOIN ce ON ce.src = reach.id),
+comp AS (SELECT id, min(lab) AS lab FROM reach GROUP BY id),
+border AS (SELECT nb.src AS id, min(comp.lab) AS lab FROM nb JOIN comp ON comp.id = nb.dst
+           WHERE nb.src NOT IN (SELECT id FROM core) GROUP BY nb.src),
+lab AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
+num AS (SELECT lab, dense_rank() OVER (ORDER BY lab) - 1 AS cluster FROM (SELECT DISTINCT lab FROM comp)),
+res AS (SELECT pts.id, coalesce(num.cluster, -1) AS cluster, pts.a, pts.b FROM pts LEFT JOIN lab ON lab.id = pts.id LEFT JOIN num ON num.lab = lab.lab)"""
+
+
+def dbscan_labels() -> str:
+    return with_views(f"""WITH RECURSIVE {DBSCAN_CORE}
+SELECT id AS Precinct_ID, CAST(cluster AS BIGINT) AS DBSCAN_Cluster, cluster = -1 AS DBSCAN_Noise_Flag FROM res""")
+
+
+def cluster_profile() -> str:
+    return with_views(f"""WITH RECURSIVE {DBSCAN_CORE}
+SELECT CAST(cluster AS BIGINT) AS DBSCAN_Cluster, count(*) AS size, round(CAST(sum(CAST(a AS DECIMAL(38,12))) AS DOUBLE) / count(a), 6) AS Latitude,
+       round(CAST(sum(CAST(b AS DECIMAL(38,12))) AS DOUBLE) / count(b), 6) AS Longitude
+FROM res WHERE cluster >= 0 GROUP BY cluster""")

@@ -16,9 +16,11 @@ from ..operators import charts
 from ..operators import digits as m4
 from ..operators import features as m9
 from ..operators import downballot as m5
+from ..operators import dbscan as m12
+from ..operators import iforest as m11
 from ..operators import scope
 from ..operators import spatial as m6
-from ..schema import SpatialParams
+from ..schema import DbscanParams, SpatialParams
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures
 from ..operators import trend as m3
@@ -323,6 +325,51 @@ def q_moran_permutation(spark: SparkSession, d: str) -> DataFrame:
         F.lit(meta["global_moran_i"]).alias("global_moran_i"), F.lit(meta["global_permutation_p"]).alias("global_permutation_p")))
 
 
+def _forest(spark: SparkSession, d: str):
+    frame, names = _features(spark, d)
+    model = m9.fit(frame, names)
+    scaled = m9.transform(frame, model, keep=["Precinct_ID"]).select("Precinct_ID", "features").persist()
+    return scaled, m11.fit_forest(scaled, model.features), model
+
+
+def q_isolation_forest(spark: SparkSession, d: str) -> DataFrame:
+    scaled, forest, _model = _forest(spark, d)
+    return rounded(m11.score(scaled, forest).select("Precinct_ID", "IF_Anomaly_Flag", "IF_Anomaly_Score"))
+
+
+def q_if_importance(spark: SparkSession, d: str) -> DataFrame:
+    scaled, forest, _model = _forest(spark, d)
+    return rounded(m11.feature_importance(scaled, forest))
+
+
+def q_score_new_data(spark: SparkSession, d: str) -> DataFrame:
+    """Fit on precinct returns, score the vote-type grain with the fitted scaler and forest."""
+    _scaled, forest, model = _forest(spark, d)
+    new_frame, _names = m9.create_features(analysis_frame(spark, d, by_type=True))
+    new_scaled = m9.transform(new_frame, model, keep=["Precinct_ID"])
+    return rounded(m11.score(new_scaled, forest).select("Precinct_ID", "IF_Anomaly_Flag", "IF_Anomaly_Score"))
+
+
+DBSCAN_COORDS = DbscanParams(enabled=True, eps=0.1, min_samples=5)
+
+
+def _dbscan_coords(spark: SparkSession, d: str):
+    df = analysis_frame(spark, d)
+    pts = df.filter(F.col("Latitude").isNotNull() & F.col("Longitude").isNotNull()).select(
+        "Precinct_ID", F.array("Latitude", "Longitude").alias("features")).persist()
+    return pts, m12.dbscan(pts, DBSCAN_COORDS)
+
+
+def q_dbscan_labels(spark: SparkSession, d: str) -> DataFrame:
+    _pts, res = _dbscan_coords(spark, d)
+    return res.data
+
+
+def q_cluster_profile(spark: SparkSession, d: str) -> DataFrame:
+    pts, res = _dbscan_coords(spark, d)
+    return rounded(m12.cluster_profile(res.data, pts, ["Latitude", "Longitude"]))
+
+
 QUERIES: dict[str, Query] = {
     "returns_canonical": q_returns_canonical,
     "returns_issues": q_returns_issues,
@@ -366,6 +413,11 @@ QUERIES: dict[str, Query] = {
     "polygon_queen": q_polygon_queen,
     "polygon_rook": q_polygon_rook,
     "moran_permutation": q_moran_permutation,
+    "isolation_forest": q_isolation_forest,
+    "if_importance": q_if_importance,
+    "score_new_data": q_score_new_data,
+    "dbscan_labels": q_dbscan_labels,
+    "cluster_profile": q_cluster_profile,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -385,5 +437,6 @@ ORACLES: dict[str, Callable[[], str]] = {
         "flagged_records", "chart_scatter", "chart_residual", "chart_trend", "chart_down_ballot",
         "chart_map", "map_center", "features", "features_scaled",
         "knn_edges", "moran_global", "moran_local", "polygon_queen", "polygon_rook",
+        "dbscan_labels", "cluster_profile",
     )},
 }

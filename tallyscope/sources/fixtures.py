@@ -208,8 +208,11 @@ def with_views(body: str, raw: bool = False, by_type: bool = False) -> str:
     ctes = [f"returns AS ({returns_sql(by_type)})"]
     if raw:
         ctes.append(f"returns_raw AS ({RETURNS_RAW_SQL})")
-    head = "WITH " + ",\n".join(ctes)
     text = body.strip()
+    recursive = text[:15].upper() == "WITH RECURSIVE "
+    head = ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes)
+    if recursive:
+        return head + ",\n" + text[15:]
     if text[:5].upper() == "WITH ":
         return head + ",\n" + text[5:]
     return head + "\n" + text
