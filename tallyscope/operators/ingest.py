@@ -65,7 +65,9 @@ class Ingestion:
         rows = self.validated.select(
             F.col(ROW).alias("row"), "Precinct_ID", F.explode("_issues").alias("i")
         ).select("row", "Precinct_ID", "i.code", "i.severity", "i.column", "i.message")
-        if not self.file_issues:
+        if not self.file_issues or self.validated.isStreaming:
+            # File-level issues stay in ``file_issues`` for a stream (a stream
+            # cannot be unioned with a batch table).
             return rows
         spark = self.validated.sparkSession
         extra = spark.createDataFrame(
@@ -197,16 +199,23 @@ def ingest(
     schema: ContestSchema | None = None,
     settings: Settings | None = None,
     row_key: str | None = None,
+    streaming: bool = False,
 ) -> Ingestion:
-    """Canonicalise and validate a returns table; lazily returns the validated frame."""
+    """Canonicalise and validate a returns table; lazily returns the validated frame.
+
+    ``streaming=True`` skips the checks that need the whole table (emptiness and
+    the duplicate-key rule V7) so the plan runs on a streaming DataFrame.
+    """
     settings = settings or Settings()
     source_columns = list(df.columns)
     schema = select_schema(source_columns, schema)
     check_mapping(source_columns, schema)
-    if df.isEmpty():
+    if not streaming and df.isEmpty():
         raise DataValidationError("The table contains no data rows", [_file_issue("empty_dataset", "error", None, "no rows")])
 
-    if row_key is None:
+    if row_key is None and streaming:
+        df = df.withColumn(ROW, F.lit(None).cast("bigint"))
+    elif row_key is None:
         # Captured at load, before any shuffle, so it names the source position.
         df = df.withColumn(ROW, F.monotonically_increasing_id())
     else:
@@ -324,6 +333,13 @@ def ingest(
     fr.flush(issues)
     fr.df = fr.df.withColumns({c: F.expr(e) for c, e in derived.items()})
 
+    if streaming:
+        fr.file_issues.append(_file_issue("duplicate_check_deferred", "warning", None,
+                                          "Duplicate precinct identifiers (V7) are checked on the batch table only"))
+        all_issues = F.expr("filter(concat(" + ", ".join(q(c) for c in fr.stages) + "), x -> x IS NOT NULL)")
+        validated = fr.df.withColumn("_issues", all_issues).drop(*fr.stages)
+        return Ingestion(validated=validated, schema=schema, file_issues=fr.file_issues, source_columns=source_columns)
+
     # V7 duplicates over every row, including otherwise invalid ones.
     dup_keys = fr.df.groupBy("Precinct_ID").count().filter(F.col("count") > 1).select("Precinct_ID", F.lit(True).alias("_dup"))
     with_dup = join_dimension(fr.df, dup_keys, "Precinct_ID", "left")

@@ -24,6 +24,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "tallys
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.legacy.javaCharsets", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
