@@ -11,7 +11,12 @@ BROADCAST_ROW_LIMIT = 2_000_000
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Join ``dim`` onto ``fact``; broadcast ``dim`` only if it has at most ``max_rows`` rows."""
+    """Join ``dim`` onto ``fact``; broadcast ``dim`` only if it has at most ``max_rows`` rows.
+
+    The dimension is persisted before it is counted, so the count and the join
+    read it once.
+    """
+    dim = dim.persist()
     if dim.count() <= max_rows:
         return fact.join(F.broadcast(dim), on, how)
     return fact.join(dim, on, how)

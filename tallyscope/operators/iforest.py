@@ -6,11 +6,12 @@ height ceil(log2 psi); a row's anomaly score is s = 2 ** (-E[h] / c(psi)), where
 h is the path length plus c(leaf size).
 
 Plan:
-* sampling - every (row, tree) pair gets a hash; rows below a threshold that
-  keeps about 3*psi rows per tree survive a narrow filter, then the psi smallest
-  hashes per tree are kept (``row_number`` inside groups of ~3*psi rows). The
-  result is an exact uniform sample without replacement per tree; a tree that
-  came up short is re-drawn with a wider threshold.
+* sampling - a row-level hash keeps a pool of ~3*psi*T rows (a narrow filter,
+  independent of n afterwards); pool rows are exploded over trees and a
+  per-(tree, row) hash keeps ~3*psi candidates per tree; the psi smallest hashes
+  per tree are kept (``row_number`` inside groups of ~3*psi rows). The result is
+  a uniform sample without replacement per tree; a tree that came up short is
+  re-drawn with a wider threshold.
 * growing - ``groupBy(tree).applyInPandas``: one task per tree, psi rows each.
 * scoring - the node table has at most T * (2*psi - 1) rows (102,200 for the
   defaults) whatever the input size, so it is collected and shipped with the
@@ -119,20 +120,39 @@ class Forest:
         return -(self.score_samples(x) - self.offset)
 
 
+def _hash_limit(p: float) -> int:
+    """Signed 64-bit hash threshold that keeps a fraction ``p`` of uniform hashes."""
+    if p >= 1.0:
+        return 2**63 - 1
+    return max(min(int(-(2**63) + p * (2**64)), 2**63 - 1), -(2**63))
+
+
 def _sample(frame: DataFrame, key: str, n: int, psi: int, trees: int, seed: int) -> DataFrame:
+    """psi rows per tree, uniformly without replacement, never exploding all n rows.
+
+    A row-level hash first keeps a pool of about 3*psi*trees rows (fraction
+    p_pool); only the pool is exploded over trees, and a per-(tree, row) hash
+    keeps each pool row for a tree with probability (3*psi/n) / p_pool. Per tree
+    the candidates are a uniform random subset of all rows, and the psi smallest
+    per-tree hashes among them are a uniform sample without replacement.
+    """
     frac = 1.0
     while True:
         keep = min(1.0, frac * 3.0 * psi / max(n, 1))
-        limit = int(-(2**63) + keep * (2**64)) if keep < 1.0 else 2**63 - 1
-        limit = max(min(limit, 2**63 - 1), -(2**63))
-        pairs = frame.select(key, "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+        pool = min(1.0, keep * trees)
+        per_tree = min(1.0, keep / pool)
+        rows = frame.select(key, "features")
+        if pool < 1.0:
+            rows = rows.filter(F.xxhash64(F.lit(seed), F.lit("pool"), F.col(key)) <= F.lit(_hash_limit(pool)))
+        pairs = rows.select(key, "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
         pairs = pairs.withColumn("h", F.xxhash64(F.lit(seed), F.col("tree"), F.col(key)))
-        if keep < 1.0:
-            pairs = pairs.filter(F.col("h") <= F.lit(limit))
+        if per_tree < 1.0:
+            pairs = pairs.filter(F.col("h") <= F.lit(_hash_limit(per_tree)))
         w = Window.partitionBy("tree").orderBy("h", key)
         sample = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= psi).persist()
-        short = sample.groupBy("tree").count().filter(F.col("count") < psi).count()
-        got = sample.select("tree").distinct().count()
+        sizes = sample.groupBy("tree").count()
+        short = sizes.filter(F.col("count") < psi).count()
+        got = sizes.count()
         if (short == 0 and got == trees) or keep >= 1.0:
             return sample
         sample.unpersist()

@@ -549,3 +549,53 @@ def cluster_profile() -> str:
 SELECT CAST(cluster AS BIGINT) AS DBSCAN_Cluster, count(*) AS size, round(CAST(sum(CAST(a AS DECIMAL(38,12))) AS DOUBLE) / count(a), 6) AS Latitude,
        round(CAST(sum(CAST(b AS DECIMAL(38,12))) AS DOUBLE) / count(b), 6) AS Longitude
 FROM res WHERE cluster >= 0 GROUP BY cluster""")
+
+
+# ------------------------------------------------------------------ more coverage
+
+def turnout_share_by_type() -> str:
+    core = m1_core().replace(f"SELECT {PID} AS Precinct_ID", f"SELECT {PID} || '::' || Vote_Type AS Precinct_ID", 1)
+    core = core.replace("w AS (SELECT Jurisdiction || '::' || Precinct AS Precinct_ID",
+                        "w AS (SELECT Jurisdiction || '::' || Precinct || '::' || Vote_Type AS Precinct_ID", 1)
+    body = f"""WITH {core}
+SELECT rt.Jurisdiction || '::' || rt.Precinct || '::' || rt.Vote_Type AS Precinct_ID,
+       round(f.loo, 6) AS Turnout_Share_Residual, round(f.loo / f.se, 6) AS Turnout_Share_Studentized_Residual,
+       abs(f.loo / f.se) > 3.0 AS Turnout_Share_Flag
+FROM returns rt LEFT JOIN f ON rt.Jurisdiction || '::' || rt.Precinct || '::' || rt.Vote_Type = f.Precinct_ID"""
+    return with_views(body, by_type=True)
+
+
+def polygon_moran() -> str:
+    return with_views(f"""WITH g AS (SELECT {PID} AS id, k % 40 AS gx, k // 40 AS gy, {SHARE_A_SQL} AS v FROM returns),
+e AS (SELECT a.id AS src, b.id AS dst FROM g a JOIN g b ON a.id <> b.id AND abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1),
+zz AS (SELECT id, v - avg(v) OVER () AS z FROM g WHERE v IS NOT NULL),
+lg AS (SELECT e.src, avg(zz.z) AS lag FROM e JOIN zz ON zz.id = e.dst GROUP BY e.src),
+mo AS (SELECT zz.id, zz.z, coalesce(lg.lag, 0) AS lag, sum(zz.z * zz.z) OVER () AS s2, count(*) OVER () AS n
+       FROM zz LEFT JOIN lg ON lg.src = zz.id)
+SELECT id AS Precinct_ID, round(z * lag / (s2 / n), 6) AS Local_Moran_I,
+       CASE WHEN z >= 0 AND lag >= 0 THEN 'high-high cluster' WHEN z < 0 AND lag < 0 THEN 'low-low cluster'
+            WHEN z >= 0 AND lag < 0 THEN 'high-low spatial outlier' ELSE 'low-high spatial outlier' END AS Spatial_Pattern
+FROM mo""")
+
+
+def binned_scatter() -> str:
+    return with_views(f"""WITH t AS (SELECT {TURNOUT_SQL} AS x, {SHARE_A_SQL} AS y FROM returns),
+v AS (SELECT * FROM t WHERE x IS NOT NULL AND y IS NOT NULL),
+s AS (SELECT min(x) x0, (max(x) - min(x)) / 50 wx, min(y) y0, (max(y) - min(y)) / 50 wy FROM t)
+SELECT CAST(least(greatest(ceil((x - x0) / wx) - 1, 0), 49) AS INTEGER) AS x_bin,
+       CAST(least(greatest(ceil((y - y0) / wy) - 1, 0), 49) AS INTEGER) AS y_bin, count(*) AS n
+FROM v, s GROUP BY ALL""")
+
+
+def returns_preview() -> str:
+    return with_views(f"""WITH {PARSED}
+SELECT {_canonical_select()} FROM p WHERE NOT ({_any_error()}) ORDER BY Precinct_ID LIMIT 25""", raw=True)
+
+
+def validation_status() -> str:
+    body = f"""WITH {PARSED},
+a AS (SELECT ({_any_error()}) AS bad FROM p)
+SELECT CASE WHEN count(*) FILTER (WHERE bad) = 0 THEN 'valid' ELSE 'valid_with_exclusions' END AS status,
+       count(*) AS original_rows, count(*) FILTER (WHERE NOT bad) AS accepted_rows, count(*) FILTER (WHERE bad) AS excluded_rows
+FROM a"""
+    return with_views(body, raw=True)

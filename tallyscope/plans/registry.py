@@ -370,6 +370,56 @@ def q_cluster_profile(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m12.cluster_profile(res.data, pts, ["Latitude", "Longitude"]))
 
 
+def q_turnout_share_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """M1 at the precinct x vote-type grain (key Jurisdiction::Precinct::Vote_Type)."""
+    res = m1.turnout_share(analysis_frame(spark, d, by_type=True), SHARE_A)
+    return rounded(res.data.select("Precinct_ID", "Turnout_Share_Residual", "Turnout_Share_Studentized_Residual", "Turnout_Share_Flag"))
+
+
+def q_polygon_moran(spark: SparkSession, d: str) -> DataFrame:
+    """M6 statistics under queen contiguity of the precinct polygons (M8)."""
+    edges = m6.polygon_edges(fixtures.polygons(spark, d), "queen")
+    nodes, _gi = m6.moran_statistics(analysis_frame(spark, d), SHARE_A, edges)
+    return rounded(nodes.select("Precinct_ID", "Local_Moran_I", "Spatial_Pattern"))
+
+
+def q_binned_scatter(spark: SparkSession, d: str) -> DataFrame:
+    """Bounded turnout/share scatter: 50 x 50 bin counts instead of points."""
+    return charts.binned_points(analysis_frame(spark, d), "Calculated_Turnout_Percent", SHARE_A, 50, 50)
+
+
+def q_returns_preview(spark: SparkSession, d: str) -> DataFrame:
+    """First 25 accepted records by key (the limit is the feature)."""
+    ing = raw_ingestion(spark, d)
+    return rounded(scope.preview(ing.accepted.select(*canonical_columns(ing)), 25))
+
+
+def q_validation_status(spark: SparkSession, d: str) -> DataFrame:
+    """P16 status line from the validated table (one aggregation)."""
+    summary = data_summary(raw_ingestion(spark, d))
+    return summary.select(
+        F.when(F.col("errors") == 0, F.lit("valid")).otherwise(F.lit("valid_with_exclusions")).alias("status"),
+        "original_rows", F.col("total_precincts").alias("accepted_rows"), "excluded_rows")
+
+
+def q_digit_tests(spark: SparkSession, d: str) -> DataFrame:
+    """M4 dataset-level tests with Holm-adjusted p-values (p-values need the chi-square tail)."""
+    res = m4.digit_diagnostics(analysis_frame(spark, d), DIGIT_COLS + BENFORD_COLS[:2], m4.DigitParams(benford_enabled=True))
+    rows = [(t["column"], t["test"], t["status"], t.get("statistic"), t.get("p_value"), t.get("adjusted_p_value"), t.get("significant"))
+            for t in res.diagnostics["tests"]]
+    return spark.createDataFrame(rows, "column string, test string, status string, statistic double, p_value double, adjusted_p_value double, significant boolean")
+
+
+def q_method_status(spark: SparkSession, d: str) -> DataFrame:
+    """The full workflow over the validated returns; one status row per method."""
+    from .prepare import typed_ingestion
+    from .workflow import ALL_METHODS, run_workflow
+
+    ensure_checkpoint_dir(spark)
+    run = run_workflow(typed_ingestion(spark, d), candidate_key="candidate_a", methods=ALL_METHODS)
+    return run.status_frame(spark).select("method", "state", "message")
+
+
 QUERIES: dict[str, Query] = {
     "returns_canonical": q_returns_canonical,
     "returns_issues": q_returns_issues,
@@ -418,6 +468,13 @@ QUERIES: dict[str, Query] = {
     "score_new_data": q_score_new_data,
     "dbscan_labels": q_dbscan_labels,
     "cluster_profile": q_cluster_profile,
+    "turnout_share_by_type": q_turnout_share_by_type,
+    "polygon_moran": q_polygon_moran,
+    "binned_scatter": q_binned_scatter,
+    "returns_preview": q_returns_preview,
+    "validation_status": q_validation_status,
+    "digit_tests": q_digit_tests,
+    "method_status": q_method_status,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -437,6 +494,7 @@ ORACLES: dict[str, Callable[[], str]] = {
         "flagged_records", "chart_scatter", "chart_residual", "chart_trend", "chart_down_ballot",
         "chart_map", "map_center", "features", "features_scaled",
         "knn_edges", "moran_global", "moran_local", "polygon_queen", "polygon_rook",
-        "dbscan_labels", "cluster_profile",
+        "dbscan_labels", "cluster_profile", "turnout_share_by_type", "polygon_moran", "binned_scatter",
+        "returns_preview", "validation_status",
     )},
 }
