@@ -156,3 +156,33 @@ def test_polygon_contiguity_grid(spark):
 def test_spatial_requires_geometry_for_polygons(frame_0001):
     with pytest.raises(AnalysisUnavailable, match="Geometry"):
         spatial.moran(frame_0001, SHARE_A, SpatialParams(weights_type="queen"))
+
+
+def test_knn_hot_location_is_exact(spark):
+    """A location holding many rows (a skewed key) still gives exact neighbours."""
+    import random
+
+    rnd = random.Random(5)
+    pts = [(f"h{i:03d}", 0.25, 0.75) for i in range(40)]
+    pts += [(f"p{i:03d}", rnd.random(), rnd.random()) for i in range(40)]
+    nodes = spark.createDataFrame(pts, "id string, x double, y double")
+    k = 4
+    got = {}
+    for r in spatial.knn_edges(nodes, k).collect():
+        got.setdefault(r["src"], set()).add(r["dst"])
+    for pid, x, y in pts:
+        want = {q for _, q in sorted(((math.hypot(x - a, y - b), q) for q, a, b in pts if q != pid))[:k]}
+        assert got[pid] == want, pid
+
+
+def test_duplicate_rule_with_hot_blank_key(spark):
+    """Many blank precincts in one jurisdiction collide on one key; all copies are flagged."""
+    from tallyscope.operators.ingest import ingest
+    from tallyscope.schema import default_schema
+
+    cols = ["Jurisdiction", "Precinct", "Valid_Contest_Votes", "Votes_Candidate_A", "Votes_Candidate_B"]
+    rows = [("J", " ", "10", "4", "5")] * 300 + [("J", f"p{i}", "10", "4", "5") for i in range(100)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+    issues = ingest(df, default_schema()).issues
+    counts = {r[0]: r[1] for r in issues.groupBy("code").count().collect()}
+    assert counts["duplicate_precinct_id"] == 300 and counts["missing_identifier"] == 300
