@@ -186,3 +186,41 @@ def test_duplicate_rule_with_hot_blank_key(spark):
     issues = ingest(df, default_schema()).issues
     counts = {r[0]: r[1] for r in issues.groupBy("code").count().collect()}
     assert counts["duplicate_precinct_id"] == 300 and counts["missing_identifier"] == 300
+
+
+def test_adjustments_match_reference_definition(spark):
+    """Distributed prefix-scan Holm/BH equal the sort-based definitions, with ties and families."""
+    import random
+
+    import numpy as np
+
+    def ref_holm(p):
+        p = np.asarray(p)
+        o = np.argsort(p, kind="stable")
+        adj = np.maximum.accumulate(np.minimum(1, p[o] * np.arange(len(p), 0, -1)))
+        out = np.empty_like(adj)
+        out[o] = adj
+        return out
+
+    def ref_bh(p):
+        p = np.asarray(p)
+        o = np.argsort(p, kind="stable")
+        n = len(p)
+        adj = np.minimum.accumulate((p[o] * n / np.arange(1, n + 1))[::-1])[::-1]
+        out = np.empty_like(adj)
+        out[o] = np.minimum(1, adj)
+        return out
+
+    rnd = random.Random(1)
+    rows = [(f"k{i}", f"f{i % 3}", round(rnd.random() ** 3, 3)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, fam string, p double")
+    for fam in ([], ["fam"]):
+        h = {r["k"]: r["h"] for r in holm(df, "p", "h", family=fam).collect()}
+        b = {r["k"]: r["b"] for r in benjamini_hochberg(df, "p", "b", family=fam).collect()}
+        groups = {}
+        for k, f, p in rows:
+            groups.setdefault(f if fam else "", []).append((k, p))
+        for items in groups.values():
+            ks, ps = [k for k, _ in items], [p for _, p in items]
+            assert all(abs(h[k] - v) < 1e-12 for k, v in zip(ks, ref_holm(ps), strict=True))
+            assert all(abs(b[k] - v) < 1e-12 for k, v in zip(ks, ref_bh(ps), strict=True))
