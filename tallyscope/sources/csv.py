@@ -84,6 +84,9 @@ def read_returns_csv(spark: SparkSession, paths, max_bytes: int | None = None) -
     if spark.read.format("binaryFile").load(paths).filter(F.col("length") > 0).select("path").limit(1).count() == 0:
         raise DataValidationError("The uploaded CSV is empty")
     encodings = detect_encodings(spark, paths)
+    if "cp1252" in encodings.values():
+        # windows-1252 is only accepted by the CSV reader with Java charsets enabled.
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     groups: dict[str, list[str]] = {}
     for p, enc in encodings.items():
         groups.setdefault(enc, []).append(p)
