@@ -52,9 +52,14 @@ def turnout_histogram(df: DataFrame, vote_columns: list[str], bins: int = 25) ->
     )
 
 
-def distribution_bins(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
-    """Per numeric column, equal-width bin counts of non-NULL values (non-empty bins)."""
-    cols = [c for c, t in df.dtypes if c in columns and t in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+_NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
+
+
+def distribution_bins(df: DataFrame, columns: list[str] | None = None, bins: int = 20) -> DataFrame:
+    """Per numeric column (default: the first six), equal-width bin counts of non-NULL values."""
+    if columns is None:
+        columns = [c for c, t in df.dtypes if t in _NUMERIC][:6]
+    cols = [c for c, t in df.dtypes if c in columns and t in _NUMERIC]
     if not cols:
         raise ValueError("No numeric columns were supplied for distribution plots")
     st = df.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)]).first()

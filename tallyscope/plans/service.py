@@ -13,7 +13,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import dbscan as m12
+from ..operators import features as m9
 from ..operators import iforest as m11
+from ..operators.common import AnalysisUnavailable
 from ..operators.ingest import DataValidationError, Ingestion, ingest
 from ..operators.scope import preview, validation_payload
 from ..operators.summary import data_summary
@@ -102,3 +105,24 @@ def explain_predictions(run: AnalysisRun, settings: Settings | None = None) -> d
 def seeded_sample(df: DataFrame, n: int, seed: int = 42, key: str = "Precinct_ID") -> DataFrame:
     """A reproducible sample of ``n`` rows (hash order on the key; the limit is the feature)."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(int(n))
+
+
+def predict_anomalies(frame: DataFrame, feature_model: m9.FeatureModel, forest: m11.Forest | None,
+                      settings: Settings | None = None) -> DataFrame:
+    """Score new rows with the fitted scaler and forest; DBSCAN (if enabled) is re-fit on them.
+
+    Jurisdiction statistics are recomputed from the scored frame; only the medians
+    and the robust scaler come from the fit.
+    """
+    settings = settings or Settings()
+    feats, _names = m9.create_features(frame)
+    scaled = m9.transform(feats, feature_model, keep=["Precinct_ID"]).select("Precinct_ID", "features")
+    out = frame
+    if forest is not None:
+        out = out.join(m11.score(scaled, forest).select("Precinct_ID", "IF_Anomaly_Flag", "IF_Anomaly_Score"), "Precinct_ID", "left")
+    if settings.dbscan.enabled:
+        try:
+            out = out.join(m12.dbscan(scaled, settings.dbscan).data, "Precinct_ID", "left")
+        except AnalysisUnavailable:
+            pass
+    return out

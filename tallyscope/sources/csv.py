@@ -77,6 +77,13 @@ def header_columns(spark: SparkSession, path: str, encoding: str) -> list[str]:
 def read_returns_csv(spark: SparkSession, paths, max_bytes: int | None = None) -> tuple[DataFrame, dict]:
     """Read CSV returns as all-STRING columns; returns (frame, per-file encodings)."""
     paths = _as_list(paths)
+    try:
+        sizes = file_sizes(spark, paths)
+        sizes.limit(1).count()
+    except Exception as exc:  # Spark reports a missing path as an analysis error
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+            raise FileNotFoundError(f"Data file not found: {paths}") from exc
+        raise
     if max_bytes is not None:
         too_big = file_sizes(spark, paths).filter(F.col("length") > max_bytes).collect()
         if too_big:

@@ -34,3 +34,21 @@ def test_explain_and_sample(spark):
     s1 = [r[0] for r in service.seeded_sample(ing.accepted, 10).select("Precinct_ID").collect()]
     s2 = [r[0] for r in service.seeded_sample(ing.accepted, 10).select("Precinct_ID").collect()]
     assert s1 == s2 and len(s1) == 10
+
+
+def test_missing_path_and_predict(spark, tmp_path):
+    import pytest
+
+    from tallyscope.operators import features, iforest
+    from tallyscope.plans.prepare import analysis_frame
+
+    with pytest.raises(FileNotFoundError):
+        service.validate_returns(spark, str(tmp_path / "nope.csv"))
+    frame = analysis_frame(spark, SF0001)
+    feats, names = features.create_features(frame)
+    model = features.fit(feats, names)
+    scaled = features.transform(feats, model, keep=["Precinct_ID"]).select("Precinct_ID", "features")
+    forest = iforest.fit_forest(scaled, model.features, ForestParams(n_estimators=20))
+    new = analysis_frame(spark, SF0001, by_type=True)
+    out = service.predict_anomalies(new, model, forest)
+    assert out.filter("IF_Anomaly_Score IS NULL").count() == 0 and out.count() == new.count()
