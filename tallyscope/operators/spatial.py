@@ -18,7 +18,9 @@ Moran (M6): mean-centred values, spatial lag by a grouped join over the edge
 list, global and local statistics in one aggregation. The permutation test
 replays the seeded permutation stream (same stream as numpy's
 ``default_rng(seed).permutation``) inside ``mapInPandas`` tasks that each own a
-range of nodes; the centred vector is broadcast only after checking its size.
+range of nodes. Every task needs the whole centred vector: Spark writes it as a
+table into the shared checkpoint folder and each task reads it from there (it
+never passes through the driver); its size is checked first.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from ..schema import SpatialParams
 from .common import AnalysisUnavailable, MethodResult
 
 EPS = float(np.finfo(float).eps)
-# Largest node count whose centred vector we broadcast for the permutation test.
+# Largest node count whose centred vector each permutation task holds in memory.
 PERMUTATION_BROADCAST_LIMIT = 20_000_000
 PRUNE_SALTS = 32
 
@@ -133,14 +135,34 @@ def row_standardise(edges: DataFrame) -> DataFrame:
 QUADRANT = ("high-high cluster", "low-low cluster", "high-low spatial outlier", "low-high spatial outlier")
 
 
-def _permutation_counts(nodes: DataFrame, z_sorted: np.ndarray, denom: float, permutations: int, seed: int, k_max: int):
-    """mapInPandas body: exceedance counts per node and per-permutation partial sums."""
-    n = len(z_sorted)
+def _read_vector(path: str, n: int) -> np.ndarray:
+    """Read the (idx, z) table Spark wrote to the shared folder; return z in idx order."""
+    import pyarrow.dataset as ds
+    import pyarrow.fs as pafs
+
+    try:
+        fs, root = pafs.FileSystem.from_uri(path)
+    except (ValueError, TypeError):
+        fs, root = pafs.LocalFileSystem(), path
+    table = ds.dataset(root, filesystem=fs, format="parquet").to_table(columns=["idx", "z"])
+    idx = table.column("idx").to_numpy()
+    z = np.empty(n, dtype=np.float64)
+    z[idx] = table.column("z").to_numpy()
+    return z
+
+
+def _permutation_counts(vector_path: str, n: int, denom: float, permutations: int, seed: int, k_max: int):
+    """mapInPandas body: exceedance counts per node and per-permutation partial sums.
+
+    Each task reads the centred vector from the shared folder itself (no pass
+    through the driver), then replays the seeded permutation stream.
+    """
 
     def run(batches):
         frames = list(batches)
         if not frames:
             return
+        z_sorted = _read_vector(vector_path, n)
         part = pd.concat(frames, ignore_index=True)
         idx = part["idx"].to_numpy(np.int64)
         nbr = np.full((len(part), k_max), -1, dtype=np.int64)
@@ -170,6 +192,16 @@ def _permutation_counts(nodes: DataFrame, z_sorted: np.ndarray, denom: float, pe
     return run
 
 
+def _shared_table_path(spark, name: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint directory."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def moran(
     df: DataFrame,
     variable: str,
@@ -226,7 +258,10 @@ def moran(
     ordered = nodes.select("id", "z", "local_i").orderBy("id")
     indexed = ordered.rdd.zipWithIndex().map(lambda t: (t[0]["id"], float(t[0]["z"]), float(t[0]["local_i"]), int(t[1])))
     idx_df = df.sparkSession.createDataFrame(indexed, "id string, z double, local_i double, idx long").persist()
-    z_sorted = np.array([r["z"] for r in idx_df.orderBy("idx").select("z").collect()], dtype=np.float64)
+    # The centred vector goes to the shared checkpoint folder as a table (written by
+    # the executors); permutation tasks read it from there.
+    vector_path = _shared_table_path(df.sparkSession, "moran_vector")
+    idx_df.select("idx", "z").write.mode("overwrite").parquet(vector_path)
     nbr = (weights.join(idx_df.select(F.col("id").alias("dst"), F.col("idx").alias("didx")), "dst")
            .groupBy("src").agg(F.sort_array(F.collect_list("didx")).alias("nbr")))
     k_max = int(nbr.agg(F.max(F.size("nbr"))).first()[0] or 0)
@@ -234,7 +269,7 @@ def moran(
         "idx", "local_i", F.coalesce(F.col("nbr"), F.array().cast("array<long>")).alias("nbr"))
     parts = permutation_partitions or max(1, min(df.sparkSession.sparkContext.defaultParallelism, n // 64 + 1))
     task_in = task_in.repartitionByRange(parts, "idx")
-    body = _permutation_counts(task_in, z_sorted, denom, permutations, seed, max(k_max, 1))
+    body = _permutation_counts(vector_path, n, denom, permutations, seed, max(k_max, 1))
     perm_out = task_in.mapInPandas(body, "kind string, idx long, p long, value double").persist()
     glob = perm_out.filter(F.col("kind") == "perm").groupBy("p").agg(F.sum("value").alias("s"))
     exceed = int(glob.agg(F.count_if(F.abs(F.col("s") / F.lit(denom)) >= abs(global_i))).first()[0])
