@@ -73,8 +73,12 @@ def test_csv_source_encodings_and_errors(spark, tmp_path):
     ing = ingest(df, default_schema().__class__(jurisdiction="Jurisdiction", precinct="Precinct",
                                                candidates=default_schema().candidates, valid_contest_votes="Valid_Contest_Votes"))
     assert ing.report()["original_rows"] == 6
-    prov = csvsrc.provenance(spark, paths, enc).collect()
-    assert all(len(r["sha256"]) == 64 for r in prov)
+    import hashlib
+
+    prov = {os.path.basename(r["path"]): r for r in csvsrc.provenance(spark, paths, enc).collect()}
+    for name in ("u.csv", "w.csv", "l.csv"):
+        assert prov[name]["sha256"] == hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()
+        assert prov[name]["length"] == (tmp_path / name).stat().st_size
     (tmp_path / "d.csv").write_text("a,a,b\n1,2,3\n")
     with pytest.raises(DataValidationError, match="Duplicate"):
         csvsrc.read_returns_csv(spark, str(tmp_path / "d.csv"))
