@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.adjust import benjamini_hochberg
+from ..functions.index import consecutive_index
 from ..schema import SpatialParams
 from .common import AnalysisUnavailable, MethodResult
 
@@ -254,10 +255,8 @@ def moran(
     permutations, seed = int(params.permutations), int(params.random_state)
     if n > PERMUTATION_BROADCAST_LIMIT:
         raise AnalysisUnavailable(f"Permutation test limited to {PERMUTATION_BROADCAST_LIMIT} nodes; found {n}")
-    # Consecutive node indexes in Precinct_ID order (distributed zipWithIndex after a range sort).
-    ordered = nodes.select("id", "z", "local_i").orderBy("id")
-    indexed = ordered.rdd.zipWithIndex().map(lambda t: (t[0]["id"], float(t[0]["z"]), float(t[0]["local_i"]), int(t[1])))
-    idx_df = df.sparkSession.createDataFrame(indexed, "id string, z double, local_i double, idx long").persist()
+    # Consecutive node indexes in Precinct_ID order (range partitions + per-partition offsets).
+    idx_df = consecutive_index(nodes.select("id", "z", "local_i"), ["id"], "idx").persist()
     # The centred vector goes to the shared checkpoint folder as a table (written by
     # the executors); permutation tasks read it from there.
     vector_path = _shared_table_path(df.sparkSession, "moran_vector")
