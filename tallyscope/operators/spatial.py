@@ -269,7 +269,9 @@ def moran(
     parts = permutation_partitions or max(1, min(df.sparkSession.sparkContext.defaultParallelism, n // 64 + 1))
     task_in = task_in.repartitionByRange(parts, "idx")
     body = _permutation_counts(vector_path, n, denom, permutations, seed, max(k_max, 1))
-    perm_out = task_in.mapInPandas(body, "kind string, idx long, p long, value double").persist()
+    # Checkpointed (shared folder): the permutation tasks run once, and a lost
+    # executor re-reads their output instead of redoing them.
+    perm_out = task_in.mapInPandas(body, "kind string, idx long, p long, value double").checkpoint()
     glob = perm_out.filter(F.col("kind") == "perm").groupBy("p").agg(F.sum("value").alias("s"))
     exceed = int(glob.agg(F.count_if(F.abs(F.col("s") / F.lit(denom)) >= abs(global_i))).first()[0])
     global_p = (exceed + 1) / (permutations + 1)
