@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantile import exact_quantile
 from ..schema import ForestParams
+from ..session import ensure_checkpoint_dir
 from .common import AnalysisUnavailable
 
 EULER_GAMMA = 0.5772156649015329
@@ -161,6 +162,17 @@ def _sample(frame: DataFrame, key: str, n: int, psi: int, trees: int, seed: int)
 
 def fit_forest(frame: DataFrame, features: list[str], params: ForestParams | None = None, key: str = "Precinct_ID") -> Forest:
     """Fit on a frame holding ``key`` and ``features`` (ARRAY<DOUBLE>, scaled)."""
+    return _fit(frame, features, params, key)[0]
+
+
+def fit_and_score(frame: DataFrame, features: list[str], params: ForestParams | None = None,
+                  key: str = "Precinct_ID") -> tuple[Forest, DataFrame]:
+    """Fit, then flag the training rows from the training scores (one Python scoring pass, not two)."""
+    forest, scored = _fit(frame, features, params, key)
+    return forest, flags(scored, forest, key)
+
+
+def _fit(frame: DataFrame, features: list[str], params: ForestParams | None, key: str) -> tuple[Forest, DataFrame]:
     params = params or ForestParams()
     n = frame.count()
     if n == 0:
@@ -184,14 +196,17 @@ def fit_forest(frame: DataFrame, features: list[str], params: ForestParams | Non
     nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
     forest = Forest(nodes, psi, features, params)
     # Training score range and (numeric contamination) the offset.
-    scored = score(frame, forest, key, with_flags=False).persist()
+    # Checkpointed (shared folder): the training scores feed the score range and the
+    # training flags, and a lost executor re-reads them instead of re-scoring.
+    ensure_checkpoint_dir(frame.sparkSession)
+    scored = score(frame, forest, key, with_flags=False).checkpoint()
     if params.contamination != "auto":
         q = exact_quantile(scored.select(F.col("_ss")), "_ss", float(params.contamination))
         forest.offset = float(q)
         scored = scored.withColumn("raw", -(F.col("_ss") - F.lit(forest.offset)))
     st = scored.agg(F.min("raw"), F.max("raw")).first()
     forest.score_min, forest.score_max = float(st[0]), float(st[1])
-    return forest
+    return forest, scored
 
 
 def score(frame: DataFrame, forest: Forest, key: str = "Precinct_ID", with_flags: bool = True) -> DataFrame:
@@ -205,8 +220,11 @@ def score(frame: DataFrame, forest: Forest, key: str = "Precinct_ID", with_flags
             yield pd.DataFrame({key: pdf[key], "_ss": ss, "raw": -(ss - fz.offset)})
 
     out = frame.select(key, "features").mapInPandas(run, f"`{key}` string, _ss double, raw double")
-    if not with_flags:
-        return out
+    return flags(out, forest, key) if with_flags else out
+
+
+def flags(out: DataFrame, forest: Forest, key: str = "Precinct_ID") -> DataFrame:
+    """Flag and min-max normalised score from raw scores (``key``, ``raw``)."""
     span = forest.score_max - forest.score_min
     eps = float(np.finfo(float).eps)
     norm = F.lit(0.0) if span <= eps else F.least(F.greatest((F.col("raw") - F.lit(forest.score_min)) / F.lit(span), F.lit(0.0)), F.lit(1.0))

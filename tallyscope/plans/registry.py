@@ -333,8 +333,11 @@ def _forest(spark: SparkSession, d: str):
 
 
 def q_isolation_forest(spark: SparkSession, d: str) -> DataFrame:
-    scaled, forest, _model = _forest(spark, d)
-    return rounded(m11.score(scaled, forest).select("Precinct_ID", "IF_Anomaly_Flag", "IF_Anomaly_Score"))
+    frame, names = _features(spark, d)
+    model = m9.fit(frame, names)
+    scaled = m9.transform(frame, model, keep=["Precinct_ID"]).select("Precinct_ID", "features").persist()
+    _forest_model, flagged = m11.fit_and_score(scaled, model.features)
+    return rounded(flagged.select("Precinct_ID", "IF_Anomaly_Flag", "IF_Anomaly_Score"))
 
 
 def q_if_importance(spark: SparkSession, d: str) -> DataFrame:
