@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -51,5 +52,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def testdata_dir(sf: str = "0.01") -> str:
-    return os.environ.get("TALLYSCOPE_SF_DIR", f"/root/testdata/sf{sf}")
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions that run in Python workers are pickled by module name, so workers must be able
+    to import the package even where only the driver has it on its path.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tallyscope-ship-")) / "tallyscope.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, Path(package.name) / p.relative_to(package))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
