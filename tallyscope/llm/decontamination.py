@@ -47,9 +47,11 @@ def _shingles(words: str, size: int) -> Column:
 
 def item_sketches(items: DataFrame, size: int) -> DataFrame:
     """(item_id, n, part, h): sketch hashes of every item; ``part`` is its size partition."""
-    hashed = items.withColumn("w", _words("text")).withColumn("hs", F.array_sort(F.array_distinct(_hashes("w", size)))).withColumn("n", F.size("hs")).filter("n > 0")
+    hashed = items.withColumn("w", _words("text")).withColumn("hs", F.array_sort(F.array_distinct(_hashes("w", size)))).withColumn("n", F.size("hs"))
     part = F.floor(F.log2("n")).cast("int").alias("part")
-    return hashed.select("item_id", "n", part, F.explode(F.expr(f"slice(hs, 1, n - int(ceil({NUM} * n / {DEN})) + 1)")).alias("h"))
+    # explode_outer, as a filter derived from explode would be pushed into the scan with all these expressions
+    sketch = F.expr(f"slice(hs, 1, n - int(ceil({NUM} * n / {DEN})) + 1)")
+    return hashed.select("item_id", "n", part, F.explode_outer(sketch).alias("h")).filter("h is not null")
 
 
 def find_contained(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = 5) -> DataFrame:
@@ -63,7 +65,7 @@ def find_contained(spark: SparkSession, docs: DataFrame, items: DataFrame, size:
 
     hashed = docs.select("doc_id", _words("text").alias("w")).select("doc_id", _hashes("w", size).alias("hs")).withColumn("m", F.size("hs"))
     bound = F.greatest(*(F.when(F.col("m") * DEN >= p["n"] * NUM, F.lit(p["top"])) for p in parts), F.lit(-(2**63)), F.lit(-(2**63)))
-    shown = hashed.withColumn("bound", bound).select("doc_id", "m", F.explode(F.expr("filter(hs, h -> h <= bound)")).alias("h"))
+    shown = hashed.withColumn("bound", bound).select("doc_id", "m", F.explode_outer(F.expr("filter(hs, h -> h <= bound)")).alias("h")).filter("h is not null")
     met = shown.join(F.broadcast(sketches) if small else sketches, "h").filter(f"m * {DEN} >= n * {NUM}")
     pairs = stage(spark, met.select("doc_id", "item_id").distinct(), "candidates")
 
@@ -76,9 +78,9 @@ def find_contained(spark: SparkSession, docs: DataFrame, items: DataFrame, size:
     both = texts.join(F.broadcast(listed) if light else listed, "item_id")
     counted = both.select("doc_id", "item_id", F.size("item_shingles").cast("bigint").alias("n_shingles"), F.size(F.array_intersect("item_shingles", "doc_shingles")).cast("bigint").alias("n_common"))
     return (
-        counted.filter(f"n_common * {DEN} >= n_shingles * {NUM}")
-        .groupBy("doc_id", "item_id")
+        counted.groupBy("doc_id", "item_id")
         .agg(F.max("n_shingles").alias("n_shingles"), F.max("n_common").alias("n_common"))
+        .filter(f"n_common * {DEN} >= n_shingles * {NUM}")
         .withColumn("containment", F.col("n_common") / F.col("n_shingles"))
     )
 
