@@ -53,11 +53,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    found = substring_dedup.remove_repeats(spark, docs)
-    kept = found.filter("n_removed = 0 or n_removed < n_words")
-    changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))}
+    found = substring_dedup.remove_repeats(spark, docs, prefix="cut__")
+    kept = found.filter("cut__n_removed = 0 or cut__n_removed < cut__n_words")
+    changed = {"text": F.when(F.col("cut__n_removed") > 0, F.col("cut__kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.col("cut__n_removed") > 0, F.length("cut__kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.withColumns(changed).select(*docs.columns)
 
 

@@ -49,7 +49,8 @@ def item_sketches(items: DataFrame, size: int) -> DataFrame:
     """(item_id, n, part, h): sketch hashes of every item; ``part`` is its size partition."""
     hashed = items.withColumn("w", _words("text")).withColumn("hs", F.array_sort(F.array_distinct(_hashes("w", size)))).withColumn("n", F.size("hs"))
     part = F.floor(F.log2("n")).cast("int").alias("part")
-    # explode_outer, as a filter derived from explode would be pushed into the scan with all these expressions
+    # explode_outer (and coalesce below), as the null filters that Spark derives from explode and
+    # from comparisons would be pushed into the scan, where they evaluate all these expressions anew
     sketch = F.expr(f"slice(hs, 1, n - int(ceil({NUM} * n / {DEN})) + 1)")
     return hashed.select("item_id", "n", part, F.explode_outer(sketch).alias("h")).filter("h is not null")
 
@@ -66,7 +67,7 @@ def find_contained(spark: SparkSession, docs: DataFrame, items: DataFrame, size:
     hashed = docs.select("doc_id", _words("text").alias("w")).select("doc_id", _hashes("w", size).alias("hs")).withColumn("m", F.size("hs"))
     bound = F.greatest(*(F.when(F.col("m") * DEN >= p["n"] * NUM, F.lit(p["top"])) for p in parts), F.lit(-(2**63)), F.lit(-(2**63)))
     shown = hashed.withColumn("bound", bound).select("doc_id", "m", F.explode_outer(F.expr("filter(hs, h -> h <= bound)")).alias("h")).filter("h is not null")
-    met = shown.join(F.broadcast(sketches) if small else sketches, "h").filter(f"m * {DEN} >= n * {NUM}")
+    met = shown.join(F.broadcast(sketches) if small else sketches, "h").filter(f"coalesce(m, 0) * {DEN} >= coalesce(n, 0) * {NUM}")  # coalesce: see item_sketches
     pairs = stage(spark, met.select("doc_id", "item_id").distinct(), "candidates")
 
     # exact containment of the candidates, on the shingle texts

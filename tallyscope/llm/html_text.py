@@ -117,6 +117,20 @@ def _text_cost(text: str, linked: int, tag: str) -> float:
     return cost
 
 
+def path_cost(stack: list[tuple[str, int, float]]) -> float:
+    """Evidence of the open elements: a boilerplate element outweighs the content elements around and inside it."""
+    cost, inside = 0.0, False
+    for tag, _, own in stack:
+        inside = inside or tag in ("article", "main")
+        if inside and tag == "header":  # of the article itself
+            continue
+        if own < 0:
+            cost = min(cost, 0.0) + own
+        elif cost >= 0:
+            cost = min(cost + own, 4.0)
+    return cost
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in page order."""
     out: list[Block] = []
@@ -131,10 +145,7 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
             if text:
                 inner = next((t for t, _, _ in reversed(stack) if t in BLOCK_TAGS), "")
-                inside = any(t in ("article", "main") for t, _, _ in stack)
-                # a header of the article itself is part of it
-                near = sum(0.0 if inside and t == "header" else c for t, _, c in stack)
-                out.append(Block(text, tuple(i for t, i, _ in stack if t in BLOCK_TAGS), near + _text_cost(text, min(linked, len(text)), inner)))
+                out.append(Block(text, tuple(i for t, i, _ in stack if t in BLOCK_TAGS), path_cost(stack) + _text_cost(text, min(linked, len(text)), inner)))
         linked = 0
 
     def close(to: int) -> None:

@@ -164,8 +164,11 @@ def scan(text: bytes, ruleset: list[Rule]) -> list[Hit]:
     hits = [Hit(*m.span(), r.priority, i, r.label, r.confidence) for i, r in enumerate(ruleset) if all(any(g in text for g in gate) for gate in r.gates) for m in r.pattern.finditer(text)]
     if b"spdx-" in text:
         for m in _SPDX.finditer(text):
-            for one in re.split(rb"\s+(?:or|and|with)\s+", m[1]):
-                hits.append(Hit(*m.span(), 1, -1, one.rstrip(b".").decode("ascii"), 0.99))
+            hits += [
+                Hit(m.start(1) + one.start(), m.start(1) + one.end(), 1, -1, one[0].rstrip(b".").decode("ascii"), 0.99)
+                for one in re.finditer(rb"[0-9a-z.+-]+", m[1])
+                if one[0] not in (b"or", b"and", b"with")
+            ]
     # hits fall into clusters of overlapping intervals, resolved one by one
     hits.sort(key=lambda h: h.start)
     out, cluster, reach = [], [], -1

@@ -140,25 +140,26 @@ def cut_text(raw: bytes, start: np.ndarray, gone: np.ndarray) -> str:
     return b"".join(out).decode().rstrip("\t\n\v\f\r ") if gone[-1] else b"".join(out).decode()
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, size: int = 13) -> DataFrame:
-    """All columns of ``docs`` and n_words, n_removed, removed (word intervals), kept_sha256, kept_text.
+def remove_repeats(spark: SparkSession, docs: DataFrame, size: int = 13, prefix: str = "") -> DataFrame:
+    """All columns of ``docs`` and, after ``prefix``, n_words, n_removed, removed (word intervals), kept_sha256, kept_text.
 
     kept_sha256 digests the kept words joined by one space; kept_text is the text with the
-    intervals cut out and its layout otherwise kept.
+    intervals cut out and its layout otherwise kept. Columns that have these names are replaced.
     """
     core = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     frequent, least = frequent_minima(spark, core, size)
     parts = stage(spark, repeated_windows(spark, core, size, frequent), "repeated-windows")
     known = spark.sparkContext.broadcast((frequent, least))
 
-    new = ["n_words", "n_removed", "removed", "kept_sha256", "kept_text"]
-    rows = docs.drop("repeats", *new)
-    schema = wider(rows.schema, "n_words bigint, n_removed bigint, removed array<struct<start: bigint, end: bigint>>, kept_sha256 string, kept_text string")
+    kinds = {"n_words": "bigint", "n_removed": "bigint", "removed": "array<struct<start: bigint, end: bigint>>", "kept_sha256": "string", "kept_text": "string"}
+    new = [prefix + n for n in kinds]
+    rows = docs.drop("repeat_hashes__", "repeat_doc_id__", *new)
+    schema = wider(rows.schema, ", ".join(f"{n} {k}" for n, k in zip(new, kinds.values())))
     names = rows.columns
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in row_slices(batches):
-            blobs = rb.column("repeats").to_pylist() if "repeats" in rb.schema.names else None
+            blobs = rb.column("repeat_hashes__").to_pylist() if "repeat_hashes__" in rb.schema.names else None
             data, offsets, w, gone = _covered(rb, size, blobs, *known.value)
             raw = data.tobytes()
             removed, digest, text = [], [], []
@@ -182,7 +183,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, size: int = 13) -> Data
             ]
             yield pa.RecordBatch.from_arrays(cols, [*names, *new])
 
-    per_doc = parts.groupBy("doc_id").agg(F.collect_list("hashes").alias("repeats")).withColumnRenamed("doc_id", "repeat_doc_id__")
+    per_doc = parts.groupBy("doc_id").agg(F.collect_list("hashes").alias("repeat_hashes__")).withColumnRenamed("doc_id", "repeat_doc_id__")
     key = F.col("doc_id").cast("bigint")
     ids = parts.select(F.col("doc_id").alias("repeat_doc_id__")).distinct()
     if ids.limit(IDS_BROADCAST + 1).count() > IDS_BROADCAST:

@@ -51,7 +51,7 @@ class Tree(NamedTuple):
 
 
 def symbol_stream(rb: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and their row offsets are the caller's; here: bytes of the model's sequence and row offsets."""
+    """Bytes of the model's sequences, their row offsets, and the words per row."""
     data, offsets = utf8(rb.column("text"))
     # every row ends in one line feed, so each word has a separator after it
     n = len(offsets) - 1
@@ -239,8 +239,9 @@ def score(spark: SparkSession, docs: DataFrame, held_out: str, id_col: str = "do
     log_all = math.log10(total + distinct + (n_docs > 0) + 1)
 
     head = _top(vocabulary, "n", HEAD_WORDS).toPandas()
-    order = np.argsort(head["h"].to_numpy())
-    shared = spark.sparkContext.broadcast((tree, head["h"].to_numpy()[order], head["n"].to_numpy()[order]))
+    known, count = head["h"].to_numpy(np.int64), head["n"].to_numpy(np.int64)
+    order = np.argsort(known)
+    shared = spark.sparkContext.broadcast((tree, known[order], count[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, known, count = shared.value

@@ -1,0 +1,77 @@
+"""The pipeline against a brute-force version of its stages."""
+
+import random
+
+import corpus_pipeline
+from tallyscope.llm import language_id
+from tests.llm.helpers import brute_components, brute_contained, brute_removed, words
+from tests.llm.test_corpus import check_packing
+
+
+def fixture(spark, folder):
+    rng = random.Random(11)
+    en = "the of and to in that is was for with as his on be at by had not are but from or have an they which one you were her all she there would their we him been has when who will".split()
+    fr = "le la les des une est que pour dans qui sur pas plus par avec son tout mais comme elle nous vous leur sans deux aussi bien entre cette fait encore peu autre sous avant depuis".split()
+    text = lambda v, n: " ".join(rng.choice(v) + rng.choice(["", "", "s", "ment", "ing", "er"]) for _ in range(n))
+    items = [(i, text(en, 25)) for i in range(4)]
+    passage = text(en, 55)
+    rows = []
+    for i in range(80):
+        lang = "en" if i % 3 else "fr"
+        t = text(en if lang == "en" else fr, rng.randint(20, 200))
+        if i % 10 == 4:
+            t = rng.choice(rows)[1]
+        if i % 10 == 6:
+            t += "\n" + passage + "\n" + text(en, 10)
+        if i % 20 == 8:
+            t = t + " " + rng.choice(items)[1] + " " + t[:40]
+        rows.append((i, t, lang, "src", len(t), "extra"))
+    rows += [(200, None, "en", "s", 0, None), (201, "123 !!!", "en", "s", 7, None), (202, "", None, "s", 0, None), (203, text(en, 3000), None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, lang_pred string").repartition(4).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return rows, items
+
+
+def test_stages(spark, tmp_path):
+    rows, items = fixture(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    texts = {r[0]: r[1] for r in rows}
+    have = {}
+    for k, (name, step) in enumerate(corpus_pipeline.STAGES):
+        out = step(spark, docs, str(tmp_path))
+        if k < 4:
+            assert out.columns == columns
+            out.write.parquet(f"{tmp_path}/{k}.parquet")
+            docs = spark.read.parquet(f"{tmp_path}/{k}.parquet")
+            have = {r["doc_id"]: r["text"] for r in docs.collect()}
+        if name == "language_id":
+            assert set(have) == set(texts) - {200, 201, 202}
+        elif name == "ngram_join":
+            comps = brute_components(sorted(before.items()))
+            assert set(have) == {i for i in before if comps[i][1] == i}
+        elif name == "substring_dedup":
+            gone = brute_removed(sorted(before.items()))
+            want = {i: [w for w, g in zip(words(t), gone[i]) if not g] for i, t in before.items()}
+            assert {i: words(t) for i, t in have.items()} == {i: w for i, w in want.items() if w}
+            assert any(map(any, gone.values()))
+            assert all(r["n_chars"] == len(r["text"]) for r in docs.collect() if any(gone[r["doc_id"]]))
+        elif name == "decontamination":
+            found = brute_contained(sorted(before.items()), items)
+            assert found and set(have) == set(before) - {d for d, *_ in found}
+        else:
+            check_packing(out.collect(), have)
+        before = have
+
+
+def test_run(spark, tmp_path):
+    fixture(spark, str(tmp_path))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_every_clean_language_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert corpus_pipeline.keep_known_languages(spark, docs, "").count() == docs.filter(r"text rlike '\\p{L}'").count()
+    assert corpus_pipeline.keep_known_languages(spark, docs.limit(0), "").count() == 0
+    assert language_id.predict_texts(None, ["a", None]) == (["und", "und"], [0.0, 0.0])
