@@ -5,10 +5,11 @@ Tokenising: a document is its token ids and one end id.
 Packing: only documents longer than a sequence are cut; their first piece takes the
 remainder and all later ones fill a sequence each. All other pieces are dealt over
 partitions by a hash and packed there by best-fit decreasing. A dual-feasible-function
-bound on each partition's bin count certifies it; the partitions with a gap pool and
-exchange their documents, fewer and larger partitions are packed anew, and the new
-packing stands where it needs fewer bins. Rounds end when everything is certified or the
-pool packs no better.
+bound on each partition's bin count certifies it; its bins stay, but for the emptiest. The
+documents of those and of the partitions with a gap are pooled and exchanged: fewer and
+larger partitions are packed anew, and the new packing stands if it needs fewer bins. Rounds
+end when one task has packed the whole pool, when the pool packs no better, or at a bounded
+task size.
 
 Null text counts as empty: a piece of one end id. One result row per piece; repeated rows
 are packed like any others. Only ``id_col`` and ``text_col`` are read.
@@ -31,10 +32,10 @@ from tallyscope.llm.ragged import row_slices
 from tallyscope.llm.tables import stage
 from tallyscope.llm.token_counts import byte_alphabet
 
-#: Pieces of one packing task, and by how much a task may grow from round to round.
+#: Pieces of one packing task in the first round, by how much a task grows from round to round, and rounds of exchange.
 PIECES_PER_TASK = 8192
 GROWTH = 4
-MAX_PIECES_PER_TASK = PIECES_PER_TASK * GROWTH**2
+ROUNDS = 2
 
 
 class TokenIds:
@@ -147,17 +148,16 @@ def _pack_group(capacity: int):
         leader = pd.Series(pdf["item"].to_numpy()).groupby(bins).transform("min").to_numpy()
         made = int(bins.max()) + 1
         bound = bin_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
-        return pd.DataFrame({"item": pdf["item"].to_numpy(), "length": sizes, "bin": leader, "offset": offsets, "certified": made <= bound, "task_bins": made})
+        load = np.bincount(bins, sizes)
+        emptiest = (bins == load.argmin()) & (load.min() < capacity)
+        return pd.DataFrame({"item": pdf["item"].to_numpy(), "length": sizes, "bin": leader, "offset": offsets, "certified": (made <= bound) & ~emptiest})
 
     return run
 
 
-def _pack(items: DataFrame, n_items: int, per_task: int, salt: int, capacity: int) -> DataFrame:
-    tasks = max(1, -(-n_items // per_task))
+def _pack(items: DataFrame, tasks: int, salt: int, capacity: int) -> DataFrame:
     dealt = items.withColumn("task", F.expr(f"pmod(xxhash64(item, {salt}), {tasks})"))
-    return dealt.groupBy("task").applyInPandas(
-        _pack_group(capacity), "item bigint, length bigint, bin bigint, offset bigint, certified boolean, task_bins bigint"
-    )
+    return dealt.groupBy("task").applyInPandas(_pack_group(capacity), "item bigint, length bigint, bin bigint, offset bigint, certified boolean")
 
 
 def pack(spark: SparkSession, cut: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -165,22 +165,18 @@ def pack(spark: SparkSession, cut: DataFrame, capacity: int = 1024) -> DataFrame
     # ids are drawn once and kept: they name bins
     cut = stage(spark, cut.withColumn("item", F.monotonically_increasing_id()), "pack-pieces")
     loose = cut.filter(F.col("length") < capacity).select("item", "length")
-    per_task, salt = PIECES_PER_TASK, 0
-    packed = stage(spark, _pack(loose, loose.count(), per_task, salt, capacity), "pack-round")
-    final = packed.filter("certified")
-    pool = packed.filter("not certified")
-    # Each round is strictly larger tasks over the gap partitions only, up to a bounded task.
-    while per_task < MAX_PIECES_PER_TASK:
+    tasks = max(1, -(-loose.count() // PIECES_PER_TASK))
+    packed = stage(spark, _pack(loose, tasks, 0, capacity), "pack-round")
+    final, pool = packed.filter("certified"), packed.filter("not certified")
+    for salt in range(1, ROUNDS + 1):
         n_pool, before = pool.agg(F.count("*"), F.count_distinct("bin")).first()
-        if n_pool <= per_task // 2 or not before:
+        if tasks == 1 or not n_pool:
             break
-        per_task, salt = per_task * GROWTH, salt + 1
-        again = stage(spark, _pack(pool.select("item", "length"), n_pool, per_task, salt, capacity), "pack-round")
-        after = again.agg(F.count_distinct("bin")).first()[0]
-        if after >= before:
+        tasks = max(1, -(-n_pool // (PIECES_PER_TASK * GROWTH**salt)))
+        again = stage(spark, _pack(pool.select("item", "length"), tasks, salt, capacity), "pack-round")
+        if again.agg(F.count_distinct("bin")).first()[0] >= before:
             break
-        final = final.unionByName(again.filter("certified"))
-        pool = again.filter("not certified")
+        final, pool = final.unionByName(again.filter("certified")), again.filter("not certified")
     placed = final.unionByName(pool).select("item", "bin", "offset")
     return (
         cut.join(placed, "item", "left")

@@ -47,7 +47,6 @@ def check_packing(rows, texts, capacity=1024):
 
 def test_packing(spark, monkeypatch):
     monkeypatch.setattr(packing, "PIECES_PER_TASK", 16)
-    monkeypatch.setattr(packing, "MAX_PIECES_PER_TASK", 16 * packing.GROWTH**2)
     rows = corpus(n=120) + [(5000, "<|endoftext|> x" * 3), (5001, "y\x1c  \x85z" * 900)]
     docs = frame(spark, rows)
     cut = packing.pieces(docs, PATH)
