@@ -20,3 +20,15 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner", max_
     if dim.count() <= max_rows:
         return fact.join(F.broadcast(dim), on, how)
     return fact.join(dim, on, how)
+
+
+def join_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join of two row-level tables that must each hold a non-null ``key`` at most once.
+
+    One grouped count per side (combined map-side) finds repeated keys before they multiply rows.
+    """
+    for side, df in (("left", left), ("right", right)):
+        twice = df.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").orderBy(key).limit(3).collect()
+        if twice:
+            raise ValueError(f"{key} is not unique on the {side} side of a one-to-one join: {', '.join(str(r[key]) for r in twice)}")
+    return left.join(right, key, "left")

@@ -1,137 +1,122 @@
 """Exact, linearly interpolated quantiles without gathering a column anywhere.
 
-Spark's exact ``percentile`` merges every distinct value into one reducer. Here we
-instead (1) ask the distributed GK sketch (``percentile_approx``) for a bracket
-around the wanted rank, (2) count rows below the bracket and inside it in one
-aggregation, and (3) collect only the bracket - a window of about ``6 n / A``
-values where the accuracy ``A`` grows with ``n``. The bracket is verified by the
-counts; a bracket that misses the rank is widened and tried again, so the answer
-is always the exact order statistic (the same definition as numpy's default
-"linear" quantile and pandas' ``median``).
+One plan for every size. A quantile needs one or two order statistics, and each of those
+keeps an open interval that holds its rank. A distributed GK sketch (``percentile_approx``
+over the rows inside) proposes two values around the rank and one aggregation counts the
+rows below, at, and between them. If the rank falls on a proposed value the answer is found,
+however many rows tie there; otherwise the interval shrinks to the part that holds the rank.
+Once few rows are left inside, their (value, count) groups come back. The answer is the exact
+order statistic (the same definition as numpy's default "linear" quantile and pandas' ``median``).
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many non-NULL values per column, Spark's exact ``percentile`` (whose
-# merge buffer holds at most that many values) answers in one aggregation.
-SMALL_COLUMN = 2_000_000
-# Largest bracket we are willing to collect per requested quantile.
-TARGET_WINDOW = 20_000
-MIN_ACCURACY = 10_000
-MAX_ACCURACY = 5_000_000
+#: Sketch accuracy, and half the distance of the proposed values as a share of the rows inside.
+ACCURACY = 10_000
+HALF_WIDTH = 2.0 / ACCURACY
+#: Rows inside an interval whose values come back.
+WINDOW = 4096
 
 
-def _accuracy(n: int) -> int:
-    return int(min(MAX_ACCURACY, max(MIN_ACCURACY, math.ceil(6 * n / TARGET_WINDOW))))
+@dataclass
+class _Rank:
+    """One order statistic: the value at 0-based ``rank`` among the non-NULL values of ``column``."""
 
+    column: str
+    rank: int
+    inside: int  # rows strictly between low and high
+    low: float = -math.inf
+    high: float = math.inf
+    below: int = 0  # rows at or under low
+    value: float | None = None
 
-def exact_quantiles(
-    df: DataFrame, requests: dict[str, list[float]], counts: dict[str, int] | None = None,
-    small_column: int | None = None,
-) -> dict[tuple[str, float], float | None]:
+    def within(self) -> Column:
+        c = F.col(self.column)
+        if self.low == -math.inf and self.high == math.inf:
+            return c.isNotNull()
+        return (c > F.lit(self.low)) & (c < F.lit(self.high))
+
+
+def _narrow(df: DataFrame, ranks: list[_Rank]) -> None:
+    """Find the value, or shrink the interval, of each rank: two aggregations."""
+    marks = df.agg(*[
+        F.percentile_approx(
+            F.when(r.within(), F.col(r.column).cast("double")),
+            [max(0.0, at - HALF_WIDTH), min(1.0, at + HALF_WIDTH)], ACCURACY,
+        ).alias(f"a{i}")
+        for i, r in enumerate(ranks) for at in [(r.rank - r.below) / max(r.inside - 1, 1)]
+    ]).first()
+    exprs = []
+    for i, r in enumerate(ranks):
+        a, b = marks[f"a{i}"]
+        c = F.col(r.column)
+        for name, cond in (("l", c < F.lit(a)), ("a", c == F.lit(a)), ("m", (c > F.lit(a)) & (c < F.lit(b))), ("b", c == F.lit(b))):
+            exprs.append(F.count_if(r.within() & cond).alias(f"{name}{i}"))
+    counts = df.agg(*exprs).first()
+    for i, r in enumerate(ranks):
+        a, b = marks[f"a{i}"]
+        left, at_a, mid, at_b = (int(counts[f"{n}{i}"]) for n in "lamb")
+        k = r.rank - r.below
+        if a == b:
+            mid = at_b = 0
+        if k < left:
+            r.high, r.inside = a, left
+        elif k < left + at_a:
+            r.value = a
+        elif k < left + at_a + mid:
+            r.low, r.high, r.below, r.inside = a, b, r.below + left + at_a, mid
+        elif k < left + at_a + mid + at_b:
+            r.value = b
+        else:
+            passed = left + at_a + mid + at_b
+            r.low, r.below, r.inside = b, r.below + passed, r.inside - passed
+
+
+def _settle(df: DataFrame, ranks: list[_Rank]) -> None:
+    """Values of ranks whose intervals hold few rows, from (value, count) groups."""
+    picks = [F.when(r.within(), F.struct(F.lit(i).alias("i"), F.col(r.column).cast("double").alias("v"))) for i, r in enumerate(ranks)]
+    grouped = df.select(F.explode(F.array(*picks)).alias("p")).filter("p is not null").groupBy("p.i", "p.v").count().collect()
+    passed = [r.below for r in ranks]
+    for i, v, k in sorted(grouped):
+        if passed[i] <= ranks[i].rank < passed[i] + k:
+            ranks[i].value = v
+        passed[i] += k
+
+
+def exact_quantiles(df: DataFrame, requests: dict[str, list[float]], counts: dict[str, int] | None = None) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolation quantiles of non-NULL values for each (column, q)."""
-    cols = list(requests)
-    for c in cols:
-        if any(not 0.0 <= q <= 1.0 for q in requests[c]):
-            raise ValueError("quantile must be in [0, 1]")
+    if any(not 0.0 <= q <= 1.0 for qs in requests.values() for q in qs):
+        raise ValueError("quantile must be in [0, 1]")
     if counts is None:
-        row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-        counts = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
+        row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(requests)]).first()
+        counts = {c: int(row[f"n{i}"]) for i, c in enumerate(requests)}
+    ranks: dict[tuple[str, int], _Rank] = {}
+    parts: dict[tuple[str, float], list[tuple[str, int]]] = {}
+    for c, qs in requests.items():
+        for q in qs:
+            h = (counts[c] - 1) * q
+            wanted = sorted({math.floor(h), math.ceil(h)}) if counts[c] else []
+            parts[(c, q)] = [(c, k) for k in wanted]
+            for k in wanted:
+                ranks.setdefault((c, k), _Rank(c, k, counts[c]))
+    while wide := [r for r in ranks.values() if r.value is None and r.inside > WINDOW]:
+        _narrow(df, wide)
+    if rest := [r for r in ranks.values() if r.value is None]:
+        _settle(df, rest)
     out: dict[tuple[str, float], float | None] = {}
-    limit = SMALL_COLUMN if small_column is None else small_column
-    small = [c for c in cols if 0 < counts[c] <= limit]
-    if small:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), [float(x) for x in requests[c]]).alias(f"s{i}") for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            for q, v in zip(requests[c], row[f"s{i}"], strict=True):
-                out[(c, q)] = float(v)
-        cols = [c for c in cols if c not in small]
-    # (column, q, lower rank r, fraction)
-    todo: list[tuple[str, float, int, float]] = []
-    for c in cols:
-        n = counts[c]
-        for q in requests[c]:
-            if not 0.0 <= q <= 1.0:
-                raise ValueError("quantile must be in [0, 1]")
-            if n == 0:
-                out[(c, q)] = None
-                continue
-            h = (n - 1) * q
-            r = int(math.floor(h))
-            todo.append((c, q, r, h - r))
-    delta_scale = 1.0
-    while todo:
-        brackets = _brackets(df, todo, counts, delta_scale)
-        exprs = []
-        for i, (c, _q, _r, _f) in enumerate(todo):
-            lo, hi = brackets[i]
-            col = F.col(c)
-            exprs.append(F.count_if(col < F.lit(lo)).alias(f"b{i}"))
-            exprs.append(F.count_if(col.between(F.lit(lo), F.lit(hi))).alias(f"w{i}"))
-        row = df.agg(*exprs).first()
-        good, retry = [], []
-        for i, item in enumerate(todo):
-            c, q, r, frac = item
-            below, inside = int(row[f"b{i}"]), int(row[f"w{i}"])
-            need_last = r + (1 if frac > 0 and r + 1 < counts[c] else 0)
-            if below <= r and below + inside >= need_last + 1:
-                good.append((i, item, below))
-            else:
-                retry.append(item)
-        if good:
-            picks = [
-                F.when(F.col(todo[i][0]).between(F.lit(brackets[i][0]), F.lit(brackets[i][1])),
-                       F.struct(F.lit(j).alias("j"), F.col(todo[i][0]).cast("double").alias("v")))
-                for j, (i, _item, _b) in enumerate(good)
-            ]
-            window = (
-                df.select(F.explode(F.array(*picks)).alias("p")).filter(F.col("p").isNotNull())
-                .select("p.j", "p.v").collect()
-            )
-            values: dict[int, list[float]] = {}
-            for j, v in window:
-                values.setdefault(j, []).append(v)
-            for j, (_i, (c, q, r, frac), below) in enumerate(good):
-                vs = sorted(values.get(j, []))
-                a = vs[r - below]
-                if frac > 0 and r + 1 < counts[c]:
-                    b = vs[r + 1 - below]
-                    out[(c, q)] = a + frac * (b - a)
-                else:
-                    out[(c, q)] = a
-        todo = retry
-        delta_scale *= 8.0
+    for (c, q), keys in parts.items():
+        values = [ranks[k].value for k in keys]
+        h = (counts[c] - 1) * q
+        out[(c, q)] = values[0] + (h - math.floor(h)) * (values[-1] - values[0]) if values else None
     return out
 
 
-def _brackets(df: DataFrame, todo, counts, delta_scale: float) -> list[tuple[float, float]]:
-    exprs = []
-    spans = []
-    for i, (c, q, _r, _f) in enumerate(todo):
-        acc = _accuracy(counts[c])
-        delta = min(1.0, delta_scale * 2.0 / acc)
-        lo_q, hi_q = max(0.0, q - delta), min(1.0, q + delta)
-        if delta >= 1.0:
-            lo_q, hi_q = 0.0, 1.0
-        spans.append((lo_q, hi_q))
-        exprs.append(F.percentile_approx(F.col(c).cast("double"), [lo_q, hi_q], acc).alias(f"a{i}"))
-    row = df.agg(*exprs).first()
-    result = []
-    for i, (lo_q, hi_q) in enumerate(spans):
-        lo, hi = row[f"a{i}"]
-        if lo_q == 0.0:
-            lo = -math.inf
-        if hi_q == 1.0:
-            hi = math.inf
-        result.append((lo, hi))
-    return result
-
-
 def exact_quantile(df: DataFrame, column: str, q: float, n: int | None = None) -> float | None:
     counts = None if n is None else {column: n}
     return exact_quantiles(df, {column: [q]}, counts)[(column, q)]

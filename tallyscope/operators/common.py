@@ -11,7 +11,11 @@ from ..schema import SHARE_PREFIX
 
 
 class AnalysisUnavailable(ValueError):
-    """A documented precondition of a method is not met (status 'unavailable')."""
+    """A documented precondition of a method is not met (status 'unavailable'); ``found`` is what was measured."""
+
+    def __init__(self, message: str, found: dict[str, Any] | None = None):
+        super().__init__(message)
+        self.found = found or {}
 
 
 @dataclass
@@ -29,10 +33,7 @@ def turnout_column(df: DataFrame) -> str:
         return "Calculated_Turnout_Percent"
     if "Reported_Turnout_Percent" in df.columns:
         return "Reported_Turnout_Percent"
-    raise AnalysisUnavailable(
-        "Turnout/share analysis requires calculated turnout from ballots and registration, "
-        "or an explicitly mapped reported-turnout field"
-    )
+    raise AnalysisUnavailable("no turnout column: map ballots and registration, or a reported turnout")
 
 
 def share_columns(df: DataFrame) -> list[str]:
@@ -42,4 +43,4 @@ def share_columns(df: DataFrame) -> list[str]:
 def require_share(df: DataFrame, share: str, allowed: list[str] | None = None) -> None:
     allowed = allowed or share_columns(df)
     if share not in allowed:
-        raise AnalysisUnavailable(f"{share!r} is not a configured candidate vote-share field")
+        raise AnalysisUnavailable(f"{share} is not the share of a candidate of this contest")

@@ -19,15 +19,15 @@ def _valid(pres, down):
 
 
 def down_ballot_difference(df: DataFrame, presidential: str, pairs: tuple[DownBallotPair, ...] | list[DownBallotPair]) -> MethodResult:
-    selected = [p for p in pairs if p.down_ballot_column in df.columns]
+    selected = [p for p in pairs if p.column in df.columns]
     if not selected:
-        raise AnalysisUnavailable("No configured down-ballot comparison is available")
+        raise AnalysisUnavailable("no down-ballot pair has its column in the table")
     if presidential not in df.columns:
-        raise AnalysisUnavailable(f"Presidential vote column is missing: {presidential}")
+        raise AnalysisUnavailable(f"the table lacks the vote column {presidential}")
     pres = F.col(presidential).cast("double")
     new_cols, aggs = {}, []
     for i, p in enumerate(selected):
-        down = F.col(p.down_ballot_column).cast("double")
+        down = F.col(p.column).cast("double")
         ok = _valid(pres, down)
         new_cols[f"Down_Ballot_Difference_Votes__{p.key}"] = F.when(ok, pres - down)
         new_cols[f"Down_Ballot_Difference_Percent__{p.key}"] = F.when(ok, 100 * (pres - down) / pres)
@@ -55,7 +55,7 @@ def down_ballot_difference(df: DataFrame, presidential: str, pairs: tuple[DownBa
             "label": p.label,
             "status": "successful",
             "presidential_vote_column": presidential,
-            "down_ballot_vote_column": p.down_ballot_column,
+            "down_ballot_vote_column": p.column,
             "valid_observations": n,
             "aggregate_difference_votes": tp - td,
             "aggregate_difference_percent_of_presidential": 100 * (tp - td) / tp,
@@ -65,11 +65,11 @@ def down_ballot_difference(df: DataFrame, presidential: str, pairs: tuple[DownBa
             "difference_percent_column": f"Down_Ballot_Difference_Percent__{p.key}",
         })
     if not any(s["status"] == "successful" for s in summaries):
-        raise AnalysisUnavailable("No valid positive presidential counts support a comparison")
+        raise AnalysisUnavailable(f"{presidential} is positive in no row that has a down-ballot count")
     meta = {
-        "definition": "100 * (presidential votes - same-party down-ballot votes) / presidential votes",
+        "definition": "share of the votes that the down-ballot column lacks, in percent",
         "comparisons": summaries,
-        "scope": "descriptive comparison; this method creates no anomaly flag",
+        "scope": "describes a difference; flags nothing",
     }
     return MethodResult(out, meta)
 

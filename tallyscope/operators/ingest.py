@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import join_dimension
 from ..functions.numeric import lit_str, q, sql_na, sql_not_integral, sql_parse_number, sql_present, sql_trim
-from ..schema import ALTERNATE_SIGNATURE, CANONICAL, CANONICAL_COUNTS, ContestSchema, Settings, alternate_schema, default_schema
+from ..schema import (
+    ALTERNATE_SIGNATURE, BALLOTS_OVER_REGISTRATION, CANONICAL, CANONICAL_COUNTS, CONTEST_OVER_BALLOTS, ContestSchema, Settings,
+    alternate_schema, default_schema,
+)
 
 ISSUE_TYPE = "struct<code:string,severity:string,column:string,message:string>"
 ROW = "_row"
@@ -41,6 +44,7 @@ class Ingestion:
     schema: ContestSchema
     file_issues: list[dict] = field(default_factory=list)
     source_columns: list[str] = field(default_factory=list)
+    provenance: DataFrame | None = None  # one row per source file, where the rows came from files
 
     @property
     def _errors(self) -> Column:
@@ -107,10 +111,10 @@ def select_schema(columns: list[str], schema: ContestSchema | None = None) -> Co
         return schema
     configured = default_schema()
     present = set(columns)
-    required = {configured.jurisdiction, configured.precinct, *configured.candidate_columns}
-    if configured.valid_contest_votes:
-        required.add(configured.valid_contest_votes)
-    if configured.valid_contest_votes and required <= present:
+    required = {configured.column("jurisdiction"), configured.column("precinct"), *configured.candidate_columns}
+    if configured.column("valid_contest_votes"):
+        required.add(configured.column("valid_contest_votes"))
+    if configured.column("valid_contest_votes") and required <= present:
         return configured
     if ALTERNATE_SIGNATURE <= present:
         return alternate_schema()
@@ -119,15 +123,13 @@ def select_schema(columns: list[str], schema: ContestSchema | None = None) -> Co
 
 def check_mapping(columns: list[str], schema: ContestSchema) -> None:
     """V3/V4: a contest-total mapping is required and mapped columns must exist."""
-    if not schema.valid_contest_votes:
-        raise DataValidationError(
-            "A valid contest-votes column mapping is required",
-            [_file_issue("missing_contest_total_mapping", "error", None, "A valid contest-votes column mapping is required")],
-        )
-    required = [schema.jurisdiction, schema.precinct, *schema.candidate_columns, schema.valid_contest_votes]
+    if not schema.column("valid_contest_votes"):
+        msg = "No column is mapped to valid_contest_votes"
+        raise DataValidationError(msg, [_file_issue("missing_contest_total_mapping", "error", None, msg)])
+    required = [schema.column("jurisdiction"), schema.column("precinct"), *schema.candidate_columns, schema.column("valid_contest_votes")]
     missing = sorted({c for c in required if c not in columns})
     if missing:
-        msg = f"Mapped columns are absent: {', '.join(missing)}"
+        msg = f"The table lacks mapped columns: {', '.join(missing)}"
         raise DataValidationError(msg, [_file_issue("unsupported_column_mapping", "error", None, msg)])
 
 
@@ -186,7 +188,7 @@ class _Frame:
                 "reserved_column_collision",
                 "warning",
                 name,
-                f"Source column {name!r} was preserved as {kept!r} before the reserved field was generated",
+                f"{name} is generated here; the source column of that name is kept as {kept}",
             )
         )
 
@@ -211,7 +213,7 @@ def ingest(
     schema = select_schema(source_columns, schema)
     check_mapping(source_columns, schema)
     if not streaming and df.isEmpty():
-        raise DataValidationError("The table contains no data rows", [_file_issue("empty_dataset", "error", None, "no rows")])
+        raise DataValidationError("The table has no rows", [_file_issue("empty_dataset", "error", None, "no rows")])
 
     if row_key is None and streaming:
         df = df.withColumn(ROW, F.lit(None).cast("bigint"))
@@ -224,7 +226,7 @@ def ingest(
 
     # P3 canonical copies (source columns are kept).
     for concept, canonical in CANONICAL.items():
-        source = getattr(schema, concept)
+        source = schema.column(concept)
         if source and fr.has(source):
             if source.lower() != canonical.lower() and fr.has(canonical):
                 fr.preserve(canonical)
@@ -232,19 +234,14 @@ def ingest(
                 fr.df = fr.df.withColumn(canonical, F.col(f"`{source}`"))
 
     # P5 derived registration for the alternate layout.
-    if schema.source_schema == "legacy_harris_trump":
-        dem = sql_parse_number(q("Registered_Dem"), fr.dtype("Registered_Dem"))
-        rep = sql_parse_number(q("Registered_Rep"), fr.dtype("Registered_Rep"))
+    if schema.registration_parts:
+        parts = [sql_parse_number(q(c), fr.dtype(c)) for c in schema.registration_parts]
         fr.preserve("Registered_Voters")
-        fr.df = fr.df.withColumn("Registered_Voters", F.expr(f"{dem} + {rep}"))
-        fr.file_issues.append(
-            _file_issue(
-                "legacy_registration_derived",
-                "warning",
-                "Registered_Voters",
-                "Registered_Voters was derived as Registered_Dem + Registered_Rep (NULL unless both are numeric)",
-            )
-        )
+        fr.df = fr.df.withColumn("Registered_Voters", F.expr(" + ".join(parts)))
+        fr.file_issues.append(_file_issue(
+            "legacy_registration_derived", "warning", "Registered_Voters",
+            f"Registration is the sum of {', '.join(schema.registration_parts)}; NULL where one of them is no number",
+        ))
 
     issues: list[str] = []
 
@@ -264,7 +261,7 @@ def ingest(
     fr.df = fr.df.withColumn("Precinct_ID", F.expr(pid))
 
     # P8 / V8-V10 counts.
-    count_cols = [*schema.candidate_columns, *schema.party_registration, *(p.down_ballot_column for p in schema.down_ballot_pairs)]
+    count_cols = [*schema.candidate_columns, *schema.registration_parts, *(p.column for p in schema.pairs)]
     count_cols += [c for c in CANONICAL_COUNTS if fr.has(c)]
     parsed = {}
     for c in dict.fromkeys(count_cols):
@@ -306,12 +303,12 @@ def ingest(
     any_cand = " OR ".join(f"{q(c)} IS NOT NULL" for c in schema.candidate_columns)
     cand_sum = "(" + " + ".join(f"coalesce({q(c)}, 0D)" for c in schema.candidate_columns) + ")"
     total = f"CASE WHEN {any_cand} THEN {cand_sum} END"
-    if schema.write_in_votes and fr.has("Write_In_Votes"):
+    if schema.column("write_in_votes") and fr.has("Write_In_Votes"):
         total = f"({total} + coalesce(`Write_In_Votes`, 0D))"
     issues.append(_issue(f"({total} > {valid})", "candidate_votes_exceed_contest", "error", None, "Candidate and write-in votes exceed valid contest votes"))
-    if fr.has("Ballots_Cast") and not schema.contest_votes_may_exceed_ballots:
+    if fr.has("Ballots_Cast") and CONTEST_OVER_BALLOTS not in schema.exempt:
         issues.append(_issue(f"({valid} > `Ballots_Cast`)", "contest_votes_exceed_ballots", "error", None, "Valid contest votes exceed ballots cast"))
-    if fr.has("Ballots_Cast") and fr.has("Registered_Voters") and not schema.ballots_may_exceed_registration:
+    if fr.has("Ballots_Cast") and fr.has("Registered_Voters") and BALLOTS_OVER_REGISTRATION not in schema.exempt:
         issues.append(_issue("(`Ballots_Cast` > `Registered_Voters`)", "ballots_exceed_registration", "error", None, "Ballots cast exceed registered voters"))
     fr.flush(issues)
 
@@ -355,8 +352,8 @@ def canonical_columns(ing: Ingestion) -> list[str]:
     names = set(ing.validated.columns)
     if "Vote_Type" in names:
         cols.append("Vote_Type")
-    for c in (*CANONICAL_COUNTS, *ing.schema.candidate_columns, *ing.schema.party_registration,
-              *(p.down_ballot_column for p in ing.schema.down_ballot_pairs),
+    for c in (*CANONICAL_COUNTS, *ing.schema.candidate_columns, *ing.schema.registration_parts,
+              *(p.column for p in ing.schema.pairs),
               "Latitude", "Longitude", "Reported_Turnout_Percent", *ing.schema.share_columns,
               "Calculated_Turnout_Percent", "Turnout_Discrepancy_Percentage_Points"):
         if c in names and c not in cols:

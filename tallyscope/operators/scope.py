@@ -81,7 +81,7 @@ def validation_payload(ing: Ingestion, limit: int = 10) -> dict:
     report = ing.report()
     return {
         "status": "valid" if report["is_valid"] else "valid_with_exclusions",
-        "schema": ing.schema.source_schema,
+        "schema": ing.schema.name,
         "candidate_choices": [{"key": c.key, "label": c.label, "share_column": c.share_column} for c in ing.schema.candidates],
         "validation": report,
         "accepted_preview": preview(ing.accepted, limit, maximum=100),

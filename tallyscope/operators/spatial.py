@@ -214,27 +214,32 @@ def moran(
     """Global and local Moran's I with permutation p-values, BH adjustment and quadrants."""
     params = params or SpatialParams()
     if variable not in df.columns:
-        raise AnalysisUnavailable(f"Spatial variable is missing: {variable}")
+        raise AnalysisUnavailable(f"no column {variable} to analyse")
     if not {"Latitude", "Longitude"} <= set(df.columns):
-        raise AnalysisUnavailable("Spatial analysis requires mapped latitude and longitude")
+        raise AnalysisUnavailable("the table has no Latitude and Longitude")
     v = F.col(variable).try_cast("double")
     ok = F.col("Latitude").isNotNull() & F.col("Longitude").isNotNull() & v.isNotNull() & ~F.isnan(v)
     work = df.filter(ok).select(F.col("Precinct_ID").alias("id"), F.col("Longitude").cast("double").alias("x"),
                                 F.col("Latitude").cast("double").alias("y"), v.alias("v")).persist()
     st = work.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")).first()
     n = int(st["n"])
+    repeated = df.filter(F.col("Precinct_ID").isNotNull()).groupBy("Precinct_ID").count().filter("count > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"Precinct_ID {repeated[0][0]} stands in more than one row")
     total = df.count()
     if n < 3:
-        raise AnalysisUnavailable(f"At least three records with coordinates and values are required; found {n}")
+        raise AnalysisUnavailable(f"{n} rows have coordinates and a value; 3 are needed")
     kind = params.weights_type
     if edges is None:
         if kind == "knn":
             k = min(int(params.knn_neighbors), n - 1)
             edges = knn_edges(work.select("id", "x", "y"), k).select("src", "dst")
-            label = f"K-nearest-neighbor fallback (k={k})"
+            label = f"{k} nearest neighbours"
         else:
+            if polygons is None and "Geometry" in df.columns:
+                polygons = df.filter(F.col("Geometry").isNotNull()).select("Precinct_ID", "Geometry")
             if polygons is None or "Geometry" not in polygons.columns:
-                raise AnalysisUnavailable(f"{kind} adjacency requires a mapped Geometry polygon column; KNN is not silently substituted")
+                raise AnalysisUnavailable(f"{kind} weights need polygons in a Geometry column")
             valid_poly = polygons.join(work.select(F.col("id").alias("Precinct_ID")), "Precinct_ID", "left_semi")
             edges = polygon_edges(valid_poly, kind)
             label = f"{kind} polygon adjacency"
@@ -245,7 +250,7 @@ def moran(
     zed = work.select("id", (F.col("v") - F.lit(mean)).alias("z"))
     denom = float(zed.agg(F.sum(F.col("z") * F.col("z"))).first()[0])
     if denom <= EPS:
-        raise AnalysisUnavailable("Spatial variable has zero variance")
+        raise AnalysisUnavailable(f"{variable} does not vary")
     lag = (weights.join(zed.select(F.col("id").alias("dst"), F.col("z").alias("zj")), "dst")
            .groupBy("src").agg(F.sum(F.col("w") * F.col("zj")).alias("lag")))
     nodes = zed.join(lag.withColumnRenamed("src", "id"), "id", "left").fillna({"lag": 0.0})
@@ -292,7 +297,7 @@ def moran(
         (F.col("adj_p") < alpha).alias("Spatial_Significant"),
     ).persist()
     significant = int(diag.agg(F.count_if("Spatial_Significant")).first()[0])
-    out = df.join(diag, "Precinct_ID", "left")
+    out = df.join(diag, "Precinct_ID", "left")  # one row per key on both sides, checked above
     meta = {
         "weights": label,
         "valid_observations": n,
@@ -301,7 +306,7 @@ def moran(
         "global_expected_i": -1 / (n - 1),
         "global_permutation_p": global_p,
         "permutations": permutations,
-        "local_correction": "Benjamini-Hochberg false-discovery-rate correction",
+        "local_correction": "Benjamini-Hochberg",
         "alpha": alpha,
         "significant_local_patterns": significant,
     }

@@ -19,7 +19,7 @@ from .common import AnalysisUnavailable, MethodResult
 def vote_share_trend(df: DataFrame, share: str, votes: str) -> MethodResult:
     missing = [c for c in ("Precinct_ID", share, votes) if c not in df.columns]
     if missing:
-        raise AnalysisUnavailable(f"Vote-share-by-count fields are missing: {missing}")
+        raise AnalysisUnavailable(f"the trend needs the columns {', '.join(missing)}")
     y, x = F.col(share).cast("double"), F.col(votes).cast("double")
     ok = F.col("Precinct_ID").isNotNull() & y.isNotNull() & x.isNotNull()
     st = df.filter(ok).agg(
@@ -30,9 +30,9 @@ def vote_share_trend(df: DataFrame, share: str, votes: str) -> MethodResult:
     ).first()
     n = int(st["n"])
     if n < 3:
-        raise AnalysisUnavailable("At least three valid vote-count/share observations are required")
+        raise AnalysisUnavailable(f"{n} rows with votes and share, 3 needed")
     if st["xmin"] == st["xmax"]:
-        raise AnalysisUnavailable("Candidate vote counts have no variation")
+        raise AnalysisUnavailable(f"{votes} does not vary")
     vx, vy, cxy = float(st["vx"]), float(st["vy"]), float(st["cxy"])
     slope = cxy / vx
     intercept = float(st["my"]) - slope * float(st["mx"])
@@ -49,7 +49,7 @@ def vote_share_trend(df: DataFrame, share: str, votes: str) -> MethodResult:
     expected = F.lit(intercept) + F.lit(slope) * x
     out = df.withColumns({exp_col: F.when(ok, expected), res_col: F.when(ok, y - expected)})
     meta = {
-        "model": "ordinary least-squares linear descriptive trend",
+        "model": "least-squares line of share on votes",
         "candidate_vote_column": votes,
         "candidate_share_column": share,
         "valid_observations": n,
@@ -59,6 +59,6 @@ def vote_share_trend(df: DataFrame, share: str, votes: str) -> MethodResult:
         "slope_p_value": p,
         "expected_share_column": exp_col,
         "residual_column": res_col,
-        "scope": "exploratory descriptive relationship; this method creates no anomaly flag",
+        "scope": "describes a relation; flags nothing",
     }
     return MethodResult(out, meta)

@@ -122,7 +122,7 @@ def _m5(spark: SparkSession, d: str):
     schema = fixture_schema()
     data, out = analysis_frame(spark, d), []
     for cand in ("candidate_a", "candidate_b"):
-        pairs = [p for p in schema.down_ballot_pairs if p.presidential_candidate_key == cand]
+        pairs = [p for p in schema.pairs if p.candidate == cand]
         res = m5.down_ballot_difference(data, schema.candidate(cand).column, pairs)
         data = res.data
         out.append(res)

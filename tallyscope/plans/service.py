@@ -21,19 +21,20 @@ from ..operators.ingest import DataValidationError, Ingestion, ingest
 from ..operators.scope import preview, validation_payload
 from ..operators.summary import data_summary
 from ..schema import ContestSchema, Settings
-from ..sources.csv import read_returns_csv
-from .workflow import ALL_METHODS, AnalysisRun, run_workflow
+from ..sources.csv import provenance, read_returns_csv
+from .workflow import ALL_METHODS, SUCCESS, AnalysisRun, run_workflow
 
-CAUTION = (
-    "Results are exploratory. A flagged record is unusual under a stated model; it is not evidence "
-    "of fraud, misconduct, or an incorrect outcome."
-)
+CAUTION = "A flag says that a row is unusual under one stated model. It does not say why, and proves nothing about the count."
 
 
 def load(spark: SparkSession, source, schema: ContestSchema | None = None, settings: Settings | None = None) -> Ingestion:
     """Path(s) to CSV files, or an existing DataFrame (typed input such as parquet)."""
-    df = source if isinstance(source, DataFrame) else read_returns_csv(spark, source)[0]
-    return ingest(df, schema, settings)
+    if isinstance(source, DataFrame):
+        return ingest(source, schema, settings)
+    df, encodings = read_returns_csv(spark, source)
+    ing = ingest(df, schema, settings)
+    ing.provenance = provenance(spark, source, encodings)
+    return ing
 
 
 def process_file(spark: SparkSession, source, schema: ContestSchema | None = None) -> tuple[DataFrame, dict]:
@@ -53,7 +54,7 @@ def process_file(spark: SparkSession, source, schema: ContestSchema | None = Non
 def validate_returns(spark: SparkSession, source, preview_rows: int = 10, schema: ContestSchema | None = None) -> dict[str, Any]:
     """P16: 'valid' / 'valid_with_exclusions' with report and previews, or 'invalid'."""
     if not 0 <= preview_rows <= 100:
-        raise ValueError("preview_rows must be between 0 and 100")
+        raise ValueError(f"preview_rows is {preview_rows}; 0 to 100 are possible")
     try:
         ing = load(spark, source, schema)
     except DataValidationError as exc:
@@ -74,10 +75,16 @@ def analyze_returns(
 ) -> dict[str, Any]:
     """Entry 3: validate, run the selected methods, return statuses and a bounded preview."""
     if not 0 <= max_records <= 500:
-        raise ValueError("max_records must be between 0 and 500")
-    ing = load(spark, source, schema, settings)
+        raise ValueError(f"max_records is {max_records}; 0 to 500 are possible")
+    try:
+        ing = load(spark, source, schema, settings)
+    except DataValidationError as exc:
+        return {"status": "invalid", "message": str(exc), "issues": exc.issues, "caution": CAUTION}
     run = run_workflow(ing, candidate_key=candidate_key, methods=methods, settings=settings)
+    states = {v.state for v in run.statuses.values()}
     return {
+        "status": "successful" if states == {SUCCESS} else "partial" if SUCCESS in states else "unsuccessful",
+        "records_total": run.metadata["analysis_rows"],
         "statuses": {k: {"state": v.state, "message": v.message} for k, v in run.statuses.items()},
         "metadata": {k: v for k, v in run.metadata.items() if not k.startswith("_")},
         "diagnostics": run.diagnostics,
@@ -92,13 +99,13 @@ def explain_predictions(run: AnalysisRun, settings: Settings | None = None) -> d
     forest = run.metadata.get("_forest")
     out: dict[str, Any] = {}
     if forest is None:
-        out["isolation_forest_status"] = "unavailable: Isolation Forest is disabled or was not fitted"
+        out["isolation_forest_status"] = "unavailable: this run has no fitted forest"
     else:
         scaled = run.tables["features_scaled"]
         out["isolation_forest_importance"] = m11.feature_importance(scaled, forest, seed=settings.ml_random_state).orderBy(
             F.col("importance").desc(), "feature")
         out["isolation_forest_status"] = "successful"
-    out["shap_status"] = "skipped: per-row explanation library is not part of this engine"
+    out["shap_status"] = "skipped: not offered"
     return out
 
 

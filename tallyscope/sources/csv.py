@@ -1,24 +1,25 @@
 """CSV returns sources with per-file encoding detection and provenance.
 
-Encoding (S2) is decided per file without loading a file into one row: every
-file is read once as UTF-8 text, distributed by line; lines that carry the
-replacement character (bytes that are not valid UTF-8) are counted per file
-with ``input_file_name()``. Files with none are UTF-8 (a byte-order mark makes
-them utf-8-sig); the others are read as latin-1 text, where code points
-0x81/0x8D/0x8F/0x90/0x9D (undefined in cp1252) decide cp1252 versus latin-1.
-Files are then read in groups of equal encoding and unioned by name.
-
-Every column is read as STRING (S1); a trailing ``_overflow`` column catches
-rows longer than the header (S5, malformed). Duplicate header names (S6) are
-checked on the header line itself because Spark would silently rename them.
+One distributed scan of the lines decides everything per file: the encoding (S2), the
+header line, and whether a quoted field runs over a line end. Lines that are not valid
+UTF-8 make a file cp1252, or latin-1 if one of them has a byte that cp1252 leaves undefined.
+Files of equal encoding, header and line mode are read together and unioned by name, so
+files may order their columns differently. Quoting is that of RFC 4180: quotes inside a
+quoted field are doubled, and a quoted field may hold line breaks (only files that have an
+odd number of quotes in some line pay for the unsplittable reader).
+
+Every column is read as STRING (S1); a trailing ``_overflow`` column catches rows longer than
+the header (S5, malformed). Duplicate header names (S6) are checked on every distinct header,
+because Spark would silently rename them.
 """
 
 from __future__ import annotations
 
 import csv as _csv
 import io
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -41,37 +42,55 @@ def file_sizes(spark: SparkSession, paths) -> DataFrame:
     return spark.read.format("binaryFile").load(_as_list(paths)).select("path", "length")
 
 
-def detect_encodings(spark: SparkSession, paths) -> dict[str, str]:
-    """Encoding per file, decided by distributed line scans.
+class CsvFile(NamedTuple):
+    path: str
+    encoding: str
+    multiline: bool
+    header: tuple[str, ...]
+
 
-    The text source keeps each line's raw bytes, so ``is_valid_utf8`` sees
-    undecodable bytes and the line's hex shows bytes undefined in cp1252. Line
-    readers drop a UTF-8 byte-order mark, so a file with one reports "utf-8"
-    (its decoded content is the same as under utf-8-sig).
+def scan_files(spark: SparkSession, paths) -> list[CsvFile]:
+    """Encoding, line mode and header of every file (one small row per file comes back).
+
+    The text source keeps each line's raw bytes, so ``is_valid_utf8`` sees undecodable bytes and
+    the line's hex shows bytes undefined in cp1252. Line readers drop a UTF-8 byte-order mark, so
+    a file with one reports "utf-8" (its decoded content is the same as under utf-8-sig).
     """
-    paths = _as_list(paths)
-    raw = spark.read.text(paths).select(F.input_file_name().alias("path"), F.col("value"))
+    raw = spark.read.text(_as_list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        "value", F.monotonically_increasing_id().alias("line"))
     undefined = F.hex(F.col("value").cast("binary")).rlike(_CP1252_UNDEFINED_HEX)
-    per_file = raw.groupBy("path").agg(
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    found = raw.groupBy("path").agg(
         F.count_if(~F.is_valid_utf8("value")).alias("bad"),
         F.count_if(~F.is_valid_utf8("value") & undefined).alias("undefined"),
-    )
-    result = {}
-    for row in per_file.collect():
-        if row["bad"] == 0:
-            result[row["path"]] = "utf-8"
+        F.count_if(quotes % 2 == 1).alias("odd"),
+        F.min_by(F.col("value").cast("binary"), F.struct("block", "line")).alias("first"),
+    ).collect()
+    files = []
+    for r in found:
+        encoding = "utf-8" if r["bad"] == 0 else "cp1252" if r["undefined"] == 0 else "latin-1"
+        line = bytes(r["first"] or b"").decode(encoding, "replace").lstrip("\ufeff")
+        if line.count('"') % 2:  # a header name holds a line break
+            got = _reader(spark, encoding, True).option("header", False).csv(r["path"]).limit(1).collect()
+            names = [n or "" for n in got[0]]
         else:
-            result[row["path"]] = "cp1252" if row["undefined"] == 0 else "latin-1"
-    return result
+            names = next(_csv.reader(io.StringIO(line)), [])
+        files.append(CsvFile(r["path"], encoding, r["odd"] > 0, tuple(names)))
+    return files
 
 
-def header_columns(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    """The header line of one file, parsed as CSV (the first line only is fetched)."""
-    first = spark.read.option("encoding", _SPARK_CHARSET[encoding]).text(path).limit(1).collect()
-    if not first:
-        raise DataValidationError("The uploaded CSV is empty")
-    line = first[0]["value"].lstrip("\ufeff")
-    return next(_csv.reader(io.StringIO(line)), [])
+def detect_encodings(spark: SparkSession, paths) -> dict[str, str]:
+    """Encoding per file."""
+    return {f.path: f.encoding for f in scan_files(spark, paths)}
+
+
+def _reader(spark: SparkSession, encoding: str, multiline: bool) -> DataFrameReader:
+    if encoding == "cp1252":
+        # windows-1252 is only accepted by the CSV reader with Java charsets enabled.
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return (spark.read.option("encoding", _SPARK_CHARSET[encoding]).option("mode", "PERMISSIVE")
+            .option("quote", '"').option("escape", '"').option("multiLine", multiline))
 
 
 def read_returns_csv(spark: SparkSession, paths, max_bytes: int | None = None) -> tuple[DataFrame, dict]:
@@ -87,51 +106,61 @@ def read_returns_csv(spark: SparkSession, paths, max_bytes: int | None = None) -
     if max_bytes is not None:
         too_big = file_sizes(spark, paths).filter(F.col("length") > max_bytes).collect()
         if too_big:
-            raise DataValidationError(f"File is {too_big[0]['length']} bytes; configured maximum is {max_bytes} bytes")
+            raise DataValidationError(f"{too_big[0]['path']} has {too_big[0]['length']} bytes, over the limit of {max_bytes}")
     if spark.read.format("binaryFile").load(paths).filter(F.col("length") > 0).select("path").limit(1).count() == 0:
-        raise DataValidationError("The uploaded CSV is empty")
-    encodings = detect_encodings(spark, paths)
-    if "cp1252" in encodings.values():
-        # windows-1252 is only accepted by the CSV reader with Java charsets enabled.
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    groups: dict[str, list[str]] = {}
-    for p, enc in encodings.items():
-        groups.setdefault(enc, []).append(p)
+        raise DataValidationError("CSV without content")
+    files = scan_files(spark, paths)
+    groups: dict[tuple, list[str]] = {}
+    for f in files:
+        groups.setdefault((f.encoding, f.multiline, f.header), []).append(f.path)
     frames = []
-    for enc, files in groups.items():
-        header = header_columns(spark, files[0], enc)
-        if not header or all(not h for h in header):
-            raise DataValidationError("The CSV has no columns or records")
-        dups = sorted({h for h in header if header.count(h) > 1})
-        if dups:
-            raise DataValidationError(f"Duplicate CSV column names are ambiguous: {', '.join(dups)}")
+    for (encoding, multiline, header), members in groups.items():
+        if not any(header):
+            raise DataValidationError(f"No column names in the first line of {members[0]}")
+        twice = sorted({h for h in header if header.count(h) > 1})
+        if twice:
+            raise DataValidationError(f"Columns named more than once in {members[0]}: {', '.join(twice)}")
         schema = StructType([StructField(h, StringType()) for h in header] + [StructField(OVERFLOW, StringType())])
-        frame = (spark.read.schema(schema).option("header", True).option("encoding", _SPARK_CHARSET[enc])
-                 .option("mode", "PERMISSIVE").option("multiLine", False).csv(files))
-        frames.append(frame)
+        frames.append(_reader(spark, encoding, multiline).schema(schema).option("header", True).csv(members))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     if out.filter(F.col(OVERFLOW).isNotNull()).limit(1).count():
-        raise DataValidationError("Malformed CSV: a row has more fields than the header")
+        raise DataValidationError("CSV row with more fields than its header")
     out = out.drop(OVERFLOW)
     if out.isEmpty():
-        raise DataValidationError("The CSV contains no data rows")
-    return out, encodings
+        raise DataValidationError("CSV without data rows")
+    return out, {f.path: f.encoding for f in files}
+
 
+#: Spark holds a file's bytes in one cell, which cannot exceed this.
+CELL_BYTES = 2_000_000_000
 
-def provenance(spark: SparkSession, paths, encodings: dict[str, str], max_hash_bytes: int = 2_000_000_000) -> DataFrame:
-    """One row per file: name, size, SHA-256 of the bytes and encoding.
 
-    SHA-256 is sequential, so a file is hashed by one task; files above
-    ``max_hash_bytes`` get NULL (use ``row_digest`` for an order-free digest).
+def provenance(spark: SparkSession, paths, encodings: dict[str, str], max_hash_bytes: int = CELL_BYTES) -> DataFrame:
+    """One row per file: path, length, SHA-256 of the bytes, encoding, and the digest of its lines.
+
+    SHA-256 is sequential, so one task hashes a file; a file over ``max_hash_bytes`` has NULL
+    there, and its content is not read whole. ``line_digest`` and ``lines`` cover files of any size:
+    they are computed from all lines, distributed, and do not depend on how the file is split.
     """
-    enc = spark.createDataFrame(list(encodings.items()), "path string, encoding string")
     files = spark.read.format("binaryFile").load(_as_list(paths))
-    hashed = files.select("path", "length", F.when(F.col("length") <= max_hash_bytes, F.sha2(F.col("content"), 256)).alias("sha256"))
-    return hashed.join(F.broadcast(enc), "path", "left")
+    hashed = files.filter(F.col("length") <= max_hash_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    larger = files.filter(F.col("length") > max_hash_bytes).select("path", "length", F.lit(None).cast("string").alias("sha256"))
+    lines = spark.read.text(_as_list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
+    digests = lines.groupBy("path").agg(_digest(F.col("value")).alias("line_digest"), F.count(F.lit(1)).alias("lines"))
+    # one row per file, listed by the driver anyway
+    known = spark.createDataFrame(list(encodings.items()), "path string, encoding string")
+    return hashed.unionByName(larger).join(known, "path", "left").join(digests, "path", "left")
+
+
+def _digest(*columns: Column) -> Column:
+    """Order-free digest that counts repetitions: decimal sums of two independent hashes."""
+    one = F.sum(F.xxhash64(F.lit(1), *columns).cast("decimal(38,0)")).cast("string")
+    two = F.sum(F.xxhash64(F.lit(2), *columns).cast("decimal(38,0)")).cast("string")
+    return F.concat_ws(":", one, two)
 
 
 def row_digest(df: DataFrame) -> DataFrame:
-    """Order-independent digest of all rows (distributed): bit_xor of row hashes and the count."""
-    return df.agg(F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).alias("digest"), F.count(F.lit(1)).alias("rows"))
+    """Order-independent digest of all rows and their count (distributed)."""
+    return df.agg(_digest(*[F.col(f"`{c}`") for c in df.columns]).alias("digest"), F.count(F.lit(1)).alias("rows"))

@@ -23,9 +23,9 @@ from tallyscope.schema import (
     lambda: DbscanParams(metric="chebyshev"),
     lambda: DbscanParams(eps=0),
     lambda: Settings(turnout_tolerance=-1),
-    lambda: ContestSchema("J", "P", ()),
-    lambda: ContestSchema("J", "P", (Candidate("a", "A", "k"), Candidate("b", "B", "k"))),
-    lambda: ContestSchema("J", "P", (Candidate("a", "A", "k"),), down_ballot_pairs=(DownBallotPair("zz", "d", "D", "p"),)),
+    lambda: ContestSchema({"jurisdiction": "J", "precinct": "P"}, ()),
+    lambda: ContestSchema({"jurisdiction": "J", "precinct": "P"}, (Candidate("a", "A", "k"), Candidate("b", "B", "k"))),
+    lambda: ContestSchema({"jurisdiction": "J", "precinct": "P"}, (Candidate("a", "A", "k"),), pairs=(DownBallotPair("zz", "d", "D", "p"),)),
 ])
 def test_parameter_guards(build):
     with pytest.raises(ValueError):

@@ -86,8 +86,8 @@ def test_vote_type_in_key(spark):
 def test_reserved_collision_preserved(spark):
     cols = ["CountyName", "Jurisdiction", "Source_Original__Jurisdiction", "PrecinctName", "ContestTotal", "Choice"]
     rows = [("C1", "old", "older", "P1", "10", "5")]
-    schema = ContestSchema(jurisdiction="CountyName", precinct="PrecinctName",
-                           candidates=(Candidate("Choice", "Choice", "choice"),), valid_contest_votes="ContestTotal")
+    schema = ContestSchema({"jurisdiction": "CountyName", "precinct": "PrecinctName", "valid_contest_votes": "ContestTotal"},
+                           candidates=(Candidate("Choice", "Choice", "choice"),))
     ing = ingest(_df(spark, rows, cols), schema)
     row = ing.accepted.collect()[0]
     assert row["Jurisdiction"] == "C1"
@@ -101,14 +101,14 @@ def test_alternate_schema_derives_registration(spark):
     rows = [("C", "P1", "40", "-90", "100", "120", "50", "60", "110", "50.0"),
             ("C", "P2", "40", "-90", "x", "120", "50", "60", "110", "50.0")]
     ing = ingest(_df(spark, rows, cols))
-    assert ing.schema.source_schema == "legacy_harris_trump"
+    assert ing.schema.name == "legacy_harris_trump"
     regs = {r["Precinct"]: r["Registered_Voters"] for r in ing.validated.collect()}
     assert regs["P1"] == 220.0 and regs["P2"] is None
     assert any(d["code"] == "legacy_registration_derived" for d in ing.file_issues)
 
 
 def test_missing_mapping_is_fatal(spark):
-    with pytest.raises(DataValidationError, match="absent"):
+    with pytest.raises(DataValidationError, match="lacks"):
         ingest(_df(spark, [("a", "b")], ["Jurisdiction", "Precinct"]), default_schema())
 
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,19 @@ def test_adjustments_match_reference_definition(spark):
             ks, ps = [k for k, _ in items], [p for _, p in items]
             assert all(abs(h[k] - v) < 1e-12 for k, v in zip(ks, ref_holm(ps), strict=True))
             assert all(abs(b[k] - v) < 1e-12 for k, v in zip(ks, ref_bh(ps), strict=True))
+
+
+def test_quantile_with_ties_collects_few_rows(spark, monkeypatch):
+    """A third of all rows on the median: the tied value is found without collecting its rows."""
+    from tallyscope.functions import quantile
+
+    values = [0.0] * 4000 + [float(i % 997) - 400 for i in range(8000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4).persist()
+    monkeypatch.setattr(quantile, "WINDOW", 16)
+    settled = []
+    real = quantile._settle
+    monkeypatch.setattr(quantile, "_settle", lambda d, ranks: (settled.extend(r.inside for r in ranks), real(d, ranks)))
+    qs = [0.0, 0.1, 0.43, 0.5, 0.9, 1.0]
+    got = quantile.exact_quantiles(df, {"v": qs})
+    assert [got[("v", q)] for q in qs] == pytest.approx([float(np.quantile(values, q)) for q in qs])
+    assert all(n <= 16 for n in settled)

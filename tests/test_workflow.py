@@ -10,7 +10,7 @@ from tallyscope.operators import scope
 from tallyscope.operators.ingest import DataValidationError, ingest
 from tallyscope.plans.prepare import typed_ingestion
 from tallyscope.plans.workflow import run_workflow
-from tallyscope.schema import DbscanParams, Settings, SpatialParams, default_schema, fixture_schema
+from tallyscope.schema import ContestSchema, DbscanParams, Settings, SpatialParams, default_schema, fixture_schema
 from tallyscope.sources import csv as csvsrc
 from tallyscope.sources.export import BUNDLE, write_bundle
 from tallyscope.streaming.validate import validate_stream
@@ -70,8 +70,8 @@ def test_csv_source_encodings_and_errors(spark, tmp_path):
     assert got == {"u.csv": "utf-8", "w.csv": "cp1252", "l.csv": "latin-1"}
     names = {r[0] for r in df.select("Jurisdiction").collect()}
     assert {"Åland", "Côte", "Euro€", "X\u0081Y"} <= names
-    ing = ingest(df, default_schema().__class__(jurisdiction="Jurisdiction", precinct="Precinct",
-                                               candidates=default_schema().candidates, valid_contest_votes="Valid_Contest_Votes"))
+    ing = ingest(df, ContestSchema({"jurisdiction": "Jurisdiction", "precinct": "Precinct", "valid_contest_votes": "Valid_Contest_Votes"},
+                                   default_schema().candidates))
     assert ing.report()["original_rows"] == 6
     import hashlib
 
@@ -80,13 +80,13 @@ def test_csv_source_encodings_and_errors(spark, tmp_path):
         assert prov[name]["sha256"] == hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()
         assert prov[name]["length"] == (tmp_path / name).stat().st_size
     (tmp_path / "d.csv").write_text("a,a,b\n1,2,3\n")
-    with pytest.raises(DataValidationError, match="Duplicate"):
+    with pytest.raises(DataValidationError, match="more than once"):
         csvsrc.read_returns_csv(spark, str(tmp_path / "d.csv"))
     (tmp_path / "m.csv").write_text("a,b\n1,2,3\n")
-    with pytest.raises(DataValidationError, match="Malformed"):
+    with pytest.raises(DataValidationError, match="more fields"):
         csvsrc.read_returns_csv(spark, str(tmp_path / "m.csv"))
     (tmp_path / "e.csv").write_text("")
-    with pytest.raises(DataValidationError, match="empty"):
+    with pytest.raises(DataValidationError, match="without content"):
         csvsrc.read_returns_csv(spark, str(tmp_path / "e.csv"))
 
 
@@ -104,3 +104,28 @@ def test_streaming_validation(spark, tmp_path):
     q.stop()
     counts = {r[0]: r[1] for r in spark.sql("SELECT code, count(*) FROM stream_issues GROUP BY code").collect()}
     assert "duplicate_precinct_id" not in counts and counts["turnout_mismatch"] == 6 and counts["missing_identifier"] == 2
+
+
+def test_csv_column_order_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('J,P,A,B\n"x ""q"", y",p1,10,20\n"two\nlines",p2,1,2\n')
+    (tmp_path / "b.csv").write_text("J,P,B,A\nj,p3,20,10\n")
+    df, enc = csvsrc.read_returns_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    got = {r["P"]: (r["J"], r["A"], r["B"]) for r in df.collect()}
+    assert got == {"p1": ('x "q", y', "10", "20"), "p2": ("two\nlines", "1", "2"), "p3": ("j", "10", "20")}
+    (tmp_path / "c.csv").write_text("J,J\n1,2\n")
+    with pytest.raises(DataValidationError, match="more than once"):
+        csvsrc.read_returns_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "c.csv")])
+    big = csvsrc.provenance(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], enc, max_hash_bytes=30).collect()
+    assert sorted((r["length"] > 30, r["sha256"] is None, r["lines"]) for r in big) == [(False, False, 2), (True, True, 4)]
+
+
+def test_row_digest_counts_repetitions(spark):
+    digest = lambda *v: csvsrc.row_digest(spark.createDataFrame([(x,) for x in v], "a int")).first()["digest"]
+    assert digest(1, 1) != digest(7, 7) and digest(1, 2) == digest(2, 1)
+
+
+def test_repeated_key_fails_the_method(spark, frame_0001):
+    from tallyscope.operators.spatial import moran
+
+    with pytest.raises(ValueError, match="more than one row"):
+        moran(frame_0001.union(frame_0001.limit(1)), "Candidate_Share__candidate_a")
