@@ -1,26 +1,26 @@
 """Spatial weights and Moran statistics with permutation tests.
 
-KNN weights (J3) are an exact multi-resolution grid join, never a cross join:
-at level ``i`` points are bucketed on a square grid of side ``s_i = s0 * 2**i``;
-each still-open query point joins the 3x3 block of cells around its own cell.
-Every point outside that block is farther than ``s_i``, so a point whose k-th
-candidate distance is ``<= s_i`` has its exact k nearest neighbours (ties by
-Precinct_ID) and is closed; open points go to the next, coarser level. Before
-joining, the data side keeps only the ``k+1`` smallest ids at each exact
-location - no other point at that location can ever be a neighbour of anyone -
-so a location holding a third of all rows cannot turn the join quadratic. That
-pruning ranks ids inside salted sub-groups first, then across the survivors.
+KNN weights (J3) are an exact join over a grid whose cells follow the density, never a cross
+join. The bounding square is halved level by level; a point starts at the first level at which
+its cell holds few points, so a crowded city starts with small cells and an empty region with
+large ones. At each level, from the finest up, a still-open point joins the 3x3 block of cells
+around its own. Every point outside that block is farther than the cell side, so a point whose
+k-th candidate distance is within the side has its exact k nearest neighbours (ties by
+Precinct_ID) and is closed; open points go on to the next, coarser level. A cell of a level is
+read only by the few points that start or are still open there, so no cell joins itself in
+full. The data side keeps the ``k+1`` smallest ids at each exact location, as no other point
+there can be a neighbour of anyone; that ranking runs inside salted sub-groups first, so a
+location holding a third of all rows is no hot group.
 
 Polygon contiguity (J4, M8): vertices (queen) or undirected edges (rook) are
 exploded and equi-joined; weights are row-standardised.
 
-Moran (M6): mean-centred values, spatial lag by a grouped join over the edge
-list, global and local statistics in one aggregation. The permutation test
-replays the seeded permutation stream (same stream as numpy's
-``default_rng(seed).permutation``) inside ``mapInPandas`` tasks that each own a
-range of nodes. Every task needs the whole centred vector: Spark writes it as a
-table into the shared checkpoint folder and each task reads it from there (it
-never passes through the driver); its size is checked first.
+Moran (M6): mean-centred values, spatial lag by a grouped join over the edge list, global and
+local statistics in one aggregation. Permutation p gives the node with index r the value of the
+node that stands r-th when nodes are ordered by a hash of (seed, p, id): a uniformly random order
+for every p that any engine can recompute. All permutations are numbered in one distributed
+sort (``functions.index``), joined to the edges by (p, index) and summed, so the work is rows
+that spread over executors at every size, and no task holds a vector or a permutation.
 """
 
 from __future__ import annotations
@@ -28,18 +28,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.adjust import benjamini_hochberg
 from ..functions.index import consecutive_index
 from ..schema import SpatialParams
+from ..session import ensure_checkpoint_dir
 from .common import AnalysisUnavailable, MethodResult
 
 EPS = float(np.finfo(float).eps)
-# Largest node count whose centred vector each permutation task holds in memory.
-PERMUTATION_BROADCAST_LIMIT = 20_000_000
+# Permuted rows that one task of the permutation sort is meant to hold.
+PERMUTED_ROWS_PER_TASK = 4_000_000
 PRUNE_SALTS = 32
 
 
@@ -52,57 +52,97 @@ def _prune_locations(nodes: DataFrame, keep: int) -> DataFrame:
     return first.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= keep).drop("_r")
 
 
-def knn_edges(nodes: DataFrame, k: int, checkpoint: bool = True) -> DataFrame:
+#: Levels looked at in one pass when the starting levels are sought, and the finest level there is
+#: (a cell side of 2**-48 of the square: doubles hardly tell such places apart).
+LEVEL_STEP = 6
+FINEST = 48
+
+
+def _cell(x: str, origin: float, span: float) -> Column:
+    """Cell coordinate at the level in column ``lv``."""
+    return F.floor((F.col(x) - F.lit(origin)) / F.lit(span) * F.pow(F.lit(2.0), F.col("lv"))).cast("long")
+
+
+def _start_levels(nodes: DataFrame, data: DataFrame, crowd: int, first: int, x0: float, y0: float, span: float) -> DataFrame:
+    """(id, x, y, start): the first level from ``first`` on at which the point's cell holds at most ``crowd`` data points."""
+    found, left, low = [], nodes.select("id", "x", "y"), first
+    while True:
+        high = min(low + LEVEL_STEP - 1, FINEST)
+        levels = F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lv")
+        cells = data.select("nx", "ny", levels).groupBy("lv", _cell("nx", x0, span).alias("cx"), _cell("ny", y0, span).alias("cy")).count()
+        # cells only get emptier, so the number of crowded levels names the first other one
+        packed = cells.filter(F.col("count") > crowd).select("lv", "cx", "cy")
+        seen = left.select("id", "x", "y", levels).select("id", "x", "y", "lv", _cell("x", x0, span).alias("cx"), _cell("y", y0, span).alias("cy"))
+        crowded = seen.join(packed, ["lv", "cx", "cy"], "left_semi").groupBy("id").agg(F.max("lv").alias("deep"))
+        now = left.join(crowded, "id", "left").select("id", "x", "y", (F.coalesce("deep", F.lit(low - 1)) + 1).alias("start")).checkpoint()
+        if high == FINEST:
+            return _union([*found, now.withColumn("start", F.least("start", F.lit(FINEST)))])
+        found.append(now.filter(F.col("start") <= high))
+        left = now.filter(F.col("start") > high).select("id", "x", "y")
+        if left.isEmpty():
+            return _union(found)
+        low = high + 1
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def knn_edges(nodes: DataFrame, k: int, candidates: list[int] | None = None) -> DataFrame:
     """Exact k-nearest-neighbour edges (src, dst, dist) for nodes (id STRING, x, y DOUBLE).
 
-    ``k`` must already be min(k, n - 1).
+    ``k`` must already be min(k, n - 1). ``candidates``, if given, gets the number of pairs
+    that each level compared.
     """
+    ensure_checkpoint_dir(nodes.sparkSession)
     st = nodes.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
                    F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    n = int(st["n"])
-    span_x, span_y = float(st["x1"] - st["x0"]), float(st["y1"] - st["y0"])
-    diameter = math.hypot(span_x, span_y)
-    area = max(span_x * span_y, diameter * diameter / max(n, 1), 1e-24)
-    s = max(math.sqrt(area * k / max(n, 1)) / 4.0, 1e-12)
-    data = _prune_locations(nodes, k + 1).select(F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    data = data.persist()
-    open_q = nodes.select("id", "x", "y")
-    found: list[DataFrame] = []
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    level = 0
+    x0, y0 = float(st["x0"]), float(st["y0"])
+    # a little wider than the points, so that the last ones lie inside the last cell
+    span = max(float(st["x1"]) - x0, float(st["y1"]) - y0, 1e-12) * (1 + 1e-9)
+    data = _prune_locations(nodes, k + 1).select(F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("y").alias("ny")).checkpoint()
+    crowd = 2 * (k + 1)
+    first = max(0, int(math.log(max(int(st["n"]) / crowd, 1.0), 4)) - 1)
+    started = _start_levels(nodes, data, crowd, first, x0, y0, span)
+    todo = sorted((r["start"] for r in started.select("start").distinct().collect()), reverse=True)
+    open_q, found, level = None, [], todo[0]
+    block = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])).alias("o")
     while True:
-        size = s * (2 ** level)
-        last = size >= diameter or level >= 60
-        q = open_q.select("id", "x", "y", F.explode(offsets).alias("o")).select(
-            "id", "x", "y",
-            (F.floor(F.col("x") / size) + F.col("o.dx")).cast("long").alias("cx"),
-            (F.floor(F.col("y") / size) + F.col("o.dy")).cast("long").alias("cy"),
-        )
-        d = data.select("nid", "nx", "ny", F.floor(F.col("nx") / size).cast("long").alias("cx"),
-                        F.floor(F.col("ny") / size).cast("long").alias("cy"))
+        here = started.filter(F.col("start") == level).select("id", "x", "y")
+        here = here if open_q is None else here.unionByName(open_q)
+        lv = F.lit(level).alias("lv")
+        q = here.select("id", "x", "y", lv, block).select(
+            "id", "x", "y", (_cell("x", x0, span) + F.col("o.dx")).alias("cx"), (_cell("y", y0, span) + F.col("o.dy")).alias("cy"))
+        d = data.select("nid", "nx", "ny", lv).select("nid", "nx", "ny", _cell("nx", x0, span).alias("cx"), _cell("ny", y0, span).alias("cy"))
         cand = q.join(d, ["cx", "cy"]).filter(F.col("id") != F.col("nid")).select(
-            "id", "nid", F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2)).alias("dist"))
-        w = Window.partitionBy("id").orderBy("dist", "nid")
-        top = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-        if last:
-            found.append(top.select(F.col("id").alias("src"), F.col("nid").alias("dst"), "dist"))
-            break
-        # Cut lineage every level (reliable checkpoint in the shared checkpoint folder):
-        # the open set is derived from itself, so its plan would otherwise double.
-        top = top.checkpoint() if checkpoint else top.persist()
-        done_ids = (top.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("dk"))
-                    .filter((F.col("c") == k) & (F.col("dk") <= size)).select("id"))
-        closed = top.join(done_ids, "id", "left_semi").select(F.col("id").alias("src"), F.col("nid").alias("dst"), "dist")
-        found.append(closed)
-        open_q = open_q.join(done_ids, "id", "left_anti")
-        open_q = open_q.checkpoint() if checkpoint else open_q.persist()
-        if open_q.isEmpty():
-            break
-        level += 1
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+            "id", "x", "y", "nid", F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2)).alias("dist"))
+        if candidates is not None:
+            candidates.append(cand.count())
+        by_distance = Window.partitionBy("id").orderBy("dist", "nid")
+        top = cand.withColumn("_r", F.row_number().over(by_distance)).filter(F.col("_r") <= k)
+        if level > 0:
+            # the k-th neighbour must lie within the cell side, or something outside the block may be nearer
+            side = F.lit(span / 2.0 ** level)
+            reach = F.max("dist").over(Window.partitionBy("id"))
+            top = top.withColumn("_ok", (F.count(F.lit(1)).over(Window.partitionBy("id")) == k) & (reach <= side))
+        else:
+            top = top.withColumn("_ok", F.lit(True))  # the block holds everything
+        top = top.checkpoint()
+        closed = top.filter("_ok")
+        found.append(closed.select(F.col("id").alias("src"), F.col("nid").alias("dst"), "dist"))
+        if level == 0:
+            return _union(found)
+        open_q = here.join(closed.select("id").distinct(), "id", "left_anti").checkpoint()
+        coarser = [t for t in todo if t < level]
+        if not open_q.isEmpty():
+            level -= 1
+        elif coarser:
+            level, open_q = coarser[0], None
+        else:
+            return _union(found)
 
 
 def polygon_edges(polys: DataFrame, kind: str) -> DataFrame:
@@ -136,71 +176,32 @@ def row_standardise(edges: DataFrame) -> DataFrame:
 QUADRANT = ("high-high cluster", "low-low cluster", "high-low spatial outlier", "low-high spatial outlier")
 
 
-def _read_vector(path: str, n: int) -> np.ndarray:
-    """Read the (idx, z) table Spark wrote to the shared folder; return z in idx order."""
-    import pyarrow.dataset as ds
-    import pyarrow.fs as pafs
+def permutation_key(seed: int, p: str, node: str) -> str:
+    """SQL text of the 60-bit hash that orders the nodes under permutation ``p``."""
+    return f"CAST(conv(substr(md5(concat_ws(':', '{int(seed)}', {p}, {node})), 1, 15), 16, 10) AS BIGINT)"
 
-    try:
-        fs, root = pafs.FileSystem.from_uri(path)
-    except (ValueError, TypeError):
-        fs, root = pafs.LocalFileSystem(), path
-    table = ds.dataset(root, filesystem=fs, format="parquet").to_table(columns=["idx", "z"])
-    idx = table.column("idx").to_numpy()
-    z = np.empty(n, dtype=np.float64)
-    z[idx] = table.column("z").to_numpy()
-    return z
 
+def permuted_counts(nodes: DataFrame, edges: DataFrame, n: int, denom: float, observed: float, permutations: int, seed: int) -> tuple[DataFrame, int]:
+    """How often permuted statistics reach the observed ones.
 
-def _permutation_counts(vector_path: str, n: int, denom: float, permutations: int, seed: int, k_max: int):
-    """mapInPandas body: exceedance counts per node and per-permutation partial sums.
-
-    Each task reads the centred vector from the shared folder itself (no pass
-    through the driver), then replays the seeded permutation stream.
+    ``nodes`` (id, idx 0..n-1, z, local_i), ``edges`` (src, dst indexes, w). Returns the counts
+    per node (idx, cnt; nodes without edges left out) and the count of the global statistic.
     """
-
-    def run(batches):
-        frames = list(batches)
-        if not frames:
-            return
-        z_sorted = _read_vector(vector_path, n)
-        part = pd.concat(frames, ignore_index=True)
-        idx = part["idx"].to_numpy(np.int64)
-        nbr = np.full((len(part), k_max), -1, dtype=np.int64)
-        deg = np.zeros(len(part), dtype=np.float64)
-        for r, lst in enumerate(part["nbr"]):
-            m = len(lst)
-            if m:
-                nbr[r, :m] = lst
-            deg[r] = m
-        mask = nbr >= 0
-        safe = np.where(mask, nbr, 0)
-        zi = z_sorted[idx]
-        local_obs = part["local_i"].to_numpy(np.float64)
-        scale = denom / n
-        counts = np.zeros(len(part), dtype=np.int64)
-        partial = np.zeros(permutations, dtype=np.float64)
-        rng = np.random.default_rng(seed)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            for p in range(permutations):
-                perm = rng.permutation(z_sorted)
-                lag = np.where(deg > 0, (perm[safe] * mask).sum(axis=1) / np.maximum(deg, 1), 0.0)
-                counts += np.abs(zi * lag / scale) >= np.abs(local_obs)
-                partial[p] = float(perm[idx] @ lag)
-        yield pd.DataFrame({"kind": "node", "idx": idx, "p": -1, "value": counts.astype(np.float64)})
-        yield pd.DataFrame({"kind": "perm", "idx": -1, "p": np.arange(permutations, dtype=np.int64), "value": partial})
-
-    return run
-
-
-def _shared_table_path(spark, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint directory."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
-
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    drawn = nodes.select("id", "z", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("p"))
+    drawn = drawn.withColumn("h", F.expr(permutation_key(seed, "p", "id")))
+    partitions = max(drawn.sparkSession.sparkContext.defaultParallelism, n * permutations // PERMUTED_ROWS_PER_TASK)
+    placed = consecutive_index(drawn, ["p", "h", "id"], "g", partitions)
+    # each permutation is one run of n rows of the whole order
+    placed = placed.select("p", (F.col("g") - F.col("p").cast("bigint") * n).alias("pos"), F.col("z").alias("zp"))
+    lags = (placed.join(edges, F.col("pos") == F.col("dst")).groupBy("p", "src").agg(F.sum(F.col("w") * F.col("zp")).alias("lag")))
+    both = lags.join(placed.withColumnRenamed("pos", "src"), ["p", "src"]).join(
+        nodes.select(F.col("idx").alias("src"), "z", "local_i"), "src")
+    both = both.select("p", "src", (F.col("zp") * F.col("lag")).alias("t"), (F.abs(F.col("z") * F.col("lag") / F.lit(denom / n)) >= F.abs("local_i")).alias("hit"))
+    # one pass for both results: grouping sets give a row per node and a row per permutation
+    sets = [[F.col("src")], [F.col("p")]]
+    summed = both.groupingSets(sets, F.col("src"), F.col("p")).agg(F.count_if("hit").alias("cnt"), F.sum("t").alias("t")).checkpoint()
+    reached = summed.filter("src IS NULL").agg(F.count_if(F.abs(F.col("t") / F.lit(denom)) >= abs(observed))).first()[0]
+    return summed.filter("src IS NOT NULL").select(F.col("src").alias("idx"), "cnt"), int(reached)
 
 
 def moran(
@@ -209,7 +210,6 @@ def moran(
     params: SpatialParams | None = None,
     edges: DataFrame | None = None,
     polygons: DataFrame | None = None,
-    permutation_partitions: int | None = None,
 ) -> MethodResult:
     """Global and local Moran's I with permutation p-values, BH adjustment and quadrants."""
     params = params or SpatialParams()
@@ -258,29 +258,15 @@ def moran(
     global_i = float(nodes.agg(F.sum(F.col("z") * F.col("lag"))).first()[0]) / denom
 
     permutations, seed = int(params.permutations), int(params.random_state)
-    if n > PERMUTATION_BROADCAST_LIMIT:
-        raise AnalysisUnavailable(f"Permutation test limited to {PERMUTATION_BROADCAST_LIMIT} nodes; found {n}")
     # Consecutive node indexes in Precinct_ID order (range partitions + per-partition offsets).
-    idx_df = consecutive_index(nodes.select("id", "z", "local_i"), ["id"], "idx").persist()
-    # The centred vector goes to the shared checkpoint folder as a table (written by
-    # the executors); permutation tasks read it from there.
-    vector_path = _shared_table_path(df.sparkSession, "moran_vector")
-    idx_df.select("idx", "z").write.mode("overwrite").parquet(vector_path)
-    nbr = (weights.join(idx_df.select(F.col("id").alias("dst"), F.col("idx").alias("didx")), "dst")
-           .groupBy("src").agg(F.sort_array(F.collect_list("didx")).alias("nbr")))
-    k_max = int(nbr.agg(F.max(F.size("nbr"))).first()[0] or 0)
-    task_in = idx_df.join(nbr.withColumnRenamed("src", "id"), "id", "left").select(
-        "idx", "local_i", F.coalesce(F.col("nbr"), F.array().cast("array<long>")).alias("nbr"))
-    parts = permutation_partitions or max(1, min(df.sparkSession.sparkContext.defaultParallelism, n // 64 + 1))
-    task_in = task_in.repartitionByRange(parts, "idx")
-    body = _permutation_counts(vector_path, n, denom, permutations, seed, max(k_max, 1))
-    # Checkpointed (shared folder): the permutation tasks run once, and a lost
-    # executor re-reads their output instead of redoing them.
-    perm_out = task_in.mapInPandas(body, "kind string, idx long, p long, value double").checkpoint()
-    glob = perm_out.filter(F.col("kind") == "perm").groupBy("p").agg(F.sum("value").alias("s"))
-    exceed = int(glob.agg(F.count_if(F.abs(F.col("s") / F.lit(denom)) >= abs(global_i))).first()[0])
+    idx_df = consecutive_index(nodes.select("id", "z", "local_i"), ["id"], "idx").checkpoint()
+    named = idx_df.select("id", "idx")
+    numbered = (weights.join(named.withColumnsRenamed({"id": "src", "idx": "si"}), "src")
+                .join(named.withColumnsRenamed({"id": "dst", "idx": "di"}), "dst").select(F.col("si").alias("src"), F.col("di").alias("dst"), "w"))
+    counts, exceed = permuted_counts(idx_df, numbered, n, denom, global_i, permutations, seed)
     global_p = (exceed + 1) / (permutations + 1)
-    counts = perm_out.filter(F.col("kind") == "node").select("idx", F.col("value").alias("cnt"))
+    # without neighbours every lag is 0, as observed
+    counts = idx_df.select("idx").join(counts, "idx", "left").fillna({"cnt": permutations})
     local = (idx_df.join(counts, "idx").join(nodes.select("id", "lag"), "id")
              .select("id", "z", "lag", "local_i", ((F.col("cnt") + 1) / F.lit(permutations + 1)).alias("raw_p")))
     local = benjamini_hochberg(local, "raw_p", "adj_p")

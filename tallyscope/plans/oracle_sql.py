@@ -506,6 +506,27 @@ SELECT id AS Precinct_ID, round(z * lag / (s2 / n), 6) AS Local_Moran_I,
 FROM mo""")
 
 
+def moran_permutation() -> str:
+    """999 hash-ordered permutations, seed 42; exceedances per node and overall."""
+    return with_views(f"""WITH {KNN_CORE},
+ix AS (SELECT id, z, row_number() OVER (ORDER BY id) - 1 AS idx, z * lag / (s2 / n) AS li, s2, n FROM mo),
+dr AS (SELECT p, z, row_number() OVER (PARTITION BY p ORDER BY CAST('0x' || substr(md5(concat_ws(':', '42', CAST(p AS VARCHAR), id)), 1, 15) AS BIGINT), id) - 1 AS pos
+       FROM ix, range(999) t(p)),
+ei AS (SELECT a.idx AS src, b.idx AS dst, 1.0 / count(*) OVER (PARTITION BY ed.src) AS w FROM ed JOIN ix a ON a.id = ed.src JOIN ix b ON b.id = ed.dst),
+pl AS (SELECT ei.src, dr.p, sum(ei.w * dr.z) AS lag FROM ei JOIN dr ON dr.pos = ei.dst GROUP BY ALL),
+gp AS (SELECT pl.p, sum(pl.lag * dr.z) AS t FROM pl JOIN dr ON dr.p = pl.p AND dr.pos = pl.src GROUP BY pl.p),
+gi AS (SELECT sum(z * lag) / max(s2) AS g FROM mo),
+gx AS (SELECT (count(*) + 1) / 1000.0 AS gp FROM gp, gi WHERE abs(gp.t / (SELECT max(s2) FROM mo)) >= abs(g)),
+ct AS (SELECT ix.id, ix.li, (count(*) FILTER (abs(ix.z * pl.lag / (ix.s2 / ix.n)) >= abs(ix.li)) + 1) / 1000.0 AS rp
+       FROM ix JOIN pl ON pl.src = ix.idx GROUP BY ix.id, ix.li),
+rk AS (SELECT *, row_number() OVER (ORDER BY rp) AS r, count(*) OVER () AS m FROM ct),
+bh AS (SELECT *, least(min(rp * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS ap FROM rk),
+ad AS (SELECT *, min(ap) OVER (PARTITION BY rp) AS a FROM bh)
+SELECT id AS Precinct_ID, round(li, 6) AS Local_Moran_I, round(rp, 6) AS Local_Moran_Raw_P, round(a, 6) AS Local_Moran_Adjusted_P,
+       a < 0.05 AS Spatial_Significant, round((SELECT g FROM gi), 6) AS global_moran_i, round((SELECT gp FROM gx), 6) AS global_permutation_p
+FROM ad""")
+
+
 def _polygon_sql(cond: str) -> str:
     return with_views(f"""WITH g AS (SELECT {PID} AS id, k % 40 AS gx, k // 40 AS gy FROM returns),
 e AS (SELECT a.id AS src, b.id AS dst FROM g a JOIN g b ON a.id <> b.id AND {cond})

@@ -496,7 +496,7 @@ ORACLES: dict[str, Callable[[], str]] = {
         "flag_counts", "scope_filter", "scope_vote_type", "turnout_bounds", "jurisdiction_list",
         "flagged_records", "chart_scatter", "chart_residual", "chart_trend", "chart_down_ballot",
         "chart_map", "map_center", "features", "features_scaled",
-        "knn_edges", "moran_global", "moran_local", "polygon_queen", "polygon_rook",
+        "knn_edges", "moran_global", "moran_local", "moran_permutation", "polygon_queen", "polygon_rook",
         "dbscan_labels", "cluster_profile", "turnout_share_by_type", "polygon_moran", "binned_scatter",
         "returns_preview", "validation_status",
     )},

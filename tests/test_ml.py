@@ -80,3 +80,13 @@ def test_dbscan_all_noise_is_unavailable(spark):
     df = spark.createDataFrame(rows, "Precinct_ID string, features array<double>")
     with pytest.raises(AnalysisUnavailable):
         dbscan.dbscan(df, DbscanParams(enabled=True, eps=0.5, min_samples=2))
+
+
+def test_dbscan_hot_point(spark):
+    """A third of all rows on one point: one weighted point, same clusters."""
+    rows = [(f"h{i:04d}", [0.0, 0.0]) for i in range(300)] + [(f"a{i:04d}", [0.05 * i, 1.0]) for i in range(300)] + [(f"n{i:04d}", [10.0 * i, -50.0]) for i in range(1, 301)]
+    df = spark.createDataFrame(rows, "Precinct_ID string, features array<double>")
+    res = dbscan.dbscan(df, DbscanParams(enabled=True, eps=0.2, min_samples=5))
+    got = {r["Precinct_ID"]: r["DBSCAN_Cluster"] for r in res.data.collect()}
+    assert {got[f"h{i:04d}"] for i in range(300)} == {1} and {got[f"a{i:04d}"] for i in range(300)} == {0}
+    assert {got[f"n{i:04d}"] for i in range(1, 301)} == {-1} and res.diagnostics["n_clusters"] == 2
