@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest side (rows) we broadcast after counting it; beyond it the join shuffles
-# and AQE's skew-join handling splits hot partitions.
-BROADCAST_ROW_LIMIT = 2_000_000
+# Largest side (text bytes plus 8 per other value) that is broadcast after it was measured; beyond
+# it the join shuffles and AQE's skew-join handling splits hot partitions.
+BROADCAST_BYTES = 16 << 20
 
 
-def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Join ``dim`` onto ``fact``; broadcast ``dim`` only if it has at most ``max_rows`` rows.
+def _bytes(df: DataFrame) -> int:
+    texts = [c for c, t in df.dtypes if t == "string"]
+    width = F.lit(8 * (len(df.columns) - len(texts)))
+    for c in texts:
+        width = width + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
+    return df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
 
-    The dimension is persisted before it is counted, so the count and the join
+
+def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join ``dim`` onto ``fact``; broadcast ``dim`` only if it holds at most ``max_bytes``.
+
+    The dimension is persisted before it is measured, so the measure and the join
     read it once.
     """
     dim = dim.persist()
-    if dim.count() <= max_rows:
-        return fact.join(F.broadcast(dim), on, how)
-    return fact.join(dim, on, how)
+    return fact.join(F.broadcast(dim) if _bytes(dim) <= max_bytes else dim, on, how)
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -1,10 +1,7 @@
-"""Column expressions for parsing and checking counts (all JVM-side)."""
+"""SQL text of expressions for parsing and checking counts (all JVM-side)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Text tokens read as missing (the CSV reader's default NA list).
 NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -18,41 +15,6 @@ ISCLOSE_RTOL = 1e-5
 ISCLOSE_ATOL = 1e-8
 
 
-def na_to_null(c: Column) -> Column:
-    """Map NA tokens (after nothing else) to NULL; used for string input only."""
-    return F.when(c.isin(*NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
-
-
-def parse_number(c: Column, dtype: str) -> Column:
-    """Numeric value of ``c`` or NULL; strings must match a plain number, NaN -> NULL."""
-    if dtype == "string":
-        s = na_to_null(c)
-        value = F.when(s.rlike(NUMBER_PATTERN), F.trim(s).try_cast("double"))
-    else:
-        value = c.try_cast("double")
-    return F.when(F.isnan(value), F.lit(None).cast("double")).otherwise(value)
-
-
-def raw_present(c: Column, dtype: str) -> Column:
-    """The source cell holds a value (not NULL / NA token)."""
-    if dtype == "string":
-        return na_to_null(c).isNotNull()
-    if dtype in ("double", "float"):
-        return c.isNotNull() & ~F.isnan(c)
-    return c.isNotNull()
-
-
-def not_integral(x: Column) -> Column:
-    """Not close to the nearest integer (relative tolerance 1e-5, absolute 1e-8)."""
-    r = F.rint(x)
-    return F.abs(x - r) > F.lit(ISCLOSE_ATOL) + F.lit(ISCLOSE_RTOL) * F.abs(r)
-
-
-def trim_ws(c: Column) -> Column:
-    """Strip leading/trailing whitespace including tabs and newlines."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
 # ---- SQL-text forms (one JVM call per expression instead of one per operator)
 
 def q(name: str) -> str:

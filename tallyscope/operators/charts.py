@@ -25,11 +25,11 @@ def turnout_histogram(df: DataFrame, vote_columns: list[str], bins: int = 25) ->
     tcol = turnout_column(df)
     cols = [c for c in vote_columns if c in df.columns]
     if not cols or bins < 2:
-        raise ValueError("At least one candidate vote column and two bins are required")
+        raise ValueError("a histogram needs a vote column and two bins")
     t = F.col(tcol).try_cast("double")
     st = df.filter(t.isNotNull()).agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
     if st["lo"] is None or st["lo"] == st["hi"]:
-        raise ValueError("Turnout histogram requires varying valid turnout observations")
+        raise ValueError("turnout does not vary")
     lo, hi = float(st["lo"]), float(st["hi"])
     width = (hi - lo) / bins
     sums = (
@@ -61,7 +61,7 @@ def distribution_bins(df: DataFrame, columns: list[str] | None = None, bins: int
         columns = [c for c, t in df.dtypes if t in _NUMERIC][:6]
     cols = [c for c, t in df.dtypes if c in columns and t in _NUMERIC]
     if not cols:
-        raise ValueError("No numeric columns were supplied for distribution plots")
+        raise ValueError("no numeric column given")
     st = df.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
     parts = []
     for i, c in enumerate(cols):
@@ -87,7 +87,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pairwise-complete Pearson correlations, long form (one aggregation)."""
     cols = [c for c, t in df.dtypes if c in columns and t in ("double", "float", "int", "bigint", "smallint", "tinyint")]
     if len(cols) < 2:
-        raise ValueError("At least two result columns are required for correlation")
+        raise ValueError("a correlation needs two columns")
     aggs = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
@@ -108,7 +108,7 @@ def flag_counts(df: DataFrame, flag_columns: list[str]) -> DataFrame:
     """Number of flagged records per flag column (NULL counts as not flagged)."""
     cols = [c for c in flag_columns if c in df.columns]
     if not cols:
-        raise ValueError("No flag columns were supplied")
+        raise ValueError("no flag column given")
     wide = df.agg(*[F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in cols])
     pairs = ", ".join(f"'{c}', `{c}`" for c in cols)
     return wide.selectExpr(f"stack({len(cols)}, {pairs}) AS (flag_column, flagged)")
@@ -118,7 +118,7 @@ def turnout_scatter(df: DataFrame, share: str, flag_column: str | None = None) -
     """G1: turnout, share, identifiers, flag and expected share for non-NULL points."""
     tcol = turnout_column(df)
     if share not in df.columns:
-        raise ValueError(f"{share} is missing")
+        raise ValueError(f"the frame lacks {share}")
     flag = F.coalesce(F.col(flag_column), F.lit(False)) if flag_column and flag_column in df.columns else F.lit(False)
     exp = F.col("Turnout_Baseline_Expected_Share") if "Turnout_Baseline_Expected_Share" in df.columns else F.lit(None).cast("double")
     return df.filter(F.col(tcol).isNotNull() & F.col(share).isNotNull()).select(
@@ -133,7 +133,7 @@ def residual_series(df: DataFrame) -> DataFrame:
     req = ["Turnout_Share_Residual", "Turnout_Share_Prediction_Lower", "Turnout_Share_Prediction_Upper", "Turnout_Baseline_Expected_Share"]
     missing = [c for c in req if c not in df.columns]
     if missing:
-        raise ValueError(f"Residual diagnostics are missing: {missing}")
+        raise ValueError(f"the frame lacks {', '.join(missing)}")
     ok = F.col(tcol).isNotNull()
     for c in req:
         ok = ok & F.col(c).isNotNull()
@@ -158,7 +158,7 @@ def trend_series(df: DataFrame, share: str, votes: str) -> DataFrame:
 def down_ballot_series(df: DataFrame, presidential: str, percent_column: str) -> DataFrame:
     """Presidential votes against the down-ballot difference percent."""
     if presidential not in df.columns or percent_column not in df.columns:
-        raise ValueError("Down-ballot plot fields are unavailable")
+        raise ValueError("the frame lacks the columns of this pair")
     return df.filter(F.col(presidential).isNotNull() & F.col(percent_column).isNotNull()).select(
         F.col(presidential).alias("presidential_votes"), F.col(percent_column).alias("difference_percent")
     )
@@ -168,7 +168,7 @@ def map_points(df: DataFrame, value_column: str | None = None, share: str | None
     """Marker rows (value = IF score when present, else the share) and marker class."""
     value_column = value_column or next((c for c in ("IF_Anomaly_Score", share) if c and c in df.columns), None)
     if value_column is None or not {"Latitude", "Longitude"} <= set(df.columns):
-        raise ValueError("Marker map fields are missing")
+        raise ValueError("the frame lacks coordinates")
     v = F.col(value_column).cast("double")
     rows = df.filter(F.col("Latitude").isNotNull() & F.col("Longitude").isNotNull() & v.isNotNull())
     return rows.select(

@@ -125,7 +125,7 @@ def fit(feature_frame: DataFrame, names: list[str]) -> FeatureModel:
     ).first()
     usable = [k for i, k in enumerate(names) if st[f"n{i}"] > 0 and st[f"lo{i}"] != st[f"hi{i}"]]
     if not usable:
-        raise AnalysisUnavailable("No non-constant, validated numeric ML features are available")
+        raise AnalysisUnavailable("no feature varies")
     counts = {k: int(st[f"n{names.index(k)}"]) for k in usable}
     med = exact_quantiles(feature_frame, {k: [0.5] for k in usable}, counts)
     medians = {k: float(med[(k, 0.5)]) for k in usable}
@@ -144,7 +144,7 @@ def transform(feature_frame: DataFrame, model: FeatureModel, keep: list[str] | N
     """Fill, scale and assemble ``features`` (ARRAY<DOUBLE>) in the fitted order."""
     missing = sorted(set(model.features) - set(feature_frame.columns))
     if missing:
-        raise ValueError(f"Input cannot reproduce fitted features: {missing}")
+        raise ValueError(f"features of the fit that the input lacks: {', '.join(missing)}")
     keep = keep if keep is not None else [c for c in feature_frame.columns if c not in model.features]
     scaled = {
         k: (F.coalesce(F.col(f"`{k}`"), F.lit(model.medians[k])) - F.lit(model.centers[k])) / F.lit(model.scales[k])

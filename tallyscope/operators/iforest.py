@@ -176,7 +176,7 @@ def _fit(frame: DataFrame, features: list[str], params: ForestParams | None, key
     params = params or ForestParams()
     n = frame.count()
     if n == 0:
-        raise AnalysisUnavailable("Isolation Forest requires at least one observation")
+        raise AnalysisUnavailable("no rows to grow trees from")
     ms = params.max_samples
     psi = min(256, n) if ms == "auto" else (min(int(ms), n) if isinstance(ms, int) else max(1, int(float(ms) * n)))
     depth = int(math.ceil(math.log2(max(psi, 2))))
@@ -231,15 +231,16 @@ def flags(out: DataFrame, forest: Forest, key: str = "Precinct_ID") -> DataFrame
     return out.select(key, (F.col("raw") > 0).alias("IF_Anomaly_Flag"), norm.alias("IF_Anomaly_Score"), F.col("raw").alias("IF_Raw_Score"))
 
 
-PERMUTATION_BUCKET_ROWS = 50_000
+#: Rows are permuted among so many others, at every size of the table.
+PERMUTATION_BUCKET_ROWS = 1024
 
 
 def feature_importance(frame: DataFrame, forest: Forest, key: str = "Precinct_ID", seed: int = 42) -> DataFrame:
     """Mean |change in raw score| when one feature is permuted across rows.
 
-    Rows are split into hash buckets of ~50k rows; each feature is permuted
-    within a bucket (a random permutation of the rows, restricted to buckets so
-    no task holds the whole table), all features scored in the same task.
+    Rows are dealt by a hash to buckets of about 1024; each feature is permuted within
+    its bucket, which is a random sample of the table, so no task holds the table. All
+    features are scored in the same task.
     """
     n = frame.count()
     buckets = max(1, math.ceil(n / PERMUTATION_BUCKET_ROWS))
@@ -266,7 +267,7 @@ def feature_importance(frame: DataFrame, forest: Forest, key: str = "Precinct_ID
 def save_forest(forest: Forest, path: str, feature_model_json: str) -> None:
     """Persist a fitted forest (node table + parameters) as parquet with a kind tag."""
     if forest.score_min is None:
-        raise ValueError("Models must be fitted before saving")
+        raise ValueError("this forest is not fitted")
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
@@ -285,10 +286,10 @@ def load_forest(path: str) -> tuple[Forest, str]:
     spark = SparkSession.getActiveSession()
     meta = json.loads(spark.read.json(os.path.join(path, "meta")).first()["meta"])
     if meta.get("kind") != "tallyscope.isolation_forest":
-        raise ValueError("Model artifact is not an isolation forest")
+        raise ValueError("not the tables of a forest")
     nodes = spark.read.parquet(os.path.join(path, "nodes"))
     if nodes.filter(F.col("kind") != "tallyscope.isolation_forest.nodes").limit(1).count():
-        raise ValueError("Model artifact is not an isolation forest")
+        raise ValueError("not the tables of a forest")
     params = ForestParams(**meta["params"])
     forest = Forest(nodes.drop("kind").toPandas(), int(meta["psi"]), list(meta["features"]), params)
     forest.offset, forest.score_min, forest.score_max = float(meta["offset"]), float(meta["score_min"]), float(meta["score_max"])

@@ -203,7 +203,9 @@ def ingest(
     row_key: str | None = None,
     streaming: bool = False,
 ) -> Ingestion:
-    """Canonicalise and validate a returns table; lazily returns the validated frame.
+    """Canonicalise and validate a returns table.
+
+    The returned frame is lazy; the call itself looks for a first row and counts repeated keys.
 
     ``streaming=True`` skips the checks that need the whole table (emptiness and
     the duplicate-key rule V7) so the plan runs on a streaming DataFrame.
@@ -253,7 +255,7 @@ def ingest(
         if fr.dtype(c) == "string":
             value = sql_na(value)
         trimmed[c] = sql_trim(value)
-        issues.append(_issue(f"({trimmed[c]} IS NULL OR {trimmed[c]} = '')", "missing_identifier", "error", c, f"Missing required {c} identifier"))
+        issues.append(_issue(f"({trimmed[c]} IS NULL OR {trimmed[c]} = '')", "missing_identifier", "error", c, f"{c} is blank"))
     fr.flush(issues)
     fr.df = fr.df.withColumns({c: F.expr(e) for c, e in trimmed.items()})
     fr.preserve("Precinct_ID")
@@ -263,53 +265,49 @@ def ingest(
     # P8 / V8-V10 counts.
     count_cols = [*schema.candidate_columns, *schema.registration_parts, *(p.column for p in schema.pairs)]
     count_cols += [c for c in CANONICAL_COUNTS if fr.has(c)]
-    parsed = {}
-    for c in dict.fromkeys(count_cols):
-        if not fr.has(c):
-            continue
-        t = fr.dtype(c)
-        num = sql_parse_number(q(c), t)
-        issues.append(_issue(f"({sql_present(q(c), t)} AND {num} IS NULL)", "nonnumeric_count", "error", c, f"Count is not numeric: {c}"))
-        issues.append(_issue(f"({num} IS NOT NULL AND {sql_not_integral(num)})", "nonintegral_count", "error", c, f"Count is not an integer: {c}"))
-        issues.append(_issue(f"({num} < 0)", "negative_count", "error", c, f"Count is negative: {c}"))
-        parsed[c] = num
+    # Each number is parsed once, into a column of its own that the rules read.
+    parsed = {f"_n_{c}": (c, fr.dtype(c)) for c in dict.fromkeys(count_cols) if fr.has(c)}
+    fr.df = fr.df.withColumns({n: F.expr(sql_parse_number(q(c), t)) for n, (c, t) in parsed.items()})
+    for n, (c, t) in parsed.items():
+        issues.append(_issue(f"({sql_present(q(c), t)} AND {q(n)} IS NULL)", "nonnumeric_count", "error", c, f"{c} is no number"))
+        issues.append(_issue(f"({q(n)} IS NOT NULL AND {sql_not_integral(q(n))})", "nonintegral_count", "error", c, f"{c} is no whole number"))
+        issues.append(_issue(f"({q(n)} < 0)", "negative_count", "error", c, f"{c} is below 0"))
     fr.flush(issues)
-    fr.df = fr.df.withColumns({c: F.expr(e) for c, e in parsed.items()})
+    fr.df = fr.df.withColumns({c: F.col(n) for n, (c, _) in parsed.items()}).drop(*parsed)
 
     # P9 / V15 coordinates; P10 / V16-V17 reported turnout.
-    coords = {}
-    for c, lo, hi in (("Latitude", -90, 90), ("Longitude", -180, 180)):
-        if not fr.has(c):
-            continue
-        num = sql_parse_number(q(c), fr.dtype(c))
-        bad = f"({num} IS NULL OR NOT ({num} BETWEEN {lo} AND {hi}))"
-        issues.append(_issue(bad, "invalid_or_missing_coordinate", "warning", c, f"{c} is missing or outside [{lo}, {hi}]"))
-        coords[c] = f"CASE WHEN NOT {bad} THEN {num} END"
-    if fr.has("Reported_Turnout_Percent"):
-        c = "Reported_Turnout_Percent"
-        t = fr.dtype(c)
-        num = sql_parse_number(q(c), t)
-        issues.append(_issue(f"({sql_present(q(c), t)} AND {num} IS NULL)", "nonnumeric_reported_turnout", "error", c, "Reported turnout is not numeric"))
-        issues.append(_issue(f"({num} IS NOT NULL AND NOT ({num} BETWEEN 0 AND 100))", "impossible_reported_turnout", "error", c, "Reported turnout is outside 0-100 percent"))
-        coords[c] = num
+    places = {c: span for c, span in (("Latitude", (-90, 90)), ("Longitude", (-180, 180))) if fr.has(c)}
+    turnout = ["Reported_Turnout_Percent"] if fr.has("Reported_Turnout_Percent") else []
+    fr.df = fr.df.withColumns({f"_n_{c}": F.expr(sql_parse_number(q(c), fr.dtype(c))) for c in [*places, *turnout]})
+    values = {}
+    for c, (lo, hi) in places.items():
+        n = q(f"_n_{c}")
+        bad = f"({n} IS NULL OR NOT ({n} BETWEEN {lo} AND {hi}))"
+        issues.append(_issue(bad, "invalid_or_missing_coordinate", "warning", c, f"no {c} between {lo} and {hi}"))
+        values[c] = f"CASE WHEN NOT {bad} THEN {n} END"
+    for c in turnout:
+        n, t = q(f"_n_{c}"), fr.dtype(c)
+        issues.append(_issue(f"({sql_present(q(c), t)} AND {n} IS NULL)", "nonnumeric_reported_turnout", "error", c, "the reported turnout is no number"))
+        issues.append(_issue(f"({n} IS NOT NULL AND NOT ({n} BETWEEN 0 AND 100))", "impossible_reported_turnout", "error", c, "the reported turnout is no percentage"))
+        values[c] = n
     fr.flush(issues)
-    fr.df = fr.df.withColumns({c: F.expr(e) for c, e in coords.items()})
+    fr.df = fr.df.withColumns({c: F.expr(e) for c, e in values.items()}).drop(*[f"_n_{c}" for c in values])
 
     # V11-V14 row rules.
     valid = q("Valid_Contest_Votes")
     critical = ["Valid_Contest_Votes", *schema.candidate_columns] + (["Ballots_Cast"] if fr.has("Ballots_Cast") else [])
     for c in critical:
-        issues.append(_issue(f"({q(c)} IS NULL)", "missing_critical_count", "error", c, f"Missing critical election count: {c}"))
+        issues.append(_issue(f"({q(c)} IS NULL)", "missing_critical_count", "error", c, f"{c} is needed and not there"))
     any_cand = " OR ".join(f"{q(c)} IS NOT NULL" for c in schema.candidate_columns)
     cand_sum = "(" + " + ".join(f"coalesce({q(c)}, 0D)" for c in schema.candidate_columns) + ")"
     total = f"CASE WHEN {any_cand} THEN {cand_sum} END"
     if schema.column("write_in_votes") and fr.has("Write_In_Votes"):
         total = f"({total} + coalesce(`Write_In_Votes`, 0D))"
-    issues.append(_issue(f"({total} > {valid})", "candidate_votes_exceed_contest", "error", None, "Candidate and write-in votes exceed valid contest votes"))
+    issues.append(_issue(f"({total} > {valid})", "candidate_votes_exceed_contest", "error", None, "candidates and write-ins add up to more than Valid_Contest_Votes"))
     if fr.has("Ballots_Cast") and CONTEST_OVER_BALLOTS not in schema.exempt:
-        issues.append(_issue(f"({valid} > `Ballots_Cast`)", "contest_votes_exceed_ballots", "error", None, "Valid contest votes exceed ballots cast"))
+        issues.append(_issue(f"({valid} > `Ballots_Cast`)", "contest_votes_exceed_ballots", "error", None, "more Valid_Contest_Votes than Ballots_Cast"))
     if fr.has("Ballots_Cast") and fr.has("Registered_Voters") and BALLOTS_OVER_REGISTRATION not in schema.exempt:
-        issues.append(_issue("(`Ballots_Cast` > `Registered_Voters`)", "ballots_exceed_registration", "error", None, "Ballots cast exceed registered voters"))
+        issues.append(_issue("(`Ballots_Cast` > `Registered_Voters`)", "ballots_exceed_registration", "error", None, "more Ballots_Cast than Registered_Voters"))
     fr.flush(issues)
 
     # P11-P13 derived columns and V18.
@@ -326,13 +324,13 @@ def ingest(
             diff = f"abs(`Reported_Turnout_Percent` - ({calc}))"
             derived["Turnout_Discrepancy_Percentage_Points"] = diff
             tol = settings.turnout_tolerance
-            issues.append(_issue(f"({diff} > {float(tol)!r})", "turnout_mismatch", "warning", None, f"Reported and calculated turnout differ by more than {tol:g} points"))
+            issues.append(_issue(f"({diff} > {float(tol)!r})", "turnout_mismatch", "warning", None, f"reported turnout is over {tol:g} points off ballots / registration"))
     fr.flush(issues)
     fr.df = fr.df.withColumns({c: F.expr(e) for c, e in derived.items()})
 
     if streaming:
         fr.file_issues.append(_file_issue("duplicate_check_deferred", "warning", None,
-                                          "Duplicate precinct identifiers (V7) are checked on the batch table only"))
+                                          "repeated Precinct_IDs (V7) are looked for in the batch table only"))
         all_issues = F.expr("filter(concat(" + ", ".join(q(c) for c in fr.stages) + "), x -> x IS NOT NULL)")
         validated = fr.df.withColumn("_issues", all_issues).drop(*fr.stages)
         return Ingestion(validated=validated, schema=schema, file_issues=fr.file_issues, source_columns=source_columns)
@@ -340,7 +338,7 @@ def ingest(
     # V7 duplicates over every row, including otherwise invalid ones.
     dup_keys = fr.df.groupBy("Precinct_ID").count().filter(F.col("count") > 1).select("Precinct_ID", F.lit(True).alias("_dup"))
     with_dup = join_dimension(fr.df, dup_keys, "Precinct_ID", "left")
-    dup = _issue("`_dup`", "duplicate_precinct_id", "error", None, "Duplicate precinct identifier")
+    dup = _issue("`_dup`", "duplicate_precinct_id", "error", None, "this Precinct_ID stands in several rows")
     all_issues = F.expr("filter(concat(" + ", ".join(q(c) for c in fr.stages) + f", array({dup})), x -> x IS NOT NULL)")
     validated = with_dup.withColumn("_issues", all_issues).drop("_dup", *fr.stages)
     return Ingestion(validated=validated, schema=schema, file_issues=fr.file_issues, source_columns=source_columns)

@@ -23,9 +23,6 @@ def validate_stream(stream: DataFrame, schema: ContestSchema, settings: Settings
     return ingest(stream, schema, settings, row_key=row_key, streaming=True)
 
 
-def start_issue_sink(ing: Ingestion, checkpoint: str, sink: str = "memory", name: str = "returns_issues", path: str | None = None) -> StreamingQuery:
-    """Append the long issues table of a validated stream to a sink."""
-    writer = ing.issues.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    if sink == "memory":
-        return writer.format("memory").queryName(name).start()
-    return writer.format(sink).option("path", path).start()
+def start_issue_sink(ing: Ingestion, checkpoint: str, path: str, sink: str = "parquet") -> StreamingQuery:
+    """Append the long issues table of a validated stream to files under ``path``."""
+    return ing.issues.writeStream.outputMode("append").option("checkpointLocation", checkpoint).format(sink).option("path", path).start()

@@ -62,7 +62,7 @@ def test_save_and_load_forest(fitted, tmp_path):
 
 def test_transform_needs_fitted_features(fitted, spark):
     _f, _n, model, _s, _forest = fitted
-    with pytest.raises(ValueError, match="reproduce"):
+    with pytest.raises(ValueError, match="lacks"):
         features.transform(spark.createDataFrame([("x",)], "Precinct_ID string"), model)
 
 
