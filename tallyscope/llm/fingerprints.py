@@ -31,6 +31,8 @@ N_SLOTS = sum(SLOTS.values())
 EMPTY = 0xFFFF
 #: UTF-8 bytes of text that one task of the neighbour step is dealt, about.
 TASK_BYTES = 8 << 20
+#: Text bytes parsed at once.
+SLICE_BYTES = 1 << 19
 
 
 def _toss(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -110,7 +112,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_chars, fingerprint) of every row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in row_slices(batches):
+        for rb in row_slices(batches, max_bytes=SLICE_BYTES):
             texts = [t or "" for t in rb.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(to_text(fingerprint_texts(texts)))], ["doc_id", "n_chars", "fingerprint"])
 
@@ -176,7 +178,7 @@ def edited_fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, owned, parts = [], [], [], []
-        for rb in row_slices(batches):
+        for rb in row_slices(batches, max_bytes=SLICE_BYTES):
             ids += rb.column("doc_id").to_pylist()
             texts += [t or "" for t in rb.column("text").to_pylist()]
             owned += [c == 0 for c in rb.column("copy").to_pylist()]
