@@ -36,10 +36,10 @@ SYMBOLS = 64
 BITS = 6
 OTHER = SYMBOLS - 1
 MIN_GAIN = 8.0
-MAX_STATES = 1 << 17
+MAX_STATES = 1 << 16
 HEAD_WORDS = 400_000
 #: Distinct sequences that a counting task holds before it passes them on.
-HELD = 4 << 20
+HELD = 1 << 20
 END = 0x0A
 MASKS = [(1 << (BITS * (d + 1))) - 1 for d in range(DEPTH + 1)]
 
@@ -183,8 +183,8 @@ def grow_tree(spark: SparkSession, grams: DataFrame, fold: np.ndarray) -> Tree:
     closed = kept.select("ctx", suffixes.alias("d")).select("d", F.col("ctx").bitwiseAND(F.element_at(F.array(*map(F.lit, context_masks)), F.col("d") + 1)).alias("ctx"))
     closed = closed.unionByName(spark.createDataFrame([(0, 0)], "d int, ctx bigint")).distinct()
     # bounded by (DEPTH + 1) * MAX_STATES contexts of SYMBOLS counts
-    rows = own.join(closed, ["d", "ctx"]).select("d", "ctx", F.col("g").bitwiseAND(SYMBOLS - 1).alias("s"), "n").toPandas()
-    return tables_of(rows["d"].to_numpy(), rows["ctx"].to_numpy(), rows["s"].to_numpy(), rows["n"].to_numpy(), fold)
+    rows = own.join(closed, ["d", "ctx"]).select("d", "ctx", F.col("g").bitwiseAND(SYMBOLS - 1).alias("s"), "n").toArrow()
+    return tables_of(*(rows.column(c).to_numpy() for c in ("d", "ctx", "s", "n")), fold)
 
 
 def tables_of(d: np.ndarray, ctx: np.ndarray, s: np.ndarray, n: np.ndarray, fold: np.ndarray) -> Tree:
@@ -192,11 +192,11 @@ def tables_of(d: np.ndarray, ctx: np.ndarray, s: np.ndarray, n: np.ndarray, fold
     key = (d.astype(np.int64) << 48) | ctx
     states = np.unique(np.r_[0, key])
     at = np.searchsorted(states, key)
-    count = np.zeros((len(states), SYMBOLS))
+    count = np.zeros((len(states), SYMBOLS), np.float32)
     np.add.at(count, (at, s.astype(np.int64)), n)
     depth, context = states >> 48, states & ((1 << 48) - 1)
     child = np.zeros(len(states) * SYMBOLS, np.int32)
-    p = np.full((len(states), SYMBOLS), 1.0 / SYMBOLS)
+    p = np.full((len(states), SYMBOLS), 1.0 / SYMBOLS, np.float32)
     for level in range(DEPTH + 1):
         here = np.flatnonzero(depth == level)
         if not len(here):
@@ -208,9 +208,9 @@ def tables_of(d: np.ndarray, ctx: np.ndarray, s: np.ndarray, n: np.ndarray, fold
             lower = p[parent]
         kinds = np.maximum((count[here] > 0).sum(1, keepdims=True), 1)
         p[here] = (count[here] + kinds * lower) / (count[here].sum(1, keepdims=True) + kinds)
-    logp = np.log10(p)
+    logp = np.log10(p, out=p)
     logp[:, OTHER] -= math.log10(256 - (OTHER - 1))
-    return Tree(fold, child, logp.astype(np.float32).ravel())
+    return Tree(fold, child, logp.ravel())
 
 
 def score_stream(tree: Tree, stream: np.ndarray) -> np.ndarray:
@@ -238,8 +238,8 @@ def score(spark: SparkSession, docs: DataFrame, held_out: str, id_col: str = "do
     total = n_words + n_docs
     log_all = math.log10(total + distinct + (n_docs > 0) + 1)
 
-    head = _top(vocabulary, "n", HEAD_WORDS).toPandas()
-    known, count = head["h"].to_numpy(np.int64), head["n"].to_numpy(np.int64)
+    head = _top(vocabulary, "n", HEAD_WORDS).toArrow()
+    known, count = head.column("h").to_numpy(), head.column("n").to_numpy()
     order = np.argsort(known)
     shared = spark.sparkContext.broadcast((tree, known[order], count[order]))
 
