@@ -85,7 +85,7 @@ def frequent_hashes(docs: DataFrame, per_slice: Callable[[pa.RecordBatch], tuple
 
     least = max(FREQUENT_LEAST, int(FREQUENT_SHARE * some.count()))
     counted = some.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return np.sort(np.array([r["h"] for r in counted.select("h").collect()], np.int64).view(np.uint64))
+    return np.sort(counted.select("h").toArrow().column("h").to_numpy().view(np.uint64))
 
 
 def is_member(values: np.ndarray, table: np.ndarray) -> np.ndarray:

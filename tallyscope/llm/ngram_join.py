@@ -1,17 +1,19 @@
 """N-gram Jaccard join with set-relation skipping.
 
 A document's set holds the hashes of its distinct word shingles. Two sets link when
-100 * |intersection| >= 80 * |union|. Linked sets share an element among the first
-n - ceil(0.8 n) + 1 of each in one global order, so only these are indexed: frequent shingles
-(named by a sample) come last in the order, others by hash. Equal sets are one set.
+100 * |intersection| >= 80 * |union|. In one global order (frequent shingles, named by a
+sample, come last; others stand by hash) linked sets share an element among the first
+n - ceil(0.8 n) + 1 of each, and at least m among the first n - ceil(0.8 n) + m. Only
+prefixes of the second kind are indexed. Equal sets are one set.
 
 The index keeps lists of at least two sets, each entry with the set's size and the position
 of the element. Lists are read in blocks of similar size, and blocks whose sizes or positions
-rule a link out are skipped. In each list the sets are first held against one leader. Whoever
-links to it, a highly similar set, takes its answers over: pairs inside a component need no
-look, and by the triangle inequality of the Jaccard distance, |d(x, leader) - d(y, leader)|
-over 0.2 rules the pair (x, y) out. Only pairs left over are verified, on the whole sets, so
-no link between different components is missed.
+rule a link out are skipped. In each list the sets are first held against one leader, each
+set against the leader it shares most with. Whoever links to it, a highly similar set, takes
+its answers over: pairs inside a component need no look, and by the triangle inequality of
+the Jaccard distance, |d(x, leader) - d(y, leader)| over 0.2 rules the pair (x, y) out, as do
+too many elements that only one of the sets left over has. Pairs that then share enough of
+their prefixes are verified on the whole sets, so no link between different components is missed.
 
 Null text and text without words give an empty set, linked with nothing. Rows with a null id
 are classed by themselves (component null). Rows with equal ids and different texts are one
@@ -34,6 +36,8 @@ from tallyscope.llm.tables import stage
 
 #: Link condition: DEN * |intersection| >= NUM * |union|.
 NUM, DEN = 80, 100
+#: A tenth of each set is indexed beyond the elements that one shared element needs.
+EXTRA = 10
 #: Size classes of index blocks: a link spans neighbouring classes at most.
 CLASS_BASE = DEN / NUM
 #: Up to so many document ids (16 MB) are broadcast to fetch their sets; beyond, they are joined.
@@ -54,6 +58,11 @@ def least_overlap(n: int) -> int:
     return -(-NUM * n // DEN)
 
 
+def prefix_size(n: int) -> int:
+    """Indexed elements of a set of ``n``: linked sets share 1 + n // EXTRA of them, for the smaller n."""
+    return min(n, n - least_overlap(n) + 1 + n // EXTRA)
+
+
 def sets_of(rb: pa.RecordBatch, size: int) -> list[np.ndarray]:
     h, first = shingles(rb, size)
     return [np.unique(h[a:b]) for a, b in zip(first.tolist(), first[1:].tolist())]
@@ -90,7 +99,7 @@ def index_rows(spark: SparkSession, docs: DataFrame, size: int) -> tuple[DataFra
                 if not len(own) or (key := int(sig[i])) in seen:
                     continue
                 seen.add(key)
-                take = len(own) - least_overlap(len(own)) + 1
+                take = prefix_size(len(own))
                 if len(shared.value):
                     late = is_member(own, shared.value)
                     own = np.concatenate([own[~late], own[late]])
@@ -143,8 +152,7 @@ def shared_entries(packed: DataFrame, bits: int) -> DataFrame:
         many = np.r_[False, h[1:] == h[:-1]]
         many[:-1] |= many[1:]
         h, sig, n, extra = h[many], sig[many], n[many], extra[many].astype(np.int64)
-        take = n + NUM * n // -DEN + 1
-        pos = extra * take // 256
+        pos = extra * np.minimum(n, n + NUM * n // -DEN + 1 + n // EXTRA) // 256
         return pa.table({"h": h.view(np.int64), "sig": sig, "n": n, "pos": pos})
 
     return packed.groupBy("bucket").applyInArrow(run, "h bigint, sig bigint, n bigint, pos bigint")
@@ -188,52 +196,79 @@ _SIZES = f"least(x.n, y.n) * {DEN} >= greatest(x.n, y.n) * {NUM}"
 _POSITIONS = f"least(x.n - x.pos, y.n - y.pos) * {DEN + NUM} >= {NUM} * (x.n + y.n)"
 
 
+#: Elements that linked sets of n_x and n_y elements share at least, and how many of those the
+#: prefixes must hold: a prefix of t elements leaves n - t others, so t - (n - overlap) are in it.
+_OVERLAP = f"ceil({NUM} * (x.n + y.n) / {DEN + NUM})"
+_PREFIX = f"least({{0}}.n, {{0}}.n - ceil({NUM} * {{0}}.n / {DEN}) + 1 + floor({{0}}.n / {EXTRA}))"
+_SHARED = f"least({_PREFIX.format('x')} - x.n, {_PREFIX.format('y')} - y.n) + {_OVERLAP}"
+
+
+def sharing(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(a, b, shared) of the pairs (a, b) that share as many prefix elements as a link needs."""
+    listed = entries.groupBy("sig").agg(F.collect_list("h").alias("hs"), F.first("n").alias("n"))  # at most one set's prefix
+    both = pairs.join(listed.withColumnRenamed("sig", "a").alias("x"), "a").join(listed.withColumnRenamed("sig", "b").alias("y"), "b")
+    return both.select("a", "b", F.expr(_SHARED).alias("least"), F.size(F.array_intersect("x.hs", "y.hs")).alias("shared")).filter("shared >= least").select("a", "b", "shared")
+
+
+def lonely_elements(sets: DataFrame) -> DataFrame:
+    """(sig, lonely): how many elements of a set are in no other of ``sets``; sets without any are left out."""
+    single = sets.select("sig", F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("k"), F.min("sig").alias("sig")).filter("k = 1")
+    return single.groupBy("sig").agg(F.count("*").alias("lonely"))
+
+
 def links(spark: SparkSession, docs: DataFrame, table: DataFrame, packed: DataFrame, bits: int, size: int) -> DataFrame:
     """Edges (a, b) between set signatures: every link, up to those inside a component that others already join."""
-    entries = stage(spark, shared_entries(packed, bits).withColumn("block", F.floor(F.log(CLASS_BASE, F.col("n")))), "jaccard-lists")
-    # the leader of a list is its smallest signature in each block, read by its own and the next block
-    leaders = entries.groupBy("h", "block").agg(F.min_by(F.struct("sig", "n", "pos"), "sig").alias("lead"))
-    leaders = leaders.select("h", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), "lead.*")
-    met = entries.alias("x").join(leaders.alias("y"), ["h", "block"]).filter(f"x.sig <> y.sig and {_SIZES} and {_POSITIONS}")
-    first = stage(spark, met.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b")).distinct(), "jaccard-pairs")
+    entries = stage(spark, shared_entries(packed, bits), "jaccard-lists")
+    # the first element that linked sets share stands among these
+    lists = entries.filter(f"pos <= n - ceil({NUM} * n / {DEN})").withColumn("block", F.floor(F.log(CLASS_BASE, F.col("n"))))
+    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block")
+    # the leader of a list, in each block, is the set of whose prefix the largest share is in lists: the
+    # least changed of a group of near copies; read by its own block and the next ones
+    spread_of = entries.groupBy("sig").agg((F.count("*") / F.first("n")).alias("share"))
+    best = F.max_by(F.struct("sig", "n", "pos"), F.struct("share", "sig"))
+    leaders = lists.join(spread_of, "sig").groupBy("h", "block").agg(best.alias("lead")).select("h", near, "lead.*")
+    met = lists.alias("x").join(leaders.alias("y"), ["h", "block"]).filter(f"x.sig <> y.sig and {_SIZES} and {_POSITIONS}")
+    stars = sharing(met.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct(), entries)
+    held = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    first = stage(spark, held.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "jaccard-pairs")
 
     # one document per set that stands in some list of two sets
-    listed = entries.select("sig").distinct()
-    home = table.filter("n > 0").join(listed, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    in_pairs = first.select(F.col("a").alias("sig")).union(first.select("b")).distinct()
-    sets = stage(spark, fetch_sets(spark, docs, home.join(in_pairs, "sig", "left_semi").select("doc_id"), size), "jaccard-sets")
+    home = stage(spark, table.filter("n > 0").join(lists.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "jaccard-homes")
+    needed = first.select(F.col("a").alias("sig")).union(first.select("b")).distinct()
+    sets = stage(spark, fetch_sets(spark, docs, home.join(needed, "sig", "left_semi").select("doc_id"), size), "jaccard-sets")
     checked = stage(spark, verify(first, sets), "jaccard-checked")
     good = f"common * {DEN} >= total * {NUM}"
     edges = checked.filter(good).select("a", "b")
-    label = components(spark, edges)
+    label = stage(spark, components(spark, edges), "jaccard-labels")
 
     # What is left: pairs of one list in different components. Lists within one component are skipped whole.
-    named = entries.join(label.withColumnsRenamed({"node": "sig"}), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    named = lists.join(label.withColumnsRenamed({"node": "sig"}), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     spread = named.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("h")
     open_lists = stage(spark, named.join(spread, "h"), "jaccard-open")
     # the largest component of each list is not held against itself
     sizes = open_lists.groupBy("h", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    # distances to the list's first leader, where known
-    lead = open_lists.groupBy("h").agg(F.min("sig").alias("lead"))
-    marked = open_lists.join(main, "h").join(lead, "h")
-    known = checked.select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
-    known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    marked = marked.join(known.withColumnsRenamed({"a": "sig", "b": "lead"}), ["sig", "lead"], "left")
-    marked = marked.withColumn("d", F.when(F.col("sig") == F.col("lead"), F.lit(0.0)).otherwise(F.col("d")))
-    marked = stage(spark, marked, "jaccard-marked")
-    x = marked.filter("component <> main").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))).alias("x")
-    rest = x.join(marked.alias("y"), ["h", "block"]).filter(
-        f"x.component <> y.component and {_SIZES} and {_POSITIONS} and (x.d is null or y.d is null or abs(x.d - y.d) <= {1 - NUM / DEN} + 1e-9)"
-    )
+    # the distance of each set to one that it was held against
+    apart = checked.select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
+    known = apart.select(F.col("a").alias("sig"), F.col("b").alias("lead"), "d").unionByName(apart.select(F.col("b").alias("sig"), F.col("a").alias("lead"), "d"))
+    leads_of = known.groupBy("lead").agg(F.count("*").alias("k"))
+    known = known.unionByName(leads_of.select(F.col("lead").alias("sig"), "lead", F.lit(0.0).alias("d"))).join(leads_of, "lead")
+    # of several, the one that most sets were held against
+    leads = known.groupBy("sig").agg(F.max_by(F.struct("lead", "d"), F.struct("k", "lead")).alias("held"))
+    # sets of the open lists, and what of them no other one of these sets has: it is in no intersection
+    members = open_lists.select("sig").distinct()
+    fresh = home.join(members, "sig", "left_semi").join(needed, "sig", "left_anti").select("doc_id")
+    every = sets.join(members, "sig", "left_semi").unionByName(fetch_sets(spark, docs, fresh, size))
+    every = stage(spark, every, "jaccard-open-sets")
+    marked = open_lists.join(main, "h").join(leads, "sig", "left").join(lonely_elements(every), "sig", "left")
+    marked = stage(spark, marked.withColumn("lonely", F.coalesce("lonely", F.lit(0))), "jaccard-marked")
+    x = marked.filter("component <> main").withColumn("block", near).alias("x")
+    apart = f"(x.held is null or y.held is null or x.held.lead <> y.held.lead or abs(x.held.d - y.held.d) <= {1 - NUM / DEN} + 1e-9)"
+    enough = f"least(x.n - x.lonely, y.n - y.lonely) >= {_OVERLAP}"
+    rest = x.join(marked.alias("y"), ["h", "block"]).filter(f"x.component <> y.component and {_SIZES} and {_POSITIONS} and {enough} and {apart}")
     rest = rest.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = stage(spark, rest, "jaccard-rest")
-    if rest.isEmpty():
-        return edges
-    more_ids = rest.select(F.col("a").alias("sig")).union(rest.select("b")).distinct()
-    fresh = home.join(more_ids, "sig", "left_semi").join(in_pairs, "sig", "left_anti").select("doc_id")
-    more = sets.unionByName(fetch_sets(spark, docs, fresh, size))
-    return edges.unionByName(verify(rest, more).filter(good).select("a", "b"))
+    rest = stage(spark, sharing(rest, entries).select("a", "b"), "jaccard-rest")
+    return edges.unionByName(verify(rest, every).filter(good).select("a", "b"))
 
 
 def link_components(spark: SparkSession, docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 
 #: Byte classes of the contracts: words are maximal runs of the True bytes.
 NON_SPACE = np.ones(256, bool)
@@ -90,7 +90,7 @@ def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             up = np.cumprod(np.full(size, base, np.uint64))
             down = np.cumprod(np.full(size, pow(base, -1, 1 << 64), np.uint64))
         have = np.concatenate([[np.uint64(1)], up[:-1]]), np.concatenate([[np.uint64(1)], down[:-1]])
-        if size <= 8 * BATCH_BYTES:
+        if size <= 16 * BATCH_BYTES:
             _powers[base] = have
     return have
 

@@ -28,7 +28,7 @@ from tallyscope.llm.ragged import NON_SPACE, row_slices, utf8, window_hashes, wo
 from tallyscope.llm.tables import stage, wider
 
 #: Text bytes hashed at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Up to so many ids of documents with repeats are broadcast (16 MB) so that other texts need no shuffle.
 IDS_BROADCAST = 2_000_000
 
@@ -62,10 +62,10 @@ def frequent_minima(spark: SparkSession, docs: DataFrame, size: int) -> tuple[np
             np.minimum.at(least, at, ids)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(least)], ["h", "doc_id"])
 
-    got = docs.mapInArrow(run, "h bigint, doc_id bigint").groupBy("h").agg(F.min("doc_id").alias("doc_id")).toPandas()
-    h = got["h"].to_numpy().view(np.uint64)
+    got = docs.mapInArrow(run, "h bigint, doc_id bigint").groupBy("h").agg(F.min("doc_id").alias("doc_id")).toArrow()
+    h = got.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], got["doc_id"].to_numpy()[order]
+    return h[order], got.column("doc_id").to_numpy()[order]
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, size: int, skip: np.ndarray) -> DataFrame:
