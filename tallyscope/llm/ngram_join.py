@@ -203,9 +203,9 @@ _PREFIX = f"least({{0}}.n, {{0}}.n - ceil({NUM} * {{0}}.n / {DEN}) + 1 + floor({
 _SHARED = f"least({_PREFIX.format('x')} - x.n, {_PREFIX.format('y')} - y.n) + {_OVERLAP}"
 
 
-def sharing(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+def sharing(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(a, b, shared) of the pairs (a, b) that share as many prefix elements as a link needs."""
-    listed = entries.groupBy("sig").agg(F.collect_list("h").alias("hs"), F.first("n").alias("n"))  # at most one set's prefix
+    listed = prefixes.select("sig", "n", "hs")
     both = pairs.join(listed.withColumnRenamed("sig", "a").alias("x"), "a").join(listed.withColumnRenamed("sig", "b").alias("y"), "b")
     return both.select("a", "b", F.expr(_SHARED).alias("least"), F.size(F.array_intersect("x.hs", "y.hs")).alias("shared")).filter("shared >= least").select("a", "b", "shared")
 
@@ -218,17 +218,20 @@ def lonely_elements(sets: DataFrame) -> DataFrame:
 
 def links(spark: SparkSession, docs: DataFrame, table: DataFrame, packed: DataFrame, bits: int, size: int) -> DataFrame:
     """Edges (a, b) between set signatures: every link, up to those inside a component that others already join."""
-    entries = stage(spark, shared_entries(packed, bits), "jaccard-lists")
+    # prefixes without the elements that no other set has in its own; a set with fewer of them than a link to
+    # a set of the smallest possible size needs is in no link (one row holds at most one set's prefix)
+    prefixes = shared_entries(packed, bits).groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("h").alias("hs"), F.collect_list("pos").alias("ps"))
+    prefixes = stage(spark, prefixes.filter(f"size(hs) >= 1 + floor(ceil({NUM} * n / {DEN}) / {EXTRA})"), "jaccard-prefixes")
     # the first element that linked sets share stands among these
-    lists = entries.filter(f"pos <= n - ceil({NUM} * n / {DEN})").withColumn("block", F.floor(F.log(CLASS_BASE, F.col("n"))))
+    lists = prefixes.select("sig", "n", F.explode(F.arrays_zip("hs", "ps")).alias("e")).select("sig", "n", F.col("e.hs").alias("h"), F.col("e.ps").alias("pos"))
+    lists = lists.filter(f"pos <= n - ceil({NUM} * n / {DEN})").withColumn("block", F.floor(F.log(CLASS_BASE, F.col("n"))))
     near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block")
     # the leader of a list, in each block, is the set of whose prefix the largest share is in lists: the
     # least changed of a group of near copies; read by its own block and the next ones
-    spread_of = entries.groupBy("sig").agg((F.count("*") / F.first("n")).alias("share"))
     best = F.max_by(F.struct("sig", "n", "pos"), F.struct("share", "sig"))
-    leaders = lists.join(spread_of, "sig").groupBy("h", "block").agg(best.alias("lead")).select("h", near, "lead.*")
+    leaders = lists.join(prefixes.select("sig", (F.size("hs") / F.col("n")).alias("share")), "sig").groupBy("h", "block").agg(best.alias("lead")).select("h", near, "lead.*")
     met = lists.alias("x").join(leaders.alias("y"), ["h", "block"]).filter(f"x.sig <> y.sig and {_SIZES} and {_POSITIONS}")
-    stars = sharing(met.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct(), entries)
+    stars = sharing(met.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct(), prefixes)
     held = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     first = stage(spark, held.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "jaccard-pairs")
 
@@ -267,7 +270,7 @@ def links(spark: SparkSession, docs: DataFrame, table: DataFrame, packed: DataFr
     enough = f"least(x.n - x.lonely, y.n - y.lonely) >= {_OVERLAP}"
     rest = x.join(marked.alias("y"), ["h", "block"]).filter(f"x.component <> y.component and {_SIZES} and {_POSITIONS} and {enough} and {apart}")
     rest = rest.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = stage(spark, sharing(rest, entries).select("a", "b"), "jaccard-rest")
+    rest = stage(spark, sharing(rest, prefixes).select("a", "b"), "jaccard-rest")
     return edges.unionByName(verify(rest, every).filter(good).select("a", "b"))
 
 
