@@ -620,3 +620,48 @@ SELECT CASE WHEN count(*) FILTER (WHERE bad) = 0 THEN 'valid' ELSE 'valid_with_e
        count(*) AS original_rows, count(*) FILTER (WHERE NOT bad) AS accepted_rows, count(*) FILTER (WHERE bad) AS excluded_rows
 FROM a"""
     return with_views(body, raw=True)
+
+
+# ------------------------------------------------------------------ digit tests, layouts, CSV
+
+def digit_tests() -> str:
+    """Chi-square tails as 1 - P(df / 2, x / 2), the lower gamma ratio by its power series; Holm over the tests that ran."""
+    cols = DIGIT_COLS + BENFORD_COLS[:2]
+    return with_views(f"""WITH d AS ({_digits_long(cols)}),
+ln AS (SELECT col, count(*) AS n FROM d GROUP BY col),
+lc AS (SELECT col, abs(v) % 10 AS digit, count(*) AS o FROM d GROUP BY ALL),
+lt AS (SELECT ln.col, n, sum(coalesce(o, 0) * coalesce(o, 0)) * 10.0 / n - n AS x FROM ln CROSS JOIN range(10) g(digit)
+       LEFT JOIN lc ON lc.col = ln.col AND lc.digit = g.digit GROUP BY ln.col, n),
+p AS (SELECT col, v FROM d WHERE v > 0),
+bn AS (SELECT col, count(*) AS n, log10(max(v)) - log10(min(v)) AS orders FROM p GROUP BY col),
+bc AS (SELECT col, CAST(substr(CAST(v AS VARCHAR), 1, 1) AS INTEGER) AS digit, count(*) AS o FROM p GROUP BY ALL),
+bt AS (SELECT bn.col, n, orders, sum((coalesce(o, 0) - n * log10(1 + 1.0 / g.digit)) ** 2 / (n * log10(1 + 1.0 / g.digit))) AS x
+       FROM bn CROSS JOIN range(1, 10) g(digit) LEFT JOIN bc ON bc.col = bn.col AND bc.digit = g.digit GROUP BY ALL),
+t AS (SELECT col, 'last_digit_uniformity' AS test, n >= 30 AS ran, x, 4.5 AS a FROM lt
+      UNION ALL SELECT bt.col, 'benford_first_digit', bt.n >= 100 AND orders >= 2, bt.x, 4.0 FROM bt JOIN ln ON ln.col = bt.col AND ln.n >= 30),
+pv AS (SELECT col, test, x, CASE WHEN x > 1000 THEN 0.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(2000), lambda k: exp((a + k) * ln(x / 2) - lgamma(a + k + 1) - x / 2)))) END AS pr
+       FROM t WHERE ran),
+rk AS (SELECT *, row_number() OVER (ORDER BY pr) AS r, count(*) OVER () AS m FROM pv),
+ho AS (SELECT *, least(max((m - r + 1) * pr) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING), 1.0) AS adj FROM rk)
+SELECT t.col AS "column", t.test, CASE WHEN t.ran THEN 'successful' ELSE 'unavailable' END AS status, round(ho.x, 6) AS statistic,
+       round(ho.pr, 6) AS p_value, round(ho.adj, 6) AS adjusted_p_value, ho.adj < 0.05 AS significant
+FROM t LEFT JOIN ho ON ho.col = t.col AND ho.test = t.test""")
+
+
+def alternate_layout() -> str:
+    return with_views("""SELECT Jurisdiction || '::' || Precinct AS Precinct_ID, Jurisdiction, 'old' AS Source_Original__Jurisdiction,
+       CAST(Registered_Voters AS DOUBLE) AS Registered_Voters, CAST(Valid_Contest_Votes AS DOUBLE) AS Ballots_Cast,
+       CAST(Valid_Contest_Votes AS DOUBLE) AS Valid_Contest_Votes, round(Latitude, 6) AS Latitude, round(Longitude, 6) AS Longitude,
+       round(Valid_Contest_Votes / Registered_Voters * 100, 6) AS Reported_Turnout_Percent,
+       round(Valid_Contest_Votes / Registered_Voters * 100, 6) AS Calculated_Turnout_Percent,
+       round(CASE WHEN Valid_Contest_Votes > 0 THEN Votes_Candidate_A / Valid_Contest_Votes END, 6) AS Candidate_Share__harris,
+       round(CASE WHEN Valid_Contest_Votes > 0 THEN Votes_Candidate_B / Valid_Contest_Votes END, 6) AS Candidate_Share__trump,
+       'legacy_harris_trump' AS layout, 2 AS file_issues
+FROM returns""")
+
+
+def csv_round_trip() -> str:
+    return with_views("""SELECT Jurisdiction, Precinct, CAST(Valid_Contest_Votes AS DOUBLE) AS Valid_Contest_Votes,
+       CAST(Votes_Candidate_A AS DOUBLE) AS Votes_Candidate_A, CAST(Votes_Candidate_B AS DOUBLE) AS Votes_Candidate_B,
+       'say "' || Precinct || '",' || chr(10) || 'then a line' AS note, 'utf-8' AS encodings
+FROM returns""")

@@ -6,6 +6,7 @@ input; names and output columns match ``oracle_sql`` one to one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +24,11 @@ from ..operators import spatial as m6
 from ..schema import DbscanParams, SpatialParams
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures
+from ..sources.csv import read_returns_csv
 from ..operators import trend as m3
 from ..operators import turnout as m1
 from ..schema import fixture_schema
-from ..operators.ingest import canonical_columns
+from ..operators.ingest import canonical_columns, ingest
 from ..operators.summary import data_summary
 from . import oracle_sql as osql
 from .prepare import analysis_frame, raw_ingestion, rounded
@@ -410,7 +412,40 @@ def q_digit_tests(spark: SparkSession, d: str) -> DataFrame:
     res = m4.digit_diagnostics(analysis_frame(spark, d), DIGIT_COLS + BENFORD_COLS[:2], m4.DigitParams(benford_enabled=True))
     rows = [(t["column"], t["test"], t["status"], t.get("statistic"), t.get("p_value"), t.get("adjusted_p_value"), t.get("significant"))
             for t in res.diagnostics["tests"]]
-    return spark.createDataFrame(rows, "column string, test string, status string, statistic double, p_value double, adjusted_p_value double, significant boolean")
+    return rounded(spark.createDataFrame(rows, "column string, test string, status string, statistic double, p_value double, adjusted_p_value double, significant boolean"))
+
+
+def q_alternate_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Returns in the two-party layout, recognised by its columns; a column of a generated name collides."""
+    r = fixtures.returns(spark, d)
+    part = F.floor(F.col("Registered_Voters") / 3).cast("bigint")
+    source = r.select(
+        F.col("Jurisdiction").alias("County"), "Precinct", F.col("Latitude").alias("Lat"), F.col("Longitude").alias("Lon"),
+        part.alias("Registered_Dem"), (F.col("Registered_Voters") - part).alias("Registered_Rep"),
+        F.col("Votes_Candidate_A").alias("Votes_Harris"), F.col("Votes_Candidate_B").alias("Votes_Trump"),
+        F.col("Valid_Contest_Votes").alias("Total_Votes"),
+        (F.col("Valid_Contest_Votes") / F.col("Registered_Voters") * 100).alias("Turnout_Percent"), F.lit("old").alias("Jurisdiction"))
+    ing = ingest(source)
+    return rounded(ing.accepted.select(
+        "Precinct_ID", "Jurisdiction", "Source_Original__Jurisdiction", "Registered_Voters", "Ballots_Cast", "Valid_Contest_Votes",
+        "Latitude", "Longitude", "Reported_Turnout_Percent", "Calculated_Turnout_Percent", "Candidate_Share__harris", "Candidate_Share__trump",
+        F.lit(ing.schema.name).alias("layout"), F.lit(len(ing.file_issues)).alias("file_issues")))
+
+
+CSV_COLS = ["Jurisdiction", "Precinct", "Valid_Contest_Votes", "Votes_Candidate_A", "Votes_Candidate_B", "note"]
+
+
+def q_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Returns written to CSV in two column orders, with quotes and line breaks, and read back."""
+    note = F.concat(F.lit('say "'), F.col("Precinct"), F.lit('",\nthen a line'))
+    r = fixtures.returns(spark, d).withColumn("note", note).select(*CSV_COLS)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    for i, cols in enumerate((CSV_COLS, CSV_COLS[::-1])):
+        part = r.filter(F.pmod(F.col("Valid_Contest_Votes").cast("bigint"), F.lit(2)) == i)
+        part.select(*cols).write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/{i}")
+    df, encodings = read_returns_csv(spark, [f"{path}/0", f"{path}/1"])
+    numbers = [F.col(c).cast("double").alias(c) for c in CSV_COLS[2:5]]
+    return rounded(df.select("Jurisdiction", "Precinct", *numbers, "note", F.lit(",".join(sorted(set(encodings.values())))).alias("encodings")))
 
 
 def q_method_status(spark: SparkSession, d: str) -> DataFrame:
@@ -478,6 +513,8 @@ QUERIES: dict[str, Query] = {
     "validation_status": q_validation_status,
     "digit_tests": q_digit_tests,
     "method_status": q_method_status,
+    "alternate_layout": q_alternate_layout,
+    "csv_round_trip": q_csv_round_trip,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -498,6 +535,6 @@ ORACLES: dict[str, Callable[[], str]] = {
         "chart_map", "map_center", "features", "features_scaled",
         "knn_edges", "moran_global", "moran_local", "moran_permutation", "polygon_queen", "polygon_rook",
         "dbscan_labels", "cluster_profile", "turnout_share_by_type", "polygon_moran", "binned_scatter",
-        "returns_preview", "validation_status",
+        "returns_preview", "validation_status", "digit_tests", "alternate_layout", "csv_round_trip",
     )},
 }
