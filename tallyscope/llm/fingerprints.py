@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,10 +134,14 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
     marks = [i / n_parts for i in range(1, n_parts)]
     bounds = docs.select(key.alias("k")).agg(F.percentile_approx("k", marks, 10 * n_parts)).first()[0] if marks else None
-    bounds = sorted(set(bounds or []))
-    # the bounds are one array of fewer than n_parts numbers
-    part = F.expr(f"size(filter(array({','.join(f'{b}L' for b in bounds)}), b -> b < k))") if bounds else F.lit(0)
-    keyed = docs.withColumn("k", key).withColumn("part", part)
+    # fewer than one number per part; a part is found by binary search
+    shared = spark.sparkContext.broadcast(np.array(sorted(set(bounds or [])), np.int64))
+
+    @F.pandas_udf("int")
+    def part(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, k.to_numpy(), "left"))
+
+    keyed = docs.withColumn("k", key).withColumn("part", part("k"))
     heads = {r["part"]: r["k"] for r in keyed.groupBy("part").agg(F.min("k").alias("k")).collect()}
     order = sorted(heads)
     after = [(heads[q], p) for p, q in zip(order, order[1:] + order[:1])]
