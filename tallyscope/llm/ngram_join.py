@@ -10,10 +10,10 @@ The index keeps lists of at least two sets, each entry with the set's size and t
 of the element. Lists are read in blocks of similar size, and blocks whose sizes or positions
 rule a link out are skipped. In each list the sets are first held against one leader, each
 set against the leader it shares most with. Whoever links to it, a highly similar set, takes
-its answers over: pairs inside a component need no look, and by the triangle inequality of
-the Jaccard distance, |d(x, leader) - d(y, leader)| over 0.2 rules the pair (x, y) out, as do
-too many elements that only one of the sets left over has. Pairs that then share enough of
-their prefixes are verified on the whole sets, so no link between different components is missed.
+its answers over: pairs inside a component need no look, and what x and y share is bounded by
+what each shares with a common leader and has beside it, without the elements that only one of
+the sets left over has. Pairs that then share enough of their prefixes are verified on the
+whole sets, so no link between different components is missed.
 
 Null text and text without words give an empty set, linked with nothing. Rows with a null id
 are classed by themselves (component null). Rows with equal ids and different texts are one
@@ -251,26 +251,34 @@ def links(spark: SparkSession, docs: DataFrame, table: DataFrame, packed: DataFr
     # the largest component of each list is not held against itself
     sizes = open_lists.groupBy("h", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    # the distance of each set to one that it was held against
-    apart = checked.select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
-    known = apart.select(F.col("a").alias("sig"), F.col("b").alias("lead"), "d").unionByName(apart.select(F.col("b").alias("sig"), F.col("a").alias("lead"), "d"))
+    # what each set has in common with one that it was held against
+    known = checked.select(F.col("a").alias("sig"), F.col("b").alias("lead"), "common")
+    known = known.unionByName(checked.select(F.col("b").alias("sig"), F.col("a").alias("lead"), "common"))
     leads_of = known.groupBy("lead").agg(F.count("*").alias("k"))
-    known = known.unionByName(leads_of.select(F.col("lead").alias("sig"), "lead", F.lit(0.0).alias("d"))).join(leads_of, "lead")
+    itself = leads_of.select(F.col("lead").alias("sig"), "lead", F.lit(None).cast("int").alias("common"))
+    known = known.unionByName(itself).join(leads_of, "lead")
     # of several, the one that most sets were held against
-    leads = known.groupBy("sig").agg(F.max_by(F.struct("lead", "d"), F.struct("k", "lead")).alias("held"))
-    # sets of the open lists, and what of them no other one of these sets has: it is in no intersection
+    leads = known.groupBy("sig").agg(F.max_by(F.struct("lead", "common"), F.struct("k", "lead")).alias("held"))
+    # sets of the open lists and their leaders, and what of them no other one of these has: it is in no intersection
     members = open_lists.select("sig").distinct()
     fresh = home.join(members, "sig", "left_semi").join(needed, "sig", "left_anti").select("doc_id")
-    every = sets.join(members, "sig", "left_semi").unionByName(fetch_sets(spark, docs, fresh, size))
-    every = stage(spark, every, "jaccard-open-sets")
+    every = stage(spark, sets.unionByName(fetch_sets(spark, docs, fresh, size)), "jaccard-open-sets")
     marked = open_lists.join(main, "h").join(leads, "sig", "left").join(lonely_elements(every), "sig", "left")
     marked = stage(spark, marked.withColumn("lonely", F.coalesce("lonely", F.lit(0))), "jaccard-marked")
     x = marked.filter("component <> main").withColumn("block", near).alias("x")
-    apart = f"(x.held is null or y.held is null or x.held.lead <> y.held.lead or abs(x.held.d - y.held.d) <= {1 - NUM / DEN} + 1e-9)"
+    # what x and y share lies in their common leader, as far as each has it in common with the leader, or beside
+    # it, as far as each has elements there that are not lonely (common is null for the leader itself)
+    inside = {s: f"coalesce({s}.held.common, {s}.n)" for s in "xy"}
+    beside = {s: f"greatest({s}.n - {inside[s]} - {s}.lonely, 0)" for s in "xy"}
+    apart = (
+        "(x.held is null or y.held is null or x.held.lead <> y.held.lead or "
+        f"least({inside['x']}, {inside['y']}) + least({beside['x']}, {beside['y']}) >= {_OVERLAP})"
+    )
     enough = f"least(x.n - x.lonely, y.n - y.lonely) >= {_OVERLAP}"
     rest = x.join(marked.alias("y"), ["h", "block"]).filter(f"x.component <> y.component and {_SIZES} and {_POSITIONS} and {enough} and {apart}")
-    rest = rest.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = stage(spark, sharing(rest, prefixes).select("a", "b"), "jaccard-rest")
+    # kept, as a pair stands in several lists and Spark would hold each of its rows against the checked pairs
+    rest = stage(spark, rest.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b")).distinct(), "jaccard-met")
+    rest = stage(spark, sharing(rest.join(first, ["a", "b"], "left_anti"), prefixes).select("a", "b"), "jaccard-rest")
     return edges.unionByName(verify(rest, every).filter(good).select("a", "b"))
 
 
