@@ -118,7 +118,7 @@ def fit(texts: list[str], targets: list[str], seed: int = 7) -> KernelModel:
     y = np.array([t for _, t in picked])
     known = np.unique(np.concatenate(grams))
     rng = np.random.default_rng(seed)
-    column = np.full(GRAM_SPACE, len(known), np.int64)
+    column = np.full(GRAM_SPACE, len(known), np.int32)
     column[known] = np.arange(len(known))
     phi = np.zeros((len(picked), len(known)), np.float32)
     for i, g in enumerate(grams):

@@ -41,6 +41,7 @@ def row_slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_byte
         cuts = np.flatnonzero(np.diff(block)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), rb.num_rows]):
             yield rb.slice(a, b - a)
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
