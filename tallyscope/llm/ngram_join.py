@@ -220,10 +220,14 @@ def links(spark: SparkSession, docs: DataFrame, table: DataFrame, packed: DataFr
     """Edges (a, b) between set signatures: every link, up to those inside a component that others already join."""
     # prefixes without the elements that no other set has in its own; a set with fewer of them than a link to
     # a set of the smallest possible size needs is in no link (one row holds at most one set's prefix)
-    prefixes = shared_entries(packed, bits).groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("h").alias("hs"), F.collect_list("pos").alias("ps"))
+    prefixes = shared_entries(packed, bits).groupBy("sig").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("es"))
+    prefixes = prefixes.select("sig", "n", F.col("es.h").alias("hs"), F.col("es.pos").alias("ps"))
     prefixes = stage(spark, prefixes.filter(f"size(hs) >= 1 + floor(ceil({NUM} * n / {DEN}) / {EXTRA})"), "jaccard-prefixes")
     # the first element that linked sets share stands among these
-    lists = prefixes.select("sig", "n", F.explode(F.arrays_zip("hs", "ps")).alias("e")).select("sig", "n", F.col("e.hs").alias("h"), F.col("e.ps").alias("pos"))
+    # left: how many of these elements there are from this one on (positions are known to a 256th of the prefix)
+    lists = prefixes.select("sig", "n", F.size("hs").alias("k"), F.posexplode(F.arrays_zip("hs", "ps")).alias("i", "e"))
+    left = F.col("k") - F.col("i") + F.ceil(F.col("n") / 256)
+    lists = lists.select("sig", "n", F.col("e.hs").alias("h"), F.col("e.ps").alias("pos"), left.alias("left"))
     lists = lists.filter(f"pos <= n - ceil({NUM} * n / {DEN})").withColumn("block", F.floor(F.log(CLASS_BASE, F.col("n"))))
     near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block")
     # the leader of a list, in each block, is the set of whose prefix the largest share is in lists: the
@@ -275,7 +279,7 @@ def links(spark: SparkSession, docs: DataFrame, table: DataFrame, packed: DataFr
         f"least({inside['x']}, {inside['y']}) + least({beside['x']}, {beside['y']}) >= {_OVERLAP})"
     )
     enough = f"least(x.n - x.lonely, y.n - y.lonely) >= {_OVERLAP}"
-    rest = x.join(marked.alias("y"), ["h", "block"]).filter(f"x.component <> y.component and {_SIZES} and {_POSITIONS} and {enough} and {apart}")
+    rest = x.join(marked.alias("y"), ["h", "block"]).filter(f"x.component <> y.component and {_SIZES} and {_POSITIONS} and least(x.left, y.left) >= {_SHARED} and {enough} and {apart}")
     # kept, as a pair stands in several lists and Spark would hold each of its rows against the checked pairs
     rest = stage(spark, rest.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b")).distinct(), "jaccard-met")
     rest = stage(spark, sharing(rest.join(first, ["a", "b"], "left_anti"), prefixes).select("a", "b"), "jaccard-rest")
