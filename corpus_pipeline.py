@@ -4,9 +4,10 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame that works on all it
 kept. All but the last return the columns of their input:
 
 1. language ID - fitted on labelled documents whose crc32(doc_id) modulo 5 is not 0; rejects
-   documents without a letter, and those that no learned language claims (score under
-   MIN_LANGUAGE_SCORE, half of what an even bet gives). A null text is rejected. Without
-   any labelled document only texts without a letter go.
+   documents without a letter, and those that no learned language fits (more unknown 3-grams
+   than labelled documents have among each other, see language_id; texts of a few words have
+   too few to tell). A null text is rejected. Without any labelled document only texts
+   without a letter go.
 2. n-gram Jaccard join - of each group of linked documents the one with the smallest id stays.
    Rows with equal ids stay together; rows with a null id are judged by no one and stay.
 3. substring dedup - windows of 13 words that start in an earlier document are cut out of the
@@ -29,7 +30,8 @@ from tallyscope.llm import decontamination, language_id, ngram_join, packing, su
 from tallyscope.llm.tables import crc_remainder, stage
 from tallyscope.session import ship_package
 
-MIN_LANGUAGE_SCORE = 0.2
+#: Strangeness above which no learned language fits.
+MAX_STRANGENESS = 1.0
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -40,7 +42,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not texts:
         return docs.filter(r"text rlike '\\p{L}'")
     judged = language_id.predict(docs, language_id.fit(texts, labels), prefix="judged__")
-    return judged.filter((F.col("judged__lang_pred") != "und") & (F.col("judged__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return judged.filter((F.col("judged__lang_pred") != "und") & (F.col("judged__strangeness") <= MAX_STRANGENESS)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
