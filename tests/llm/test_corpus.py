@@ -214,6 +214,16 @@ def test_language_model(spark, monkeypatch, head):
     assert suffix_tree_lm.score(spark, frame(spark, []).limit(0), "doc_id = 2").count() == 0
 
 
+@pytest.mark.parametrize(("head", "deltas"), [(1, 0), (40, 1 << 20)])
+def test_every_passing_context_scores_whatever_is_broadcast(spark, monkeypatch, head, deltas):
+    rows = corpus(seed=8, n=60)
+    run = lambda: {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(spark, frame(spark, rows), "doc_id % 7 = 2").collect()}
+    whole = run()
+    monkeypatch.setattr(suffix_tree_lm, "HEAD_STATES", head)
+    monkeypatch.setattr(suffix_tree_lm, "DELTAS", deltas)
+    assert run() == pytest.approx(whole, rel=1e-5)
+
+
 def test_suffix_tree_is_a_distribution():
     rng = np.random.default_rng(1)
     n = 500
