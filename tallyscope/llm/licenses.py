@@ -39,7 +39,7 @@ NAMES: tuple[tuple[str, str, str], ...] = (
     ("gpl-1.0", rf"(?:gnu )?(?:general public licen[sc]e|gpl){_VERSION}1(?:\.0)?)", "general|gpl"),
     ("gpl-2.0", rf"(?:gnu )?(?:general public licen[sc]e|gpl){_VERSION}2(?:\.0)?)", "general|gpl"),
     ("gpl-3.0", rf"(?:gnu )?(?:general public licen[sc]e|gpl){_VERSION}3(?:\.0)?)", "general|gpl"),
-    ("gfdl", rf"(?:gnu )?free documentation licen[sc]e(?:{_VERSION}1\.[1-3]))?", "free documentation"),
+    ("gfdl", rf"(?:gnu )?free documentation licen[sc]e(?:{_VERSION}1\.[1-3]))?", "documentation"),
     ("apache-1.0", rf"apache(?: software)? licen[sc]e{_VERSION}1\.0)", "apache"),
     ("apache-1.1", rf"apache(?: software)? licen[sc]e{_VERSION}1\.1)", "apache"),
     ("apache-2.0", rf"apache(?: software)?(?: licen[sc]e)?{_VERSION}2(?:\.0)?)", "apache"),
@@ -54,16 +54,16 @@ NAMES: tuple[tuple[str, str, str], ...] = (
     ("mpl-2.0", rf"(?:mozilla public licen[sc]e|mpl){_VERSION}2(?:\.0)?)", "mozilla|mpl"),
     ("epl-1.0", rf"eclipse public licen[sc]e{_VERSION}1(?:\.0)?)", "eclipse"),
     ("epl-2.0", rf"eclipse public licen[sc]e{_VERSION}2(?:\.0)?)", "eclipse"),
-    ("cddl-1.0", rf"common development and distribution licen[sc]e(?:{_VERSION}1\.0))?", "common development"),
-    ("cpl-1.0", rf"common public licen[sc]e{_VERSION}1\.0)", "common public"),
-    ("eupl", r"european union public licen[sc]e", "european union"),
+    ("cddl-1.0", rf"common development and distribution licen[sc]e(?:{_VERSION}1\.0))?", "development"),
+    ("cpl-1.0", rf"common public licen[sc]e{_VERSION}1\.0)", "common"),
+    ("eupl", r"european union public licen[sc]e", "european"),
     ("artistic", r"(?:the )?artistic licen[sc]e(?:[\s,]*2\.0)?", "artistic"),
     ("bsl-1.0", r"boost software licen[sc]e(?:[\s,-]*(?:version )?1\.0)?", "boost"),
     ("zlib", r"zlib(?:/libpng)? licen[sc]e", "zlib"),
     ("unlicense", r"(?:the )?unlicen[sc]e", "unlicen"),
-    ("wtfpl", r"do what the f\S+ you want to public licen[sc]e|wtfpl", "want to|wtfpl"),
+    ("wtfpl", r"do what the f\S+ you want to public licen[sc]e|wtfpl", "want|wtfpl"),
     ("postgresql", r"postgresql licen[sc]e", "postgresql"),
-    ("ofl-1.1", rf"(?:sil )?open font licen[sc]e(?:{_VERSION}1\.1))?", "open font"),
+    ("ofl-1.1", rf"(?:sil )?open font licen[sc]e(?:{_VERSION}1\.1))?", "font"),
     ("openssl", r"openssl licen[sc]e", "openssl"),
     ("python-2.0", r"(?:python software foundation|psf) licen[sc]e", "python|psf"),
     ("php-3.01", rf"php licen[sc]e(?:{_VERSION}3\.0?1))?", "php"),
@@ -91,11 +91,11 @@ PHRASINGS: tuple[tuple[str, int, float, str, str], ...] = (
 
 #: Texts and tags that name a license by themselves: id, priority, confidence, regex, gate keyword.
 SINGLE: tuple[tuple[str, int, float, str, str], ...] = (
-    ("mit", 1, 0.99, r"permission is hereby granted,? free of charge,? to any person obtaining a copy.{0,600}?without restriction", "permission is hereby granted"),
-    ("isc", 1, 0.95, r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", "permission to use"),
-    ("bsd", 1, 0.9, r"redistribution and use in source and binary forms, with or without modification", "redistribution and use"),
-    ("gpl", 1, 0.9, r"this program is free software[:;,]? you can redistribute it and/or modify", "free software"),
-    ("gpl", 3, 0.6, r"(?:under (?:the )?)?(?:gnu )?general public licen[sc]e", "general public licen"),
+    ("mit", 1, 0.99, r"permission is hereby granted,? free of charge,? to any person obtaining a copy.{0,600}?without restriction", "hereby"),
+    ("isc", 1, 0.95, r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", "permission"),
+    ("bsd", 1, 0.9, r"redistribution and use in source and binary forms, with or without modification", "redistribution"),
+    ("gpl", 1, 0.9, r"this program is free software[:;,]? you can redistribute it and/or modify", "redistribute"),
+    ("gpl", 3, 0.6, r"(?:under (?:the )?)?(?:gnu )?general public licen[sc]e", "general"),
     ("apache", 3, 0.6, r"apache(?: software)? licen[sc]e", "apache"),
     ("apache-2.0", 1, 0.95, r"https?://www\.apache\.org/licenses/license-2\.0", "apache.org"),
     ("gpl", 2, 0.8, r"https?://www\.gnu\.org/(?:licenses|copyleft)/\S*gpl\S*", "gnu.org"),
@@ -104,13 +104,13 @@ SINGLE: tuple[tuple[str, int, float, str, str], ...] = (
     ("cc-by", 2, 0.8, r"https?://creativecommons\.org/licenses/by/\d\.\d", "creativecommons.org"),
     ("cc0-1.0", 2, 0.9, r"https?://creativecommons\.org/publicdomain/zero/1\.0", "creativecommons.org"),
     ("unlicense", 1, 0.95, r"this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("public-domain", 3, 0.7, r"(?:released (?:in)?to|placed in(?:to)?|dedicated to|in) the public domain", "public domain"),
-    ("all-rights-reserved", 4, 0.6, r"all rights reserved", "all rights reserved"),
+    ("public-domain", 3, 0.7, r"(?:released (?:in)?to|placed in(?:to)?|dedicated to|in) the public domain", "domain"),
+    ("all-rights-reserved", 4, 0.6, r"all rights reserved", "reserved"),
 )
 _SPDX = re.compile(rb"spdx-license-identifier:\s*([0-9a-z.+-]+(?:\s+(?:or|and|with)\s+[0-9a-z.+-]+)*)")
-#: One of these is part of every rule's text.
-GATES = (b"licen", b"gpl", b"wtfpl", b"cc0", b"cc by", b"creative commons", b"apache", b"bsd", b"mpl", b"permission", b"redistribut",
-         b"free software", b"public domain", b"gnu.org", b"opensource.org", b"mozilla.org", b"creativecommons.org", b"unencumbered", b"all rights reserved", b"spdx-")
+#: One of these is part of every rule's text. Gates are single words, as any white space may be between two.
+GATES = (b"licen", b"gpl", b"wtfpl", b"cc0", b"cc", b"creative", b"apache", b"bsd", b"mpl", b"permission", b"redistribut",
+         b"domain", b"gnu.org", b"opensource.org", b"mozilla.org", b"creativecommons.org", b"unencumbered", b"reserved", b"spdx-")
 
 
 class Rule(NamedTuple):

@@ -62,6 +62,23 @@ def test_license_scan(spark):
     assert got[2003]["labels"] == "cc-by-nc"
 
 
+WRAPPED = [
+    "All rights\nreserved", "in the public\ndomain", "CC\nBY 4.0", "CC Attribution 4.0", "Creative\nCommons Attribution", "SIL Open\nFont License", "GNU General\nPublic License",
+    "Permission is\nhereby granted, free of charge, to any person obtaining a copy of it without restriction", "this program is free\nsoftware; you can redistribute it and/or modify it",
+    "Free\nDocumentation License", "Common\nPublic License 1.0", "European\nUnion Public Licence", "do what the f* you want\nto public license", "Redistribution and\nuse in source and binary forms, with or without modification",
+    "Common\nDevelopment and Distribution License", "Permission to\nuse, copy, modify, and/or distribute this software for any purpose",
+]
+
+
+def test_license_gates_lose_no_wrapped_notice(monkeypatch):
+    rules = licenses.rules()
+    texts = [t.lower().encode() for t in WRAPPED + LICENSED] + [t.lower().replace("\n", " ").encode() for t in WRAPPED]
+    gated = [licenses.scan(t, rules) for t in texts]
+    monkeypatch.setattr(licenses, "GATES", (b"",))
+    assert gated == [licenses.scan(t, [r._replace(gates=()) for r in rules]) for t in texts]
+    assert all(gated[: len(WRAPPED)])
+
+
 def test_license_rules_are_ordered_and_contained_hits_go():
     rules = licenses.rules()
     assert len(rules) > 200 and [r.priority for r in rules] == sorted(r.priority for r in rules)
