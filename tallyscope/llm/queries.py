@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import decontamination, fingerprints, html_text, language_id, licenses, ngram_join, packing, substring_dedup, suffix_tree_lm, token_counts
+from tallyscope.llm import decontamination, fingerprints, html_text, language_id, licenses, ngram_join, packing, periodic_runs, personal_data, ranked_search, substring_dedup, suffix_tree_lm, token_counts
 from tallyscope.llm.tables import crc_remainder
 from tallyscope.session import ship_package
 
@@ -63,11 +63,25 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.span_digests(personal_data.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(planted))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_decontamination, op3_license_scan, op4_html_text, op5_suffix_tree_lm,
         op6_packing, op7_ngram_join, op8_token_counts, op9_substring_dedup, op10_fingerprints,
+        op11_personal_data, op12_periodic_runs, op13_ranked_search,
     )
 }
-ORACLES: dict[str, str] = {"op2_decontamination": decontamination.ORACLE}
+ORACLES: dict[str, str] = {"op2_decontamination": decontamination.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
