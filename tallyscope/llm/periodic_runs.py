@@ -11,8 +11,8 @@ again within 2B-1 words, or if they and their window lie in a run already found,
 distances are then multiples of its period.
 
 Codes are reduced to keep sums under the prime; equal words keep equal codes, so no occurrence
-is missed, and a false zero ends in the extension. Blocks of more than MAX_PATTERN words look
-for their first MAX_PATTERN words.
+is missed, and a false zero falls in an exact comparison. Blocks of more than MAX_PATTERN words
+look for their first MAX_PATTERN words.
 
 Null and blank texts have no runs. A text is handled whole in one task. One row out per row in;
 ids are not looked at, so null and repeated ids are kept as they are.
@@ -97,8 +97,33 @@ def mismatch_sums(patterns: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return (total - 2 * cross) % PRIME
 
 
-def _occurrences(seq: np.ndarray, starts: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """(block start, distance) where a block of ``scale`` words occurs again scale..2*scale-1 words on."""
+class _Found:
+    """Runs found so far; tells whether one of them covers a stretch."""
+
+    def __init__(self) -> None:
+        self.runs: dict[tuple[int, int], int] = {}
+        self.start, self.reach = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, start: np.ndarray, end: np.ndarray, period: np.ndarray) -> None:
+        for s, e, q in zip(start.tolist(), end.tolist(), period.tolist()):
+            if q < self.runs.get((s, e), q + 1):
+                self.runs[s, e] = q
+        ends = sorted(self.runs)
+        self.start = np.array([s for s, _ in ends], np.int64)
+        self.reach = np.maximum.accumulate(np.array([e for _, e in ends], np.int64)) if ends else self.start
+
+    def covers(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not len(self.start):
+            return np.zeros(len(start), bool)
+        k = np.searchsorted(self.start, start, "right")
+        return (k > 0) & (self.reach[np.maximum(k, 1) - 1] >= end)
+
+
+def _occurrences(seq: np.ndarray, starts: np.ndarray, scale: int, found: _Found) -> tuple[np.ndarray, np.ndarray]:
+    """(block start, distance) where a block of ``scale`` words occurs again scale..2*scale-1 words on.
+
+    Those inside a run already found are left out: their distances are multiples of its period.
+    """
     size = min(scale, MAX_PATTERN)
     codes = seq % int(((PRIME - 1) // size) ** 0.5)
     codes = np.pad(codes, (0, 3 * scale))
@@ -111,8 +136,16 @@ def _occurrences(seq: np.ndarray, starts: np.ndarray, scale: int) -> tuple[np.nd
         for first in range(scale, 2 * scale, size):
             windows = codes[some[:, None] + first + np.arange(2 * size)]
             row, offset = np.nonzero(mismatch_sums(patterns, windows) == 0)
-            at.append(some[row])
-            distance.append(first + offset)
+            row, offset = some[row], first + offset
+            fresh = (row + offset + size <= len(seq)) & ~found.covers(row, row + offset + scale)
+            row, offset = row[fresh], offset[fresh]
+            for b in range(0, len(row), batch):  # a zero of reduced codes may be false
+                i, d = row[b : b + batch], offset[b : b + batch]
+                same = (seq[i[:, None] + inner] == seq[(i + d)[:, None] + inner]).all(1)
+                at.append(i[same])
+                distance.append(d[same])
+    if not at:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(at), np.concatenate(distance)
 
 
@@ -154,28 +187,6 @@ def _extended(seq: np.ndarray, at: np.ndarray, distance: np.ndarray, step: int)
     return count
 
 
-class _Found:
-    """Runs found so far; tells whether one of them covers a stretch."""
-
-    def __init__(self) -> None:
-        self.runs: dict[tuple[int, int], int] = {}
-        self.start, self.reach = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, start: np.ndarray, end: np.ndarray, period: np.ndarray) -> None:
-        for s, e, q in zip(start.tolist(), end.tolist(), period.tolist()):
-            if q < self.runs.get((s, e), q + 1):
-                self.runs[s, e] = q
-        ends = sorted(self.runs)
-        self.start = np.array([s for s, _ in ends], np.int64)
-        self.reach = np.maximum.accumulate(np.array([e for _, e in ends], np.int64)) if ends else self.start
-
-    def covers(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(len(start), bool)
-        k = np.searchsorted(self.start, start, "right")
-        return (k > 0) & (self.reach[np.maximum(k, 1) - 1] >= end)
-
-
 def runs_of(seq: np.ndarray, longest: int, least_words: int = 6, least_repeats: int = 4) -> np.ndarray:
     """Rows (start, end, period) of all runs of the codes ``seq``, by start, then period.
 
@@ -193,18 +204,17 @@ def runs_of(seq: np.ndarray, longest: int, least_words: int = 6, least_repeats:
         starts = np.flatnonzero(widest < 2 * scale) * scale
         starts = starts[~found.covers(starts, starts + 3 * scale - 1)]
         if len(starts):
-            at, distance = _occurrences(seq, starts, scale)
-            fresh = ~found.covers(at, at + distance + scale)
-            at, distance = at[fresh], distance[fresh]
+            at, distance = _occurrences(seq, starts, scale, found)
             order = np.lexsort((at, distance))
             at, distance = at[order], distance[order]
-            # the next block of the same stretch adds nothing
-            head = np.r_[True, (distance[1:] != distance[:-1]) | (at[1:] != at[:-1] + scale)][: len(at)]
-            at, distance = at[head], distance[head]
+            if scale <= MAX_PATTERN and len(at):
+                # whole blocks are equal, so the next block of the same stretch adds nothing
+                head = np.r_[True, (distance[1:] != distance[:-1]) | (at[1:] != at[:-1] + scale)]
+                at, distance = at[head], distance[head]
             right = _extended(seq, at, distance, 1)
             left = _extended(seq, at - 1, distance, -1)
             length = left + right + distance
-            good = (right >= min(scale, MAX_PATTERN)) & (length >= np.maximum(least_words, least_repeats * distance))
+            good = length >= np.maximum(least_words, least_repeats * distance)
             found.add((at - left)[good], (at + right + distance)[good], distance[good])
         even = widest[: len(widest) // 2 * 2]
         widest = np.maximum(even[::2], even[1::2])
