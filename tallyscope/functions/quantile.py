@@ -1,27 +1,32 @@
-"""Exact, linearly interpolated quantiles without gathering a column anywhere.
-
-One plan for every size. A quantile needs one or two order statistics, and each of those
-keeps an open interval that holds its rank. A distributed GK sketch (``percentile_approx``
-over the rows inside) proposes two values around the rank and one aggregation counts the
-rows below, at, and between them. If the rank falls on a proposed value the answer is found,
-however many rows tie there; otherwise the interval shrinks to the part that holds the rank.
-Once few rows are left inside, their (value, count) groups come back. The answer is the exact
-order statistic (the same definition as numpy's default "linear" quantile and pandas' ``median``).
+"""Exact, linearly interpolated quantiles by radix selection, without a sort.
+
+A quantile needs one or two order statistics. Doubles map to 64-bit integers of the same order,
+and a rank is narrowed 16 bits at a time: one pass counts the next 16 bits of the values that
+share the bits found so far, for all columns and ranks together (one histogram per task, added up
+by a grouped sum), and the running count names the part that holds the rank. Ranks with few values
+left read them; the others go on, four passes at most, after which all bits are known. Ties cost
+nothing. The answer is the exact order statistic (the same definition as numpy's default "linear"
+quantile and pandas' ``median``).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sketch accuracy, and half the distance of the proposed values as a share of the rows inside.
-ACCURACY = 10_000
-HALF_WIDTH = 2.0 / ACCURACY
-#: Rows inside an interval whose values come back.
-WINDOW = 4096
+from ..session import ship_package
+
+BITS, PASSES = 16, 4
+#: Values left whose (value, count) groups come back.
+FEW = 4096
+#: Histograms of a task (512 KB each) in one pass.
+HISTOGRAMS = 128
 
 
 @dataclass
@@ -30,71 +35,97 @@ class _Rank:
 
     column: str
     rank: int
-    inside: int  # rows strictly between low and high
-    low: float = -math.inf
-    high: float = math.inf
-    below: int = 0  # rows at or under low
+    inside: int  # values that share the bits found
+    prefix: int = 0  # the bits found, ``passes`` times BITS of them
+    passes: int = 0
+    below: int = 0  # values under them
     value: float | None = None
 
-    def within(self) -> Column:
-        c = F.col(self.column)
-        if self.low == -math.inf and self.high == math.inf:
-            return c.isNotNull()
-        return (c > F.lit(self.low)) & (c < F.lit(self.high))
-
-
-def _narrow(df: DataFrame, ranks: list[_Rank]) -> None:
-    """Find the value, or shrink the interval, of each rank: two aggregations."""
-    marks = df.agg(*[
-        F.percentile_approx(
-            F.when(r.within(), F.col(r.column).cast("double")),
-            [max(0.0, at - HALF_WIDTH), min(1.0, at + HALF_WIDTH)], ACCURACY,
-        ).alias(f"a{i}")
-        for i, r in enumerate(ranks) for at in [(r.rank - r.below) / max(r.inside - 1, 1)]
-    ]).first()
-    exprs = []
-    for i, r in enumerate(ranks):
-        a, b = marks[f"a{i}"]
-        c = F.col(r.column)
-        for name, cond in (("l", c < F.lit(a)), ("a", c == F.lit(a)), ("m", (c > F.lit(a)) & (c < F.lit(b))), ("b", c == F.lit(b))):
-            exprs.append(F.count_if(r.within() & cond).alias(f"{name}{i}"))
-    counts = df.agg(*exprs).first()
-    for i, r in enumerate(ranks):
-        a, b = marks[f"a{i}"]
-        left, at_a, mid, at_b = (int(counts[f"{n}{i}"]) for n in "lamb")
-        k = r.rank - r.below
-        if a == b:
-            mid = at_b = 0
-        if k < left:
-            r.high, r.inside = a, left
-        elif k < left + at_a:
-            r.value = a
-        elif k < left + at_a + mid:
-            r.low, r.high, r.below, r.inside = a, b, r.below + left + at_a, mid
-        elif k < left + at_a + mid + at_b:
-            r.value = b
-        else:
-            passed = left + at_a + mid + at_b
-            r.low, r.below, r.inside = b, r.below + passed, r.inside - passed
-
-
-def _settle(df: DataFrame, ranks: list[_Rank]) -> None:
-    """Values of ranks whose intervals hold few rows, from (value, count) groups."""
-    picks = [F.when(r.within(), F.struct(F.lit(i).alias("i"), F.col(r.column).cast("double").alias("v"))) for i, r in enumerate(ranks)]
-    grouped = df.select(F.explode(F.array(*picks)).alias("p")).filter("p is not null").groupBy("p.i", "p.v").count().collect()
-    passed = [r.below for r in ranks]
-    for i, v, k in sorted(grouped):
-        if passed[i] <= ranks[i].rank < passed[i] + k:
-            ranks[i].value = v
-        passed[i] += k
+    @property
+    def group(self) -> tuple[str, int, int]:
+        return self.column, self.passes, self.prefix
+
+
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles ``x``; 0.0 and -0.0 are one value."""
+    raw = (x + 0.0).view(np.uint64)
+    return np.where(raw >> np.uint64(63), ~raw, raw | np.uint64(1 << 63))
+
+
+def _double(bits: int) -> float:
+    raw = bits ^ (1 << 63) if bits >> 63 else ~bits & ((1 << 64) - 1)
+    return float(np.array([raw], np.uint64).view(np.float64)[0])
+
+
+def _values(rb: pa.RecordBatch, column: int) -> np.ndarray:
+    return rb.column(column).drop_null().to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def _inside(bits: np.ndarray, passes: int, prefix: int) -> np.ndarray:
+    return bits[bits >> np.uint64(64 - BITS * passes) == np.uint64(prefix)] if passes else bits
+
+
+def _narrow(df: DataFrame, names: list[str], ranks: list[_Rank]) -> None:
+    """The next bits of each rank: one pass."""
+    groups = sorted({r.group for r in ranks})
+    wanted = [(g, names.index(c), passes, prefix) for g, (c, passes, prefix) in enumerate(groups)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(wanted), 1 << BITS), np.int64)
+        for rb in batches:
+            bits = {c: ordered_bits(_values(rb, c)) for c in {w[1] for w in wanted}}
+            for g, c, passes, prefix in wanted:
+                own = _inside(bits[c], passes, prefix) >> np.uint64(64 - BITS * (passes + 1)) & np.uint64((1 << BITS) - 1)
+                counts[g] += np.bincount(own.astype(np.int64), minlength=1 << BITS)
+        g, digit = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(digit.astype(np.int32)), pa.array(counts[g, digit])], ["g", "digit", "n"])
+
+    counted = df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, "g int, digit int, n bigint").groupBy("g", "digit").agg(F.sum("n").alias("n"))
+    # a group has at most 65,536 digits
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("digit")))
+    number = {key: g for g, key in enumerate(groups)}
+    asked = F.array(*[F.struct(F.lit(number[r.group]).alias("g"), F.lit(i).alias("i"), F.lit(r.rank - r.below).cast("bigint").alias("at")) for i, r in enumerate(ranks)])
+    hit = upto.withColumn("ask", F.explode(F.filter(asked, lambda a: (a["g"] == F.col("g")) & (a["at"] < F.col("upto")) & (a["at"] >= F.col("upto") - F.col("n")))))
+    for row in hit.select("ask.i", "digit", "n", "upto").collect():
+        r = ranks[row["i"]]
+        r.prefix, r.passes, r.inside = r.prefix << BITS | row["digit"], r.passes + 1, row["n"]
+        r.below += row["upto"] - row["n"]
+        if r.passes == PASSES:
+            r.value = _double(r.prefix)
+
+
+def _settle(df: DataFrame, names: list[str], ranks: list[_Rank]) -> None:
+    """Values of ranks with few values left, from their (value, count) groups."""
+    groups = sorted({r.group for r in ranks})
+    wanted = [(g, names.index(c), passes, prefix) for g, (c, passes, prefix) in enumerate(groups)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            bits = {c: ordered_bits(_values(rb, c)) for c in {w[1] for w in wanted}}
+            for g, c, passes, prefix in wanted:
+                key, n = np.unique(_inside(bits[c], passes, prefix), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), g, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], ["g", "key", "n"])
+
+    got = df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, "g int, key bigint, n bigint").groupBy("g", "key").agg(F.sum("n").alias("n")).collect()
+    held: dict[tuple, list[tuple[int, int]]] = {key: [] for key in groups}
+    for row in got:
+        held[groups[row["g"]]].append((row["key"] & ((1 << 64) - 1), row["n"]))
+    for r in ranks:
+        passed = r.below
+        for key, n in sorted(held[r.group]):
+            if passed <= r.rank < passed + n:
+                r.value = _double(key)
+            passed += n
 
 
 def exact_quantiles(df: DataFrame, requests: dict[str, list[float]], counts: dict[str, int] | None = None) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolation quantiles of non-NULL values for each (column, q)."""
     if any(not 0.0 <= q <= 1.0 for qs in requests.values() for q in qs):
         raise ValueError("quantile must be in [0, 1]")
+    ship_package(df.sparkSession)
+    df = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in requests])
     if counts is None:
-        row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(requests)]).first()
+        row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(requests)]).first()
         counts = {c: int(row[f"n{i}"]) for i, c in enumerate(requests)}
     ranks: dict[tuple[str, int], _Rank] = {}
     parts: dict[tuple[str, float], list[tuple[str, int]]] = {}
@@ -105,10 +136,9 @@ def exact_quantiles(df: DataFrame, requests: dict[str, list[float]], counts: dic
             parts[(c, q)] = [(c, k) for k in wanted]
             for k in wanted:
                 ranks.setdefault((c, k), _Rank(c, k, counts[c]))
-    while wide := [r for r in ranks.values() if r.value is None and r.inside > WINDOW]:
-        _narrow(df, wide)
-    if rest := [r for r in ranks.values() if r.value is None]:
-        _settle(df, rest)
+    for step, some in ((_narrow, lambda r: r.inside > FEW), (_settle, lambda r: r.inside <= FEW)):
+        while wide := [r for r in ranks.values() if r.value is None and some(r)][:HISTOGRAMS]:
+            step(df, sorted({r.column for r in wide}), wide)
     out: dict[tuple[str, float], float | None] = {}
     for (c, q), keys in parts.items():
         values = [ranks[k].value for k in keys]

@@ -5,6 +5,8 @@ sub-sample of psi rows with random feature / random threshold splits up to
 height ceil(log2 psi); a row's anomaly score is s = 2 ** (-E[h] / c(psi)), where
 h is the path length plus c(leaf size).
 
+Every draw is an integer hash of (seed, tree, row or node), so any engine can rebuild the forest.
+
 Plan:
 * sampling - a row-level hash keeps a pool of ~3*psi*T rows (a narrow filter,
   independent of n afterwards); pool rows are exploded over trees and a
@@ -12,26 +14,36 @@ Plan:
   per tree are kept (``row_number`` inside groups of ~3*psi rows). The result is
   a uniform sample without replacement per tree; a tree that came up short is
   re-drawn with a wider threshold.
-* growing - ``groupBy(tree).applyInPandas``: one task per tree, psi rows each.
+* growing - ``groupBy(tree).applyInArrow``: one task per tree, psi rows each. Nodes are numbered
+  as in a heap (root 1, children 2k and 2k+1); a node splits on one of the features that vary in
+  it, at a point between their smallest and largest value, both drawn by hash.
 * scoring - the node table has at most T * (2*psi - 1) rows (102,200 for the
   defaults) whatever the input size, so it is collected and shipped with the
-  scoring function; scoring is a narrow ``mapInPandas`` (no shuffle).
+  scoring function; scoring is a narrow ``mapInArrow`` (no shuffle).
+* importance - row i gets a feature from row image(i) under a keyed bijection of the whole table
+  (``functions.permute``), one shuffle of n values a feature; scoring is narrow again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.index import consecutive_index
+from ..functions.partition import matrix
+from ..functions.permute import FIRST, LOW, SECOND, WORD, image, rounds_literal
 from ..functions.quantile import exact_quantile
 from ..schema import ForestParams
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 from .common import AnalysisUnavailable
 
 EULER_GAMMA = 0.5772156649015329
@@ -50,34 +62,53 @@ def average_path(n) -> np.ndarray:
     return out
 
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
+def draw_keys(seed: int, purpose: str, tree: int) -> tuple[int, int]:
+    """Two 28-bit hash offsets."""
+    digits = hashlib.md5(f"{seed}:{purpose}:{tree}".encode()).hexdigest()
+    return int(digits[:7], 16), int(digits[7:14], 16)
+
+
+def draw(x: int, first: int, second: int) -> int:
+    """A 32-bit hash of a non-negative integer below 2**60."""
+    h = ((x & LOW) + first & LOW) * FIRST & WORD
+    h = ((h ^ h >> 16) + second + (x >> 30) & LOW) * SECOND & WORD
+    return h ^ h >> 15
+
+
+def drawn(x: Column, first: Column, second: Column) -> Column:
+    """``draw`` as an expression."""
+    low, word = F.lit(LOW), F.lit(WORD)
+    h = ((x.bitwiseAND(low) + first).bitwiseAND(low) * F.lit(FIRST)).bitwiseAND(word)
+    h = ((h.bitwiseXOR(F.shiftright(h, 16)) + second + F.shiftright(x, 30)).bitwiseAND(low) * F.lit(SECOND)).bitwiseAND(word)
+    return h.bitwiseXOR(F.shiftright(h, 15))
+
+
+def row_hash(key: str) -> Column:
+    """60 bits of the md5 of the key's text."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def grow_tree(x: np.ndarray, max_depth: int, seed: int, tree: int) -> list[tuple]:
     """Random isolation tree over rows ``x``; returns node tuples (node, feature, thr, left, right, value)."""
-    nodes: list[list] = []
-    stack = [(np.arange(len(x)), 0, 0)]
-    nodes.append(None)  # placeholder for root
+    which, where = draw_keys(seed, "feature", tree), draw_keys(seed, "threshold", tree)
+    nodes, stack = [], [(1, np.arange(len(x)))]
     while stack:
-        rows, depth, node_id = stack.pop()
-        size = len(rows)
+        node, rows = stack.pop()
+        depth = node.bit_length() - 1
         sub = x[rows]
-        if size <= 1 or depth >= max_depth:
-            nodes[node_id] = [node_id, -1, 0.0, -1, -1, depth + float(average_path([size])[0])]
-            continue
         lo, hi = sub.min(axis=0), sub.max(axis=0)
-        candidates = np.flatnonzero(hi > lo)
-        if len(candidates) == 0:
-            nodes[node_id] = [node_id, -1, 0.0, -1, -1, depth + float(average_path([size])[0])]
+        varying = np.flatnonzero(hi > lo)
+        if len(rows) <= 1 or depth >= max_depth or not len(varying):
+            nodes.append((node, -1, 0.0, -1, -1, depth + float(average_path([len(rows)])[0])))
             continue
-        f = int(candidates[rng.integers(len(candidates))])
-        thr = float(rng.uniform(lo[f], hi[f]))
+        f = int(varying[draw(node, *which) % len(varying)])
+        thr = float(lo[f] + draw(node, *where) / 4294967296.0 * (hi[f] - lo[f]))
         if thr >= hi[f]:
             thr = float(lo[f])
+        nodes.append((node, f, thr, 2 * node, 2 * node + 1, 0.0))
         go_left = sub[:, f] <= thr
-        left_id, right_id = len(nodes), len(nodes) + 1
-        nodes.extend([None, None])
-        nodes[node_id] = [node_id, f, thr, left_id, right_id, 0.0]
-        stack.append((rows[go_left], depth + 1, left_id))
-        stack.append((rows[~go_left], depth + 1, right_id))
-    return [tuple(n) for n in nodes]
+        stack += [(2 * node, rows[go_left]), (2 * node + 1, rows[~go_left])]
+    return nodes
 
 
 class Forest:
@@ -87,8 +118,10 @@ class Forest:
         self.psi, self.features, self.params = psi, features, params
         self.trees = []
         for _t, g in nodes.sort_values(["tree", "node"]).groupby("tree", sort=True):
-            self.trees.append((g["feature"].to_numpy(np.int64), g["threshold"].to_numpy(np.float64),
-                               g["left"].to_numpy(np.int64), g["right"].to_numpy(np.int64), g["value"].to_numpy(np.float64)))
+            # nodes in use numbered from 0 on; the root is the first
+            number = {k: i for i, k in enumerate(g["node"].tolist())}
+            child = lambda c, number=number, g=g: np.array([number.get(k, 0) for k in g[c].tolist()], np.int64)
+            self.trees.append((g["feature"].to_numpy(np.int64), g["threshold"].to_numpy(np.float64), child("left"), child("right"), g["value"].to_numpy(np.float64)))
         self.nodes = nodes
         self.offset = -0.5
         self.score_min: float | None = None
@@ -121,13 +154,6 @@ class Forest:
         return -(self.score_samples(x) - self.offset)
 
 
-def _hash_limit(p: float) -> int:
-    """Signed 64-bit hash threshold that keeps a fraction ``p`` of uniform hashes."""
-    if p >= 1.0:
-        return 2**63 - 1
-    return max(min(int(-(2**63) + p * (2**64)), 2**63 - 1), -(2**63))
-
-
 def _sample(frame: DataFrame, key: str, n: int, psi: int, trees: int, seed: int) -> DataFrame:
     """psi rows per tree, uniformly without replacement, never exploding all n rows.
 
@@ -142,13 +168,14 @@ def _sample(frame: DataFrame, key: str, n: int, psi: int, trees: int, seed: int)
         keep = min(1.0, frac * 3.0 * psi / max(n, 1))
         pool = min(1.0, keep * trees)
         per_tree = min(1.0, keep / pool)
-        rows = frame.select(key, "features")
+        rows = frame.select(key, "features", row_hash(key).alias("b"))
         if pool < 1.0:
-            rows = rows.filter(F.xxhash64(F.lit(seed), F.lit("pool"), F.col(key)) <= F.lit(_hash_limit(pool)))
-        pairs = rows.select(key, "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        pairs = pairs.withColumn("h", F.xxhash64(F.lit(seed), F.col("tree"), F.col(key)))
+            rows = rows.filter(drawn(F.col("b"), *map(F.lit, draw_keys(seed, "pool", 0))) < F.lit(int(pool * 2**32)))
+        turns = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(a).alias("a"), F.lit(c).alias("c")) for t in range(trees) for a, c in [draw_keys(seed, "sample", t)]])
+        pairs = rows.select(key, "features", "b", F.explode(turns).alias("t"))
+        pairs = pairs.select(key, "features", "t.tree", drawn(F.col("b"), F.col("t.a"), F.col("t.c")).alias("h"))
         if per_tree < 1.0:
-            pairs = pairs.filter(F.col("h") <= F.lit(_hash_limit(per_tree)))
+            pairs = pairs.filter(F.col("h") < F.lit(int(per_tree * 2**32)))
         w = Window.partitionBy("tree").orderBy("h", key)
         sample = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= psi).persist()
         sizes = sample.groupBy("tree").count()
@@ -183,17 +210,18 @@ def _fit(frame: DataFrame, features: list[str], params: ForestParams | None, key
     seed, trees = int(params.random_state), int(params.n_estimators)
     sample = _sample(frame, key, n, psi, trees, seed)
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", key])
-        t = int(pdf["tree"].iloc[0])
-        x = np.vstack(pdf["features"].to_numpy()).astype(np.float64)
-        rng = np.random.default_rng([seed, t])
-        rows = grow_tree(x, rng, depth)
+    ship_package(frame.sparkSession)
+    dims = len(features)
+
+    def grow(table: pa.Table) -> pa.Table:
+        tree = table.column("tree")[0].as_py()
+        rows = grow_tree(matrix(table, "features", dims), depth, seed, tree)
         out = pd.DataFrame(rows, columns=["node", "feature", "threshold", "left", "right", "value"])
-        out.insert(0, "tree", t)
-        return out.astype({"tree": "int32", "node": "int32", "feature": "int32", "left": "int32", "right": "int32"})
+        out.insert(0, "tree", tree)
+        return pa.Table.from_pandas(out.astype({"tree": "int32", "node": "int32", "feature": "int32", "left": "int32", "right": "int32"}), preserve_index=False)
 
-    nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+    nodes = sample.select("tree", "features").groupBy("tree").applyInArrow(grow, NODE_SCHEMA).toPandas()
+    sample.unpersist()
     forest = Forest(nodes, psi, features, params)
     # Training score range and (numeric contamination) the offset.
     # Checkpointed (shared folder): the training scores feed the score range and the
@@ -211,15 +239,16 @@ def _fit(frame: DataFrame, features: list[str], params: ForestParams | None, key
 
 def score(frame: DataFrame, forest: Forest, key: str = "Precinct_ID", with_flags: bool = True) -> DataFrame:
     """Narrow scoring pass: raw score, flag and min-max normalised score per row."""
-    fz = forest
+    ship_package(frame.sparkSession)
+    fz, dims = forest, len(forest.features)
 
-    def run(batches):
-        for pdf in batches:
-            x = np.vstack(pdf["features"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, len(fz.features)))
-            ss = fz.score_samples(x) if len(pdf) else np.zeros(0)
-            yield pd.DataFrame({key: pdf[key], "_ss": ss, "raw": -(ss - fz.offset)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            ss = fz.score_samples(matrix(rb, "features", dims))
+            yield pa.RecordBatch.from_arrays([rb.column(key), pa.array(ss), pa.array(-(ss - fz.offset))], [key, "_ss", "raw"])
 
-    out = frame.select(key, "features").mapInPandas(run, f"`{key}` string, _ss double, raw double")
+    kind = frame.schema[key].dataType.simpleString()
+    out = frame.select(key, "features").mapInArrow(run, f"`{key}` {kind}, _ss double, raw double")
     return flags(out, forest, key) if with_flags else out
 
 
@@ -231,37 +260,43 @@ def flags(out: DataFrame, forest: Forest, key: str = "Precinct_ID") -> DataFrame
     return out.select(key, (F.col("raw") > 0).alias("IF_Anomaly_Flag"), norm.alias("IF_Anomaly_Score"), F.col("raw").alias("IF_Raw_Score"))
 
 
-#: Rows are permuted among so many others, at every size of the table.
-PERMUTATION_BUCKET_ROWS = 1024
+#: Rows scored at once for all permuted features.
+IMPORTANCE_ROWS = 1024
 
 
 def feature_importance(frame: DataFrame, forest: Forest, key: str = "Precinct_ID", seed: int = 42) -> DataFrame:
-    """Mean |change in raw score| when one feature is permuted across rows.
+    """Mean |change in raw score| when one feature is permuted over all rows, largest first, then by name.
 
-    Rows are dealt by a hash to buckets of about 1024; each feature is permuted within
-    its bucket, which is a random sample of the table, so no task holds the table. All
-    features are scored in the same task.
+    Rows are numbered by ``key``; feature j of row i becomes that of row image(i) under permutation
+    j of the table. Values travel to their rows packed by row, and each task adds up its changes.
     """
-    n = frame.count()
-    buckets = max(1, math.ceil(n / PERMUTATION_BUCKET_ROWS))
-    fz, names = forest, forest.features
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        b = int(pdf["_b"].iloc[0])
-        x = np.vstack(pdf["features"].to_numpy()).astype(np.float64)
-        base = fz.raw(x)
-        rng = np.random.default_rng([seed, b])
-        sums = []
-        for j in range(x.shape[1]):
-            xp = x.copy()
-            xp[:, j] = x[rng.permutation(len(x)), j]
-            sums.append(float(np.abs(fz.raw(xp) - base).sum()))
-        return pd.DataFrame({"feature": names, "s": sums, "n": len(x)})
-
-    parts = (frame.select(key, "features", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(buckets)).alias("_b"))
-             .groupBy("_b").applyInPandas(run, "feature string, s double, n long"))
-    return parts.groupBy("feature").agg((F.sum("s") / F.sum("n")).alias("importance"))
+    ensure_checkpoint_dir(frame.sparkSession)
+    ship_package(frame.sparkSession)
+    fz, names, dims = forest, forest.features, len(forest.features)
+    rows = consecutive_index(frame.select(key, "features"), [key], "idx").select("idx", "features").checkpoint()
+    n = rows.count()
+    turns = F.array(*[F.struct(F.lit(j).alias("j"), rounds_literal(seed, j, n, inverse=True).alias("rounds")) for j in range(dims)])
+    sent = rows.select("idx", "features", F.explode(turns).alias("t")).select(
+        image(F.col("idx"), F.col("t.rounds"), n).alias("idx"), "t.j", F.get("features", F.col("t.j")).alias("v"))
+    packed = sent.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("p")).select("idx", F.col("p.v").alias("other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(dims), 0
+        for whole in batches:
+            for a in range(0, whole.num_rows, IMPORTANCE_ROWS):
+                rb = whole.slice(a, IMPORTANCE_ROWS)
+                x, other = matrix(rb, "features", dims), matrix(rb, "other", dims)
+                base = fz.raw(x)
+                for j in range(dims):
+                    changed = x.copy()
+                    changed[:, j] = other[:, j]
+                    total[j] += np.abs(fz.raw(changed) - base).sum()
+                seen += rb.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total), pa.array(np.full(dims, seen))], ["feature", "s", "n"])
+
+    parts = rows.join(packed, "idx").select("features", "other").mapInArrow(run, "feature string, s double, n bigint")
+    found = parts.groupBy("feature").agg((F.sum("s") / F.sum("n")).alias("importance"))
+    return found.orderBy(F.col("importance").desc(), "feature")
 
 
 def save_forest(forest: Forest, path: str, feature_model_json: str) -> None:

@@ -16,30 +16,35 @@ Polygon contiguity (J4, M8): vertices (queen) or undirected edges (rook) are
 exploded and equi-joined; weights are row-standardised.
 
 Moran (M6): mean-centred values, spatial lag by a grouped join over the edge list, global and
-local statistics in one aggregation. Permutation p gives the node with index r the value of the
-node that stands r-th when nodes are ordered by a hash of (seed, p, id): a uniformly random order
-for every p that any engine can recompute. All permutations are numbered in one distributed
-sort (``functions.index``), joined to the edges by (p, index) and summed, so the work is rows
-that spread over executors at every size, and no task holds a vector or a permutation.
+local statistics in one aggregation. Permutation p gives node i the value of node image_p(i)
+under a keyed bijection (``functions.permute``) that any engine can recompute, so nothing is
+sorted. Up to BROADCAST_NODES nodes the values are one broadcast vector and every node adds up
+its permuted neighbours where it is; beyond, values travel as rows that hold PACK permutations
+in an array, so the shuffle is n * k * P / PACK rows. Both give the same counts.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.adjust import benjamini_hochberg
 from ..functions.index import consecutive_index
+from ..functions.permute import image, images, key_arrays, rounds_literal
 from ..schema import SpatialParams
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 from .common import AnalysisUnavailable, MethodResult
 
 EPS = float(np.finfo(float).eps)
-# Permuted rows that one task of the permutation sort is meant to hold.
-PERMUTED_ROWS_PER_TASK = 4_000_000
+#: Nodes whose values are broadcast (16 MB); more travel as rows.
+BROADCAST_NODES = 1 << 21
+#: Permutations handled together, edges of a task looked at together, neighbours of a node in one list.
+PACK, EDGE_BLOCK, HUB_NEIGHBOURS = 64, 1 << 13, 1 << 16
 PRUNE_SALTS = 32
 
 
@@ -176,9 +181,8 @@ def row_standardise(edges: DataFrame) -> DataFrame:
 QUADRANT = ("high-high cluster", "low-low cluster", "high-low spatial outlier", "low-high spatial outlier")
 
 
-def permutation_key(seed: int, p: str, node: str) -> str:
-    """SQL text of the 60-bit hash that orders the nodes under permutation ``p``."""
-    return f"CAST(conv(substr(md5(concat_ws(':', '{int(seed)}', {p}, {node})), 1, 15), 16, 10) AS BIGINT)"
+#: Two statistics this close (relative) count as equal.
+TIE = 1e-9
 
 
 def permuted_counts(nodes: DataFrame, edges: DataFrame, n: int, denom: float, observed: float, permutations: int, seed: int) -> tuple[DataFrame, int]:
@@ -187,21 +191,85 @@ def permuted_counts(nodes: DataFrame, edges: DataFrame, n: int, denom: float, ob
     ``nodes`` (id, idx 0..n-1, z, local_i), ``edges`` (src, dst indexes, w). Returns the counts
     per node (idx, cnt; nodes without edges left out) and the count of the global statistic.
     """
-    drawn = nodes.select("id", "z", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("p"))
-    drawn = drawn.withColumn("h", F.expr(permutation_key(seed, "p", "id")))
-    partitions = max(drawn.sparkSession.sparkContext.defaultParallelism, n * permutations // PERMUTED_ROWS_PER_TASK)
-    placed = consecutive_index(drawn, ["p", "h", "id"], "g", partitions)
-    # each permutation is one run of n rows of the whole order
-    placed = placed.select("p", (F.col("g") - F.col("p").cast("bigint") * n).alias("pos"), F.col("z").alias("zp"))
-    lags = (placed.join(edges, F.col("pos") == F.col("dst")).groupBy("p", "src").agg(F.sum(F.col("w") * F.col("zp")).alias("lag")))
-    both = lags.join(placed.withColumnRenamed("pos", "src"), ["p", "src"]).join(
-        nodes.select(F.col("idx").alias("src"), "z", "local_i"), "src")
-    both = both.select("p", "src", (F.col("zp") * F.col("lag")).alias("t"), (F.abs(F.col("z") * F.col("lag") / F.lit(denom / n)) >= F.abs("local_i")).alias("hit"))
-    # one pass for both results: grouping sets give a row per node and a row per permutation
-    sets = [[F.col("src")], [F.col("p")]]
-    summed = both.groupingSets(sets, F.col("src"), F.col("p")).agg(F.count_if("hit").alias("cnt"), F.sum("t").alias("t")).checkpoint()
-    reached = summed.filter("src IS NULL").agg(F.count_if(F.abs(F.col("t") / F.lit(denom)) >= abs(observed))).first()[0]
-    return summed.filter("src IS NOT NULL").select(F.col("src").alias("idx"), "cnt"), int(reached)
+    gathered = n <= BROADCAST_NODES
+    found = (_counts_from_vector if gathered else _counts_from_rows)(nodes, edges, n, denom, permutations, seed).checkpoint()
+    reached = found.filter("idx IS NULL").groupBy("p").agg(F.sum("t").alias("t")).agg(F.count_if(F.abs(F.col("t") / F.lit(denom)) >= abs(observed) * (1 - TIE))).first()[0]
+    return found.filter("idx IS NOT NULL").groupBy("idx").agg(F.sum("cnt").alias("cnt")), int(reached)
+
+
+def _counts_from_vector(nodes: DataFrame, edges: DataFrame, n: int, denom: float, permutations: int, seed: int) -> DataFrame:
+    """(idx, cnt) per node and (p, t) per task and permutation, no shuffle: a node finds the values of its
+    permuted neighbours in the broadcast vector."""
+    column = nodes.select("idx", "z").toArrow()
+    z = np.empty(n)
+    z[column.column("idx").to_numpy()] = column.column("z").to_numpy()
+    shared = nodes.sparkSession.sparkContext.broadcast(z)
+    scale, least = denom / n, 1 - TIE
+    # a hub's neighbours are added up in pieces
+    piece = F.pmod(F.xxhash64("dst"), F.lit(max(1, n // HUB_NEIGHBOURS))).alias("piece")
+    lists = edges.groupBy("src", piece).agg(F.collect_list(F.struct("dst", "w")).alias("near"))
+    whole = lists.groupBy("src").agg(F.flatten(F.collect_list("near")).alias("near")) if n > HUB_NEIGHBOURS else lists.drop("piece")
+    rows = nodes.select("idx", "local_i").join(whole.withColumnRenamed("src", "idx"), "idx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = shared.value
+        total = np.zeros(permutations)
+        for rb in batches:
+            near = rb.column("near")
+            dst, w = (np.asarray(near.flatten().field(k).to_numpy(zero_copy_only=False)) for k in (0, 1))
+            first = np.concatenate([[0], np.cumsum(near.value_lengths().to_numpy(zero_copy_only=False))])
+            own, local = rb.column("idx").to_numpy(), np.abs(rb.column("local_i").to_numpy())
+            count = np.zeros(len(own), np.int64)
+            for a in range(0, permutations, PACK):
+                pair, offset = key_arrays(seed, a, min(a + PACK, permutations), n)
+                for i, j in _row_blocks(first):
+                    lag = np.zeros((j - i, pair.shape[1]))
+                    for lo in range(int(first[i]), int(first[j]), EDGE_BLOCK):
+                        hi = min(lo + EDGE_BLOCK, int(first[j]))
+                        part = z[images(dst[lo:hi], pair, offset, n)] * w[lo:hi, None]
+                        row = np.searchsorted(first, np.arange(lo, hi), "right") - 1 - i
+                        head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                        lag[row[head]] += np.add.reduceat(part, head, axis=0)
+                    total[a : a + PACK] += (z[images(own[i:j], pair, offset, n)] * lag).sum(0)
+                    count[i:j] += (np.abs(z[own[i:j], None] * lag / scale) >= local[i:j, None] * least).sum(1)
+            none = pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count), *none], ["idx", "cnt", "p", "t"])
+        none = pa.nulls(permutations, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(np.arange(permutations, dtype=np.int32)), pa.array(total)], ["idx", "cnt", "p", "t"])
+
+    return rows.mapInArrow(run, "idx bigint, cnt bigint, p int, t double")
+
+
+def _row_blocks(first: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of about EDGE_BLOCK edges."""
+    i = 0
+    while i < len(first) - 1:
+        j = max(i + 1, int(np.searchsorted(first, first[i] + EDGE_BLOCK, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def _counts_from_rows(nodes: DataFrame, edges: DataFrame, n: int, denom: float, permutations: int, seed: int) -> DataFrame:
+    """The same for any number of nodes: values travel to their places, PACK permutations in a row's array.
+
+    A block of permutations shuffles n narrow rows a permutation once and n arrays an edge; hubs are
+    pre-aggregated. Every block is checkpointed, so the disk holds one block's shuffle.
+    """
+    found = None
+    for a in range(0, permutations, PACK):
+        block = range(a, min(a + PACK, permutations))
+        turns = F.array(*[F.struct(F.lit(p).alias("p"), rounds_literal(seed, p, n, inverse=True).alias("rounds")) for p in block])
+        sent = nodes.select("idx", "z", F.explode(turns).alias("turn")).select(image(F.col("idx"), F.col("turn.rounds"), n).alias("pos"), "turn.p", "z")
+        packed = sent.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("p", "z"))).alias("values")).select("pos", F.col("values.z").alias("zs")).checkpoint()
+        lags = edges.join(packed, F.col("dst") == F.col("pos")).groupBy("src").agg(F.array(*[F.sum(F.col("w") * F.col("zs")[i]) for i in range(len(block))]).alias("lags"))
+        both = lags.join(packed.withColumnRenamed("pos", "src"), "src").join(nodes.select(F.col("idx").alias("src"), "z", "local_i"), "src")
+        hits = F.aggregate("lags", F.lit(0).cast("bigint"), lambda acc, g: acc + (F.abs(F.col("z") * g / F.lit(denom / n)) >= F.abs("local_i") * (1 - TIE)).cast("bigint"))
+        both = both.select("src", hits.alias("cnt"), F.zip_with("zs", "lags", lambda v, g: v * g).alias("ts")).checkpoint()
+        sums = both.agg(F.array(*[F.struct(F.lit(p).alias("p"), F.sum(F.col("ts")[i]).alias("t")) for i, p in enumerate(block)]).alias("s")).select(F.explode("s").alias("s"))
+        rows = both.selectExpr("src as idx", "cnt", "cast(null as int) as p", "cast(null as double) as t").unionByName(
+            sums.selectExpr("cast(null as bigint) as idx", "cast(null as bigint) as cnt", "s.p as p", "s.t as t"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def moran(
@@ -258,6 +326,7 @@ def moran(
     global_i = float(nodes.agg(F.sum(F.col("z") * F.col("lag"))).first()[0]) / denom
 
     permutations, seed = int(params.permutations), int(params.random_state)
+    ship_package(df.sparkSession)
     # Consecutive node indexes in Precinct_ID order (range partitions + per-partition offsets).
     idx_df = consecutive_index(nodes.select("id", "z", "local_i"), ["id"], "idx").checkpoint()
     named = idx_df.select("id", "idx")

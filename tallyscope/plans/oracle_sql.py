@@ -506,18 +506,31 @@ SELECT id AS Precinct_ID, round(z * lag / (s2 / n), 6) AS Local_Moran_I,
 FROM mo""")
 
 
+def _images(rounds: int = 16) -> str:
+    """FROM text: images x of the indexes i under permutations p (swap-or-not rounds over the keys ``ky``)."""
+    rows = "SELECT t.p, idx AS i, idx AS x FROM ix, range(999) t(p)"
+    for r in range(rounds):
+        paired = f"SELECT a.p, a.i, a.x, k.c, k.n, (k.k - a.x + k.n) % k.n AS o FROM ({rows}) a JOIN ky k ON k.p = a.p AND k.r = {r}"
+        first = f"SELECT p, i, x, o, ((greatest(x, o) + c) & 1073741823) * 2654435761 & 4294967295 AS h FROM ({paired})"
+        second = f"SELECT p, i, x, o, (xor(h, h >> 16) & 1073741823) * 2246822507 & 4294967295 AS h FROM ({first})"
+        rows = f"SELECT p, i, CASE WHEN (h >> 17) & 1 = 1 THEN o ELSE x END AS x FROM ({second})"
+    return rows
+
+
 def moran_permutation() -> str:
-    """999 hash-ordered permutations, seed 42; exceedances per node and overall."""
+    """999 keyed permutations, seed 42; exceedances per node and overall."""
     return with_views(f"""WITH {KNN_CORE},
-ix AS (SELECT id, z, row_number() OVER (ORDER BY id) - 1 AS idx, z * lag / (s2 / n) AS li, s2, n FROM mo),
-dr AS (SELECT p, z, row_number() OVER (PARTITION BY p ORDER BY CAST('0x' || substr(md5(concat_ws(':', '42', CAST(p AS VARCHAR), id)), 1, 15) AS BIGINT), id) - 1 AS pos
-       FROM ix, range(999) t(p)),
+ix AS MATERIALIZED (SELECT id, z, row_number() OVER (ORDER BY id) - 1 AS idx, z * lag / (s2 / n) AS li, s2, n FROM mo),
+kd AS (SELECT p, r, md5('42:' || p || ':' || r) AS d FROM range(999) a(p), range(16) b(r)),
+ky AS MATERIALIZED (SELECT p, r, (SELECT max(n) FROM ix) AS n, CAST('0x' || substr(d, 1, 15) AS BIGINT) % (SELECT max(n) FROM ix) AS k, CAST('0x' || substr(d, 16, 7) AS BIGINT) AS c FROM kd),
+im AS ({_images()}),
+dr AS MATERIALIZED (SELECT im.p, im.i AS pos, ix.z FROM im JOIN ix ON ix.idx = im.x),
 ei AS (SELECT a.idx AS src, b.idx AS dst, 1.0 / count(*) OVER (PARTITION BY ed.src) AS w FROM ed JOIN ix a ON a.id = ed.src JOIN ix b ON b.id = ed.dst),
-pl AS (SELECT ei.src, dr.p, sum(ei.w * dr.z) AS lag FROM ei JOIN dr ON dr.pos = ei.dst GROUP BY ALL),
+pl AS MATERIALIZED (SELECT ei.src, dr.p, sum(ei.w * dr.z) AS lag FROM ei JOIN dr ON dr.pos = ei.dst GROUP BY ALL),
 gp AS (SELECT pl.p, sum(pl.lag * dr.z) AS t FROM pl JOIN dr ON dr.p = pl.p AND dr.pos = pl.src GROUP BY pl.p),
 gi AS (SELECT sum(z * lag) / max(s2) AS g FROM mo),
-gx AS (SELECT (count(*) + 1) / 1000.0 AS gp FROM gp, gi WHERE abs(gp.t / (SELECT max(s2) FROM mo)) >= abs(g)),
-ct AS (SELECT ix.id, ix.li, (count(*) FILTER (abs(ix.z * pl.lag / (ix.s2 / ix.n)) >= abs(ix.li)) + 1) / 1000.0 AS rp
+gx AS (SELECT (count(*) + 1) / 1000.0 AS gp FROM gp, gi WHERE abs(gp.t / (SELECT max(s2) FROM mo)) >= abs(g) * (1 - 1e-9)),
+ct AS (SELECT ix.id, ix.li, (count(*) FILTER (abs(ix.z * pl.lag / (ix.s2 / ix.n)) >= abs(ix.li) * (1 - 1e-9)) + 1) / 1000.0 AS rp
        FROM ix JOIN pl ON pl.src = ix.idx GROUP BY ix.id, ix.li),
 rk AS (SELECT *, row_number() OVER (ORDER BY rp) AS r, count(*) OVER () AS m FROM ct),
 bh AS (SELECT *, least(min(rp * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS ap FROM rk),

@@ -30,6 +30,7 @@ from ..operators import turnout as m1
 from ..schema import fixture_schema
 from ..operators.ingest import canonical_columns, ingest
 from ..operators.summary import data_summary
+from . import oracle_ml
 from . import oracle_sql as osql
 from .prepare import analysis_frame, raw_ingestion, rounded
 
@@ -370,6 +371,16 @@ def q_dbscan_labels(spark: SparkSession, d: str) -> DataFrame:
     return res.data
 
 
+def q_dbscan_features(spark: SparkSession, d: str) -> DataFrame:
+    """M12 at its defaults over the scaled feature matrix (M10), with its statistics."""
+    frame, names = _features(spark, d)
+    scaled = m9.transform(frame, m9.fit(frame, names), keep=["Precinct_ID"]).select("Precinct_ID", "features")
+    res = m12.dbscan(scaled, DbscanParams(enabled=True))
+    found = res.diagnostics
+    return res.data.select("*", F.lit(found["n_clusters"]).cast("bigint").alias("n_clusters"), F.lit(found["n_noise"]).cast("bigint").alias("n_noise"),
+                           F.round(F.lit(found["noise_ratio"]), 6).alias("noise_ratio"))
+
+
 def q_cluster_profile(spark: SparkSession, d: str) -> DataFrame:
     pts, res = _dbscan_coords(spark, d)
     return rounded(m12.cluster_profile(res.data, pts, ["Latitude", "Longitude"]))
@@ -505,6 +516,7 @@ QUERIES: dict[str, Query] = {
     "if_importance": q_if_importance,
     "score_new_data": q_score_new_data,
     "dbscan_labels": q_dbscan_labels,
+    "dbscan_features": q_dbscan_features,
     "cluster_profile": q_cluster_profile,
     "turnout_share_by_type": q_turnout_share_by_type,
     "polygon_moran": q_polygon_moran,
@@ -537,4 +549,5 @@ ORACLES: dict[str, Callable[[], str]] = {
         "dbscan_labels", "cluster_profile", "turnout_share_by_type", "polygon_moran", "binned_scatter",
         "returns_preview", "validation_status", "digit_tests", "alternate_layout", "csv_round_trip",
     )},
+    **{name: getattr(oracle_ml, name) for name in ("dbscan_features", "isolation_forest", "if_importance", "score_new_data")},
 }

@@ -8,11 +8,13 @@
 
 from __future__ import annotations
 
+import logging
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_one_to_one
 from ..operators import dbscan as m12
 from ..operators import features as m9
 from ..operators import iforest as m11
@@ -24,6 +26,8 @@ from ..schema import ContestSchema, Settings
 from ..sources.csv import provenance, read_returns_csv
 from .workflow import ALL_METHODS, SUCCESS, AnalysisRun, run_workflow
 
+log = logging.getLogger(__name__)
+
 CAUTION = "A flag says that a row is unusual under one stated model. It does not say why, and proves nothing about the count."
 
 
@@ -126,10 +130,12 @@ def predict_anomalies(frame: DataFrame, feature_model: m9.FeatureModel, forest:
     scaled = m9.transform(feats, feature_model, keep=["Precinct_ID"]).select("Precinct_ID", "features")
     out = frame
     if forest is not None:
-        out = out.join(m11.score(scaled, forest).select("Precinct_ID", "IF_Anomaly_Flag", "IF_Anomaly_Score"), "Precinct_ID", "left")
+        out = join_one_to_one(out, m11.score(scaled, forest).select("Precinct_ID", "IF_Anomaly_Flag", "IF_Anomaly_Score"), "Precinct_ID")
     if settings.dbscan.enabled:
         try:
-            out = out.join(m12.dbscan(scaled, settings.dbscan).data, "Precinct_ID", "left")
-        except AnalysisUnavailable:
-            pass
+            out = join_one_to_one(out, m12.dbscan(scaled, settings.dbscan).data, "Precinct_ID")
+        except AnalysisUnavailable as why:
+            # the columns stay, without a judgement
+            log.warning("dbscan: %s", why)
+            out = out.withColumns({"DBSCAN_Cluster": F.lit(None).cast("bigint"), "DBSCAN_Noise_Flag": F.lit(None).cast("boolean")})
     return out

@@ -233,7 +233,7 @@ def test_quantile_with_ties_collects_few_rows(spark, monkeypatch):
 
     values = [0.0] * 4000 + [float(i % 997) - 400 for i in range(8000)]
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4).persist()
-    monkeypatch.setattr(quantile, "WINDOW", 16)
+    monkeypatch.setattr(quantile, "FEW", 16)
     settled = []
     real = quantile._settle
     monkeypatch.setattr(quantile, "_settle", lambda d, ranks: (settled.extend(r.inside for r in ranks), real(d, ranks)))
