@@ -38,8 +38,8 @@ from tallyscope.llm.tables import stage
 WAVE_TERMS = 1 << 20
 #: One document in this many gives the first thresholds; results do not depend on it.
 SAMPLE_ONE_IN = 16
-#: Postings indexed at once, documents a block is meant to hold, and cells of a document's sketch.
-CHUNK_POSTINGS, BLOCK_DOCS, SKETCH = 1 << 20, 32, 64
+#: Postings indexed at once, documents a block is meant to hold, cells of a document's sketch, items looked up together.
+CHUNK_POSTINGS, BLOCK_DOCS, SKETCH, ITEMS_AT_ONCE = 1 << 18, 32, 64, 512
 
 _UPPER, _PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -165,7 +165,7 @@ def _spread(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Chunk:
-    """Index of some documents: postings by document and by term, blocks of a term's list on demand."""
+    """Index of some documents: postings by document and by term, blocks of a term's list one term at a time."""
 
     def __init__(self, doc: np.ndarray, term: np.ndarray, score: np.ndarray, n_docs: int, n_terms: int):
         order = np.lexsort((term, doc))
@@ -182,34 +182,29 @@ class Chunk:
         flat = np.bincount(doc * SKETCH + cell, weights=sign * np.sqrt(score), minlength=n_docs * SKETCH)
         sketch = flat.reshape(n_docs, SKETCH).astype(np.float32)
         self.sketch = sketch / np.maximum(np.sqrt((sketch * sketch).sum(1, keepdims=True)), 1e-9)
-        self.blocks: dict[int, tuple] = {}
-
-    def blocks_of(self, t: int) -> tuple:
-        """Documents of the list by block, block borders, and per block its terms and their largest scores."""
-        got = self.blocks.get(t)
-        if got is None:
-            docs = self.docs[self.lists[t] : self.lists[t + 1]]
-            if len(docs) > BLOCK_DOCS:
-                own = self.sketch[docs]
-                block = np.empty(len(docs), np.int64)
-                centres = own[::BLOCK_DOCS].T
-                for a in range(0, len(docs), 4096):
-                    block[a : a + 4096] = np.argmax(own[a : a + 4096] @ centres, 1)
-                order = np.argsort(block, kind="stable")
-                docs, block = docs[order], block[order]
-            else:
-                block = np.zeros(len(docs), np.int64)
-            border = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            number = np.cumsum(np.r_[False, block[1:] != block[:-1]])
-            at, owner = _spread(self.first, docs)
-            key = number[owner] * len(self.top) + self.term[at]
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            most = np.maximum.reduceat(self.score[at][order], head)
-            got = docs, np.r_[border, len(docs)], key[head] // len(self.top), key[head] % len(self.top), most
-            self.blocks[t] = got
-        return got
+
+    def blocks_of(self, t: int, wanted: np.ndarray) -> tuple:
+        """Documents of the list by block, block borders, and per block the largest scores of its ``wanted`` terms."""
+        docs = self.docs[self.lists[t] : self.lists[t + 1]]
+        block = np.zeros(len(docs), np.int64)
+        if len(docs) > BLOCK_DOCS:
+            own = self.sketch[docs]
+            centres = own[::BLOCK_DOCS].T
+            for a in range(0, len(docs), 4096):
+                block[a : a + 4096] = np.argmax(own[a : a + 4096] @ centres, 1)
+            order = np.argsort(block, kind="stable")
+            docs, block = docs[order], block[order]
+        change = np.r_[False, block[1:] != block[:-1]]
+        border = np.r_[0, np.flatnonzero(change), len(docs)]
+        at, owner = _spread(self.first, docs)
+        hit = wanted[self.term[at]]
+        at, owner = at[hit], owner[hit]
+        key = np.cumsum(change)[owner] * len(self.top) + self.term[at]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        most = np.maximum.reduceat(self.score[at[order]], head)
+        return docs, border, key[head] // len(self.top), key[head] % len(self.top), most
 
     def scores(self, docs: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Exact scores of documents over the terms marked in ``wanted``."""
@@ -219,22 +214,40 @@ class Chunk:
         np.add.at(out, owner[hit], self.score[at[hit]])
         return out
 
-    def candidates(self, terms: np.ndarray, least: int, wanted: np.ndarray) -> np.ndarray:
-        """Documents whose score over ``terms`` can be ``least`` or more."""
+    def needed(self, terms: np.ndarray, least: int) -> np.ndarray:
+        """The terms of an item whose lists hold every document that can score ``least`` or more."""
         terms = terms[self.lists[terms + 1] > self.lists[terms]]
         terms = terms[np.argsort(self.top[terms], kind="stable")]
         # documents that hold only the weakest terms stay below
-        reach = np.cumsum(self.top[terms])
-        found = []
-        for t in terms[reach >= least].tolist():
-            docs, border, block, term, most = self.blocks_of(t)
-            hit = wanted[term]
-            bound = np.zeros(len(border) - 1, np.int64)
-            np.add.at(bound, block[hit], most[hit])
-            live = np.flatnonzero(bound >= least)
-            if len(live):
-                found.append(docs[_spread(border, live)[0]])
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return terms[np.cumsum(self.top[terms]) >= least]
+
+    def candidates(self, items: list[np.ndarray], least: list[int]) -> list[np.ndarray]:
+        """For each item (its terms) the documents of the blocks whose bound reaches ``least``."""
+        lists = [self.needed(own, x) for own, x in zip(items, least)]
+        term = np.concatenate(lists)
+        item = np.repeat(np.arange(len(items)), [len(x) for x in lists])
+        order = np.argsort(term, kind="stable")
+        term, item = term[order], item[order]
+        head = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+        found: list[list[np.ndarray]] = [[] for _ in items]
+        wanted = np.zeros(len(self.top), bool)
+        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(term)]):
+            users = item[a:b].tolist()
+            for i in users:
+                wanted[items[i]] = True
+            docs, border, block, held, most = self.blocks_of(int(term[a]), wanted)
+            for i in users:
+                wanted[items[i]] = False
+            for i in users:
+                wanted[items[i]] = True
+                hit = wanted[held]
+                wanted[items[i]] = False
+                bound = np.zeros(len(border) - 1, np.int64)
+                np.add.at(bound, block[hit], most[hit])
+                live = np.flatnonzero(bound >= least[i])
+                if len(live):
+                    found[i].append(docs[_spread(border, live)[0]].astype(np.int32))
+        return [np.unique(np.concatenate(f)) if f else np.zeros(0, np.int32) for f in found]
 
 
 class Best:
@@ -285,13 +298,14 @@ def _ranked(spark: SparkSession, counted: DataFrame, wave: Wave, weight: np.ndar
             ids = table.column("doc_id")
             absent = ids.is_null().to_numpy()
             ids = ids.fill_null(0).to_numpy()
-            for i, b in enumerate(best):
-                terms = of_item[first[i] : first[i + 1]]
-                wanted[terms] = True
-                docs = chunk.candidates(terms, b.least, wanted)
-                if len(docs):
-                    b.add(chunk.scores(docs, wanted), ids[docs], absent[docs])
-                wanted[terms] = False
+            for a in range(0, len(best), ITEMS_AT_ONCE):
+                some = best[a : a + ITEMS_AT_ONCE]
+                terms = [of_item[first[i] : first[i + 1]] for i in range(a, a + len(some))]
+                for b, own, docs in zip(some, terms, chunk.candidates(terms, [b.least for b in some])):
+                    if len(docs):
+                        wanted[own] = True
+                        b.add(chunk.scores(docs, wanted), ids[docs], absent[docs])
+                        wanted[own] = False
         for i, b in enumerate(best):
             if len(b.score):
                 ids = pa.array(b.id, pa.int64(), mask=b.absent)

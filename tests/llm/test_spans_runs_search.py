@@ -232,7 +232,7 @@ def brute_ranking(rows, items, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("k, chunk, block, wave", [(3, 1 << 20, 32, 1 << 20), (50, 200, 2, 60)])
+@pytest.mark.parametrize("k, chunk, block, wave", [(3, 1 << 20, 32, 1 << 20), (50, 200, 2, 400)])
 def test_ranking_equals_brute_force(spark, monkeypatch, k, chunk, block, wave):
     for name, value in (("CHUNK_POSTINGS", chunk), ("BLOCK_DOCS", block), ("WAVE_TERMS", wave), ("SAMPLE_ONE_IN", 3)):
         monkeypatch.setattr(ranked_search, name, value)
