@@ -21,9 +21,9 @@ BUCKET_HASHES = 1 << 20
 PACKED = "bucket int, ids binary, counts binary, hashes binary, extra binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("ids", "counts", "hashes", "extra"))])
 
-#: One document in this many is looked at to find the frequent hashes ...
-SAMPLE_ONE_IN = 64
-#: ... which are those in at least this share of the looked-at documents, and in so many of them.
+#: About so many documents are looked at to find the frequent hashes, whatever the number of documents ...
+SAMPLE_DOCS = 4096
+#: ... which are those in at least this share of the looked-at documents (in eight where all of few are looked at).
 FREQUENT_SHARE, FREQUENT_LEAST = 0.002, 8
 
 
@@ -66,14 +66,15 @@ def unpack_rows(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.
     return h, ids, np.frombuffer(join("extra"), np.uint8)
 
 
-def frequent_hashes(docs: DataFrame, per_slice: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], where: str) -> np.ndarray:
-    """Sorted hashes that are frequent in a sample of documents.
+def frequent_hashes(docs: DataFrame, per_slice: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sorted hashes that are frequent in a sample of documents (``doc_id``, ``text``), drawn by a hash of the id.
 
     ``per_slice`` gives hashes and their row. No more hashes than 1 / FREQUENT_SHARE times the
     mean number per document can reach that share, whatever the size of the corpus, so the
     result may be broadcast. The sample only steers the plan: results are the same without it.
     """
-    some = docs.filter(where)
+    n = docs.select("doc_id").count()
+    some = docs.filter(F.pmod(F.xxhash64(F.lit("frequent"), "doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 30))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in row_slices(batches):
@@ -83,7 +84,7 @@ def frequent_hashes(docs: DataFrame, per_slice: Callable[[pa.RecordBatch], tuple
             value, n = np.unique(pair, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    least = max(FREQUENT_LEAST, int(FREQUENT_SHARE * some.count()))
+    least = max(FREQUENT_LEAST, int(FREQUENT_SHARE * min(n, SAMPLE_DOCS)))
     counted = some.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return np.sort(counted.select("h").toArrow().column("h").to_numpy().view(np.uint64))
 

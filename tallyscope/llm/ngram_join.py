@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.exchange import PACKED, SAMPLE_ONE_IN, bucket_bits, frequent_hashes, is_member, pack_rows, unpack_rows
+from tallyscope.llm.exchange import PACKED, bucket_bits, frequent_hashes, is_member, pack_rows, unpack_rows
 from tallyscope.llm.graph import components
 from tallyscope.llm.ragged import LOWER, NON_SPACE, mix, row_slices, utf8, window_hashes, word_hashes, words
 from tallyscope.llm.tables import stage
@@ -82,7 +82,7 @@ def index_rows(spark: SparkSession, docs: DataFrame, size: int) -> tuple[DataFra
         h, first = shingles(rb, size)
         return h, np.repeat(np.arange(rb.num_rows), np.diff(first))
 
-    last = frequent_hashes(docs, sampled, f"pmod(xxhash64(doc_id), {SAMPLE_ONE_IN}) = 0")
+    last = frequent_hashes(docs, sampled)
     shared = spark.sparkContext.broadcast(last)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bucket_bits(spark, n_bytes // 30)

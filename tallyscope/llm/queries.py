@@ -56,7 +56,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "removed")
+    return substring_dedup.remove_repeats(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,4 @@ QUERIES: dict[str, Query] = {
         op11_personal_data, op12_periodic_runs, op13_ranked_search,
     )
 }
-ORACLES: dict[str, str] = {"op2_decontamination": decontamination.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
+ORACLES: dict[str, str] = {"op2_decontamination": decontamination.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE, "op13_ranked_search": ranked_search.ORACLE}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.exchange import PACKED, SAMPLE_ONE_IN, bucket_bits, frequent_hashes, is_member, pack_rows, unpack_rows
+from tallyscope.llm.exchange import PACKED, bucket_bits, frequent_hashes, is_member, pack_rows, unpack_rows
 from tallyscope.llm.ragged import NON_SPACE, row_slices, utf8, window_hashes, word_hashes, words
 from tallyscope.llm.tables import stage, wider
 
@@ -47,20 +47,22 @@ def frequent_minima(spark: SparkSession, docs: DataFrame, size: int) -> tuple[np
         *_, h, _, first = _windows(rb, size)
         return h, np.repeat(np.arange(rb.num_rows), np.diff(first))
 
-    frequent = frequent_hashes(docs, sampled, f"pmod(xxhash64(doc_id), {SAMPLE_ONE_IN}) = 0")
+    frequent = frequent_hashes(docs, sampled)
     if not len(frequent):
         return frequent, np.zeros(0, np.int64)
     shared = spark.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        least = np.full(len(table), np.iinfo(np.int64).max)
         for rb in row_slices(batches, max_bytes=SLICE_BYTES):
             *_, h, _, first = _windows(rb, size)
-            hit = np.flatnonzero(is_member(h, shared.value))
+            hit = np.flatnonzero(is_member(h, table))
             ids = rb.column("doc_id").to_numpy()[np.searchsorted(first, hit, "right") - 1]
-            value, at = np.unique(h[hit], return_inverse=True)
-            least = np.full(len(value), np.iinfo(np.int64).max)
-            np.minimum.at(least, at, ids)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(least)], ["h", "doc_id"])
+            np.minimum.at(least, np.searchsorted(table, h[hit]), ids)
+        seen = least < np.iinfo(np.int64).max
+        # one row per task and window
+        yield pa.RecordBatch.from_arrays([pa.array(table[seen].view(np.int64)), pa.array(least[seen])], ["h", "doc_id"])
 
     got = docs.mapInArrow(run, "h bigint, doc_id bigint").groupBy("h").agg(F.min("doc_id").alias("doc_id")).toArrow()
     h = got.column("h").to_numpy().view(np.uint64)
@@ -193,3 +195,20 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, size: int = 13, prefix:
     touched = rows.join(ids, key == F.col("repeat_doc_id__"), "left_semi").join(per_doc, key == F.col("repeat_doc_id__")).drop("repeat_doc_id__")
     others = rows.join(ids, key == F.col("repeat_doc_id__"), "left_anti")
     return touched.mapInArrow(rewrite, schema).unionByName(others.mapInArrow(rewrite, schema))
+
+
+#: The removed words of each document: whole windows that also start in a document with a smaller id.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, unnest(range(len(w) - 12)) AS at, w FROM d WHERE len(w) >= 13),
+g AS MATERIALIZED (SELECT doc_id, at, hash(array_to_string(list_slice(w, at + 1, at + 13), ' ')) AS h, md5(array_to_string(list_slice(w, at + 1, at + 13), ' ')) AS m FROM v),
+f AS (SELECT h, m, min(doc_id) AS least FROM g GROUP BY h, m),
+r AS MATERIALIZED (SELECT g.doc_id, g.at FROM g JOIN f USING (h, m) WHERE f.least < g.doc_id),
+c AS (SELECT doc_id, list(DISTINCT at + k) AS gone FROM r, range(13) t(k) GROUP BY doc_id),
+j AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN c USING (doc_id)),
+z AS (SELECT doc_id, unnest(gone) AS i FROM c),
+k AS (SELECT doc_id, list(x ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM j) u
+      ANTI JOIN z USING (doc_id, i) GROUP BY doc_id)
+SELECT j.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+FROM j LEFT JOIN k USING (doc_id)
+"""

@@ -96,7 +96,6 @@ def test_jaccard_join(spark):
 
 def test_jaccard_join_hot_groups(spark, monkeypatch):
     """Many near copies in chains, and a passage that most documents share; frequent shingles are found by the sample."""
-    monkeypatch.setattr(ngram_join, "SAMPLE_ONE_IN", 2)
     monkeypatch.setattr(exchange, "FREQUENT_SHARE", 0.05)
     rng = random.Random(8)
     word = lambda: f"w{rng.randrange(5000)}"
@@ -129,7 +128,6 @@ def test_components_of_a_path(spark):
 @pytest.mark.parametrize("sampled", [False, True])
 def test_substring_dedup(spark, monkeypatch, sampled):
     if sampled:
-        monkeypatch.setattr(substring_dedup, "SAMPLE_ONE_IN", 1)
         monkeypatch.setattr(exchange, "FREQUENT_SHARE", 0.05)
     rows = corpus(seed=9, n=90)
     want = brute_removed(rows)
