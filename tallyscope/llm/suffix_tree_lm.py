@@ -39,11 +39,11 @@ SYMBOLS = 64
 BITS = 6
 OTHER = SYMBOLS - 1
 MIN_GAIN = 8.0
-HEAD_STATES = 1 << 16
+HEAD_STATES = 1 << 14
 DELTAS = 1 << 22
 #: Bits (a prime) that tell whether a context may be outside the broadcast states.
 BITMAP = (1 << 26) - 5
-HEAD_WORDS = 400_000
+HEAD_WORDS = 200_000
 #: Distinct sequences that a counting task holds before it passes them on.
 HELD = 1 << 20
 END = 0x0A
