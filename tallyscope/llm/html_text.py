@@ -7,6 +7,12 @@ boilerplate terminal. Neighbouring blocks and blocks of one container are tied b
 edges, stronger the more of the DOM path they share. The minimum cut (max-flow) labels the
 blocks; content blocks are joined in page order by one line feed.
 
+Pages are read from left to right once, whatever markup they hold: a tag ends at the first ">"
+outside closed quotes, one without any is text, and elements know their parent, so neither
+broken tags nor deep nesting cost more than their length. Names count as whole attribute
+values of class, id, role and itemprop; what they say against an element does not count where
+it holds the page itself (html, body, main, the first heading, or nearly all text).
+
 Null html counts as empty: empty text, 0 code points. One row out per row in, whole pages,
 no shuffle; only the id, url and html columns are read.
 """
@@ -38,12 +44,16 @@ IMPLIED_END = {
     "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]),
     "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
 }
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW_TAGS})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
-_ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
+RAW = frozenset(RAW_TAGS.split("|"))
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
+#: A tag whose quoted values hold neither "<" nor ">"; it is looked for up to the next of them only.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+_TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/><]*+)")
+_TAG_MARK = re.compile(r"[\"'>]")
+_ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?""")
+NAMED = frozenset(["class", "id", "role", "itemprop"])
+#: First words that take the sense of a name away (has-sidebar, no-comments).
+ABOUT = frozenset("has no not is with without show hide enable disable js".split())
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -68,35 +78,70 @@ BIAS = -0.2
 TIE = 0.8
 
 
+class Element:
+    """An open or closed element; ``path`` and ``steps`` run over block elements only."""
+
+    __slots__ = ("tag", "parent", "home", "steps", "tag_cost", "name_cost", "hidden", "size", "holds_page", "cost", "inside")
+
+    def __init__(self, tag: str, parent: Element | None, attrs: str) -> None:
+        self.tag, self.parent = tag, parent
+        self.home: Element | None = None if parent is None else parent if parent.tag in BLOCK_TAGS else parent.home  # nearest block element around it
+        self.steps = 0 if self.home is None else self.home.steps + 1
+        self.tag_cost, self.name_cost, self.hidden = TAG_COST.get(tag, 0.0), 0.0, False
+        if attrs and not attrs.isspace():
+            names, self.hidden = _names(attrs)
+            # the strongest name counts, a bad one over a good one
+            self.name_cost = min(names) if names and min(names) < 0 else max(names, default=0.0)
+        self.size, self.holds_page, self.cost, self.inside = 0, tag in ("html", "body", "main"), 0.0, tag in ("article", "main")
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[int, ...]  # ids of the open elements, outermost first
-    cost: float
+    element: Element
+    own: float  # evidence of its own text
 
+    @property
+    def cost(self) -> float:
+        return self.element.cost + self.own
 
-def _name_words(attrs: str) -> tuple[list[str], bool]:
-    words, hidden = [], False
+
+def _names(attrs: str) -> tuple[list[float], bool]:
+    """Evidence of the words of class, id, role and itemprop, and whether the element is hidden."""
+    found, hidden = [], False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             hidden = True
         elif key == "style":
             hidden = hidden or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None
-        elif key != "aria-hidden":
-            words += _NAME.findall(value)
-    return words, hidden
-
-
-def element_cost(tag: str, attrs: str) -> float:
-    cost = TAG_COST.get(tag, 0.0)
-    if attrs and not attrs.isspace():
-        words, hidden = _name_words(attrs)
-        # the strongest name counts, a bad one over a good one
-        named = [NAME_COST[w] for w in words if w in NAME_COST]
-        cost += min(named) if named and min(named) < 0 else max(named, default=0.0)
-        if hidden:
-            cost -= 8.0
-    return cost
+        elif key in NAMED:
+            for token in value.split():
+                words = _NAME.findall(token)
+                if len(words) < 2 or words[0] not in ABOUT:
+                    found += [NAME_COST[w] for w in words if w in NAME_COST]
+    return found, hidden
+
+
+def judge(elements: list[Element], total: int) -> None:
+    """Costs of all elements (parents first): a boilerplate element outweighs the content elements around and inside it."""
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.size += e.size
+            e.parent.holds_page = e.parent.holds_page or e.holds_page
+    for e in elements:
+        name = e.name_cost
+        if name < 0 and (e.holds_page or 5 * e.size > 4 * total):
+            name = 0.0
+        own = e.tag_cost + name - 8.0 * e.hidden
+        cost, inside = (e.parent.cost, e.parent.inside) if e.parent is not None else (0.0, False)
+        e.inside = inside or e.inside
+        if e.inside and e.tag == "header":  # of the article itself
+            own = 0.0
+        if own < 0:
+            cost = min(cost, 0.0) + own
+        elif cost >= 0:
+            cost = min(cost + own, 4.0)
+        e.cost = cost
 
 
 def _text_cost(text: str, linked: int, tag: str) -> float:
@@ -117,86 +162,156 @@ def _text_cost(text: str, linked: int, tag: str) -> float:
     return cost
 
 
-def path_cost(stack: list[tuple[str, int, float]]) -> float:
-    """Evidence of the open elements: a boilerplate element outweighs the content elements around and inside it."""
-    cost, inside = 0.0, False
-    for tag, _, own in stack:
-        inside = inside or tag in ("article", "main")
-        if inside and tag == "header":  # of the article itself
+class _Finder:
+    """``str.find`` that remembers what does not come any more."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.gone = page, set()
+
+    def __call__(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.gone.add(what)
+        return k
+
+
+def _tag_end(page: str, at: int, find: _Finder) -> int:
+    """The place of the ">" that ends the tag at ``at``, outside closed quotes; -1 if there is none."""
+    k = at
+    while m := _TAG_MARK.search(page, k):
+        if m[0] == ">":
+            return m.start()
+        # a quote begins a value only after a sign of equality
+        value = page[m.start() - 1] == "=" or page[at : m.start()].rstrip()[-1:] == "=" if m.start() - at < 64 else page[m.start() - 1] == "="
+        close = find(m[0], m.end()) if value else -1
+        k = close + 1 if close >= 0 else m.end()
+    return -1
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, name, attributes, is an end tag) of all markup; comments and the like have an empty name."""
+    find, at, plain = _Finder(page), 0, False
+    while (at := find("<", at)) >= 0:
+        start = at
+        m = _PLAIN_TAG.match(page, at)
+        if m:
+            name, attrs, closes, at = m[2].lower(), m[3], bool(m[1]), m.end()
+        elif page.startswith("<!--", at):
+            at = find("-->", at + 4) + 3
+            yield start, at if at > 2 else len(page), "", "", False
+            at = at if at > 2 else len(page)
             continue
-        if own < 0:
-            cost = min(cost, 0.0) + own
-        elif cost >= 0:
-            cost = min(cost + own, 4.0)
-    return cost
+        elif page.startswith("<![CDATA[", at):
+            at = find("]]>", at) + 3
+            yield start, at if at > 2 else len(page), "", "", False
+            at = at if at > 2 else len(page)
+            continue
+        elif page[at + 1 : at + 2] in ("!", "?", "/") and not _TAG_NAME.match(page, at):
+            end = find(">", at)
+            at = end + 1 if end >= 0 else at + 1
+            if end >= 0:
+                yield start, at, "", "", False
+            continue
+        elif named := _TAG_NAME.match(page, at):
+            end = -1 if plain else _tag_end(page, named.end(), find)
+            if end < 0:  # every ">" is in quotes: from here on the first one ends a tag
+                plain = True
+                end = find(">", named.end())
+            if end < 0:
+                at += 1
+                continue
+            name, attrs, closes, at = named[1].lower(), page[named.end() : end], page[at + 1] == "/", end + 1
+        else:
+            at += 1
+            continue
+        yield start, at, name, attrs, closes
+        if name in RAW and not closes and not (name in ("svg", "math") and attrs.endswith("/")):
+            # the content is no text of the page
+            end = _RAW_END[name].search(page, at)
+            stop = find(">", end.end()) + 1 if end else 0
+            stop = stop or len(page)
+            yield at, stop, "", "", False
+            at = stop
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float]] = []  # tag, element id, cost
+    elements = [Element("", None, "")]
+    stack = [elements[0]]
+    places: dict[str, list[int]] = {}  # where open elements of a tag stand in the stack
+    block_at = [0]  # where open block elements stand
     parts: list[str] = []
-    linked, in_head, links, serial = 0, False, 0, 0
+    linked, in_head, headed, total = 0, False, False, 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, total, headed
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                inner = next((t for t, _, _ in reversed(stack) if t in BLOCK_TAGS), "")
-                out.append(Block(text, tuple(i for t, i, _ in stack if t in BLOCK_TAGS), path_cost(stack) + _text_cost(text, min(linked, len(text)), inner)))
+                inner = stack[block_at[-1]]
+                stack[-1].size += len(text)
+                total += len(text)
+                if inner.tag == "h1" and not headed:
+                    headed = inner.holds_page = True
+                out.append(Block(text, stack[-1], _text_cost(text, min(linked, len(text)), inner.tag)))
         linked = 0
 
     def close(to: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _, _ in stack[to:])
+        for e in stack[to:]:
+            places[e.tag].pop()
+            if e.tag in BLOCK_TAGS:
+                block_at.pop()
         del stack[to:]
 
     def text_run(run: str) -> None:
         nonlocal linked
         if run and not in_head:
             parts.append(run)
-            linked += len(run.strip()) if links else 0
+            linked += len(run.strip()) if places.get("a") else 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        text_run(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+    for start, end, tag, attrs, closes in tags(page):
+        text_run(page[at:start])
+        at = end
+        if tag in RAW or not tag:
             continue
-        tag = tag.lower()
         if tag == "head":
-            in_head = not m["close"]
+            in_head = not closes
             continue
-        if tag == "body" and not m["close"]:
+        if tag == "body" and not closes:
             in_head = False
         block = tag in BLOCK_TAGS
         if block:
             flush()
         if tag == "br":
             text_run(" ")
-        if m["close"]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+        open_ = places.get(tag)
+        if closes:
             # an inline end tag does not reach past the block that it stands in
-            if k >= 0 and (block or not any(t in BLOCK_TAGS for t, _, _ in stack[k:])):
-                close(k)
+            if open_ and (block or open_[-1] > block_at[-1]):
+                close(open_[-1])
             continue
-        if tag in VOID_TAGS or m["attrs"].endswith("/") and not block:
+        if tag in VOID_TAGS or attrs.endswith("/") and not block:
             continue
         if block:
-            k = next((k for k, (t, _, _) in enumerate(stack) if t == "p"), -1)  # a paragraph ends where a block begins
-            if k >= 0:
-                close(k)
+            if places.get("p"):  # a paragraph ends where a block begins
+                close(places["p"][0])
             ends = IMPLIED_END.get(tag)
-            if ends and stack and stack[-1][0] in ends:
+            if ends and stack[-1].tag in ends:
                 close(len(stack) - 1)
-        serial += 1
-        stack.append((tag, serial, element_cost(tag, m["attrs"])))
-        links += tag == "a"
+        e = Element(tag, stack[-1], attrs)
+        elements.append(e)
+        places.setdefault(tag, []).append(len(stack))
+        if block:
+            block_at.append(len(stack))
+        stack.append(e)
     text_run(page[at:])
     flush()
+    judge(elements, total)
     return out
 
 
@@ -259,39 +374,53 @@ class FlowNet:
                     break
 
 
-def smoothness(a: tuple[int, ...], b: tuple[int, ...]) -> float:
-    """Tie of two blocks: the share of the longer path that they have in common, without their own elements."""
-    a, b = a[:-1], b[:-1]
-    common = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        common += 1
-    return TIE * common / max(len(a), len(b), 1)
+def _around(b: Block) -> Element | None:
+    """The block element around the one that a block stands in."""
+    e = b.element if b.element.tag in BLOCK_TAGS else b.element.home
+    return None if e is None else e.home
+
+
+def _steps(e: Element | None) -> int:
+    return 0 if e is None else e.steps + 1
+
+
+def smoothness(a: Block, b: Block) -> float:
+    """Tie of two blocks: the share of the longer path that they have in common, without their own elements.
+
+    From neighbour to neighbour each element is left and entered once, so all walks together are linear.
+    """
+    x, y = _around(a), _around(b)
+    longest = max(_steps(x), _steps(y), 1)
+    while x is not y:
+        if _steps(x) >= _steps(y):
+            x = x.home
+        else:
+            y = y.home
+    return TIE * _steps(x) / longest
 
 
 def label_blocks(blocks: list[Block]) -> list[bool]:
     """Content (True) or boilerplate for each block, by a minimum cut."""
     n = len(blocks)
-    if not any(b.cost > 0 for b in blocks):
+    cost = [b.cost for b in blocks]
+    if not any(c > 0 for c in cost):
         return [False] * n
     net = FlowNet(n + 2)
-    last: dict[int, int] = {}
+    last: dict[Element | None, int] = {}
     for i, b in enumerate(blocks):
-        if b.cost > 0:
-            net.edge(n, i, b.cost)
+        if cost[i] > 0:
+            net.edge(n, i, cost[i])
         else:
-            net.edge(i, n + 1, -b.cost)
+            net.edge(i, n + 1, -cost[i])
         if i:
-            tie = smoothness(blocks[i - 1].path, b.path)
+            tie = smoothness(blocks[i - 1], b)
             if tie:
                 net.edge(i - 1, i, tie, tie)
         # the block before it in the same container, where that is not the neighbour
-        home = b.path[-2] if len(b.path) > 1 else 0
+        home = _around(b)
         before = last.get(home, i)
-        if before < i - 1:
-            tie = smoothness(blocks[before].path, b.path)
-            net.edge(before, i, tie, tie)
+        if before < i - 1 and home is not None:
+            net.edge(before, i, TIE, TIE)
         last[home] = i
     return net.run(n, n + 1)[:n]
 

@@ -34,8 +34,9 @@ from tallyscope.llm.tables import wider
 
 #: Characters of a window; every character of a text is in exactly one window.
 WINDOW = 1500
-#: Bounds of the training sample (documents, and characters of each) and of the landmarks, per label.
+#: Bounds of the training sample (documents, and windows of each) and of the landmarks, per label.
 TRAIN_PER_LABEL = 256
+TRAIN_WINDOWS = 4
 LANDMARKS_PER_LABEL = 48
 RIDGE = 1e-3
 #: Share of unknown 3-grams up to which a text is never strange, and what the limit is above its 0.99 quantile in the sample.
@@ -136,7 +137,7 @@ class KernelModel:
 def fit(texts: list[str], targets: list[str], seed: int = 7) -> KernelModel:
     """Fit on a bounded sample: Nystroem features on landmark windows, then ridge regression."""
     labels = sorted(set(targets))
-    picked = [(w, labels.index(t), i) for i, (text, t) in enumerate(zip(texts, targets)) for w in windows_of(symbols(text))[:4] if np.any(w)]
+    picked = [(w, labels.index(t), i) for i, (text, t) in enumerate(zip(texts, targets)) for w in windows_of(symbols(text))[:TRAIN_WINDOWS] if np.any(w)]
     grams = [np.unique(np.concatenate(gram_codes(w))) for w, _, _ in picked]
     y = np.array([t for _, t, _ in picked])
     known = np.unique(np.concatenate(grams))
@@ -176,7 +177,7 @@ def unknown_share(grams: list[np.ndarray], owner: np.ndarray) -> float:
 
 
 def sample(docs: DataFrame, train: str, label_col: str, text_col: str, id_col: str) -> tuple[list[str], list[str]]:
-    """At most TRAIN_PER_LABEL documents of each label by a hash of the id, and their first characters.
+    """At most TRAIN_PER_LABEL documents of each label by a hash of the id; of a long text TRAIN_WINDOWS windows drawn by hash from the whole.
 
     The labels are few by nature; the counts per label give a hash threshold, so that only
     about twice the sample leaves the scan.
@@ -189,7 +190,9 @@ def sample(docs: DataFrame, train: str, label_col: str, text_col: str, id_col: s
     for label, n in counts.items():
         share = F.when(F.col("label") == label, F.lit(min(1.0, 2.0 * TRAIN_PER_LABEL / n))).otherwise(share)
     near = rows.withColumn("u", F.expr("pmod(h, 1000003) / 1000003.0D")).filter(F.col("u") < share)
-    got = near.select("label", F.substring("text", 1, 4 * WINDOW).alias("text"), "h").collect()
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(TRAIN_WINDOWS)), lambda k: F.substring(F.col("text"), F.pmod(F.xxhash64("h", k), F.length("text") - WINDOW).cast("int") + 1, F.lit(WINDOW)))
+    windows = F.when(F.length("text") > TRAIN_WINDOWS * WINDOW, F.array_join(drawn, " ")).otherwise(F.col("text"))
+    got = near.select("label", windows.alias("text"), "h").collect()
     texts, labels, taken = [], [], dict.fromkeys(counts, 0)
     for r in sorted(got, key=lambda r: (r["h"], r["label"], r["text"])):
         if taken[r["label"]] < TRAIN_PER_LABEL:

@@ -4,7 +4,9 @@ A batch of distinct pre-tokens is held as one flat symbol array with sequence st
 Each round looks up the rank of every adjacent pair, takes the lowest rank of each
 sequence, merges all its non-overlapping occurrences in all sequences at once, and
 drops the sequences that have no mergeable pair left; their surviving symbols are the
-count. Counts of pre-tokens are kept in a bounded table per Python worker.
+count. A very long pre-token has many rounds that touch few of its symbols, so it is merged by
+itself: places wait under their rank, and a round looks only at the places of its rank and
+their neighbours. Counts of pre-tokens are kept in a bounded table per Python worker.
 
 Null text counts as empty (0 bytes, 0 tokens). Only ``id_col`` and ``text_col`` are read,
 so further columns, whatever their names, and repeated rows do not matter: one row out
@@ -13,6 +15,7 @@ per row in.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -28,6 +31,8 @@ from tallyscope.llm.ragged import row_slices, utf8
 
 NO_RANK = np.iinfo(np.int64).max
 TABLE_WORDS = 1_000_000
+#: Bytes from which on a pre-token is merged by itself, and up to which counts are kept in the table.
+LONG, KEPT = 512, 64
 SPACES = r"\t-\r \x85\xa0  -     　"
 
 
@@ -51,10 +56,60 @@ class MergeCounter:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(code, kind="stable")
         self.code, self.rank, self.made = code[order], order.astype(np.int64), made[order]
+        self.pair, self.product = code, made  # by rank
         shown = byte_alphabet()
         self.inner = np.array([vocab[c] for c in shown], np.int64)
         self.final = np.array([vocab[c + suffix] for c in shown], np.int64)
 
+    def ranks_of(self, codes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.code, codes), len(self.code) - 1)
+        return np.where(self.code[at] == codes, self.rank[at], NO_RANK)
+
+    def long_count(self, token: str) -> int:
+        """Symbols left of one pre-token, by worklists of places under each rank."""
+        data = np.frombuffer(token.encode(), np.uint8)
+        n = len(data)
+        symbol = np.append(self.inner[data], -1)  # the place after the end matches nothing
+        symbol[n - 1] = self.final[data[-1]]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        alive = np.ones(n + 1, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            rank = self.ranks_of((symbol[places] << 32) | symbol[after[places]])
+            places, rank = places[rank != NO_RANK], rank[rank != NO_RANK]
+            by = np.argsort(rank, kind="stable")
+            places, rank = places[by], rank[by]
+            cut = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else np.zeros(0, np.int64)
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rank)]):
+                r = int(rank[a])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(order, r)
+                waiting[r].append(places[a:b])
+
+        wait(np.arange(n - 1))
+        while order:
+            r = heapq.heappop(order)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            first, second = self.pair[r] >> 32, self.pair[r] & 0xFFFFFFFF
+            places = places[alive[places] & (symbol[places] == first) & (symbol[after[places]] == second)]
+            if not len(places):
+                continue
+            if first == second:  # of a run every second pair, from the left
+                fresh = np.r_[True, after[places[:-1]] != places[1:]]
+                run = np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))
+                places = places[(np.arange(len(places)) - run) % 2 == 0]
+            gone = after[places]
+            symbol[places] = self.product[r]
+            alive[gone] = False
+            after[places] = after[gone]
+            before[after[places]] = places
+            left = before[places]
+            wait(np.unique(np.r_[left[left >= 0], places[after[places] < n]]))
+        return int(alive[:n].sum())
+
     def counts(self, tokens: list[str]) -> np.ndarray:
         """Symbols left of each (non-empty) pre-token."""
         data, offsets = utf8(pa.array(tokens, pa.large_string()))
@@ -117,10 +172,17 @@ class WordPieces:
         if len(self.table) > TABLE_WORDS:
             self.table.clear()
         new = list(set().union(*(p for p, _ in split)) - self.table.keys())
+        large = [t for t in new if len(t) > KEPT]
+        for t in large:
+            if len(t) > LONG:
+                self.table[t] = self.merges.long_count(t)
+        new = [t for t in new if len(t) <= LONG]
         if new:
             self.table.update(zip(new, self.merges.counts(new).tolist()))
-        get = self.table.__getitem__
-        return [sum(map(get, p)) + extra for p, extra in split]
+        found = [sum(map(self.table.__getitem__, p)) + extra for p, extra in split]
+        for t in large:
+            del self.table[t]
+        return found
 
 
 _workers: dict[str, WordPieces] = {}

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -127,7 +128,9 @@ def test_min_cut_is_a_minimum():
     rng = np.random.default_rng(3)
     for _ in range(30):
         n = 7
-        blocks = [html_text.Block("x", (1, int(rng.integers(2, 4)), 10 + i), float(rng.normal())) for i in range(n)]
+        root = html_text.Element("div", None, "")
+        homes = [html_text.Element("section", root, "") for _ in range(2)]
+        blocks = [html_text.Block("x", html_text.Element("p", homes[int(rng.integers(0, 2))], ""), float(rng.normal())) for _ in range(n)]
         edges = []
         real = html_text.FlowNet.edge
 
@@ -181,3 +184,56 @@ def test_parse_is_locally_consistent():
         names.append(fingerprints.phrases(level, off)[0])
     inner = [set(x.tolist()) for x in names]
     assert len(inner[0] & inner[1]) > 0.97 * len(inner[0]) and len(inner[0] & inner[2]) > 0.97 * len(inner[0])
+
+
+STORY = "<p>" + "The council met on Tuesday and decided to build a new bridge over the river, as the old one is closed. " * 3 + "</p>"
+SHELLS = [
+    "<article data-title='the hidden city'>{}</article>", "<div data-slug=hidden-gems>{}</div>", "<body class='has-sidebar'><article>{}</article></body>", "<div id='main' class='no-comments'>{}</div>",
+    "<div class='post with-comments'><article>{}</article></div>", "<main class='post social-story'>{}</main>", "<body class='sidebar'><div>{}</div></body>", "<div class=social><h1>A title</h1>{}</div>",
+    "<div title=\"a > b\" class=post>{}</div>", "<div data-x='<nav class=ad>'>{}</div>", "<div onclick=\"f('x')\">{}</div>",
+]
+
+
+@pytest.mark.parametrize("shell", SHELLS)
+def test_names_do_not_lose_the_article(shell):
+    page = "<html><body><nav><a href=/>Home</a> <a href=/b>News</a></nav>" + shell.format(STORY * 4) + "<div class=sidebar><a href=1>More</a></div><footer>© 2020 Site</footer></body></html>"
+    text = html_text.main_text(page)
+    assert text.count("old one is closed.") == 12 and not any(x in text for x in ("Home", "News", "More", "©"))
+
+
+def test_comments_and_notices_go():
+    page = f"<article>{STORY}</article><section class='comments'><article class='comment'><p>" + "I think this is a very good idea, thank you for it. " * 3 + "</p></article></section><div class='cookie-notice'><p>We use cookies on this site, please accept all of them now.</p></div>"
+    text = html_text.main_text(page)
+    assert "council" in text and "good idea" not in text and "cookies" not in text
+
+
+@pytest.mark.parametrize("page", [
+    "<b" * 100_000, "<script" * 100_000, "<script>" * 100_000, '<a href="x' * 100_000, '<a x=">" ' * 100_000, "<!" * 200_000, "<!--" * 100_000, "<" * 1_000_000, "</" * 500_000,
+    "<div>" * 10_000 + "<p>some text of it</p>" * 10_000, "<div>x" * 10_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000, "<a " + '"' * 1_000_000, "<a " + "=" * 1_000_000,
+    ("<p>" + "The council met on Tuesday and decided it. " * 5 + "</p><div class=ad><a href=x>buy now</a></div>") * 35_000])
+def test_broken_deep_and_long_pages_take_linear_time(page):
+    begin = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - begin < 10
+
+
+def test_pages_repeated_rows_null_ids_and_empty(spark):
+    pages = spark.createDataFrame([(None, None, STORY, 1), (None, None, STORY, 1), (2, "u", None, 2)], "page_id bigint, url string, html string, text int")
+    got = html_text.extract(pages).collect()
+    assert sorted(r["n_chars"] for r in got) == [0, len(got[0]["text"]) or len(got[1]["text"]), len(got[1]["text"]) or len(got[0]["text"])] and len(got) == 3
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_long_words_equal_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, pieces = Tokenizer.from_file(path), token_counts.WordPieces(path)
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzé"))
+    for n, k in ((513, 26), (700, 1), (701, 2), (3000, 3), (5000, 27), (20_000, 26)):
+        word = "".join(letters[rng.integers(0, k, n)])
+        texts = [word, f"{word} and {word[:600]} x", "ab" * n, "é" * n, "!?" * n]
+        assert pieces.count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert all(len(t) <= token_counts.KEPT for t in pieces.table)
+    begin = time.perf_counter()
+    pieces.count(["".join(letters[rng.integers(0, 26, 1_000_000)])])
+    assert time.perf_counter() - begin < 15
