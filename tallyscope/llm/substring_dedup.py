@@ -200,11 +200,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, size: int = 13, prefix:
 #: The removed words of each document: whole windows that also start in a document with a smaller id.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-v AS (SELECT doc_id, unnest(range(len(w) - 12)) AS at, w FROM d WHERE len(w) >= 13),
-g AS MATERIALIZED (SELECT doc_id, at, hash(array_to_string(list_slice(w, at + 1, at + 13), ' ')) AS h, md5(array_to_string(list_slice(w, at + 1, at + 13), ' ')) AS m FROM v),
+v AS (SELECT doc_id, unnest(range(len(w) - 12)) AS pos, w FROM d WHERE len(w) >= 13),
+g AS MATERIALIZED (SELECT doc_id, pos, hash(array_to_string(list_slice(w, pos + 1, pos + 13), ' ')) AS h, md5(array_to_string(list_slice(w, pos + 1, pos + 13), ' ')) AS m FROM v),
 f AS (SELECT h, m, min(doc_id) AS least FROM g GROUP BY h, m),
-r AS MATERIALIZED (SELECT g.doc_id, g.at FROM g JOIN f USING (h, m) WHERE f.least < g.doc_id),
-c AS (SELECT doc_id, list(DISTINCT at + k) AS gone FROM r, range(13) t(k) GROUP BY doc_id),
+r AS MATERIALIZED (SELECT g.doc_id, g.pos FROM g JOIN f USING (h, m) WHERE f.least < g.doc_id),
+c AS (SELECT doc_id, list(DISTINCT pos + k) AS gone FROM r, range(13) t(k) GROUP BY doc_id),
 j AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN c USING (doc_id)),
 z AS (SELECT doc_id, unnest(gone) AS i FROM c),
 k AS (SELECT doc_id, list(x ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM j) u
