@@ -142,7 +142,7 @@ def residual_series(df: DataFrame) -> DataFrame:
         F.col("Turnout_Share_Residual").alias("residual"),
         (F.col("Turnout_Share_Prediction_Upper") - F.col("Turnout_Baseline_Expected_Share")).alias("upper_band"),
         (F.col("Turnout_Share_Prediction_Lower") - F.col("Turnout_Baseline_Expected_Share")).alias("lower_band"),
-    )
+    ).orderBy("turnout", "residual")
 
 
 def trend_series(df: DataFrame, share: str, votes: str) -> DataFrame:
@@ -152,7 +152,7 @@ def trend_series(df: DataFrame, share: str, votes: str) -> DataFrame:
     exp = F.col(exp_col) if exp_col in df.columns else F.lit(None).cast("double")
     return df.filter(F.col(share).isNotNull() & F.col(votes).isNotNull()).select(
         F.col(votes).alias("votes"), F.col(share).alias("share"), exp.alias("trend_share")
-    )
+    ).orderBy("votes", "share")
 
 
 def down_ballot_series(df: DataFrame, presidential: str, percent_column: str) -> DataFrame:

@@ -73,8 +73,15 @@ def preview(df: DataFrame, limit: int, key: str = "Precinct_ID", maximum: int =
     return df.orderBy(key).limit(int(limit))
 
 
+def issue_preview(ing: Ingestion, limit: int, maximum: int = 500) -> DataFrame:
+    """The first ``limit`` issues with row, key and column, by key, rule and column (the limit is the feature)."""
+    if not 0 <= int(limit) <= maximum:
+        raise ValueError(f"limit must be in [0, {maximum}]")
+    return ing.issues.orderBy(F.col("Precinct_ID").asc_nulls_first(), "code", F.col("column").asc_nulls_first(), "row").limit(int(limit))
+
+
 def validation_payload(ing: Ingestion, limit: int = 10) -> dict:
-    """P16: 'valid' when no error was recorded, else 'valid_with_exclusions', plus previews.
+    """P16: 'valid' when no error was recorded, else 'valid_with_exclusions', with the first issues and previews.
 
     A file-level failure (DataValidationError) is reported by the caller as 'invalid'.
     """
@@ -84,6 +91,8 @@ def validation_payload(ing: Ingestion, limit: int = 10) -> dict:
         "schema": ing.schema.name,
         "candidate_choices": [{"key": c.key, "label": c.label, "share_column": c.share_column} for c in ing.schema.candidates],
         "validation": report,
+        "issues": issue_preview(ing, 10 * limit, maximum=1000),
+        "provenance": ing.provenance,
         "accepted_preview": preview(ing.accepted, limit, maximum=100),
         "excluded_preview": preview(ing.excluded, limit, maximum=100),
     }

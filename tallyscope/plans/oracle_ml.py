@@ -149,3 +149,26 @@ vx AS MATERIALIZED (SELECT sw.id, lx.f, lx.v FROM sw JOIN lx ON lx.id = CASE WHE
 {_scores('sw', 'vx', 'changed')}
 SELECT list_extract({names!r}, CAST(sw.j + 1 AS BIGINT)) AS feature, round(avg(abs(changed.raw - own.raw)), 6) AS importance
 FROM changed JOIN sw ON sw.id = changed.id JOIN own ON own.id = sw.row_id GROUP BY sw.j""")
+
+
+def forest_round_trip() -> str:
+    return isolation_forest()
+
+
+def method_status(eps: float = 1.5, least: int = 5) -> str:
+    """Every method of the workflow, judged by what it needs of the data."""
+    cte, names = _feature_sql()
+    share = "CASE WHEN Valid_Contest_Votes > 0 THEN Votes_Candidate_A / Valid_Contest_Votes END"
+    turnout = "CASE WHEN Registered_Voters > 0 THEN Ballots_Cast / Registered_Voters * 100 END"
+    total = " + ".join(f"(p.{n} - q.{n}) * (p.{n} - q.{n})" for n in names)
+    checks = {
+        "turnout_share": f"(SELECT count(*) >= 20 AND count(DISTINCT t) > 1 FROM (SELECT {turnout} AS t, {share} AS s FROM returns) WHERE t BETWEEN 0 AND 100 AND s BETWEEN 0 AND 1)",
+        "vote_share_by_count": f"(SELECT count(*) >= 3 AND count(DISTINCT Votes_Candidate_A) >= 2 FROM returns WHERE {share} IS NOT NULL)",
+        "down_ballot_difference": "(SELECT count(*) > 0 FROM returns WHERE Votes_Candidate_A > 0 AND Votes_Down_Ballot_A >= 0)",
+        "digit_diagnostics": "(SELECT greatest(count(Votes_Candidate_A), count(Votes_Candidate_B), count(Votes_Candidate_C)) >= 30 FROM returns)",
+        "spatial": f"(SELECT count(*) >= 3 AND var_pop(s) > 0 FROM (SELECT {share} AS s FROM returns WHERE Latitude IS NOT NULL AND Longitude IS NOT NULL) WHERE s IS NOT NULL)",
+        "isolation_forest": "(SELECT " + " OR ".join(f"coalesce(min({n}) <> max({n}), false)" for n in names) + " FROM ft)",
+        "dbscan": f"(SELECT count(*) > 0 FROM (SELECT p.id FROM sc p JOIN sc q ON sqrt({total}) <= {eps} GROUP BY p.id HAVING count(*) >= {least}))",
+    }
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS method, {check} AS ok" for m, check in checks.items())
+    return with_views(f"WITH {cte},\n{_scaled()}\nSELECT method, CASE WHEN ok THEN 'successful' ELSE 'unavailable' END AS state, CASE WHEN ok THEN 'done' END AS message FROM ({rows})")

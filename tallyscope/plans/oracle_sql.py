@@ -678,3 +678,24 @@ def csv_round_trip() -> str:
        CAST(Votes_Candidate_A AS DOUBLE) AS Votes_Candidate_A, CAST(Votes_Candidate_B AS DOUBLE) AS Votes_Candidate_B,
        'say "' || Precinct || '",' || chr(10) || 'then a line' AS note, 'utf-8' AS encodings
 FROM returns""")
+
+
+def bundle_round_trip() -> str:
+    return with_views(f"""WITH {m1_core()},
+fl AS (SELECT rt.Jurisdiction || '::' || rt.Precinct AS Precinct_ID, round(f.loo, 6) AS Turnout_Share_Residual, round(f.loo / f.se, 6) AS Turnout_Share_Studentized_Residual,
+       f.h > 2.0 * 2 / f.n AS Turnout_Share_High_Leverage, abs(f.loo / f.se) > 3.0 AS Turnout_Share_Flag
+       FROM returns rt LEFT JOIN f ON rt.Jurisdiction || '::' || rt.Precinct = f.Precinct_ID)
+SELECT *, count(*) OVER () AS validated_input, CAST(0 AS BIGINT) AS excluded_records, count(*) FILTER (Turnout_Share_Flag) OVER () AS flagged_diagnostics FROM fl""")
+
+
+def csv_file_issues() -> str:
+    return with_views("""WITH j AS (SELECT CAST(regexp_extract(Jurisdiction, '([0-9]+)$', 1) AS INTEGER) AS no, count(*) AS n FROM returns GROUP BY 1)
+SELECT no, 'duplicate_columns' AS code, 'named more than once: Precinct' AS message FROM j WHERE no % 5 = 1
+UNION ALL SELECT no, 'unsupported_column_mapping', 'not in the header: Valid_Contest_Votes' FROM j WHERE no % 5 IN (1, 2)
+UNION ALL SELECT no, 'malformed_csv', n || ' rows with more fields than the header' FROM j WHERE no % 5 = 3
+UNION ALL SELECT no, 'empty_dataset', 'a header without rows' FROM j WHERE no % 5 = 4""")
+
+
+def issue_preview() -> str:
+    inner = returns_issues()
+    return f"SELECT * FROM ({inner}) ORDER BY Precinct_ID NULLS FIRST, code, \"column\" NULLS FIRST LIMIT 50"

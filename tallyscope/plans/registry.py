@@ -21,7 +21,7 @@ from ..operators import dbscan as m12
 from ..operators import iforest as m11
 from ..operators import scope
 from ..operators import spatial as m6
-from ..schema import DbscanParams, SpatialParams
+from ..schema import DbscanParams, Settings, SpatialParams
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures
 from ..sources.csv import read_returns_csv
@@ -465,10 +465,62 @@ def q_method_status(spark: SparkSession, d: str) -> DataFrame:
     from .workflow import ALL_METHODS, run_workflow
 
     ensure_checkpoint_dir(spark)
-    run = run_workflow(typed_ingestion(spark, d), candidate_key="candidate_a", methods=ALL_METHODS)
+    settings = Settings(dbscan=DbscanParams(enabled=True))
+    run = run_workflow(typed_ingestion(spark, d), candidate_key="candidate_a", methods=ALL_METHODS, settings=settings)
     return run.status_frame(spark).select("method", "state", "message")
 
 
+def q_bundle_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A run's bundle written, read back by type: every analysed row, and the rows of its other tables."""
+    from ..sources.export import read_bundle, write_bundle
+    from .prepare import typed_ingestion
+    from .workflow import run_workflow
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundle-{uuid.uuid4().hex}"
+    ing = typed_ingestion(spark, d)
+    write_bundle(ing, run_workflow(ing, candidate_key="candidate_a", methods=["turnout_share"]), path)
+    tables = read_bundle(spark, path)
+    rows = {name: tables[name].count() for name in ("validated_input", "excluded_records", "flagged_diagnostics")}
+    return rounded(tables["analysis_results"].select(
+        "Precinct_ID", "Turnout_Share_Residual", "Turnout_Share_Studentized_Residual", "Turnout_Share_High_Leverage", "Turnout_Share_Flag",
+        *[F.lit(n).cast("bigint").alias(name) for name, n in rows.items()]))
+
+
+def q_forest_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A fitted forest written, read back, and the rows scored by what was read."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"
+    scaled, forest, model = _forest(spark, d)
+    m11.save_forest(forest, path, model.to_json())
+    loaded, _text = m11.load_forest(path)
+    return rounded(m11.score(scaled, loaded).select("Precinct_ID", "IF_Anomaly_Flag", "IF_Anomaly_Score"))
+
+
+FILE_COLS = ["Jurisdiction", "Precinct", "Valid_Contest_Votes", "Votes_Candidate_A"]
+
+
+def q_csv_file_issues(spark: SparkSession, d: str) -> DataFrame:
+    """A folder per jurisdiction, some spoiled by number; one row per bad folder, rule and message."""
+    from ..sources.csv import file_issues
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    r = fixtures.returns(spark, d).select(*FILE_COLS, F.regexp_extract("Jurisdiction", r"(\d+)$", 1).cast("int").alias("no")).persist()
+    text = F.concat_ws(",", *FILE_COLS)
+    # how the file of a jurisdiction looks: its header, its rows
+    spoiled = F.pmod(F.col("no"), F.lit(5))
+    head = F.when(spoiled == 1, F.lit("Jurisdiction,Precinct,Precinct,Votes_Candidate_A")).when(spoiled == 2, F.lit("Jurisdiction,Precinct,Total,Votes_Candidate_A")).otherwise(F.lit(",".join(FILE_COLS)))
+    body = F.when(spoiled == 3, F.concat(text, F.lit(",one more"))).otherwise(text)
+    grouped = r.groupBy("no").agg(F.array_sort(F.collect_list(body)).alias("lines"), F.first(head).alias("head"))
+    lines = grouped.select("no", F.when(F.pmod(F.col("no"), F.lit(5)) == 4, F.col("head")).otherwise(F.concat(F.col("head"), F.lit("\n"), F.array_join("lines", "\n"))).alias("value"))
+    lines.repartition("no").write.partitionBy("no").text(path)
+    found = file_issues(spark, f"{path}/*", required=FILE_COLS)
+    return found.select(F.regexp_extract("path", r"no=(\d+)", 1).cast("int").alias("no"), "code", "message")
+
+
+def q_issue_preview(spark: SparkSession, d: str) -> DataFrame:
+    """The first 50 issues by key, rule and column (the limit is the feature)."""
+    return scope.issue_preview(raw_ingestion(spark, d), 50).select("Precinct_ID", "code", "severity", "column")
+
+
 QUERIES: dict[str, Query] = {
     "returns_canonical": q_returns_canonical,
     "returns_issues": q_returns_issues,
@@ -517,6 +569,10 @@ QUERIES: dict[str, Query] = {
     "score_new_data": q_score_new_data,
     "dbscan_labels": q_dbscan_labels,
     "dbscan_features": q_dbscan_features,
+    "bundle_round_trip": q_bundle_round_trip,
+    "forest_round_trip": q_forest_round_trip,
+    "csv_file_issues": q_csv_file_issues,
+    "issue_preview": q_issue_preview,
     "cluster_profile": q_cluster_profile,
     "turnout_share_by_type": q_turnout_share_by_type,
     "polygon_moran": q_polygon_moran,
@@ -549,5 +605,6 @@ ORACLES: dict[str, Callable[[], str]] = {
         "dbscan_labels", "cluster_profile", "turnout_share_by_type", "polygon_moran", "binned_scatter",
         "returns_preview", "validation_status", "digit_tests", "alternate_layout", "csv_round_trip",
     )},
-    **{name: getattr(oracle_ml, name) for name in ("dbscan_features", "isolation_forest", "if_importance", "score_new_data")},
+    **{name: getattr(oracle_ml, name) for name in ("dbscan_features", "isolation_forest", "if_importance", "score_new_data", "method_status", "forest_round_trip")},
+    **{name: getattr(osql, name) for name in ("bundle_round_trip", "csv_file_issues", "issue_preview")},
 }

@@ -23,7 +23,7 @@ from ..operators.ingest import DataValidationError, Ingestion, ingest
 from ..operators.scope import preview, validation_payload
 from ..operators.summary import data_summary
 from ..schema import ContestSchema, Settings
-from ..sources.csv import provenance, read_returns_csv
+from ..sources.csv import provenance, read_returns_csv, stored_text
 from .workflow import ALL_METHODS, SUCCESS, AnalysisRun, run_workflow
 
 log = logging.getLogger(__name__)
@@ -32,9 +32,11 @@ CAUTION = "A flag says that a row is unusual under one stated model. It does not
 
 
 def load(spark: SparkSession, source, schema: ContestSchema | None = None, settings: Settings | None = None) -> Ingestion:
-    """Path(s) to CSV files, or an existing DataFrame (typed input such as parquet)."""
+    """Path(s) to CSV files, the bytes or an open file of one, or an existing DataFrame (typed input such as parquet)."""
     if isinstance(source, DataFrame):
         return ingest(source, schema, settings)
+    if isinstance(source, bytes) or hasattr(source, "read"):
+        source = stored_text(spark, source)
     df, encodings = read_returns_csv(spark, source)
     ing = ingest(df, schema, settings)
     ing.provenance = provenance(spark, source, encodings)

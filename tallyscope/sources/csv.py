@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import csv as _csv
 import io
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.ingest import DataValidationError
+from ..session import ensure_checkpoint_dir
 
 # Candidate encodings in the order tried.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
@@ -39,7 +41,7 @@ def _as_list(paths) -> list[str]:
 
 def file_sizes(spark: SparkSession, paths) -> DataFrame:
     """(path, length) per file; selecting only ``length`` never reads file contents."""
-    return spark.read.format("binaryFile").load(_as_list(paths)).select("path", "length")
+    return spark.read.format("binaryFile").load(_as_list(paths)).select(F.col("_metadata.file_path").alias("path"), "length")
 
 
 class CsvFile(NamedTuple):
@@ -93,6 +95,10 @@ def _reader(spark: SparkSession, encoding: str, multiline: bool) -> DataFrameRea
             .option("quote", '"').option("escape", '"').option("multiLine", multiline))
 
 
+def _schema(header: tuple[str, ...]) -> StructType:
+    return StructType([StructField(h, StringType()) for h in header] + [StructField(OVERFLOW, StringType())])
+
+
 def read_returns_csv(spark: SparkSession, paths, max_bytes: int | None = None) -> tuple[DataFrame, dict]:
     """Read CSV returns as all-STRING columns; returns (frame, per-file encodings)."""
     paths = _as_list(paths)
@@ -120,8 +126,7 @@ def read_returns_csv(spark: SparkSession, paths, max_bytes: int | None = None) -
         twice = sorted({h for h in header if header.count(h) > 1})
         if twice:
             raise DataValidationError(f"Columns named more than once in {members[0]}: {', '.join(twice)}")
-        schema = StructType([StructField(h, StringType()) for h in header] + [StructField(OVERFLOW, StringType())])
-        frames.append(_reader(spark, encoding, multiline).schema(schema).option("header", True).csv(members))
+        frames.append(_reader(spark, encoding, multiline).schema(_schema(header)).option("header", True).csv(members))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -133,6 +138,81 @@ def read_returns_csv(spark: SparkSession, paths, max_bytes: int | None = None) -
     return out, {f.path: f.encoding for f in files}
 
 
+FILE_ISSUE = "path string, code string, message string"
+
+
+def file_issues(spark: SparkSession, paths, max_bytes: int | None = None, required: list[str] | None = None) -> DataFrame:
+    """V1-V4 / S4-S6 as a table: (path, code, message) for every file that cannot be read, in one scan of all files.
+
+    Codes: empty_file, file_too_large, duplicate_columns, unsupported_column_mapping (``required`` columns
+    that the header lacks), empty_dataset, malformed_csv. A file has one row per code; good files have none.
+    """
+    paths = _as_list(paths)
+    sized = file_sizes(spark, paths)
+    # readers pass empty files over, so they are those that are listed and not read
+    listed = spark.createDataFrame([(p,) for p in spark.read.format("binaryFile").load(paths).inputFiles()], "path string")
+    one_form = F.regexp_replace("path", "^file:/+", "file:/")  # listings and readers write local paths differently
+    empty = listed.join(sized.filter("length > 0").select(one_form.alias("form")), one_form == F.col("form"), "left_anti")
+    found = empty.select("path", F.lit("empty_file").alias("code"), F.lit("no content").alias("message"))
+    if max_bytes is not None:
+        over = F.concat(F.col("length").cast("string"), F.lit(f" bytes, over the limit of {max_bytes}"))
+        found = found.unionByName(sized.filter(F.col("length") > max_bytes).select("path", F.lit("file_too_large").alias("code"), over.alias("message")))
+    rows, groups = [], {}
+    for f in scan_files(spark, paths):
+        twice = sorted({h for h in f.header if f.header.count(h) > 1})
+        missing = sorted(set(required or ()) - set(f.header))
+        if twice:
+            rows.append((f.path, "duplicate_columns", f"named more than once: {', '.join(twice)}"))
+        if missing:
+            rows.append((f.path, "unsupported_column_mapping", f"not in the header: {', '.join(missing)}"))
+        if any(f.header) and not twice:
+            groups.setdefault((f.encoding, f.multiline, f.header), []).append(f.path)
+    # one row per file and finding, as the scan's own
+    found = found.unionByName(spark.createDataFrame(rows, FILE_ISSUE))
+    for (encoding, multiline, header), members in groups.items():
+        listed = _reader(spark, encoding, multiline).schema(_schema(header)).option("header", True).csv(members)
+        counted = listed.select(F.col("_metadata.file_path").alias("path"), F.col(OVERFLOW).isNotNull().alias("long")).groupBy("path").agg(
+            F.count("*").alias("rows"), F.count_if("long").alias("long"))
+        every = spark.createDataFrame([(m,) for m in members], "path string").join(counted, "path", "left")
+        found = found.unionByName(every.filter("rows IS NULL").select("path", F.lit("empty_dataset").alias("code"), F.lit("a header without rows").alias("message")))
+        more = F.concat(F.col("long").cast("string"), F.lit(" rows with more fields than the header"))
+        found = found.unionByName(every.filter("long > 0").select("path", F.lit("malformed_csv").alias("code"), more.alias("message")))
+    return found
+
+
+def read_good_files(spark: SparkSession, paths, max_bytes: int | None = None, required: list[str] | None = None) -> tuple[DataFrame | None, dict, DataFrame]:
+    """(frame of the files without an issue or None, their encodings, the issues of the others)."""
+    issues = file_issues(spark, paths, max_bytes, required).persist()
+    bad = {r["path"] for r in issues.select("path").distinct().collect()}
+    good = [r["path"] for r in file_sizes(spark, paths).select("path").collect() if r["path"] not in bad]
+    if not good:
+        return None, {}, issues
+    frame, encodings = read_returns_csv(spark, good)
+    return frame, encodings, issues
+
+
+def stored_text(spark: SparkSession, source, max_bytes: int | None = None) -> str:
+    """S3: the path of a CSV given as bytes, text or an open file, written to the shared folder as UTF-8.
+
+    Bytes are decoded by the first of ENCODINGS that fits. The payload is a driver value, so it is small.
+    """
+    payload = source.read() if hasattr(source, "read") else source
+    if max_bytes is not None and len(payload) > max_bytes:
+        raise DataValidationError(f"the payload has {len(payload)} bytes, over the limit of {max_bytes}")
+    if isinstance(payload, bytes):
+        for encoding in ENCODINGS:
+            try:
+                payload = payload.decode(encoding)
+                break
+            except UnicodeDecodeError:
+                continue
+    if not payload.strip():
+        raise DataValidationError("CSV without content")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/payload-{uuid.uuid4().hex}"
+    spark.createDataFrame([(payload.removesuffix("\n"),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
 #: Spark holds a file's bytes in one cell, which cannot exceed this.
 CELL_BYTES = 2_000_000_000
 

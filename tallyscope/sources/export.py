@@ -15,8 +15,10 @@ from functools import singledispatch
 from typing import Any
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.ingest import Ingestion
 from ..operators.scope import flagged_records
@@ -24,8 +26,9 @@ from ..plans.workflow import AnalysisRun
 
 BUNDLE = (
     "validated_input", "analysis_results", "excluded_records", "flagged_diagnostics", "validation_issues",
-    "run_metadata.json", "method_diagnostics.json", "validation_report.json", "report.md",
+    "run_metadata.json", "method_diagnostics.json", "validation_report.json", "report.md", "tables.json",
 )
+KIND = "tallyscope.bundle"
 
 
 @singledispatch
@@ -77,8 +80,33 @@ def write_bundle(ingestion: Ingestion, run: AnalysisRun, out_dir: str) -> list[s
         "validation_report.json": {"report": ingestion.report(), "file_issues": ingestion.file_issues, "sources": run.metadata["provenance"]["files"]},
     }
     for name, df in tables.items():
-        _csv_ready(df).write.mode("overwrite").option("header", True).csv(f"{out_dir}/{name}")
+        out = _csv_ready(df).write.mode("overwrite").option("header", True).option("quote", "\"").option("escape", "\"")
+        # white space is part of a value
+        out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{out_dir}/{name}")
+    documents["tables.json"] = {"kind": KIND, "tables": {name: df.schema.jsonValue() for name, df in tables.items()}}
     for name, doc in documents.items():
         _write_text(spark, f"{out_dir}/{name}", json.dumps(doc, indent=2, default=json_default, ensure_ascii=False))
     _write_text(spark, f"{out_dir}/report.md", markdown_report(run))
     return [f"{out_dir}/{name}" for name in BUNDLE]
+
+
+def read_bundle(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
+    """The tables of a bundle with the types that they were written with; refuses any other directory."""
+    try:
+        listed = json.loads("\n".join(r["value"] for r in spark.read.option("wholetext", True).text(f"{out_dir}/tables.json").collect()))
+    except AnalysisException as exc:
+        raise ValueError(f"{out_dir} holds no bundle") from exc
+    if listed.get("kind") != KIND:
+        raise ValueError(f"{out_dir} holds no bundle")
+    found = {}
+    for name, spec in listed["tables"].items():
+        schema = T.StructType.fromJson(spec)
+        text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+        # a field without quotes and content is NULL, a quoted one an empty text
+        rows = spark.read.schema(text).option("nullValue", "\0").option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(f"{out_dir}/{name}")
+        columns = []
+        for f in schema.fields:
+            c, plain = F.col(f"`{f.name}`"), not isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType)
+            columns.append((c.cast(f.dataType) if plain else F.from_json(c, f.dataType)).alias(f.name))
+        found[name] = rows.select(*columns)
+    return found
