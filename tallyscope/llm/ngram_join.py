@@ -11,9 +11,10 @@ of the element. Lists are read in blocks of similar size, and blocks whose sizes
 rule a link out are skipped. In each list the sets are first held against one leader, each
 set against the leader it shares most with. Whoever links to it, a highly similar set, takes
 its answers over: pairs inside a component need no look, and what x and y share is bounded by
-what each shares with a common leader and has beside it, without the elements that only one of
-the sets left over has. Pairs that then share enough of their prefixes are verified on the
-whole sets, so no link between different components is missed.
+what each shares with a common leader and what both have beside it. Two sets of one leader that
+need elements beside it meet at such an element, in lists of their own, which near copies with
+different changes hardly share. Pairs that then share enough of their prefixes are verified on
+the whole sets, so no link between different components is missed.
 
 Null text and text without words give an empty set, linked with nothing. Rows with a null id
 are classed by themselves (component null). Rows with equal ids and different texts are one
@@ -216,6 +217,33 @@ def lonely_elements(sets: DataFrame) -> DataFrame:
     return single.groupBy("sig").agg(F.count("*").alias("lonely"))
 
 
+#: Parts of the members of one leader.
+LEADER_PARTS = 32
+
+
+def meeting_beside(spark: SparkSession, marked: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sig, other): pairs of one leader that may link, by the elements that both have beside the leader.
+
+    A pair that needs t elements beside its leader shares t of them. Each set lists those it has in
+    common with any other set, rare ones first; the first that a pair shares must leave t in both lists.
+    """
+    member = marked.filter("held is not null").groupBy("sig").agg(
+        F.first("n").alias("n"), F.first("component").alias("component"), F.first("held").alias("held"), F.max(F.col("component") != F.col("main")).alias("open"))
+    member = member.select("sig", "n", "component", "open", "held.lead", F.coalesce("held.common", "n").alias("inside"))
+    part = F.pmod(F.xxhash64("sig"), F.lit(LEADER_PARTS)).alias("part")
+    lead = sets.select(F.col("sig").alias("lead"), F.col("grams").alias("of_lead")).join(member.select("lead").distinct(), "lead")
+    lead = lead.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(LEADER_PARTS - 1).cast("bigint"))))
+    own = member.join(sets, "sig").select("*", part).join(lead, ["lead", "part"])
+    beside = own.select("sig", F.explode(F.array_except("grams", "of_lead")).alias("g"))
+    spread = beside.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1")
+    listed = beside.join(spread, "g").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("k", "g"))).alias("es"))
+    listed = stage(spark, member.join(listed, "sig").select("sig", "n", "component", "open", "lead", "inside", F.size("es").alias("e"), F.posexplode("es.g").alias("i", "g")), "jaccard-beside")
+    need = f"({_OVERLAP} - least(x.inside, y.inside))"
+    met = listed.filter("open").alias("x").join(listed.alias("y"), ["lead", "g"])
+    met = met.filter(f"x.component <> y.component and {_SIZES} and {need} >= 1 and least(x.e - x.i, y.e - y.i) >= {need}")
+    return met.select("x.sig", F.col("y.sig").alias("other"))
+
+
 def links(spark: SparkSession, docs: DataFrame, table: DataFrame, packed: DataFrame, bits: int, size: int) -> DataFrame:
     """Edges (a, b) between set signatures: every link, up to those inside a component that others already join."""
     # prefixes without the elements that no other set has in its own; a set with fewer of them than a link to
@@ -267,21 +295,17 @@ def links(spark: SparkSession, docs: DataFrame, table: DataFrame, packed: DataFr
     members = open_lists.select("sig").distinct()
     fresh = home.join(members, "sig", "left_semi").join(needed, "sig", "left_anti").select("doc_id")
     every = stage(spark, sets.unionByName(fetch_sets(spark, docs, fresh, size)), "jaccard-open-sets")
-    marked = open_lists.join(main, "h").join(leads, "sig", "left").join(lonely_elements(every), "sig", "left")
-    marked = stage(spark, marked.withColumn("lonely", F.coalesce("lonely", F.lit(0))), "jaccard-marked")
+    marked = stage(spark, open_lists.join(main, "h").join(leads, "sig", "left").join(lonely_elements(every), "sig", "left").withColumn("lonely", F.coalesce("lonely", F.lit(0))), "jaccard-marked")
     x = marked.filter("component <> main").withColumn("block", near).alias("x")
-    # what x and y share lies in their common leader, as far as each has it in common with the leader, or beside
-    # it, as far as each has elements there that are not lonely (common is null for the leader itself)
+    # What x and y share lies in their common leader, at most what each has in common with it (common is null for
+    # the leader itself), or beside it. Pairs that need elements beside it meet at those, below; here are the others.
     inside = {s: f"coalesce({s}.held.common, {s}.n)" for s in "xy"}
-    beside = {s: f"greatest({s}.n - {inside[s]} - {s}.lonely, 0)" for s in "xy"}
-    apart = (
-        "(x.held is null or y.held is null or x.held.lead <> y.held.lead or "
-        f"least({inside['x']}, {inside['y']}) + least({beside['x']}, {beside['y']}) >= {_OVERLAP})"
-    )
+    apart = f"(x.held is null or y.held is null or x.held.lead <> y.held.lead or least({inside['x']}, {inside['y']}) >= {_OVERLAP})"
     enough = f"least(x.n - x.lonely, y.n - y.lonely) >= {_OVERLAP}"
     rest = x.join(marked.alias("y"), ["h", "block"]).filter(f"x.component <> y.component and {_SIZES} and {_POSITIONS} and least(x.left, y.left) >= {_SHARED} and {enough} and {apart}")
+    rest = rest.select("x.sig", F.col("y.sig").alias("other")).unionByName(meeting_beside(spark, marked, every))
     # kept, as a pair stands in several lists and Spark would hold each of its rows against the checked pairs
-    rest = stage(spark, rest.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b")).distinct(), "jaccard-met")
+    rest = stage(spark, rest.select(F.greatest("sig", "other").alias("a"), F.least("sig", "other").alias("b")).distinct(), "jaccard-met")
     rest = stage(spark, sharing(rest.join(first, ["a", "b"], "left_anti"), prefixes).select("a", "b"), "jaccard-rest")
     return edges.unionByName(verify(rest, every).filter(good).select("a", "b"))
 

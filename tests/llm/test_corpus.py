@@ -235,3 +235,23 @@ def test_suffix_tree_is_a_distribution():
 def test_language_model_beats_unigrams_on_held_out(spark):
     r = queries.op5_suffix_tree_lm(spark, "/root/testdata/sf0.1").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
+
+
+@pytest.mark.parametrize("seed, words_, edits", [(1, 60, (1, 5)), (2, 120, (3, 7))])
+def test_jaccard_join_near_copies_around_the_threshold(spark, seed, words_, edits):
+    """Copies that are hardly or just not near their base, and near each other by changes that they share."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words_)]
+    rows = [(0, " ".join(base))]
+    shared = [[(rng.randrange(words_), f"s{k}-{i}") for i in range(4)] for k in range(6)]
+    for i in range(1, 140):
+        own = list(base)
+        for at, word in (rng.choice(shared) if rng.random() < 0.6 else []):
+            own[at] = word
+        for _ in range(rng.randint(*edits)):
+            own[rng.randrange(words_)] = f"e{rng.randrange(3)}"
+        if rng.random() < 0.3:
+            del own[: rng.randint(1, words_ // 8)]
+        rows.append((i, " ".join(own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(spark, frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
