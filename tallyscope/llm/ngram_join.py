@@ -217,8 +217,8 @@ def lonely_elements(sets: DataFrame) -> DataFrame:
     return single.groupBy("sig").agg(F.count("*").alias("lonely"))
 
 
-#: Parts of the members of one leader.
-LEADER_PARTS = 32
+#: Members of a leader that meet it in one part.
+PART_MEMBERS = 1024
 
 
 def meeting_beside(spark: SparkSession, marked: DataFrame, sets: DataFrame) -> DataFrame:
@@ -230,11 +230,14 @@ def meeting_beside(spark: SparkSession, marked: DataFrame, sets: DataFrame) -> D
     member = marked.filter("held is not null").groupBy("sig").agg(
         F.first("n").alias("n"), F.first("component").alias("component"), F.first("held").alias("held"), F.max(F.col("component") != F.col("main")).alias("open"))
     member = member.select("sig", "n", "component", "open", "held.lead", F.coalesce("held.common", "n").alias("inside"))
-    part = F.pmod(F.xxhash64("sig"), F.lit(LEADER_PARTS)).alias("part")
-    lead = sets.select(F.col("sig").alias("lead"), F.col("grams").alias("of_lead")).join(member.select("lead").distinct(), "lead")
-    lead = lead.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(LEADER_PARTS - 1).cast("bigint"))))
-    own = member.join(sets, "sig").select("*", part).join(lead, ["lead", "part"])
-    beside = own.select("sig", F.explode(F.array_except("grams", "of_lead")).alias("g"))
+    # sets that are all in common with their leader have nothing beside it
+    member = stage(spark, member.filter("inside < n"), "jaccard-members")
+    parts = member.groupBy("lead").agg(F.ceil(F.count("*") / PART_MEMBERS).alias("parts"))
+    lead = parts.join(sets.select(F.col("sig").alias("lead"), F.col("grams").alias("of_lead")), "lead")
+    lead = lead.select("lead", "of_lead", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    placed = member.select("sig", "lead").join(parts, "lead").select("sig", "lead", F.pmod(F.xxhash64("sig"), F.col("parts")).alias("part"))
+    beside = sets.join(placed, "sig").join(lead, ["lead", "part"]).select("sig", F.explode(F.array_except("grams", "of_lead")).alias("g"))
+    beside = stage(spark, beside, "jaccard-differences")
     spread = beside.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1")
     listed = beside.join(spread, "g").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("k", "g"))).alias("es"))
     listed = stage(spark, member.join(listed, "sig").select("sig", "n", "component", "open", "lead", "inside", F.size("es").alias("e"), F.posexplode("es.g").alias("i", "g")), "jaccard-beside")
