@@ -236,7 +236,7 @@ def test_quantile_with_ties_collects_few_rows(spark, monkeypatch):
     monkeypatch.setattr(quantile, "FEW", 16)
     settled = []
     real = quantile._settle
-    monkeypatch.setattr(quantile, "_settle", lambda d, ranks: (settled.extend(r.inside for r in ranks), real(d, ranks)))
+    monkeypatch.setattr(quantile, "_settle", lambda d, names, ranks: (settled.extend(r.inside for r in ranks), real(d, names, ranks)))
     qs = [0.0, 0.1, 0.43, 0.5, 0.9, 1.0]
     got = quantile.exact_quantiles(df, {"v": qs})
     assert [got[("v", q)] for q in qs] == pytest.approx([float(np.quantile(values, q)) for q in qs])
