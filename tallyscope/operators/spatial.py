@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..functions.adjust import benjamini_hochberg
 from ..functions.index import consecutive_index
+from ..functions.joins import join_dimension
 from ..functions.permute import image, images, key_arrays, rounds_literal
 from ..schema import SpatialParams
 from ..session import ensure_checkpoint_dir, ship_package
@@ -166,10 +167,28 @@ def polygon_edges(polys: DataFrame, kind: str) -> DataFrame:
                 F.concat_ws(",", e["b"]["x"].cast("string"), e["b"]["y"].cast("string")))), "|"),
         )
         keys = polys.select(F.col("Precinct_ID").alias("id"), F.explode(seg).alias("key"))
-    keys = keys.distinct()
-    a, b = keys.alias("a"), keys.alias("b")
-    return (a.join(b, "key").filter(F.col("a.id") != F.col("b.id"))
-            .select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct())
+    return _meeting(keys.distinct().checkpoint())
+
+
+#: Rings of one vertex or edge that meet in one group.
+MEETING_RINGS = 64
+
+
+def _meeting(keys: DataFrame) -> DataFrame:
+    """(src, dst): ordered pairs of different ids that share a key, from distinct (id, key).
+
+    The ids of a key are dealt to parts of about MEETING_RINGS, and each two parts meet in a group
+    of their own: a hub is pairs of parts, spread over all tasks, and no group grows with it. A key
+    of one id takes no part. Pairs of a hub are its result, so their number is what it must be.
+    """
+    ids = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    hubs = ids.filter(F.col("k") > MEETING_RINGS).select("key", F.ceil(F.col("k") / MEETING_RINGS).alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = join_dimension(keys, hubs, "key", "left").select("id", "key", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).alias("part"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    a = dealt.select(F.col("id").alias("src"), "key", F.col("part").alias("i"), every.alias("j"))
+    b = dealt.select(F.col("id").alias("dst"), "key", every.alias("i"), F.col("part").alias("j"))
+    return a.join(b, ["key", "i", "j"]).filter("src <> dst").select("src", "dst").distinct()
 
 
 def row_standardise(edges: DataFrame) -> DataFrame:

@@ -696,6 +696,13 @@ UNION ALL SELECT no, 'malformed_csv', n || ' rows with more fields than the head
 UNION ALL SELECT no, 'empty_dataset', 'a header without rows' FROM j WHERE no % 5 = 4""")
 
 
+def file_digests() -> str:
+    return with_views("""WITH l AS (SELECT CAST(regexp_extract(Jurisdiction, '([0-9]+)$', 1) AS INTEGER) AS no,
+       concat_ws(',', Jurisdiction, Precinct, Valid_Contest_Votes, Votes_Candidate_A) || chr(10) AS line FROM returns),
+t AS (SELECT no, string_agg(line, '' ORDER BY line) AS content FROM l GROUP BY no)
+SELECT no, CAST(strlen(content) AS BIGINT) AS length, sha256(content) AS sha256 FROM t""")
+
+
 def issue_preview() -> str:
     inner = returns_issues()
     return f"SELECT * FROM ({inner}) ORDER BY Precinct_ID NULLS FIRST, code, \"column\" NULLS FIRST LIMIT 50"

@@ -516,6 +516,17 @@ def q_csv_file_issues(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"no=(\d+)", 1).cast("int").alias("no"), "code", "message")
 
 
+def q_file_digests(spark: SparkSession, d: str) -> DataFrame:
+    """A file per jurisdiction, its lines in order; length and SHA-256 of each, read range by range."""
+    from ..sources.ranges import file_digests
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/digests-{uuid.uuid4().hex}"
+    lines = fixtures.returns(spark, d).select(F.regexp_extract("Jurisdiction", r"(\d+)$", 1).cast("int").alias("no"), F.concat_ws(",", *FILE_COLS).alias("value"))
+    lines.repartition("no").sortWithinPartitions("no", "value").write.partitionBy("no").text(path)
+    found = file_digests(spark, f"{path}/*", cell_bytes=0)
+    return found.select(F.regexp_extract("path", r"no=(\d+)", 1).cast("int").alias("no"), "length", "sha256")
+
+
 def q_issue_preview(spark: SparkSession, d: str) -> DataFrame:
     """The first 50 issues by key, rule and column (the limit is the feature)."""
     return scope.issue_preview(raw_ingestion(spark, d), 50).select("Precinct_ID", "code", "severity", "column")
@@ -572,6 +583,7 @@ QUERIES: dict[str, Query] = {
     "bundle_round_trip": q_bundle_round_trip,
     "forest_round_trip": q_forest_round_trip,
     "csv_file_issues": q_csv_file_issues,
+    "file_digests": q_file_digests,
     "issue_preview": q_issue_preview,
     "cluster_profile": q_cluster_profile,
     "turnout_share_by_type": q_turnout_share_by_type,
@@ -606,5 +618,5 @@ ORACLES: dict[str, Callable[[], str]] = {
         "returns_preview", "validation_status", "digit_tests", "alternate_layout", "csv_round_trip",
     )},
     **{name: getattr(oracle_ml, name) for name in ("dbscan_features", "isolation_forest", "if_importance", "score_new_data", "method_status", "forest_round_trip")},
-    **{name: getattr(osql, name) for name in ("bundle_round_trip", "csv_file_issues", "issue_preview")},
+    **{name: getattr(osql, name) for name in ("bundle_round_trip", "csv_file_issues", "file_digests", "issue_preview")},
 }

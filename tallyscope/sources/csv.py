@@ -26,6 +26,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.ingest import DataValidationError
 from ..session import ensure_checkpoint_dir
+from .ranges import CELL_BYTES, file_digests
 
 # Candidate encodings in the order tried.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
@@ -213,25 +214,19 @@ def stored_text(spark: SparkSession, source, max_bytes: int | None = None) -> st
     return path
 
 
-#: Spark holds a file's bytes in one cell, which cannot exceed this.
-CELL_BYTES = 2_000_000_000
-
-
-def provenance(spark: SparkSession, paths, encodings: dict[str, str], max_hash_bytes: int = CELL_BYTES) -> DataFrame:
+def provenance(spark: SparkSession, paths, encodings: dict[str, str], cell_bytes: int = CELL_BYTES) -> DataFrame:
     """One row per file: path, length, SHA-256 of the bytes, encoding, and the digest of its lines.
 
-    SHA-256 is sequential, so one task hashes a file; a file over ``max_hash_bytes`` has NULL
-    there, and its content is not read whole. ``line_digest`` and ``lines`` cover files of any size:
-    they are computed from all lines, distributed, and do not depend on how the file is split.
+    SHA-256 is sequential, so one task hashes a file (see ``ranges.file_digests`` for how).
+    ``line_digest`` and ``lines`` are computed from all lines, distributed, and do not depend
+    on how a file is split.
     """
-    files = spark.read.format("binaryFile").load(_as_list(paths))
-    hashed = files.filter(F.col("length") <= max_hash_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
-    larger = files.filter(F.col("length") > max_hash_bytes).select("path", "length", F.lit(None).cast("string").alias("sha256"))
+    hashed = file_digests(spark, paths, cell_bytes)
     lines = spark.read.text(_as_list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
     digests = lines.groupBy("path").agg(_digest(F.col("value")).alias("line_digest"), F.count(F.lit(1)).alias("lines"))
     # one row per file, listed by the driver anyway
     known = spark.createDataFrame(list(encodings.items()), "path string, encoding string")
-    return hashed.unionByName(larger).join(known, "path", "left").join(digests, "path", "left")
+    return hashed.join(known, "path", "left").join(digests, "path", "left")
 
 
 def _digest(*columns: Column) -> Column:

@@ -120,3 +120,24 @@ def test_importance_permutes_over_the_whole_table(spark, frame_0001):
         want[name] = np.abs(forest.raw(changed) - base).mean()
     got = [(r["feature"], r["importance"]) for r in iforest.feature_importance(scaled, forest).collect()]
     assert dict(got) == pytest.approx(want) and [v for _, v in got] == sorted((v for _, v in got), reverse=True)
+
+
+def test_digests_in_ranges_equal_whole_files(spark, tmp_path, monkeypatch):
+    import hashlib
+    import os
+
+    from tallyscope.sources import ranges
+
+    contents = {"empty": b"", "one": b"x", "odd name %20 é#.bin": os.urandom(70_001), "long": os.urandom(ranges.RANGE_BYTES * 2 + 5)}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    want = {name: (len(content), hashlib.sha256(content).hexdigest()) for name, content in contents.items() if content}
+    for cell in (0, 100, ranges.CELL_BYTES):
+        got = {os.path.basename(r["path"]): (r["length"], r["sha256"]) for r in ranges.file_digests(spark, str(tmp_path), cell).collect()}
+        assert got == want, cell
+    assert [len(p) for p in ranges.read_ranges(f"file:{tmp_path}/long")] == [ranges.RANGE_BYTES, ranges.RANGE_BYTES, 5]
+    # a file system that tasks can't open: whole cells, none beyond the largest one
+    monkeypatch.setattr(ranges, "SCHEMES", {"s3": "s3"})
+    monkeypatch.setattr(ranges, "MOST_CELL_BYTES", 70_000)
+    got = {os.path.basename(r["path"]): (r["length"], r["sha256"]) for r in ranges.file_digests(spark, str(tmp_path), 0).collect()}
+    assert got == {name: (n, sha if n <= 70_000 else None) for name, (n, sha) in want.items()}

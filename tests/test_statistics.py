@@ -154,6 +154,24 @@ def test_polygon_contiguity_grid(spark):
     assert spatial.polygon_edges(polys, "queen").count() == 144
 
 
+def test_polygon_hub_vertex(spark, monkeypatch):
+    # a fan of triangles around one vertex holds a third of all rings; the others are a strip of squares
+    fan = [(f"f{i}", [(0.0, 0.0), (math.cos(i), math.sin(i)), (math.cos(i + 0.4), math.sin(i + 0.4)), (0.0, 0.0)]) for i in range(150)]
+    strip = [(f"s{i}", [(i + 5.0, 5.0), (i + 6.0, 5.0), (i + 6.0, 6.0), (i + 5.0, 6.0), (i + 5.0, 5.0)]) for i in range(300)]
+    rows = [(n, [{"x": a, "y": b} for a, b in ring]) for n, ring in fan + strip]
+    polys = spark.createDataFrame(rows + rows[:3], "Precinct_ID string, Geometry array<struct<x:double,y:double>>")
+    want = {(a, b) for a, _ in fan for b, _ in fan if a != b}
+    want |= {(f"s{i}", f"s{j}") for i in range(300) for j in (i - 1, i + 1) if 0 <= j < 300}
+    assert spatial.MEETING_RINGS < 150
+    got = [(r["src"], r["dst"]) for r in spatial.polygon_edges(polys, "queen").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(r["src"], r["dst"]) for r in spatial.polygon_edges(polys, "rook").collect()} == {p for p in want if p[0][0] == "s"}
+    # however small a group is, the edges are the same
+    monkeypatch.setattr(spatial, "MEETING_RINGS", 7)
+    assert {(r["src"], r["dst"]) for r in spatial.polygon_edges(polys, "queen").collect()} == want
+    assert spatial.polygon_edges(polys.limit(0), "queen").count() == 0
+
+
 def test_spatial_requires_geometry_for_polygons(frame_0001):
     with pytest.raises(AnalysisUnavailable, match="Geometry"):
         spatial.moran(frame_0001, SHARE_A, SpatialParams(weights_type="queen"))

@@ -115,8 +115,6 @@ def test_csv_column_order_quotes_and_line_breaks(spark, tmp_path):
     (tmp_path / "c.csv").write_text("J,J\n1,2\n")
     with pytest.raises(DataValidationError, match="more than once"):
         csvsrc.read_returns_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "c.csv")])
-    big = csvsrc.provenance(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], enc, max_hash_bytes=30).collect()
-    assert sorted((r["length"] > 30, r["sha256"] is None, r["lines"]) for r in big) == [(False, False, 2), (True, True, 4)]
 
 
 def test_row_digest_counts_repetitions(spark):
