@@ -1,7 +1,7 @@
 """License scan: ordered signature rules behind a keyword gate.
 
-The rules are written by hand as license names times the phrasings in which they are
-granted, declared or mentioned. A rule runs only on texts that hold its gate keywords.
+The rules are written by hand: sentences of the licenses, identifiers, short names where one is
+declared, and license names times the phrasings in which they are granted or mentioned. A rule runs only on texts that hold its gate keywords.
 Every hit is an interval of words with the priority of its phrasing; a hit that lies
 inside the interval of another hit of equal or higher priority is dropped, and of equal
 intervals the first rule in order stays. What remains gives the labels.
@@ -28,7 +28,7 @@ from tallyscope.llm.ragged import ALNUM, LOWER, row_slices, utf8, words
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 _W = rb"0-9a-z\x80-\xff"
-_VERSION = r"(?:[\s,(]*(?:version|ver\.?|v\.?)?\s*"  # a group that a number and ")" close
+_VERSION = r"(?:(?:[\s,(-]|\xe2\x80[\x90-\x95])*(?:version|ver\.?|v\.?)?\s*"  # a group that a number and ")" close; dashes in UTF-8
 #: license id, its names as a regex over lower-cased text, and keywords of which any of its names holds one.
 NAMES: tuple[tuple[str, str, str], ...] = (
     ("agpl-1.0", rf"(?:gnu )?affero general public licen[sc]e{_VERSION}1(?:\.0)?)", "affero"),
@@ -69,12 +69,12 @@ NAMES: tuple[tuple[str, str, str], ...] = (
     ("php-3.01", rf"php licen[sc]e(?:{_VERSION}3\.0?1))?", "php"),
     ("odbl", r"open (?:data commons open )?database licen[sc]e", "database"),
     ("cc0-1.0", r"(?:creative commons zero|cc0)(?:[ -](?:v?1\.0)(?: universal)?)?", "zero|cc0"),
-    ("cc-by-nc-nd", r"(?:cc|creative commons) (?:by|attribution)[ -](?:nc|non-?commercial)[ -](?:nd|no-?deriv(?:ative)?s?)(?: \d\.\d)?", "cc|creative"),
-    ("cc-by-nc-sa", r"(?:cc|creative commons) (?:by|attribution)[ -](?:nc|non-?commercial)[ -](?:sa|share-?alike)(?: \d\.\d)?", "cc|creative"),
-    ("cc-by-nc", r"(?:cc|creative commons) (?:by|attribution)[ -](?:nc|non-?commercial)(?: \d\.\d)?", "cc|creative"),
-    ("cc-by-nd", r"(?:cc|creative commons) (?:by|attribution)[ -](?:nd|no-?deriv(?:ative)?s?)(?: \d\.\d)?", "cc|creative"),
-    ("cc-by-sa", r"(?:cc|creative commons) (?:by|attribution)[ -](?:sa|share-?alike)(?: \d\.\d)?", "cc|creative"),
-    ("cc-by", r"(?:cc|creative commons) (?:by|attribution)(?: \d\.\d)?", "cc|creative"),
+    ("cc-by-nc-nd", r"(?:cc|creative commons)(?: |-)(?:by|attribution)[ -](?:nc|non-?commercial)[ -](?:nd|no-?deriv(?:ative)?s?)(?:(?: |-)v?\d\.\d)?", "cc|creative"),
+    ("cc-by-nc-sa", r"(?:cc|creative commons)(?: |-)(?:by|attribution)[ -](?:nc|non-?commercial)[ -](?:sa|share-?alike)(?:(?: |-)v?\d\.\d)?", "cc|creative"),
+    ("cc-by-nc", r"(?:cc|creative commons)(?: |-)(?:by|attribution)[ -](?:nc|non-?commercial)(?:(?: |-)v?\d\.\d)?", "cc|creative"),
+    ("cc-by-nd", r"(?:cc|creative commons)(?: |-)(?:by|attribution)[ -](?:nd|no-?deriv(?:ative)?s?)(?:(?: |-)v?\d\.\d)?", "cc|creative"),
+    ("cc-by-sa", r"(?:cc|creative commons)(?: |-)(?:by|attribution)[ -](?:sa|share-?alike)(?:(?: |-)v?\d\.\d)?", "cc|creative"),
+    ("cc-by", r"(?:cc|creative commons)(?: |-)(?:by|attribution)(?:(?: |-)v?\d\.\d)?", "cc|creative"),
     ("proprietary", r"(?:proprietary|commercial) licen[sc]e", "licen"),
 )
 
@@ -106,11 +106,71 @@ SINGLE: tuple[tuple[str, int, float, str, str], ...] = (
     ("unlicense", 1, 0.95, r"this is free and unencumbered software released into the public domain", "unencumbered"),
     ("public-domain", 3, 0.7, r"(?:released (?:in)?to|placed in(?:to)?|dedicated to|in) the public domain", "domain"),
     ("all-rights-reserved", 4, 0.6, r"all rights reserved", "reserved"),
+    # sentences of the licenses themselves and of the notices they ask for
+    ("apache-2.0", 1, 0.95, r"unless required by applicable law or agreed to in writing,? software distributed under the licen[sc]e is distributed on an .{0,6}as is", "applicable"),
+    ("apache-2.0", 1, 0.95, r"you may not use this file except in compliance with the licen[sc]e", "compliance"),
+    ("bsd-3-clause", 1, 0.95, r"neither the names? of .{1,200}?nor the names of (?:its|their|any) contributors may be used to endorse", "endorse"),
+    ("bsd-4-clause", 1, 0.95, r"all advertising materials mentioning features or use of this software must display", "advertising"),
+    ("bsl-1.0", 1, 0.95, r"to any person or organization obtaining a copy of the software and accompanying documentation", "accompanying"),
+    ("zlib", 1, 0.95, r"this software is provided .{0,6}as-is.{0,6} without any express or implied warranty", "as-is"),
+    ("mpl-2.0", 1, 0.95, r"this source code form is subject to the terms of the mozilla public licen[sc]e", "mozilla"),
+    ("mpl-1.1", 1, 0.9, r"the contents of this file are subject to the mozilla public licen[sc]e", "mozilla"),
+    ("gpl-2.0", 1, 0.95, r"gnu general public licen[sc]e as published by the free software foundation[;,]? (?:either )?version 2", "general"),
+    ("gpl-3.0", 1, 0.95, r"gnu general public licen[sc]e as published by the free software foundation[;,]? (?:either )?version 3", "general"),
+    ("lgpl-2.1", 1, 0.95, r"gnu lesser general public licen[sc]e as published by the free software foundation[;,]? (?:either )?version 2\.1", "lesser"),
+    ("lgpl-3.0", 1, 0.95, r"gnu lesser general public licen[sc]e as published by the free software foundation[;,]? (?:either )?version 3", "lesser"),
+    ("agpl-3.0", 1, 0.95, r"gnu affero general public licen[sc]e as published by the free software foundation[;,]? (?:either )?version 3", "affero"),
+    ("epl-1.0", 1, 0.9, r"made available under the terms of the eclipse public licen[sc]e v1\.0", "eclipse"),
+    ("epl-2.0", 1, 0.9, r"made available under the terms of the eclipse public licen[sc]e 2\.0", "eclipse"),
+    ("cddl-1.0", 1, 0.9, r"subject to the terms of the common development and distribution licen[sc]e", "development"),
+    ("artistic", 1, 0.9, r"the intent of this document is to state the conditions under which a package may be copied", "intent"),
+    ("postgresql", 1, 0.9, r"permission to use, copy, modify, and distribute this software and its documentation for any purpose,? without fee", "permission"),
+    ("python-2.0", 1, 0.9, r"psf hereby grants licen[sc]ee a nonexclusive", "psf"),
+    ("openssl", 1, 0.9, r"this product includes software developed by the openssl project", "openssl"),
+    ("php-3.01", 1, 0.9, r"this product includes php software", "php"),
+    ("wtfpl", 1, 0.95, r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document", "verbatim"),
+    ("cc0-1.0", 1, 0.9, r"the person who associated a work with this deed has dedicated the work to the public domain", "deed"),
+    ("ofl-1.1", 1, 0.9, r"this font software is licen[sc]ed under the sil open font licen[sc]e", "font"),
+    ("cc-by-sa", 1, 0.9, r"https?://creativecommons\.org/licenses/by-sa/\d\.\d", "creativecommons.org"),
+    ("cc-by-nc", 1, 0.9, r"https?://creativecommons\.org/licenses/by-nc/\d\.\d", "creativecommons.org"),
+    ("cc-by-nd", 1, 0.9, r"https?://creativecommons\.org/licenses/by-nd/\d\.\d", "creativecommons.org"),
+    ("cc-by-nc-sa", 1, 0.9, r"https?://creativecommons\.org/licenses/by-nc-sa/\d\.\d", "creativecommons.org"),
+    ("cc-by-nc-nd", 1, 0.9, r"https?://creativecommons\.org/licenses/by-nc-nd/\d\.\d", "creativecommons.org"),
+    # identifiers that stand alone
+    ("0bsd", 3, 0.7, r"0bsd", "0bsd"),
+    ("bsl-1.0", 3, 0.7, r"bsl-1\.0", "bsl-"),
+    ("epl-1.0", 3, 0.7, r"epl-1\.0", "epl-"),
+    ("epl-2.0", 3, 0.7, r"epl-2\.0", "epl-"),
+    ("mpl-1.1", 3, 0.7, r"mpl-1\.1", "mpl-"),
+    ("cddl-1.0", 3, 0.7, r"cddl-1\.[01]", "cddl"),
+    ("eupl", 3, 0.7, r"eupl-1\.[0-2]", "eupl"),
+    ("ofl-1.1", 3, 0.7, r"ofl-1\.1", "ofl-"),
+    ("artistic", 3, 0.7, r"artistic-[12]\.0", "artistic"),
+    ("odbl", 3, 0.7, r"odbl-1\.0", "odbl"),
+    ("afl-3.0", 3, 0.7, r"(?:afl-3\.0|academic free licen[sc]e)", "afl-|academic"),
+    ("osl-3.0", 3, 0.7, r"(?:osl-3\.0|open software licen[sc]e)", "osl-|open"),
+    ("ms-pl", 3, 0.7, r"(?:ms-pl|microsoft public licen[sc]e)", "ms-pl|microsoft"),
+)
+
+#: Short names that mean a license only where one is declared (package metadata, headers, badges).
+SHORT: tuple[tuple[str, str], ...] = (
+    ("mit", "mit"), ("expat", "expat"), ("isc", "isc"), ("zlib", "zlib"), ("bsd", r"bsd"), ("gpl", r"gpl"), ("lgpl", r"lgpl"), ("agpl", r"agpl"),
+    ("apache", r"apache"), ("mpl", r"mpl"), ("eupl", r"eupl"), ("artistic", r"artistic"), ("postgresql", r"postgresql"), ("python-2.0", r"psf"),
+    ("wtfpl", r"wtfpl"), ("openssl", r"openssl"), ("ofl-1.1", r"ofl"), ("bsl-1.0", r"boost"), ("public-domain", r"public domain"),
+    ("proprietary", r"(?:proprietary|commercial|closed source|all rights reserved)"),
+)
+#: Ways to declare one: priority, confidence, regex around the name, gate keyword.
+DECLARED: tuple[tuple[int, float, str, str], ...] = (
+    (2, 0.9, r"licen[sc]es?[\"'\]]?\s*[:=]+\s*[\"'\[(]{{0,2}}(?:the )?{name}", "licen"),
+    (2, 0.9, r"licen[sc]e\s*::\s*osi approved\s*::\s*{name}(?: licen[sc]e)?", "approved"),
+    (3, 0.7, r"badge/licen[sc]e-{name}", "badge"),
 )
 _SPDX = re.compile(rb"spdx-license-identifier:\s*([0-9a-z.+-]+(?:\s+(?:or|and|with)\s+[0-9a-z.+-]+)*)")
 #: One of these is part of every rule's text. Gates are single words, as any white space may be between two.
 GATES = (b"licen", b"gpl", b"wtfpl", b"cc0", b"cc", b"creative", b"apache", b"bsd", b"mpl", b"permission", b"redistribut",
-         b"domain", b"gnu.org", b"opensource.org", b"mozilla.org", b"creativecommons.org", b"unencumbered", b"reserved", b"spdx-")
+         b"domain", b"gnu.org", b"opensource.org", b"mozilla.org", b"creativecommons.org", b"unencumbered", b"reserved", b"spdx-",
+         b"endorse", b"advertising", b"accompanying", b"as-is", b"intent", b"psf", b"openssl", b"php", b"bsl-", b"epl-", b"cddl", b"eupl", b"ofl-",
+         b"artistic", b"odbl", b"afl-", b"osl-", b"ms-pl")
 
 
 class Rule(NamedTuple):
@@ -133,6 +193,8 @@ def _any(gate: str) -> tuple[bytes, ...]:
 def rules() -> list[Rule]:
     """All rules, best priority first."""
     out = [Rule(label, p, conf, _bounded(body), (_any(gate),)) for label, p, conf, body, gate in SINGLE]
+    for label, name in SHORT:
+        out += [Rule(label, p, conf, _bounded(around.format(name=name)), (_any(gate),)) for p, conf, around, gate in DECLARED]
     for label, name, word in NAMES:
         for _, p, conf, around, gate in PHRASINGS:
             out.append(Rule(label, p, conf, _bounded(around.replace("{name}", f"(?:{name})")), (_any(word), _any(gate))))
@@ -149,11 +211,17 @@ class Hit(NamedTuple):
 
 
 def resolve(hits: list[Hit]) -> list[Hit]:
-    """Drop hits contained in a hit that is at least as strong (priority, then length, then rule order)."""
+    """Drop hits contained in a hit that is at least as strong (priority, then length, then rule order).
+
+    In order of their start, longer ones first, a hit is inside an earlier one of some priority
+    if the farthest end of that priority is not before its own: one pass, whatever overlaps.
+    """
     kept: list[Hit] = []
-    for h in sorted(hits, key=lambda h: (h.priority, h.start - h.end, h.order, h.start)):
-        if not any(k.start <= h.start and h.end <= k.end for k in kept):
+    reach: dict[int, int] = {}
+    for h in sorted(hits, key=lambda h: (h.start, -h.end, h.priority, h.order)):
+        if not any(p <= h.priority and end >= h.end for p, end in reach.items()):
             kept.append(h)
+        reach[h.priority] = max(reach.get(h.priority, -1), h.end)
     return kept
 
 
@@ -169,16 +237,7 @@ def scan(text: bytes, ruleset: list[Rule]) -> list[Hit]:
                 for one in re.finditer(rb"[0-9a-z.+-]+", m[1])
                 if one[0] not in (b"or", b"and", b"with")
             ]
-    # hits fall into clusters of overlapping intervals, resolved one by one
-    hits.sort(key=lambda h: h.start)
-    out, cluster, reach = [], [], -1
-    for h in hits:
-        if cluster and h.start >= reach:
-            out += resolve(cluster)
-            cluster = []
-        cluster.append(h)
-        reach = max(reach if len(cluster) > 1 else -1, h.end)
-    return out + resolve(cluster)
+    return resolve(hits)
 
 
 _base = [(label, re.compile(rb"(?<![" + _W + rb"])" + (rb"[^" + _W + rb"]+").join(p.encode() for p in phrase.split()) + rb"(?![" + _W + rb"])"), phrase.split()[0].encode()) for phrase, label in BASE]

@@ -80,6 +80,59 @@ def test_license_gates_lose_no_wrapped_notice(monkeypatch):
     assert all(gated[: len(WRAPPED)])
 
 
+NOTICES = {
+    "Apache-2.0": "apache-2.0", "License: MIT": "mit", "licence: MIT": "mit", "CC-BY-SA 4.0": "cc-by-sa", "CC-BY-4.0": "cc-by", "cc-by-nc-nd-4.0": "cc-by-nc-nd",
+    "LGPL-2.1-or-later": "lgpl-2.1", "GPL-3.0-only": "gpl-3.0", "AGPL-3.0+": "agpl-3.0", "Eclipse Public License - v 2.0": "epl-2.0", "Eclipse Public License \u2013 v 2.0": "epl-2.0",
+    '{"license": "ISC"}': "isc", "license = 'BSD'": "bsd", "License :: OSI Approved :: zlib License": "zlib", "https://img.shields.io/badge/license-MIT-blue": "mit", "MPL-1.1": "mpl-1.1",
+    "Neither the name of the University nor the names of its\ncontributors may be used to endorse or promote products": "bsd-3-clause",
+    "You may not use this file except in compliance with the License.": "apache-2.0",
+    "This software is provided 'as-is', without any express or implied\nwarranty.": "zlib",
+    "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License": "lgpl-2.1",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+    "everyone is permitted to copy and distribute verbatim or modified\ncopies of this license document": "wtfpl",
+    "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa", "Artistic-2.0": "artistic", "0BSD": "0bsd",
+}
+CLEAN = ["driving licence", "his license was lost", "the mit hall", "a boost of energy", "apache helicopters", "smit-2.0", "summit: license", "license to kill", "an isc", "mental health", "the gpls", "2.0 license", ""]
+
+
+def test_license_notices_and_clean_texts(monkeypatch):
+    rules = licenses.rules()
+    for text, label in NOTICES.items():
+        for t in (text, f"x {text} y", text.replace(" ", "\n")):
+            low = t.encode().translate(LOWER)
+            hits = licenses.scan(low, rules)
+            assert label in {h.label for h in hits}, t
+    assert not [t for t in CLEAN if licenses.scan(t.encode(), rules)]
+    texts = [t.encode().translate(LOWER) for t in NOTICES]
+    gated = [licenses.scan(t, rules) for t in texts]
+    monkeypatch.setattr(licenses, "GATES", (b"",))
+    assert gated == [licenses.scan(t, [r._replace(gates=()) for r in rules]) for t in texts]
+
+
+def test_license_resolution_equals_all_pairs():
+    rng = np.random.default_rng(5)
+    stronger = lambda k, h: (k.priority, k.start - k.end, k.order) < (h.priority, h.start - h.end, h.order)
+    for n in (0, 1, 2, 7, 60):
+        for _ in range(40):
+            hits = []
+            for i in range(n):
+                a = int(rng.integers(0, 30))
+                hits.append(licenses.Hit(a, a + int(rng.integers(1, 12)), int(rng.integers(1, 5)), i, str(i), 0.5))
+            want = {h for h in hits if not any(stronger(k, h) and k.start <= h.start and h.end <= k.end for k in hits)}
+            got = licenses.resolve(hits)
+            assert len(got) == len(want) and set(got) == want
+
+
+def test_license_scan_long_text_null_id_empty_table(spark):
+    long = "gpl-3.0 apache-2.0 " * 40_000
+    began = time.time()
+    rows = frame(spark, [(None, long), (None, None), (5, "License: MIT"), (5, "License: MIT")])
+    got = licenses.license_scan(rows).collect()
+    assert time.time() - began < 60
+    assert sorted((r["doc_id"] or 0, r["labels"], len(r["detections"])) for r in got) == [(0, "", 0), (0, "apache-2.0,gpl-3.0", 80_000), (5, "mit", 1), (5, "mit", 1)]
+    assert licenses.license_scan(rows.limit(0)).count() == 0
+
+
 def test_license_rules_are_ordered_and_contained_hits_go():
     rules = licenses.rules()
     assert len(rules) > 200 and [r.priority for r in rules] == sorted(r.priority for r in rules)
