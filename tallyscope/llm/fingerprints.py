@@ -98,6 +98,10 @@ def to_text(prints: np.ndarray) -> list[str]:
     return [raw[i : i + step].hex() for i in range(0, len(raw), step)]
 
 
+#: Ranges of ids at most, so that their bounds and first ids stay small at any size; a task streams its range, which Spark sorts with spilling.
+MOST_PARTS = 1 << 14
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of agreeing slots among those filled on either side, row by row; two empty ones are alike."""
     filled = (a != EMPTY) | (b != EMPTY)
@@ -131,7 +135,7 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
+    n_parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES)))
     marks = [i / n_parts for i in range(1, n_parts)]
     bounds = docs.select(key.alias("k")).agg(F.percentile_approx("k", marks, 10 * n_parts)).first()[0] if marks else None
     # fewer than one number per part; a part is found by binary search

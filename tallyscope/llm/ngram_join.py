@@ -338,3 +338,16 @@ def link_components(spark: SparkSession, docs: DataFrame, size: int = 5, id_col:
             yield pa.RecordBatch.from_arrays([pa.nulls(rb.num_rows, pa.int64()), n, pa.nulls(rb.num_rows, pa.int64())], ["doc_id", "n_shingles", "component_id"])
 
     return out.unionByName(picked.filter("doc_id is null").mapInArrow(unnamed, "doc_id bigint, n_shingles bigint, component_id bigint"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+-- an element of a document alone is in no intersection
+t AS MATERIALIZED (SELECT doc_id, s FROM s WHERE s IN (SELECT s FROM s GROUP BY s HAVING count(*) > 1)),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM t x JOIN t y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT c.a, c.b FROM c JOIN n na ON na.doc_id = c.a JOIN n nb ON nb.doc_id = c.b WHERE 100 * common >= 80 * (na.n + nb.n - common)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
+SELECT r.doc_id, coalesce(min(n.n), 0) AS n_shingles, min(r.c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""

@@ -84,4 +84,4 @@ QUERIES: dict[str, Query] = {
         op11_personal_data, op12_periodic_runs, op13_ranked_search,
     )
 }
-ORACLES: dict[str, str] = {"op2_decontamination": decontamination.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
+ORACLES: dict[str, str] = {"op2_decontamination": decontamination.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
