@@ -90,3 +90,23 @@ def test_dbscan_hot_point(spark):
     got = {r["Precinct_ID"]: r["DBSCAN_Cluster"] for r in res.data.collect()}
     assert {got[f"h{i:04d}"] for i in range(300)} == {1} and {got[f"a{i:04d}"] for i in range(300)} == {0}
     assert {got[f"n{i:04d}"] for i in range(1, 301)} == {-1} and res.diagnostics["n_clusters"] == 2
+
+
+def test_exchanged_features_change_scores_as_when_scored_anew():
+    import numpy as np
+    import pandas as pd
+
+    from tallyscope.operators.iforest import Forest, grow_tree
+    from tallyscope.schema import ForestParams
+
+    rng = np.random.default_rng(4)
+    grown = [(t, *node) for t in range(12) for node in grow_tree(rng.normal(size=(40, 5)).round(1), 6, 7, t)]
+    forest = Forest(pd.DataFrame(grown, columns=["tree", "node", "feature", "threshold", "left", "right", "value"]), 40, list("abcde"), ForestParams())
+    x, other = rng.normal(size=(2, 90, 5)).round(1)
+    expected = []
+    for j in range(5):
+        changed = x.copy()
+        changed[:, j] = other[:, j]
+        expected.append(np.abs(forest.raw(changed) - forest.raw(x)).sum())
+    assert np.allclose(forest.exchanged_change(x, other), expected, rtol=1e-12)
+    assert (forest.exchanged_change(x, x) == 0).all()
