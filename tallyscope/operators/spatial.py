@@ -42,10 +42,12 @@ from ..session import ensure_checkpoint_dir, ship_package
 from .common import AnalysisUnavailable, MethodResult
 
 EPS = float(np.finfo(float).eps)
-#: Nodes whose values are broadcast (16 MB); more travel as rows.
-BROADCAST_NODES = 1 << 21
+#: Nodes whose values are broadcast (64 MB); more travel as rows.
+BROADCAST_NODES = 1 << 23
 #: Permutations handled together, edges of a task looked at together, neighbours of a node in one list.
 PACK, EDGE_BLOCK, HUB_NEIGHBOURS = 64, 1 << 13, 1 << 16
+#: Edges whose ends are permuted once for all of them, nodes of a task, and bits of a coordinate that order nodes by place.
+SHARED_EDGES, TASK_NODES, PLACE_BITS = 1 << 17, 1 << 14, 16
 PRUNE_SALTS = 32
 
 
@@ -204,10 +206,20 @@ QUADRANT = ("high-high cluster", "low-low cluster", "high-low spatial outlier",
 TIE = 1e-9
 
 
+def _places(nodes: DataFrame) -> DataFrame:
+    """(id, place): the bits of both coordinates in turn, so that near nodes mostly have near places."""
+    st = nodes.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    cell = lambda c, lo, hi: F.floor((F.col(c) - F.lit(lo)) / F.lit(max(hi - lo, 1e-12)) * F.lit((1 << PLACE_BITS) - 1)).cast("bigint")
+    at = nodes.select("id", cell("x", st[0], st[1]).alias("cx"), cell("y", st[2], st[3]).alias("cy"))
+    bit = lambda c, b: F.shiftleft(F.shiftright(c, b).bitwiseAND(F.lit(1).cast("bigint")), 2 * b + (c == "cy"))
+    return at.select("id", sum((bit(c, b) for b in range(PLACE_BITS) for c in ("cx", "cy")), F.lit(0).cast("bigint")).alias("place"))
+
+
 def permuted_counts(nodes: DataFrame, edges: DataFrame, n: int, denom: float, observed: float, permutations: int, seed: int) -> tuple[DataFrame, int]:
     """How often permuted statistics reach the observed ones.
 
-    ``nodes`` (id, idx 0..n-1, z, local_i), ``edges`` (src, dst indexes, w). Returns the counts
+    ``nodes`` (id, idx 0..n-1, z, local_i; place, if given, is near for nodes that are near),
+    ``edges`` (src, dst indexes, w). Returns the counts
     per node (idx, cnt; nodes without edges left out) and the count of the global statistic.
     """
     gathered = n <= BROADCAST_NODES
@@ -223,12 +235,16 @@ def _counts_from_vector(nodes: DataFrame, edges: DataFrame, n: int, denom: float
     z = np.empty(n)
     z[column.column("idx").to_numpy()] = column.column("z").to_numpy()
     shared = nodes.sparkSession.sparkContext.broadcast(z)
-    scale, least = denom / n, 1 - TIE
+    scale = denom / n
+    nodes = nodes if "place" in nodes.columns else nodes.withColumn("place", F.col("idx"))
     # a hub's neighbours are added up in pieces
     piece = F.pmod(F.xxhash64("dst"), F.lit(max(1, n // HUB_NEIGHBOURS))).alias("piece")
     lists = edges.groupBy("src", piece).agg(F.collect_list(F.struct("dst", "w")).alias("near"))
     whole = lists.groupBy("src").agg(F.flatten(F.collect_list("near")).alias("near")) if n > HUB_NEIGHBOURS else lists.drop("piece")
-    rows = nodes.select("idx", "local_i").join(whole.withColumnRenamed("src", "idx"), "idx")
+    rows = nodes.select("idx", "local_i", "place").join(whole.withColumnRenamed("src", "idx"), "idx")
+    # neighbours in one batch, so that most ends of its edges are shared
+    tasks = max(2 * nodes.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_NODES))
+    rows = rows.repartitionByRange(tasks, "place", "idx").sortWithinPartitions("place", "idx").drop("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = shared.value
@@ -239,18 +255,8 @@ def _counts_from_vector(nodes: DataFrame, edges: DataFrame, n: int, denom: float
             first = np.concatenate([[0], np.cumsum(near.value_lengths().to_numpy(zero_copy_only=False))])
             own, local = rb.column("idx").to_numpy(), np.abs(rb.column("local_i").to_numpy())
             count = np.zeros(len(own), np.int64)
-            for a in range(0, permutations, PACK):
-                pair, offset = key_arrays(seed, a, min(a + PACK, permutations), n)
-                for i, j in _row_blocks(first):
-                    lag = np.zeros((j - i, pair.shape[1]))
-                    for lo in range(int(first[i]), int(first[j]), EDGE_BLOCK):
-                        hi = min(lo + EDGE_BLOCK, int(first[j]))
-                        part = z[images(dst[lo:hi], pair, offset, n)] * w[lo:hi, None]
-                        row = np.searchsorted(first, np.arange(lo, hi), "right") - 1 - i
-                        head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                        lag[row[head]] += np.add.reduceat(part, head, axis=0)
-                    total[a : a + PACK] += (z[images(own[i:j], pair, offset, n)] * lag).sum(0)
-                    count[i:j] += (np.abs(z[own[i:j], None] * lag / scale) >= local[i:j, None] * least).sum(1)
+            for i, j in _row_blocks(first, SHARED_EDGES):
+                count[i:j] += _reached(z, own[i:j], local[i:j], dst[first[i] : first[j]], w[first[i] : first[j]], first[i : j + 1] - first[i], scale, seed, total)
             none = pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count), *none], ["idx", "cnt", "p", "t"])
         none = pa.nulls(permutations, pa.int64())
@@ -259,11 +265,36 @@ def _counts_from_vector(nodes: DataFrame, edges: DataFrame, n: int, denom: float
     return rows.mapInArrow(run, "idx bigint, cnt bigint, p int, t double")
 
 
-def _row_blocks(first: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about EDGE_BLOCK edges."""
+def _reached(z: np.ndarray, own: np.ndarray, local: np.ndarray, dst: np.ndarray, w: np.ndarray, first: np.ndarray, scale: float, seed: int, total: np.ndarray) -> np.ndarray:
+    """How many permutations reach |I_i| at each of the nodes ``own``, whose edges (``dst``, ``w``) begin at
+    ``first``; ``total`` gets the sums of the global statistic."""
+    n, count = len(z), np.zeros(len(own), np.int64)
+    shared = len(dst) <= 2 * SHARED_EDGES  # a hub of more is looked up piece by piece
+    ends, place = np.unique(np.concatenate([own, dst]) if shared else own, return_inverse=True)
+    for a in range(0, len(total), PACK):
+        pair, offset = key_arrays(seed, a, min(a + PACK, len(total)), n)
+        values = np.empty((len(ends), pair.shape[1]))
+        for k in range(0, len(ends), EDGE_BLOCK // 8):
+            values[k : k + EDGE_BLOCK // 8] = z[images(ends[k : k + EDGE_BLOCK // 8], pair, offset, n)]
+        for i, j in _row_blocks(first, EDGE_BLOCK):
+            lag = np.zeros((j - i, pair.shape[1]))
+            for lo in range(int(first[i]), int(first[j]), EDGE_BLOCK):
+                hi = min(lo + EDGE_BLOCK, int(first[j]))
+                part = values[place[len(own) + lo : len(own) + hi]] if shared else z[images(dst[lo:hi], pair, offset, n)]
+                part *= w[lo:hi, None]
+                row = np.searchsorted(first, np.arange(lo, hi), "right") - 1 - i
+                head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                lag[row[head]] += np.add.reduceat(part, head, axis=0)
+            total[a : a + PACK] += (values[place[i:j]] * lag).sum(0)
+            count[i:j] += (np.abs(z[own[i:j], None] * lag / scale) >= local[i:j, None] * (1 - TIE)).sum(1)
+    return count
+
+
+def _row_blocks(first: np.ndarray, edges: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``edges`` edges."""
     i = 0
     while i < len(first) - 1:
-        j = max(i + 1, int(np.searchsorted(first, first[i] + EDGE_BLOCK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(first, first[i] + edges, "right")) - 1)
         yield i, j
         i = j
 
@@ -351,7 +382,7 @@ def moran(
     named = idx_df.select("id", "idx")
     numbered = (weights.join(named.withColumnsRenamed({"id": "src", "idx": "si"}), "src")
                 .join(named.withColumnsRenamed({"id": "dst", "idx": "di"}), "dst").select(F.col("si").alias("src"), F.col("di").alias("dst"), "w"))
-    counts, exceed = permuted_counts(idx_df, numbered, n, denom, global_i, permutations, seed)
+    counts, exceed = permuted_counts(idx_df.join(_places(work), "id"), numbered, n, denom, global_i, permutations, seed)
     global_p = (exceed + 1) / (permutations + 1)
     # without neighbours every lag is 0, as observed
     counts = idx_df.select("idx").join(counts, "idx", "left").fillna({"cnt": permutations})

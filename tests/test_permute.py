@@ -95,3 +95,18 @@ def test_quantiles_of_odd_doubles(spark, monkeypatch):
         assert [got["a b", q] for q in qs] == pytest.approx([float(np.quantile(x, q)) for q in qs], rel=1e-15)
         assert [got["k", q] for q in qs] == pytest.approx([float(np.quantile(k, q)) for q in qs]) and got["none", 0.5] is None
     assert quantile._double(int(quantile.ordered_bits(np.array([-3.5]))[0])) == -3.5
+
+
+def test_ends_shared_by_edges_are_permuted_once(monkeypatch):
+    seen, images = [], spatial.images
+    monkeypatch.setattr(spatial, "images", lambda x, *rest: seen.append(len(x)) or images(x, *rest))
+    rng = np.random.default_rng(6)
+    n, own = 50, np.arange(20)
+    z, dst, first = rng.normal(size=n), rng.integers(0, 25, 160), np.arange(0, 161, 8)
+    total = np.zeros(10)
+    counts = spatial._reached(z, own, np.full(20, 0.2), dst, np.full(160, 1 / 8), first, 1.0, 3, total)
+    assert sum(seen) <= 25
+    pair, offset = spatial.key_arrays(3, 0, 10, n)
+    lag = z[images(dst, pair, offset, n)].reshape(20, 8, 10).sum(1) / 8
+    assert np.allclose(total, (z[images(own, pair, offset, n)] * lag).sum(0))
+    assert (counts == (np.abs(z[own, None] * lag) >= 0.2 * (1 - spatial.TIE)).sum(1)).all()
