@@ -49,6 +49,8 @@ PACK, EDGE_BLOCK, HUB_NEIGHBOURS = 64, 1 << 13, 1 << 16
 #: Edges whose ends are permuted once for all of them, nodes of a task, and bits of a coordinate that order nodes by place.
 SHARED_EDGES, TASK_NODES, PLACE_BITS = 1 << 17, 1 << 14, 16
 PRUNE_SALTS = 32
+#: Points whose candidates one task ranks: their number, not the size of the shuffle, names the tasks.
+POINTS_PER_TASK = 1 << 14
 
 
 def _prune_locations(nodes: DataFrame, keep: int) -> DataFrame:
@@ -113,6 +115,7 @@ def knn_edges(nodes: DataFrame, k: int, candidates: list[int] | None = None) ->
     span = max(float(st["x1"]) - x0, float(st["y1"]) - y0, 1e-12) * (1 + 1e-9)
     data = _prune_locations(nodes, k + 1).select(F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("y").alias("ny")).checkpoint()
     crowd = 2 * (k + 1)
+    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-int(st["n"]) // POINTS_PER_TASK))
     first = max(0, int(math.log(max(int(st["n"]) / crowd, 1.0), 4)) - 1)
     started = _start_levels(nodes, data, crowd, first, x0, y0, span)
     todo = sorted((r["start"] for r in started.select("start").distinct().collect()), reverse=True)
@@ -125,7 +128,7 @@ def knn_edges(nodes: DataFrame, k: int, candidates: list[int] | None = None) ->
         q = here.select("id", "x", "y", lv, block).select(
             "id", "x", "y", (_cell("x", x0, span) + F.col("o.dx")).alias("cx"), (_cell("y", y0, span) + F.col("o.dy")).alias("cy"))
         d = data.select("nid", "nx", "ny", lv).select("nid", "nx", "ny", _cell("nx", x0, span).alias("cx"), _cell("ny", y0, span).alias("cy"))
-        cand = q.join(d, ["cx", "cy"]).filter(F.col("id") != F.col("nid")).select(
+        cand = q.repartition(tasks, "cx", "cy").join(d.repartition(tasks, "cx", "cy"), ["cx", "cy"]).filter(F.col("id") != F.col("nid")).select(
             "id", "x", "y", "nid", F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2)).alias("dist"))
         if candidates is not None:
             candidates.append(cand.count())

@@ -1,6 +1,7 @@
 """Known values and invariances of the statistical methods."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -279,3 +280,20 @@ def test_knn_follows_the_density(spark):
         near = sorted((float(dist[i, j]), f"p{j:05d}") for j in range(len(xy)) if j != i)[:k]
         assert [d for _, d in sorted(got[f"p{i:05d}"])] == [d for _, d in near]
     assert sum(pairs) < 40 * len(xy) * k
+
+
+def test_knn_candidates_are_ranked_by_tasks_of_few_points(spark, monkeypatch):
+    """The number of tasks follows the points; one that adaptive execution gathers by bytes ranks them all."""
+    monkeypatch.setattr(spatial, "POINTS_PER_TASK", 20, raising=False)
+    dealt, frame = [], type(spark.range(0))
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: dealt.append(n) or repartition(self, n, *cols))
+    rng = random.Random(2)
+    rows = [(f"{i:03d}", rng.random(), rng.random()) for i in range(400)]
+    got = spatial.knn_edges(spark.createDataFrame(rows, "id string, x double, y double"), 2).groupBy("src").agg(F.sort_array(F.collect_list("dst"))).collect()
+    assert dealt and min(dealt) >= 400 // 20
+    for src, found in got:
+        _, x, y = rows[int(src)]
+        near = sorted((math.hypot(x - a, y - b), i) for i, a, b in rows if i != src)[:2]
+        assert found == sorted(i for _, i in near)
+    assert len(got) == len(rows)
