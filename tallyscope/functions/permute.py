@@ -33,6 +33,8 @@ def key_arrays(seed: int, first: int, last: int, n: int) -> tuple[np.ndarray, np
 
 def images(x: np.ndarray, pair: np.ndarray, offset: np.ndarray, n: int, inverse: bool = False) -> np.ndarray:
     """Images of the indexes ``x`` (rows) under each permutation (columns)."""
+    if n <= 1 << 31:
+        return _narrow_images(x, pair, offset, n, inverse)
     x = np.broadcast_to(np.asarray(x, np.int64)[:, None], (len(x), pair.shape[1]))
     for r in range(ROUNDS - 1, -1, -1) if inverse else range(ROUNDS):
         other = pair[r] - x
@@ -44,6 +46,27 @@ def images(x: np.ndarray, pair: np.ndarray, offset: np.ndarray, n: int, inverse:
     return x
 
 
+def _narrow_images(x: np.ndarray, pair: np.ndarray, offset: np.ndarray, n: int, inverse: bool) -> np.ndarray:
+    """``images`` in 32-bit words: sums stay below 2**32, and a product's low word is all that a round reads."""
+    word = np.uint32
+    x = np.repeat(np.asarray(x).astype(word)[:, None], pair.shape[1], axis=1)
+    pair, offset = pair.astype(word), offset.astype(word)
+    other, h, held = np.empty_like(x), np.empty_like(x), np.empty_like(x)
+    for r in range(ROUNDS - 1, -1, -1) if inverse else range(ROUNDS):
+        np.subtract(pair[r], x, out=other)
+        # what wrapped below 0 is larger than any index, and n brings it back
+        np.minimum(other, np.add(other, word(n), out=held), out=other)
+        np.add(np.maximum(x, other, out=h), offset[r], out=h)
+        np.multiply(np.bitwise_and(h, word(LOW), out=h), word(FIRST), out=h)
+        np.bitwise_xor(h, np.right_shift(h, word(16), out=held), out=h)
+        np.multiply(np.bitwise_and(h, word(LOW), out=h), word(SECOND), out=h)
+        # bit 17 in every bit
+        swap = np.left_shift(h, word(14), out=h).view(np.int32)
+        np.right_shift(swap, 31, out=swap)
+        np.bitwise_xor(x, np.bitwise_and(np.bitwise_xor(other, x, out=other), h, out=other), out=x)
+    return x.astype(np.int64)
+
+
 def image(x: Column, rounds: Column, n: int) -> Column:
     """Image of index ``x``; ``rounds`` is an array of (k, c) structs, in reverse order for the inverse."""
 

@@ -12,7 +12,7 @@ quantile and pandas' ``median``).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,29 +122,38 @@ def exact_quantiles(df: DataFrame, requests: dict[str, list[float]], counts: dic
     """Exact linear-interpolation quantiles of non-NULL values for each (column, q)."""
     if any(not 0.0 <= q <= 1.0 for qs in requests.values() for q in qs):
         raise ValueError("quantile must be in [0, 1]")
-    ship_package(df.sparkSession)
-    df = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in requests])
     if counts is None:
         row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(requests)]).first()
         counts = {c: int(row[f"n{i}"]) for i, c in enumerate(requests)}
-    ranks: dict[tuple[str, int], _Rank] = {}
-    parts: dict[tuple[str, float], list[tuple[str, int]]] = {}
-    for c, qs in requests.items():
-        for q in qs:
-            h = (counts[c] - 1) * q
-            wanted = sorted({math.floor(h), math.ceil(h)}) if counts[c] else []
-            parts[(c, q)] = [(c, k) for k in wanted]
-            for k in wanted:
-                ranks.setdefault((c, k), _Rank(c, k, counts[c]))
+    asked = {c: sorted({r for q in qs for r in ranks_of(counts[c], q)}) for c, qs in requests.items()}
+    values = order_statistics(df, asked, counts)
+    return {(c, q): interpolated(counts[c], q, lambda r, c=c: values[(c, r)]) for c, qs in requests.items() for q in qs}
+
+
+def ranks_of(n: int, q: float) -> list[int]:
+    """The ranks between which quantile ``q`` of ``n`` values lies."""
+    h = (n - 1) * q
+    return sorted({math.floor(h), math.ceil(h)}) if n else []
+
+
+def interpolated(n: int, q: float, value: Callable[[int], float]) -> float | None:
+    """Quantile ``q`` of ``n`` values, given the value at a rank."""
+    found, h = [value(r) for r in ranks_of(n, q)], (n - 1) * q
+    return found[0] + (h - math.floor(h)) * (found[-1] - found[0]) if found else None
+
+
+def order_statistics(df: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int]) -> dict[tuple[str, int], float]:
+    """The value at each 0-based rank among the ``counts`` non-NULL values of each column."""
+    ship_package(df.sparkSession)
+    df = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in wanted])
+    ranks = {(c, k): _Rank(c, k, counts[c]) for c, some in wanted.items() for k in some}
     for step, some in ((_narrow, lambda r: r.inside > FEW), (_settle, lambda r: r.inside <= FEW)):
-        while wide := [r for r in ranks.values() if r.value is None and some(r)][:HISTOGRAMS]:
+        while wide := [r for r in ranks.values() if r.value is None and some(r)]:
+            # ranks of one group share its histogram
+            now = set(list(dict.fromkeys(r.group for r in wide))[:HISTOGRAMS])
+            wide = [r for r in wide if r.group in now]
             step(df, sorted({r.column for r in wide}), wide)
-    out: dict[tuple[str, float], float | None] = {}
-    for (c, q), keys in parts.items():
-        values = [ranks[k].value for k in keys]
-        h = (counts[c] - 1) * q
-        out[(c, q)] = values[0] + (h - math.floor(h)) * (values[-1] - values[0]) if values else None
-    return out
+    return {key: r.value for key, r in ranks.items()}
 
 
 def exact_quantile(df: DataFrame, column: str, q: float, n: int | None = None) -> float | None:

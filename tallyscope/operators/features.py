@@ -7,8 +7,8 @@ after the table's row count is checked). A window partitioned by jurisdiction
 would put a hot jurisdiction into one task; the grouped form does not.
 
 Fitting (M10) needs per-feature min/max/count (one aggregation) and exact
-quartiles (bracketed, ``functions.quantile``); the fitted parameters are plain
-numbers that become literals of a single projection.
+quartiles (``functions.quantile``; the fill is counted in, so one search finds
+medians and quartiles); the fitted parameters are plain numbers that become literals of a single projection.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import join_dimension
-from ..functions.quantile import exact_quantiles
+from ..functions.quantile import interpolated, order_statistics, ranks_of
 from ..schema import SHARE_PREFIX
 from .common import AnalysisUnavailable
 
@@ -28,6 +28,8 @@ _LOG_COUNTS = ("Registered_Voters", "Active_Registered_Voters", "Ballots_Cast",
 _RATES = ("Undervotes", "Overvotes", "Write_In_Votes")
 DISTANCE = "distance_from_jurisdiction_centroid"
 KEY = "_fkey"
+#: Quantiles of a feature after the fill: centre and scale.
+FILLED = (0.25, 0.5, 0.75)
 
 
 def _num(c: str):
@@ -127,16 +129,18 @@ def fit(feature_frame: DataFrame, names: list[str]) -> FeatureModel:
     if not usable:
         raise AnalysisUnavailable("no feature varies")
     counts = {k: int(st[f"n{names.index(k)}"]) for k in usable}
-    med = exact_quantiles(feature_frame, {k: [0.5] for k in usable}, counts)
-    medians = {k: float(med[(k, 0.5)]) for k in usable}
-    filled = feature_frame.select(*[F.coalesce(F.col(f"`{k}`"), F.lit(medians[k])).alias(k) for k in usable])
     rows = int(st["rows"])
-    qs = exact_quantiles(filled, {k: [0.25, 0.5, 0.75] for k in usable}, {k: rows for k in usable})
-    centers = {k: float(qs[(k, 0.5)]) for k in usable}
-    scales = {}
+    # in the filled column the median stands between the two halves, once per empty row
+    half = {k: (counts[k] - 1) // 2 for k in usable}
+    rank = lambda k, r: r if r <= half[k] else max(half[k], r - (rows - counts[k]))
+    asked = {k: sorted({*ranks_of(counts[k], 0.5), *(rank(k, r) for q in FILLED for r in ranks_of(rows, q))}) for k in usable}
+    values = order_statistics(feature_frame, asked, counts)
+    medians, centers, scales = {}, {}, {}
     for k in usable:
-        iqr = float(qs[(k, 0.75)]) - float(qs[(k, 0.25)])
-        scales[k] = iqr if iqr != 0 else 1.0
+        medians[k] = m = float(interpolated(counts[k], 0.5, lambda r: values[(k, r)]))
+        filled = lambda r: m if half[k] < r <= half[k] + rows - counts[k] else values[(k, rank(k, r))]
+        low, centers[k], high = (float(interpolated(rows, q, filled)) for q in FILLED)
+        scales[k] = high - low if high != low else 1.0
     return FeatureModel(usable, medians, centers, scales, {"training_rows": rows})
 
 

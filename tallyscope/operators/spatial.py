@@ -102,7 +102,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def knn_edges(nodes: DataFrame, k: int, candidates: list[int] | None = None) -> DataFrame:
-    """Exact k-nearest-neighbour edges (src, dst, dist) for nodes (id STRING, x, y DOUBLE).
+    """Exact k-nearest-neighbour edges (src, dst, dist) for nodes (id of any ordered type, x, y DOUBLE).
 
     ``k`` must already be min(k, n - 1). ``candidates``, if given, gets the number of pairs
     that each level compared.
@@ -132,13 +132,13 @@ def knn_edges(nodes: DataFrame, k: int, candidates: list[int] | None = None) ->
             "id", "x", "y", "nid", F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2)).alias("dist"))
         if candidates is not None:
             candidates.append(cand.count())
+        if level > 0:
+            # the k-th neighbour must lie within the cell side, or something outside the block may be nearer
+            cand = cand.filter(F.col("dist") <= F.lit(span / 2.0**level))
         by_distance = Window.partitionBy("id").orderBy("dist", "nid")
         top = cand.withColumn("_r", F.row_number().over(by_distance)).filter(F.col("_r") <= k)
         if level > 0:
-            # the k-th neighbour must lie within the cell side, or something outside the block may be nearer
-            side = F.lit(span / 2.0 ** level)
-            reach = F.max("dist").over(Window.partitionBy("id"))
-            top = top.withColumn("_ok", (F.count(F.lit(1)).over(Window.partitionBy("id")) == k) & (reach <= side))
+            top = top.withColumn("_ok", F.count(F.lit(1)).over(Window.partitionBy("id")) == k)
         else:
             top = top.withColumn("_ok", F.lit(True))  # the block holds everything
         top = top.checkpoint()
@@ -209,13 +209,13 @@ QUADRANT = ("high-high cluster", "low-low cluster", "high-low spatial outlier",
 TIE = 1e-9
 
 
-def _places(nodes: DataFrame) -> DataFrame:
-    """(id, place): the bits of both coordinates in turn, so that near nodes mostly have near places."""
+def _place(nodes: DataFrame) -> Column:
+    """The bits of both coordinates in turn, so that near nodes mostly have near places."""
     st = nodes.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     cell = lambda c, lo, hi: F.floor((F.col(c) - F.lit(lo)) / F.lit(max(hi - lo, 1e-12)) * F.lit((1 << PLACE_BITS) - 1)).cast("bigint")
-    at = nodes.select("id", cell("x", st[0], st[1]).alias("cx"), cell("y", st[2], st[3]).alias("cy"))
-    bit = lambda c, b: F.shiftleft(F.shiftright(c, b).bitwiseAND(F.lit(1).cast("bigint")), 2 * b + (c == "cy"))
-    return at.select("id", sum((bit(c, b) for b in range(PLACE_BITS) for c in ("cx", "cy")), F.lit(0).cast("bigint")).alias("place"))
+    both = cell("x", st[0], st[1]), cell("y", st[2], st[3])
+    bit = lambda turn, b: F.shiftleft(F.shiftright(both[turn], b).bitwiseAND(F.lit(1).cast("bigint")), 2 * b + turn)
+    return sum((bit(turn, b) for b in range(PLACE_BITS) for turn in (0, 1)), F.lit(0).cast("bigint"))
 
 
 def permuted_counts(nodes: DataFrame, edges: DataFrame, n: int, denom: float, observed: float, permutations: int, seed: int) -> tuple[DataFrame, int]:
@@ -245,6 +245,7 @@ def _counts_from_vector(nodes: DataFrame, edges: DataFrame, n: int, denom: float
     lists = edges.groupBy("src", piece).agg(F.collect_list(F.struct("dst", "w")).alias("near"))
     whole = lists.groupBy("src").agg(F.flatten(F.collect_list("near")).alias("near")) if n > HUB_NEIGHBOURS else lists.drop("piece")
     rows = nodes.select("idx", "local_i", "place").join(whole.withColumnRenamed("src", "idx"), "idx")
+    rows = rows.checkpoint()  # ranges are drawn from a pass of their own
     # neighbours in one batch, so that most ends of its edges are shared
     tasks = max(2 * nodes.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_NODES))
     rows = rows.repartitionByRange(tasks, "place", "idx").sortWithinPartitions("place", "idx").drop("place")
@@ -281,7 +282,13 @@ def _reached(z: np.ndarray, own: np.ndarray, local: np.ndarray, dst: np.ndarray,
             values[k : k + EDGE_BLOCK // 8] = z[images(ends[k : k + EDGE_BLOCK // 8], pair, offset, n)]
         for i, j in _row_blocks(first, EDGE_BLOCK):
             lag = np.zeros((j - i, pair.shape[1]))
-            for lo in range(int(first[i]), int(first[j]), EDGE_BLOCK):
+            degree = int(first[i + 1] - first[i])
+            even = shared and degree * (j - i) == first[j] - first[i] and bool((np.diff(first[i : j + 1]) == degree).all())
+            # neighbour by neighbour where all nodes have as many
+            for t in range(degree) if even else ():
+                at = slice(first[i] + t, first[j], degree)
+                lag += values.take(place[len(own) :][at], axis=0) * w[at, None]
+            for lo in () if even else range(int(first[i]), int(first[j]), EDGE_BLOCK):
                 hi = min(lo + EDGE_BLOCK, int(first[j]))
                 part = values[place[len(own) + lo : len(own) + hi]] if shared else z[images(dst[lo:hi], pair, offset, n)]
                 part *= w[lo:hi, None]
@@ -350,11 +357,18 @@ def moran(
     total = df.count()
     if n < 3:
         raise AnalysisUnavailable(f"{n} rows have coordinates and a value; 3 are needed")
-    kind = params.weights_type
+    # Consecutive node indexes in Precinct_ID order (range partitions + per-partition offsets): edges and ties go by
+    # number, ids come back at the end.
+    work = consecutive_index(work, ["id"], "idx").checkpoint()
+    named = work.filter("id IS NOT NULL").select("id", "idx")
+    kind, numbered = params.weights_type, None
     if edges is None:
         if kind == "knn":
             k = min(int(params.knn_neighbors), n - 1)
-            edges = knn_edges(work.select("id", "x", "y"), k).select("src", "dst")
+            near = knn_edges(work.filter("id IS NOT NULL").select(F.col("idx").alias("id"), "x", "y"), k).select("src", "dst")
+            numbered = row_standardise(near).persist()
+            weights = (numbered.join(named.withColumnsRenamed({"id": "a", "idx": "src"}), "src")
+                       .join(named.withColumnsRenamed({"id": "b", "idx": "dst"}), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"))
             label = f"{k} nearest neighbours"
         else:
             if polygons is None and "Geometry" in df.columns:
@@ -366,31 +380,28 @@ def moran(
             label = f"{kind} polygon adjacency"
     else:
         label = "supplied weights"
-    weights = row_standardise(edges).persist()
+    if numbered is None:
+        weights = row_standardise(edges).persist()
+        numbered = (weights.join(named.withColumnsRenamed({"id": "src", "idx": "si"}), "src")
+                    .join(named.withColumnsRenamed({"id": "dst", "idx": "di"}), "dst").select(F.col("si").alias("src"), F.col("di").alias("dst"), "w").persist())
     mean = float(st["mean"])
-    zed = work.select("id", (F.col("v") - F.lit(mean)).alias("z"))
+    zed = work.select("idx", "id", (F.col("v") - F.lit(mean)).alias("z"), _place(work).alias("place"))
     denom = float(zed.agg(F.sum(F.col("z") * F.col("z"))).first()[0])
     if denom <= EPS:
         raise AnalysisUnavailable(f"{variable} does not vary")
-    lag = (weights.join(zed.select(F.col("id").alias("dst"), F.col("z").alias("zj")), "dst")
+    lag = (numbered.join(zed.select(F.col("idx").alias("dst"), F.col("z").alias("zj")), "dst")
            .groupBy("src").agg(F.sum(F.col("w") * F.col("zj")).alias("lag")))
-    nodes = zed.join(lag.withColumnRenamed("src", "id"), "id", "left").fillna({"lag": 0.0})
-    nodes = nodes.withColumn("local_i", F.col("z") * F.col("lag") / F.lit(denom / n)).persist()
+    nodes = zed.join(lag.withColumnRenamed("src", "idx"), "idx", "left").fillna({"lag": 0.0})
+    nodes = nodes.withColumn("local_i", F.col("z") * F.col("lag") / F.lit(denom / n)).checkpoint()
     global_i = float(nodes.agg(F.sum(F.col("z") * F.col("lag"))).first()[0]) / denom
 
     permutations, seed = int(params.permutations), int(params.random_state)
     ship_package(df.sparkSession)
-    # Consecutive node indexes in Precinct_ID order (range partitions + per-partition offsets).
-    idx_df = consecutive_index(nodes.select("id", "z", "local_i"), ["id"], "idx").checkpoint()
-    named = idx_df.select("id", "idx")
-    numbered = (weights.join(named.withColumnsRenamed({"id": "src", "idx": "si"}), "src")
-                .join(named.withColumnsRenamed({"id": "dst", "idx": "di"}), "dst").select(F.col("si").alias("src"), F.col("di").alias("dst"), "w"))
-    counts, exceed = permuted_counts(idx_df.join(_places(work), "id"), numbered, n, denom, global_i, permutations, seed)
+    counts, exceed = permuted_counts(nodes.select("idx", "z", "local_i", "place"), numbered, n, denom, global_i, permutations, seed)
     global_p = (exceed + 1) / (permutations + 1)
     # without neighbours every lag is 0, as observed
-    counts = idx_df.select("idx").join(counts, "idx", "left").fillna({"cnt": permutations})
-    local = (idx_df.join(counts, "idx").join(nodes.select("id", "lag"), "id")
-             .select("id", "z", "lag", "local_i", ((F.col("cnt") + 1) / F.lit(permutations + 1)).alias("raw_p")))
+    local = (nodes.filter("id IS NOT NULL").join(counts, "idx", "left").fillna({"cnt": permutations})
+             .select("id", "z", "lag", "local_i", ((F.col("cnt") + 1) / F.lit(permutations + 1)).alias("raw_p")).persist())
     local = benjamini_hochberg(local, "raw_p", "adj_p")
     z, lg = F.col("z"), F.col("lag")
     pattern = (F.when((z >= 0) & (lg >= 0), QUADRANT[0]).when((z < 0) & (lg < 0), QUADRANT[1])

@@ -1,8 +1,10 @@
 """Features, isolation forest and DBSCAN."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyscope.functions import quantile
 from tallyscope.operators import dbscan, features, iforest
 from tallyscope.operators.common import AnalysisUnavailable
 from tallyscope.schema import DbscanParams, ForestParams
@@ -110,3 +112,22 @@ def test_exchanged_features_change_scores_as_when_scored_anew():
         expected.append(np.abs(forest.raw(changed) - forest.raw(x)).sum())
     assert np.allclose(forest.exchanged_change(x, other), expected, rtol=1e-12)
     assert (forest.exchanged_change(x, x) == 0).all()
+
+
+def test_fit_finds_medians_and_quartiles_in_one_search(spark, monkeypatch):
+    """Few or many NULLs, odd and even counts, ties; against numpy on the filled columns."""
+    rng = np.random.default_rng(8)
+    columns = {"a": rng.normal(size=101), "b": rng.integers(0, 4, 101).astype(float), "c": rng.exponential(size=101), "d": rng.normal(size=101)}
+    empty = {"a": 0, "b": 30, "c": 70, "d": 1}
+    rows = [tuple(None if i < empty[k] else float(columns[k][i]) for k in columns) for i in range(101)]
+    frame = spark.createDataFrame(rows, ", ".join(f"{k} double" for k in columns)).repartition(3)
+    searches, settle = [], quantile._settle
+    monkeypatch.setattr(quantile, "_settle", lambda *args: searches.append(1) or settle(*args))
+    model = features.fit(frame, list(columns))
+    assert len(searches) == 1
+    for k, x in columns.items():
+        median = float(np.median(x[empty[k] :]))
+        filled = np.r_[x[empty[k] :], [median] * empty[k]]
+        low, middle, high = (float(np.quantile(filled, q)) for q in (0.25, 0.5, 0.75))
+        assert (model.medians[k], model.centers[k]) == pytest.approx((median, middle))
+        assert model.scales[k] == pytest.approx(high - low if high != low else 1.0)

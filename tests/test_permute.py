@@ -1,6 +1,7 @@
 """Keyed bijections, Moran counts of both plans, and radix quantiles."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -20,6 +21,33 @@ def test_images_are_permutations_and_invert(n):
         assert (back[:, 0] == np.arange(n)).all()
 
 
+def _image(x, keys, n):
+    """The definition, in integers without limit."""
+    for k, c in keys:
+        other = (k - x) % n
+        h = ((max(x, other) + c) & permute.LOW) * permute.FIRST & permute.WORD
+        h = ((h ^ h >> 16) & permute.LOW) * permute.SECOND & permute.WORD
+        x = other if h >> 17 & 1 else x
+    return x
+
+
+def test_images_take_words_of_32_bits():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 97, 900_000, (1 << 31) - 1, 1 << 31, (1 << 31) + 5, 1 << 40):
+        x = np.unique(np.r_[0, n - 1, rng.integers(0, n, 50)])
+        pair, offset = permute.key_arrays(11, 0, 3, n)
+        got = permute.images(x, pair, offset, n)
+        for p in range(3):
+            keys = list(zip(*permute.keys(11, p, n)))
+            assert got[:, p].tolist() == [_image(v, keys, n) for v in x.tolist()]
+            assert (permute.images(got[:, p], pair[:, p : p + 1], offset[:, p : p + 1], n, inverse=True)[:, 0] == x).all()
+    pair, offset = permute.key_arrays(11, 0, 64, 900_000)
+    tracemalloc.start()
+    permute.images(np.arange(1024), pair, offset, 900_000)
+    assert tracemalloc.get_traced_memory()[1] < 28 * 1024 * 64
+    tracemalloc.stop()
+
+
 def test_images_are_uniform():
     """Every place is about equally likely for one index, for neighbours jointly, and differs between keys."""
     n, turns = 12, 6000

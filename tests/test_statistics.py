@@ -297,3 +297,22 @@ def test_knn_candidates_are_ranked_by_tasks_of_few_points(spark, monkeypatch):
         near = sorted((math.hypot(x - a, y - b), i) for i, a, b in rows if i != src)[:2]
         assert found == sorted(i for _, i in near)
     assert len(got) == len(rows)
+
+
+def test_moran_goes_by_number(spark, monkeypatch):
+    """Neighbours are sought by number, ties as by key; the weights come back by key."""
+    rng = random.Random(4)
+    # on a lattice, so that many distances tie, and with keys in another order than their numbers
+    rows = [(f"p{i}", float(i % 9), float(i // 9), rng.random()) for i in range(80)]
+    frame = spark.createDataFrame(rows, "Precinct_ID string, Longitude double, Latitude double, v double")
+    kinds, sought = [], spatial.knn_edges
+    monkeypatch.setattr(spatial, "knn_edges", lambda nodes, k: kinds.append(dict(nodes.dtypes)["id"]) or sought(nodes, k))
+    res = spatial.moran(frame, "v", SpatialParams(knn_neighbors=3, permutations=19))
+    assert kinds == ["bigint"]
+    near = {a: [r[0] for r in sorted(rows, key=lambda r: (math.hypot(x - r[1], y - r[2]), r[0])) if r[0] != a][:3] for a, x, y, _ in rows}
+    assert {(r["src"], r["dst"], r["w"]) for r in res.tables["weights"].collect()} == {(a, b, 1 / 3) for a, some in near.items() for b in some}
+    mean = sum(r[3] for r in rows) / len(rows)
+    z = {r[0]: r[3] - mean for r in rows}
+    power = sum(v * v for v in z.values()) / len(rows)
+    local = {r["Precinct_ID"]: r["Local_Moran_I"] for r in res.data.collect()}
+    assert local == pytest.approx({a: z[a] * sum(z[b] for b in some) / 3 / power for a, some in near.items()})

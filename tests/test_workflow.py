@@ -127,3 +127,10 @@ def test_repeated_key_fails_the_method(spark, frame_0001):
 
     with pytest.raises(ValueError, match="more than one row"):
         moran(frame_0001.union(frame_0001.limit(1)), "Candidate_Share__candidate_a")
+
+
+def test_workflow_validates_rows_once(spark):
+    """The analysed rows and the report read rows that were validated once."""
+    ing = typed_ingestion(spark, SF0001)
+    run = run_workflow(ing, candidate_key="candidate_a", methods=["turnout_share"])
+    assert ing.validated.is_cached and run.metadata["input_rows"] == ing.validated.count()
